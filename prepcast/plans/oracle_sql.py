@@ -128,3 +128,14 @@ def sql(ctes: tuple[str, ...], body: str) -> str:
 
 
 FEATURE_CTES = (JT, TT, MF)
+
+H1 = """
+h1 AS (
+    SELECT d.store_id, d.day_id, d.date, d.day_of_week, d.is_pre_holiday, t.sum_g
+    FROM dcl d JOIN dayt t ON d.day_id = t.day_id WHERE d.day_of_week != '목'
+)"""
+
+H3 = f"""
+h3 AS (
+    SELECT store_id, day_id, date, day_of_week, ({_s1}) AS cumul_16_19, ({_s2}) AS cumul_20_22 FROM tt
+)"""

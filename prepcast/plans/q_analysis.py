@@ -1 +1,199 @@
-"""Statistical / model queries of the survey (§2.5, §2.11-2.14)."""
+"""Statistical / model queries of the survey (§2.5, §2.11-2.14).
+
+Samples are per store: the daily totals without Thursdays (H1/H2) and the
+paired stage targets (H3). Each ``st_*`` query emits the test statistic and
+degrees of freedom (checked against DuckDB); ``st_*_pvalue`` adds the
+p-value and decision (rows-only check; known answers in tests/).
+"""
+
+from __future__ import annotations
+
+from prepcast.functions.columns import DUMMY_LEVELS, THU
+from prepcast.operators import stats
+from prepcast.plans import tables as T
+from prepcast.plans.catalog import register
+from prepcast.plans.oracle_sql import DAYT, FEATURE_CTES, H1, H3, D, R, sql
+
+STORE = ["store_id"]
+POPMEAN = 20000.0  # reference's hypothesised daily mean (20 kg)
+LEVELS_SQL = ", ".join(f"'{x}'" for x in DUMMY_LEVELS)
+H3_CTES = (*FEATURE_CTES[:2], H3)
+
+
+def r6(x: str) -> str:
+    return R(x, 6)
+
+
+@register("st_ttest_1samp", sql((DAYT, H1), f"""
+SELECT store_id, COUNT(sum_g) AS n, {r6('AVG(sum_g)')} AS mean, {r6('STDDEV_SAMP(sum_g)')} AS sd,
+       {r6(D(f'AVG(sum_g) - {POPMEAN}', 'STDDEV_SAMP(sum_g) / SQRT(COUNT(sum_g))'))} AS t,
+       COUNT(sum_g) - 1 AS df
+FROM h1 GROUP BY store_id"""))
+def st_ttest_1samp(spark, sf):
+    return stats.ttest_1samp(T.h1(spark, sf), "sum_g", POPMEAN, STORE)
+
+
+@register("st_ttest_1samp_pvalue")
+def st_ttest_1samp_pvalue(spark, sf):
+    return stats.ttest_1samp(T.h1(spark, sf), "sum_g", POPMEAN, STORE, with_p=True)
+
+
+def _oneway_sql(src: str, value: str, label: str, where: str) -> str:
+    return f"""
+cell AS (
+    SELECT store_id, {label} AS lv, COUNT({value}) AS ni, SUM({value}) AS si, AVG({value}) AS mi,
+           VAR_POP({value}) AS vi
+    FROM {src} WHERE {value} IS NOT NULL AND {where} GROUP BY 1, 2
+),
+tot AS (
+    SELECT store_id, COUNT(*) AS k, CAST(SUM(ni) AS BIGINT) AS N, SUM(si) / SUM(ni) AS grand, SUM(ni * vi) AS ssw
+    FROM cell WHERE ni > 0 GROUP BY 1
+)"""
+
+
+_ONEWAY_BODY = f"""
+SELECT t.store_id, t.k, t.N,
+       {r6(D('SUM(c.ni * (c.mi - t.grand) * (c.mi - t.grand)) / (t.k - 1)', 't.ssw / (t.N - t.k)'))} AS F,
+       t.k - 1 AS df1, t.N - t.k AS df2
+FROM tot t JOIN cell c ON c.store_id = t.store_id
+GROUP BY t.store_id, t.k, t.N, t.ssw, t.grand"""
+
+
+@register("st_anova", sql((DAYT, H1, _oneway_sql("h1", "sum_g", "day_of_week", f"day_of_week IN ({LEVELS_SQL})")),
+                          _ONEWAY_BODY))
+def st_anova(spark, sf):
+    return stats.anova(T.h1(spark, sf), "sum_g", "day_of_week", STORE)
+
+
+@register("st_anova_pvalue")
+def st_anova_pvalue(spark, sf):
+    return stats.anova(T.h1(spark, sf), "sum_g", "day_of_week", STORE, with_p=True)
+
+
+_LEV = f"""
+med AS (
+    SELECT store_id, day_of_week, quantile_cont(sum_g, 0.5) AS med FROM h1
+    WHERE sum_g IS NOT NULL AND day_of_week IN ({LEVELS_SQL}) GROUP BY 1, 2
+),
+zt AS (
+    SELECT h1.store_id, h1.day_of_week, ABS(h1.sum_g - med.med) AS z
+    FROM h1 JOIN med ON h1.store_id = med.store_id AND h1.day_of_week = med.day_of_week
+    WHERE h1.sum_g IS NOT NULL
+)"""
+
+
+@register("st_levene", sql((DAYT, H1, _LEV, _oneway_sql("zt", "z", "day_of_week", "TRUE")), _ONEWAY_BODY))
+def st_levene(spark, sf):
+    return stats.levene(T.h1(spark, sf), "sum_g", "day_of_week", STORE)
+
+
+@register("st_levene_pvalue")
+def st_levene_pvalue(spark, sf):
+    return stats.levene(T.h1(spark, sf), "sum_g", "day_of_week", STORE, with_p=True)
+
+
+def _cond(agg: str, lv: int) -> str:
+    return f"{agg}(CASE WHEN is_pre_holiday = {lv} THEN sum_g END)"
+
+
+@register("st_ttest_ind", sql((DAYT, H1), f"""
+SELECT store_id, n_a, n_b, {r6('mean_a')} AS mean_a, {r6('mean_b')} AS mean_b,
+       {r6(D('mean_a - mean_b', 'SQRT(' + D('(n_a - 1) * var_a + (n_b - 1) * var_b', 'n_a + n_b - 2') + ' * (1.0 / n_a + 1.0 / n_b))'))} AS t,
+       n_a + n_b - 2 AS df
+FROM (
+    SELECT store_id, {_cond('COUNT', 0)} AS n_a, {_cond('AVG', 0)} AS mean_a, {_cond('VAR_SAMP', 0)} AS var_a,
+           {_cond('COUNT', 1)} AS n_b, {_cond('AVG', 1)} AS mean_b, {_cond('VAR_SAMP', 1)} AS var_b
+    FROM h1 WHERE sum_g IS NOT NULL AND is_pre_holiday IN (0, 1) GROUP BY store_id
+) s"""))
+def st_ttest_ind(spark, sf):
+    return stats.ttest_ind(T.h1(spark, sf), "sum_g", "is_pre_holiday", STORE)
+
+
+@register("st_ttest_ind_pvalue")
+def st_ttest_ind_pvalue(spark, sf):
+    return stats.ttest_ind(T.h1(spark, sf), "sum_g", "is_pre_holiday", STORE, with_p=True)
+
+
+_PAIRS = "(SELECT store_id, cumul_16_19 - cumul_20_22 AS d FROM h3 WHERE cumul_16_19 IS NOT NULL AND cumul_20_22 IS NOT NULL)"
+
+
+@register("st_ttest_rel", sql(H3_CTES, f"""
+SELECT store_id, COUNT(d) AS n, {r6('AVG(d)')} AS mean_diff, {r6('STDDEV_SAMP(d)')} AS sd_diff,
+       {r6(D('AVG(d)', 'STDDEV_SAMP(d) / SQRT(COUNT(d))'))} AS t, COUNT(d) - 1 AS df
+FROM {_PAIRS} p GROUP BY store_id"""))
+def st_ttest_rel(spark, sf):
+    return stats.ttest_rel(T.h3(spark, sf), "cumul_16_19", "cumul_20_22", STORE)
+
+
+@register("st_ttest_rel_pvalue")
+def st_ttest_rel_pvalue(spark, sf):
+    return stats.ttest_rel(T.h3(spark, sf), "cumul_16_19", "cumul_20_22", STORE, with_p=True)
+
+
+@register("st_cohens_d", sql(H3_CTES, f"""
+SELECT store_id, COUNT(d) AS n, {r6(D('AVG(d)', 'STDDEV_SAMP(d)'))} AS cohens_d FROM {_PAIRS} p GROUP BY store_id"""))
+def st_cohens_d(spark, sf):
+    return stats.cohens_d(T.h3(spark, sf), "cumul_16_19", "cumul_20_22", STORE)
+
+
+_WIL = f"""
+nz AS (SELECT store_id, d, ABS(d) AS a FROM {_PAIRS} p WHERE d <> 0),
+cnt AS (SELECT store_id, a, COUNT(*) AS c, SUM(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS pos FROM nz GROUP BY 1, 2),
+rk AS (
+    SELECT *, COALESCE(SUM(c) OVER (PARTITION BY store_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+              + (c + 1) / 2.0 AS rnk
+    FROM cnt
+),
+wagg AS (
+    SELECT store_id, CAST(SUM(c) AS BIGINT) AS n, SUM(pos * rnk) AS w_plus, SUM((c - pos) * rnk) AS w_minus,
+           SUM(CAST(c AS DOUBLE) * c * c - c) AS tie, MAX(c) AS maxc
+    FROM rk GROUP BY 1
+)"""
+
+
+@register("st_wilcoxon", sql((*H3_CTES, _WIL), f"""
+SELECT store_id, n, {r6('w_plus')} AS w_plus, {r6('w_minus')} AS w_minus, {r6('LEAST(w_plus, w_minus)')} AS statistic,
+       {r6(D('LEAST(w_plus, w_minus) - n * (n + 1) / 4.0', 'SQRT(n * (n + 1) * (2 * n + 1) / 24.0 - tie / 48.0)'))} AS z,
+       (n <= 50 AND maxc = 1) AS exact
+FROM wagg"""))
+def st_wilcoxon(spark, sf):
+    return stats.wilcoxon(T.h3(spark, sf), "cumul_16_19", "cumul_20_22", STORE)
+
+
+@register("st_wilcoxon_pvalue")
+def st_wilcoxon_pvalue(spark, sf):
+    return stats.wilcoxon(T.h3(spark, sf), "cumul_16_19", "cumul_20_22", STORE, with_p=True)
+
+
+@register("st_shapiro")
+def st_shapiro(spark, sf):
+    """Whole sample, per weekday and on the paired differences, per store."""
+    from pyspark.sql import functions as F
+
+    h1 = T.h1(spark, sf)
+    whole = stats.shapiro(h1, "sum_g", STORE).withColumn("sample", F.lit("sum_g"))
+    by_dow = stats.shapiro(h1.filter(F.col("day_of_week").isin(*DUMMY_LEVELS)), "sum_g", [*STORE, "day_of_week"])
+    by_dow = by_dow.withColumn("sample", F.concat(F.lit("sum_g|"), F.col("day_of_week"))).drop("day_of_week")
+    diff = T.h3(spark, sf).withColumn("diff", F.col("cumul_16_19") - F.col("cumul_20_22"))
+    paired = stats.shapiro(diff, "diff", STORE).withColumn("sample", F.lit("diff_16_19_minus_20_22"))
+    return whole.unionByName(by_dow).unionByName(paired)
+
+
+@register("st_decision")
+def st_decision(spark, sf):
+    """H1-H3 summary per store: test, statistic, p and decision in one long table."""
+    from pyspark.sql import functions as F
+
+    h1, h3 = T.h1(spark, sf), T.h3(spark, sf)
+
+    def long(df, test, stat):
+        return df.select(*STORE, F.lit(test).alias("test"), F.col(stat).alias("statistic"), "p", "decision")
+
+    return (
+        long(stats.ttest_1samp(h1, "sum_g", POPMEAN, STORE, with_p=True), "ttest_1samp", "t")
+        .unionByName(long(stats.anova(h1, "sum_g", "day_of_week", STORE, with_p=True), "anova", "F"))
+        .unionByName(long(stats.levene(h1, "sum_g", "day_of_week", STORE, with_p=True), "levene", "F"))
+        .unionByName(long(stats.ttest_ind(h1, "sum_g", "is_pre_holiday", STORE, with_p=True), "ttest_ind", "t"))
+        .unionByName(long(stats.ttest_rel(h3, "cumul_16_19", "cumul_20_22", STORE, with_p=True), "ttest_rel", "t"))
+        .unionByName(long(stats.wilcoxon(h3, "cumul_16_19", "cumul_20_22", STORE, with_p=True), "wilcoxon", "statistic"))
+    )

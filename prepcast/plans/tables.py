@@ -27,3 +27,20 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_feature(tt(spark, sf_dir))
+
+
+def h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily totals with weekday / pre-holiday labels, Thursdays excluded (H1/H2 sample)."""
+    from prepcast.operators.daily import day_totals
+    from prepcast.operators.features import exclude_weekday
+
+    t = day_totals(odl(spark, sf_dir), ["day_id"])
+    d = exclude_weekday(dcl(spark, sf_dir))
+    return d.join(t, "day_id").select("store_id", "day_id", "date", "day_of_week", "is_pre_holiday", "sum_g")
+
+
+def h3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired stage targets per day (H3 sample)."""
+    from prepcast.operators.features import stage_targets
+
+    return stage_targets(tt(spark, sf_dir)).select("store_id", "day_id", "date", "day_of_week", "cumul_16_19", "cumul_20_22")
