@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepcast.functions.columns import STAGE1_BINS, STAGE2_BINS, THU, div, rnd, stage_sum
+from prepcast.functions.columns import DUMMY_LEVELS, FRI, STAGE1_BINS, STAGE2_BINS, THU, TUE, div, rnd, stage_sum
 
 ENTITY = ["store_id"]
 
@@ -106,3 +106,15 @@ def validation_set(mf: DataFrame, start: str, end: str) -> DataFrame:
         .select("day_id", "store_id", "date", "day_of_week", "cumul_20_22", "roll_prev_3days_mean_t2")
         .orderBy("store_id", "date")
     )
+
+
+# Names of the dummy columns for the non-baseline weekday levels (화 -> dow_tue, 금 -> dow_fri).
+DUMMY_NAMES = {TUE: "dow_tue", FRI: "dow_fri"}
+
+
+def with_dummies(df: DataFrame, col: str = "day_of_week", levels: list[str] | None = None) -> DataFrame:
+    """Dummy coding with fixed levels, first level dropped; an unlisted or NULL level gives all zeros."""
+    levels = levels or DUMMY_LEVELS
+    return df.withColumns({
+        DUMMY_NAMES.get(lv, f"{col}_{lv}"): F.when(F.col(col) == lv, 1).otherwise(0) for lv in levels[1:]
+    })
