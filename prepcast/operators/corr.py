@@ -20,14 +20,29 @@ def pearson(y: str, x: str) -> Column:
 
 
 def corr_matrix(df: DataFrame, cols: list[str], groups: list[str]) -> DataFrame:
-    """Long matrix: (groups, x, y, r, n) for every ordered pair of ``cols``."""
+    """Long matrix: (groups, x, y, r, n) for every ordered pair of ``cols``.
+
+    Each row is expanded into one (pair, a, b) entry per column pair and the
+    regr_* moments are aggregated per (group, pair): a narrow explode followed
+    by one partial + final aggregation, instead of one very wide aggregate.
+    """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    agg = df.groupBy(*groups).agg(F.array(*[
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), pearson(a, b).alias("r"),
-                 F.expr(f"regr_count(`{a}`, `{b}`)").alias("n"))
-        for a, b in pairs
-    ]).alias("_p"))
-    upper = agg.select(*groups, F.explode("_p").alias("_p")).select(*groups, "_p.*")
+    entries = F.array(*[
+        F.struct(F.lit(k).alias("pid"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+        for k, (a, b) in enumerate(pairs)
+    ])
+    long = df.select(*groups, F.inline(entries))
+    agg = long.groupBy(*groups, "pid").agg(
+        F.expr("regr_sxy(a, b)").alias("sxy"), F.expr("regr_sxx(a, b)").alias("sxx"),
+        F.expr("regr_syy(a, b)").alias("syy"), F.expr("regr_count(a, b)").alias("n"),
+    )
+    den = F.sqrt(F.col("sxx") * F.col("syy"))
+    xs = F.array(*[F.lit(a) for a, _ in pairs])
+    ys = F.array(*[F.lit(b) for _, b in pairs])
+    upper = agg.select(
+        *groups, F.element_at(xs, F.col("pid") + 1).alias("x"), F.element_at(ys, F.col("pid") + 1).alias("y"),
+        F.round(F.try_divide(F.col("sxy"), F.when(den != 0, den)), DIGITS).alias("r"), "n",
+    )
     lower = upper.filter(F.col("x") != F.col("y")).select(*groups, F.col("y").alias("x"), F.col("x").alias("y"), "r", "n")
     return upper.unionByName(lower)
 

@@ -28,4 +28,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from prepcast.plans import q_analysis, q_model, q_tables  # noqa: F401
+    from prepcast.plans import q_analysis, q_model, q_ops, q_tables  # noqa: F401
