@@ -549,3 +549,17 @@ def model_load(spark, sf):
     valid = af(spark, sf).filter(F.col("date") >= F.lit(VALIDATION_START).cast("date"))
     return regression.predict(valid, loaded, STORE, "t2", T2_MODEL).select(
         "store_id", "day_id", F.round("prediction", 4).alias("prediction"))
+
+
+# ------------------------------------------------------------------ streaming
+
+
+@register("stream_bin30", sql((), f"""
+SELECT store_id, time_bucket(INTERVAL 30 MINUTE, order_datetime) AS bin_start,
+       CAST(SUM({DEC}) AS DOUBLE) AS amount_g, COUNT(*) AS n_lines
+FROM odl GROUP BY 1, 2"""))
+def stream_bin30(spark, sf):
+    """The order-line file stream folded into the half-hour bin table (all available data)."""
+    from prepcast.streaming.bins_stream import run_available
+
+    return run_available(spark, sf, file_glob="events.parquet")
