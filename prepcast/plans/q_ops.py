@@ -14,7 +14,7 @@ from prepcast.plans.catalog import register
 from prepcast.plans.oracle_sql import (
     BIN30_SQL, BIN60_SQL, DAYT, DEC, FEATURE_CTES, H1, HOLIDAY, JT, TT, D, R, q, sql,
 )
-from prepcast.plans.q_model import AF_CTES, CANDIDATES_T2, OUTLIER_DATES, STORE, T1, T2, af
+from prepcast.plans.q_model import _BT, AF_CTES, CANDIDATES_T2, OUTLIER_DATES, STORE, T1, T2, _cramer, af
 from prepcast.plans.q_tables import MONTH, VALIDATION_END, VALIDATION_START
 from prepcast.session import scratch_path
 from prepcast.sources import logs
@@ -216,7 +216,7 @@ def flt_complete_cases(spark, sf):
     return af(spark, sf).dropna(subset=[*CANDIDATES_T2, T2]).select("store_id", "day_id")
 
 
-@register("flt_not")
+@register("flt_not", sql((*AF_CTES, _BT), "SELECT store_id, day_id FROM win WHERE NOT B_wins_both"))
 def flt_not(spark, sf):
     from prepcast.plans.q_model import bt_wins
 
@@ -536,7 +536,9 @@ def model_save(spark, sf):
     return logs.load_model(spark, path)
 
 
-@register("model_load")
+@register("model_load", sql((*AF_CTES, _cramer("af", T2, "dow_fri", "roll_prev_3days_mean_t2")), f"""
+SELECT a.store_id, a.day_id, {R('c.b0 + c.b1 * a.dow_fri + c.b2 * a.roll_prev_3days_mean_t2', 4)} AS prediction
+FROM af a LEFT JOIN coef2 c ON a.store_id = c.store_id WHERE a.date >= DATE '{VALIDATION_START}'"""))
 def model_load(spark, sf):
     """Round trip: save the coefficient table, load it back and score the validation days with it."""
     from prepcast.operators import regression
