@@ -50,23 +50,32 @@ def model_grams(df: DataFrame, models: dict[str, list[str]], target: str, groups
     """One row per (group, model): ``n`` and the upper triangle of [1, x..., y]ᵀ[1, x..., y].
 
     Each model uses its own complete cases (rows where its columns and the
-    target are all non-null).
+    target are all non-null). The mask is applied once per term in a
+    projection (a masked term is NULL outside the model's complete cases), so
+    the aggregate itself is a flat list of sums of products.
     """
-    aggs = []
-    for k, (name, cols) in enumerate(models.items()):
+    ok_cols, term_cols = [], []
+    for k, (_, cols) in enumerate(models.items()):
         mask = F.col(target).isNotNull()
         for cname in cols:
             mask = mask & F.col(cname).isNotNull()
-        terms: list[Column] = [F.lit(1.0)] + [F.col(cname).cast("double") for cname in cols] + [F.col(target).cast("double")]
-        m = len(terms)
-        sums = [F.sum(F.when(mask, terms[i] * terms[j])) for i, j in _tri_index(m)]
+        ok_cols.append(mask.alias(f"_ok{k}"))
+    staged = df.select(*groups, *{c: F.col(c) for cols in models.values() for c in cols}.values(), F.col(target), *ok_cols)
+    for k, (_, cols) in enumerate(models.items()):
+        raw = [F.lit(1.0)] + [F.col(cname).cast("double") for cname in cols] + [F.col(target).cast("double")]
+        term_cols += [F.when(F.col(f"_ok{k}"), t).alias(f"_t{k}_{i}") for i, t in enumerate(raw)]
+    masked = staged.select(*groups, *term_cols)
+    aggs = []
+    for k, (name, cols) in enumerate(models.items()):
+        m = len(cols) + 2
+        t = [F.col(f"_t{k}_{i}") for i in range(m)]
         aggs.append(F.struct(
             F.lit(name).alias("model"),
             F.array(*[F.lit(cname) for cname in cols]).cast("array<string>").alias("terms"),
-            F.count(F.when(mask, F.lit(1))).alias("n"),
-            F.array(*[F.coalesce(s, F.lit(0.0)) for s in sums]).alias("gram"),
+            F.count(t[0]).alias("n"),
+            F.array(*[F.coalesce(F.sum(t[i] * t[j]), F.lit(0.0)) for i, j in _tri_index(m)]).alias("gram"),
         ).alias(f"_m{k}"))
-    wide = df.groupBy(*groups).agg(*aggs)
+    wide = masked.groupBy(*groups).agg(*aggs)
     return wide.select(*groups, F.explode(F.array(*[F.col(f"_m{k}") for k in range(len(models))])).alias("_g")).select(
         *groups, "_g.model", "_g.terms", "_g.n", "_g.gram"
     )
@@ -350,6 +359,20 @@ def loocv_rmse(rows: DataFrame, models: dict[str, list[str]], target: str, group
 # 4. Forward selection
 # --------------------------------------------------------------------------
 
+def _materialize(df: DataFrame, checkpoint: bool) -> DataFrame:
+    """Cut lineage: reliable checkpoint into the shared checkpoint folder.
+
+    The frame is persisted first so that writing the checkpoint does not run
+    the plan a second time; lost cached blocks are recomputed from lineage.
+    """
+    df = df.persist()
+    if not checkpoint:
+        return df
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
+
+
 def forward_selection(df: DataFrame, target: str, candidates: list[str], groups: list[str],
                       base_features: list[str] | None = None, max_features: int = 5, margin: float = 0.0,
                       checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -361,28 +384,31 @@ def forward_selection(df: DataFrame, target: str, candidates: list[str], groups:
     """
     base_features = list(base_features or [])
     cols = [*base_features, *candidates]
-    sample = df.select(*groups, target, *cols).dropna(subset=[target, *cols])
-    if checkpoint:
-        sample = sample.checkpoint(eager=True)
+    sample = _materialize(df.select(*groups, target, *cols).dropna(subset=[target, *cols]), checkpoint)
     order = {cname: i for i, cname in enumerate(candidates)}
+    gram_all = _materialize(
+        model_grams(sample, {"__all__": cols}, target, groups).select(*groups, F.col("gram").alias("gall"), "n"),
+        False,
+    )
 
     # step 0: the starting model (constant only, or the base features)
-    start = loocv_rmse(sample, {"__start__": base_features}, target, groups)
-    state = start.select(
+    start_models = sample.select(*groups).distinct().select(
+        *groups, F.lit("__start__").alias("model"), F.lit(None).cast("string").alias("candidate"),
+        F.array(*[F.lit(b) for b in base_features]).cast("array<string>").alias("terms"),
+    )
+    start = _materialize(_score_models(sample, gram_all, start_models, target, cols, groups), False)
+    state = _materialize(start.select(
         *groups,
         F.array(*[F.lit(b) for b in base_features]).cast("array<string>").alias("selected"),
         F.col("rmse").alias("current"), F.lit(True).alias("active"),
-    )
+    ), checkpoint)
     trace_parts = [start.select(*groups, F.lit(0).alias("step"), F.lit(None).cast("string").alias("candidate"),
                                 "rmse", F.lit(True).alias("chosen"))]
     steps = min(max_features - len(base_features), len(candidates))
     for step in range(1, steps + 1):
         models = _step_models(state, candidates, groups)
-        scored = _score_models(sample, models, target, cols, groups)
-        scored = scored.join(models.select(*groups, "model", "candidate"), [*groups, "model"])
-        folded = _fold_step(scored, state, groups, margin, order)
-        if checkpoint:
-            folded = folded.checkpoint(eager=True)
+        scored = _materialize(_score_models(sample, gram_all, models, target, cols, groups), False)
+        folded = _materialize(_fold_step(scored, state, groups, margin, order), checkpoint)
         trace_parts.append(
             scored.join(folded.select(*groups, "pick"), groups, "left").select(
                 *groups, F.lit(step).alias("step"), "candidate", "rmse",
@@ -411,10 +437,14 @@ def _step_models(state: DataFrame, candidates: list[str], groups: list[str]) ->
                     F.concat("selected", F.array("candidate")).alias("terms"))
 
 
-def _score_models(sample: DataFrame, models: DataFrame, target: str, cols: list[str], groups: list[str]) -> DataFrame:
-    """LOOCV RMSE of each (group, model) whose terms differ per group: Gram of all
-    columns once per group, sub-systems solved per model, one PRESS pass."""
-    gram_all = model_grams(sample, {"__all__": cols}, target, groups).select(*groups, F.col("gram").alias("gall"), "n")
+def _score_models(sample: DataFrame, gram_all: DataFrame, models: DataFrame, target: str, cols: list[str],
+                  groups: list[str]) -> DataFrame:
+    """LOOCV RMSE of each (group, model) whose terms differ per group.
+
+    Sub-systems of the group's Gram matrix (over all columns) are solved per
+    model, then one PRESS pass scores them all. Only when some row has
+    leverage 1 (checked on the aggregated counts) is the exact refit path run.
+    """
     m = models.join(gram_all, groups)
     full = ["const", *cols, "__y__"]
     pos = {name: i for i, name in enumerate(full)}
@@ -441,11 +471,20 @@ def _score_models(sample: DataFrame, models: DataFrame, target: str, cols: list[
 
     params = m.select(*groups, "model", "terms", "gall", "n").mapInPandas(run, schema)
     j = press_rows(sample, params, target, cols, groups)
+    quick = _materialize(j.groupBy(*groups, "model").agg(
+        F.sum(F.col("e_press") * F.col("e_press")).alias("_ss"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.when(F.col("e_press").isNull(), 1).otherwise(0)).alias("_lev1"),
+    ), False)
+    names = models.select(*groups, "model", "candidate")
+    if (quick.agg(F.sum("_lev1")).first()[0] or 0) == 0:
+        out = quick.select(*groups, "model", _round(F.sqrt(F.col("_ss") / F.col("_n"))).alias("rmse"))
+        return out.join(names, [*groups, "model"])
     j = j.withColumn("_rid", F.monotonically_increasing_id())
     lev1 = j.filter(F.col("e_press").isNull()).select("_rid", F.col("_x").alias("x"), F.col("_y").alias("y"), "gram")
     fixed = lev1.mapInPandas(_exact_loo, "_rid long, e_loo double")
     j = j.join(fixed, "_rid", "left").withColumn("e_loo", F.coalesce(F.col("e_press"), F.col("e_loo")))
-    return j.groupBy(*groups, "model").agg(_round(F.sqrt(F.avg(F.col("e_loo") * F.col("e_loo")))).alias("rmse"))
+    out = j.groupBy(*groups, "model").agg(_round(F.sqrt(F.avg(F.col("e_loo") * F.col("e_loo")))).alias("rmse"))
+    return out.join(names, [*groups, "model"])
 
 
 def _fold_step(scored: DataFrame, state: DataFrame, groups: list[str], margin: float, order: dict[str, int]) -> DataFrame:
