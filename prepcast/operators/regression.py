@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepcast.functions import dist
+from prepcast.functions.columns import rnd
 
 DIGITS = 4
 
@@ -169,21 +170,26 @@ def ols_tables(grams: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFram
 
 
 def _round(c: Column) -> Column:
-    return F.round(c, DIGITS)
+    return rnd(c, DIGITS)
 
 
-def ols_summary(df: DataFrame, cols: list[str], target: str, groups: list[str], model: str = "ols") -> DataFrame:
-    """Long summary: one row per (group, term) with coef / se / t / p and the model's fit statistics."""
+def ols_summary(df: DataFrame, cols: list[str], target: str, groups: list[str], model: str = "ols",
+                with_p: bool = True) -> DataFrame:
+    """Long summary: one row per (group, term) with coef / se / t (/ p) and the model's fit statistics."""
     coef, fit = ols_tables(model_grams(df, {model: cols}, target, groups), groups)
     j = coef.join(fit, [*groups, "model"])
-    return j.select(
+    out = j.select(
         *groups, "model", "term",
         _round(F.col("coef")).alias("coef"), _round(F.col("se")).alias("se"), _round(F.col("t")).alias("t"),
-        _round(dist.t_pvalue(F.col("t"), F.col("df_resid").cast("double"))).alias("p"),
         "n", "k", "df_resid",
         _round(F.col("r2")).alias("r2"), _round(F.col("adj_r2")).alias("adj_r2"), _round(F.col("F")).alias("F"),
-        _round(dist.f_pvalue(F.col("F"), F.col("k").cast("double"), F.col("df_resid").cast("double"))).alias("F_p"),
     )
+    if with_p:
+        out = out.withColumns({
+            "p": _round(dist.t_pvalue(F.col("t"), F.col("df_resid").cast("double"))),
+            "F_p": _round(dist.f_pvalue(F.col("F"), F.col("k").cast("double"), F.col("df_resid").cast("double"))),
+        })
+    return out
 
 
 def coefficients(df: DataFrame, cols: list[str], target: str, groups: list[str], model: str = "ols") -> DataFrame:
@@ -229,18 +235,21 @@ def with_slope_p(scan: DataFrame) -> DataFrame:
     return scan.withColumn("p", _round(dist.t_pvalue(F.col("t"), (F.col("n") - 2).cast("double"))))
 
 
-def stepwise_scan(df: DataFrame, selected: list[str], remaining: list[str], target: str, groups: list[str]) -> DataFrame:
-    """Add each remaining candidate to ``selected``: R², adj R², t and p of the added term."""
+def stepwise_scan(df: DataFrame, selected: list[str], remaining: list[str], target: str, groups: list[str],
+                  with_p: bool = True) -> DataFrame:
+    """Add each remaining candidate to ``selected``: R², adj R², t (and p) of the added term."""
     models = {f: [*selected, f] for f in remaining}
     coef, fit = ols_tables(model_grams(df, models, target, groups), groups)
     added = coef.filter(F.col("term") == F.col("model")).select(*groups, "model", "t")
     j = fit.join(added, [*groups, "model"], "left")
-    return j.select(
+    out = j.select(
         *groups, F.col("model").alias("added"), "n", "k", "df_resid",
         _round(F.col("r2")).alias("r2"), _round(F.col("adj_r2")).alias("adj_r2"),
         _round(F.col("t")).alias("t"),
-        _round(dist.t_pvalue(F.col("t"), F.col("df_resid").cast("double"))).alias("p"),
     )
+    if with_p:
+        out = out.withColumn("p", _round(dist.t_pvalue(F.col("t"), F.col("df_resid").cast("double"))))
+    return out
 
 
 # --------------------------------------------------------------------------

@@ -147,9 +147,9 @@ def _scan_sql(target: str, feats: list[str]) -> str:
         sse = f"(regr_syy({target}, {f}) - regr_slope({target}, {f}) * regr_sxy({target}, {f}))"
         t = f"regr_slope({target}, {f}) / NULLIF(sqrt(({sse} / NULLIF({n} - 2, 0)) / NULLIF(regr_sxx({target}, {f}), 0)), 0)"
         parts.append(
-            f"SELECT store_id, '{f}' AS feature, CAST({n} AS BIGINT) AS n, round(regr_r2({target}, {f}), 4) AS r2, "
-            f"round(CASE WHEN {n} - 2 > 0 THEN 1 - (1 - regr_r2({target}, {f})) * ({n} - 1) / ({n} - 2) END, 4) AS adj_r2, "
-            f"round(regr_slope({target}, {f}), 4) AS slope, round({t}, 4) AS t FROM af GROUP BY store_id"
+            f"SELECT store_id, '{f}' AS feature, CAST({n} AS BIGINT) AS n, {r4(f'regr_r2({target}, {f})')} AS r2, "
+            f"{r4(f'CASE WHEN {n} - 2 > 0 THEN 1 - (1 - regr_r2({target}, {f})) * ({n} - 1) / ({n} - 2) END')} AS adj_r2, "
+            f"{r4(f'regr_slope({target}, {f})')} AS slope, {r4(t)} AS t FROM af GROUP BY store_id"
         )
     return "\nUNION ALL\n".join(parts)
 
@@ -164,14 +164,76 @@ def reg_single_scan_pvalue(spark, sf):
     return regression.with_slope_p(regression.single_feature_scan(af(spark, sf), FEATURE_COLUMNS, T1, STORE))
 
 
-@register("reg_stepwise_scan")
+def _ols2(src: str, y: str, x1: str, x2: str, where: str = "TRUE", name: str = "o2") -> str:
+    """Two-regressor OLS per store in closed form: coefficients, standard errors and fit."""
+    return f"""
+{name}_cc AS (SELECT store_id, CAST({x1} AS DOUBLE) AS x1, CAST({x2} AS DOUBLE) AS x2, CAST({y} AS DOUBLE) AS y FROM {src}
+       WHERE {y} IS NOT NULL AND {x1} IS NOT NULL AND {x2} IS NOT NULL AND {where}),
+{name}_m AS (
+    SELECT store_id, COUNT(*) AS n, AVG(x1) AS m1, AVG(x2) AS m2, AVG(y) AS my,
+           VAR_POP(x1) * COUNT(*) AS s11, VAR_POP(x2) * COUNT(*) AS s22, COVAR_POP(x1, x2) * COUNT(*) AS s12,
+           COVAR_POP(x1, y) * COUNT(*) AS s1y, COVAR_POP(x2, y) * COUNT(*) AS s2y, VAR_POP(y) * COUNT(*) AS syy
+    FROM {name}_cc GROUP BY store_id
+),
+{name}_b AS (
+    SELECT *, s11 * s22 - s12 * s12 AS det,
+           (s22 * s1y - s12 * s2y) / NULLIF(s11 * s22 - s12 * s12, 0) AS b1,
+           (s11 * s2y - s12 * s1y) / NULLIF(s11 * s22 - s12 * s12, 0) AS b2
+    FROM {name}_m
+),
+{name}_f AS (
+    SELECT *, my - b1 * m1 - b2 * m2 AS b0, GREATEST(syy - b1 * s1y - b2 * s2y, 0) AS sse, n - 3 AS df_resid
+    FROM {name}_b
+),
+{name} AS (
+    SELECT *, sse / NULLIF(df_resid, 0) AS sigma2,
+           CASE WHEN syy > 0 THEN 1 - sse / syy END AS r2,
+           CASE WHEN syy > 0 AND df_resid > 0 THEN 1 - (sse / syy) * (n - 1) / df_resid END AS adj_r2,
+           CASE WHEN syy > 0 AND df_resid > 0 AND sse > 0 THEN ((syy - sse) / 2) / (sse / df_resid) END AS F,
+           CASE WHEN df_resid > 0 THEN sqrt(sse / df_resid * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det)) END AS se0,
+           CASE WHEN df_resid > 0 THEN sqrt(sse / df_resid * s22 / det) END AS se1,
+           CASE WHEN df_resid > 0 THEN sqrt(sse / df_resid * s11 / det) END AS se2
+    FROM {name}_f
+)"""
+
+
+def _ols2_long(name: str, model: str, x1: str, x2: str) -> str:
+    parts = []
+    for term, b, se in (("const", "b0", "se0"), (x1, "b1", "se1"), (x2, "b2", "se2")):
+        parts.append(
+            f"SELECT store_id, '{model}' AS model, '{term}' AS term, {r4(b)} AS coef, {r4(se)} AS se, "
+            f"{r4(f'{b} / NULLIF({se}, 0)')} AS t, n, CAST(2 AS INTEGER) AS k, df_resid, {r4('r2')} AS r2, "
+            f"{r4('adj_r2')} AS adj_r2, {r4('F')} AS F FROM {name}"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+_STEP_BASE = "lag_biweekly_t1"
+_STEP_REMAINING = [f for f in FEATURE_COLUMNS if f != _STEP_BASE]
+
+
+@register("reg_stepwise_scan", sql(
+    (*AF_CTES, *[_ols2("af", T1, _STEP_BASE, c, name=f"s{i}") for i, c in enumerate(_STEP_REMAINING)]),
+    "\nUNION ALL\n".join(
+        f"SELECT store_id, '{c}' AS added, n, CAST(2 AS INTEGER) AS k, df_resid, {r4('r2')} AS r2, {r4('adj_r2')} AS adj_r2, "
+        f"{r4('b2 / NULLIF(se2, 0)')} AS t FROM s{i}"
+        for i, c in enumerate(_STEP_REMAINING))))
 def reg_stepwise_scan(spark, sf):
-    remaining = [f for f in FEATURE_COLUMNS if f != "lag_biweekly_t1"]
-    return regression.stepwise_scan(af(spark, sf), ["lag_biweekly_t1"], remaining, T1, STORE)
+    return regression.stepwise_scan(af(spark, sf), [_STEP_BASE], _STEP_REMAINING, T1, STORE, with_p=False)
 
 
-@register("reg_ols")
+@register("reg_stepwise_scan_pvalue")
+def reg_stepwise_scan_pvalue(spark, sf):
+    return regression.stepwise_scan(af(spark, sf), [_STEP_BASE], _STEP_REMAINING, T1, STORE)
+
+
+@register("reg_ols", sql((*AF_CTES, _ols2("af", T2, *T2_MODEL)), _ols2_long("o2", "t2", *T2_MODEL)))
 def reg_ols(spark, sf):
+    return regression.ols_summary(af(spark, sf), T2_MODEL, T2, STORE, model="t2", with_p=False)
+
+
+@register("reg_ols_pvalue")
+def reg_ols_pvalue(spark, sf):
     return regression.ols_summary(af(spark, sf), T2_MODEL, T2, STORE, model="t2")
 
 
@@ -202,8 +264,22 @@ def reg_coefficients(spark, sf):
     return c.select(*STORE, "model", *[F.round(F.col(x), 4).alias(x) for x in ["const", *T2_MODEL]])
 
 
-@register("reg_standardized")
+_STD = """
+std AS (
+    SELECT * REPLACE ((roll_prev_3days_mean_t2 - AVG(roll_prev_3days_mean_t2) OVER (PARTITION BY store_id))
+                      / NULLIF(STDDEV_POP(roll_prev_3days_mean_t2) OVER (PARTITION BY store_id), 0) AS roll_prev_3days_mean_t2)
+    FROM af
+)"""
+
+
+@register("reg_standardized", sql((*AF_CTES, _STD, _ols2("std", T2, *T2_MODEL)), _ols2_long("o2", "t2_std", *T2_MODEL)))
 def reg_standardized(spark, sf):
+    scaled = regression.standardize(af(spark, sf), ["roll_prev_3days_mean_t2"], STORE)
+    return regression.ols_summary(scaled, T2_MODEL, T2, STORE, model="t2_std", with_p=False)
+
+
+@register("reg_standardized_pvalue")
+def reg_standardized_pvalue(spark, sf):
     scaled = regression.standardize(af(spark, sf), ["roll_prev_3days_mean_t2"], STORE)
     return regression.ols_summary(scaled, T2_MODEL, T2, STORE, model="t2_std")
 

@@ -14,7 +14,7 @@ from prepcast.plans.catalog import register
 from prepcast.plans.oracle_sql import (
     BIN30_SQL, BIN60_SQL, DAYT, DEC, FEATURE_CTES, H1, HOLIDAY, JT, TT, D, R, q, sql,
 )
-from prepcast.plans.q_model import _BT, AF_CTES, CANDIDATES_T2, OUTLIER_DATES, STORE, T1, T2, _cramer, af
+from prepcast.plans.q_model import _BT, AF_CTES, CANDIDATES_T2, OUTLIER_DATES, STORE, T1, T2, _cramer, _ols2, af
 from prepcast.plans.q_tables import MONTH, VALIDATION_END, VALIDATION_START
 from prepcast.session import scratch_path
 from prepcast.sources import logs
@@ -524,7 +524,9 @@ def sink_dashboard(spark, sf):
 _MODEL_SQL_COLS = ("const", "dow_fri", "roll_prev_3days_mean_t2")
 
 
-@register("model_save")
+@register("model_save", sql((*AF_CTES, _ols2("af", T2, "dow_fri", "roll_prev_3days_mean_t2")), "\nUNION ALL\n".join(
+    f"SELECT store_id, 't2' AS model, '{term}' AS term, {R(b, 4)} AS coef, {R(se, 4)} AS se, {R(f'{b} / NULLIF({se}, 0)', 4)} AS t FROM o2"
+    for term, b, se in (("const", "b0", "se0"), ("dow_fri", "b1", "se1"), ("roll_prev_3days_mean_t2", "b2", "se2")))))
 def model_save(spark, sf):
     """Fit the T2 model per store and persist its coefficient table; returns what was written."""
     from prepcast.operators import regression
@@ -533,7 +535,8 @@ def model_save(spark, sf):
     coef, _ = regression.ols_tables(regression.model_grams(af(spark, sf), {"t2": T2_MODEL}, T2, STORE), STORE)
     path = scratch_path(spark, "model_t2")
     logs.save_model(coef, path)
-    return logs.load_model(spark, path)
+    return logs.load_model(spark, path).select(
+        "store_id", "model", "term", *[rnd(F.col(x), 4).alias(x) for x in ("coef", "se", "t")])
 
 
 @register("model_load", sql((*AF_CTES, _cramer("af", T2, "dow_fri", "roll_prev_3days_mean_t2")), f"""
