@@ -3,9 +3,9 @@
 Plan: one aggregation per (day, bin) (partial + final hash aggregate), then
 per-day windows for the share, running share and the day's mean / population
 SD. The reference re-joins the rows to a grouped copy of themselves; here the
-statistics are window aggregates over the same partition, so there is no join
-and no second shuffle (the window reuses the aggregate's hash partitioning on
-``day_id``).
+statistics are window aggregates, so there is no join. The only shuffle of
+order-line volume is the map-side-combined (day, bin) aggregate; the window's
+exchange on ``day_id`` moves at most 48 rows per day.
 """
 
 from __future__ import annotations
@@ -99,10 +99,20 @@ def holiday_totals(odl: DataFrame, dcl: DataFrame) -> DataFrame:
     )
 
 
+def with_day_total(odl: DataFrame, name: str = "day_total_g") -> DataFrame:
+    """Each order row with its day's total grams.
+
+    Written as a partial + final aggregate joined back on ``day_id`` rather
+    than a window over order lines: a window would put every line of a hot day
+    into one task, while the aggregate combines map-side and the join's small
+    side (one row per day) is broadcast or, if large, skew-split by AQE.
+    """
+    totals = odl.groupBy("day_id").agg(F.sum(F.col("amount_g").cast("decimal(18,2)")).cast("double").alias(name))
+    return odl.join(totals, "day_id", "inner")
+
+
 def row_bins(odl: DataFrame) -> DataFrame:
-    """Order rows with their half-hour label and the day's total (window, no join)."""
-    return odl.select(
-        "day_id", "amount_g", "order_datetime",
-        bin30(F.col("order_datetime")).alias("hh_mm"),
-        F.sum(F.col("amount_g").cast("decimal(18,2)")).over(Window.partitionBy("day_id")).cast("double").alias("day_total_g"),
+    """Order rows with their half-hour label and the day's total."""
+    return with_day_total(odl).select(
+        "day_id", "amount_g", "order_datetime", bin30(F.col("order_datetime")).alias("hh_mm"), "day_total_g",
     )

@@ -403,10 +403,7 @@ for _name, _cols in _WIN.items():
 @register("win_day_total", sql((), f"""
 SELECT day_id, order_id, CAST(SUM({DEC}) OVER (PARTITION BY day_id) AS DOUBLE) AS day_total_g FROM odl"""))
 def win_day_total(spark, sf):
-    from pyspark.sql import Window
-
-    return T.odl(spark, sf).select("day_id", "order_id", F.sum(F.col("amount_g").cast("decimal(18,2)")).over(
-        Window.partitionBy("day_id")).cast("double").alias("day_total_g"))
+    return peaks.with_day_total(T.odl(spark, sf)).select("day_id", "order_id", "day_total_g")
 
 
 @register("win_share", sql((_SHARE,), "SELECT day_id, hh_mm, total, pct FROM share"))

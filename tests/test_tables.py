@@ -124,3 +124,9 @@ def test_registered_queries_match_duckdb_small(spark, name):
         return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
 
     assert norm([tuple(r[c] for c in cols) for r in sdf.collect()]) == norm(cur.fetchall())
+
+
+def test_row_level_day_total_is_not_a_window_over_order_lines(spark):
+    plan = _plan(peaks.row_bins(T.odl(spark, SF_SMALL)))
+    assert "Window" not in plan
+    assert "HashAggregate" in plan
