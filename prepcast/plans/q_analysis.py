@@ -9,7 +9,7 @@ p-value and decision (rows-only check; known answers in tests/).
 from __future__ import annotations
 
 from prepcast.functions.columns import DUMMY_LEVELS, THU
-from prepcast.operators import stats
+from prepcast.operators import features, stats
 from prepcast.plans import tables as T
 from prepcast.plans.catalog import register
 from prepcast.plans.oracle_sql import DAYT, FEATURE_CTES, H1, H3, D, R, sql
@@ -167,16 +167,25 @@ def st_wilcoxon_pvalue(spark, sf):
 
 @register("st_shapiro")
 def st_shapiro(spark, sf):
-    """Whole sample, per weekday and on the paired differences, per store."""
+    """Whole sample, per weekday and on the paired differences, per store, in one grouped pass.
+
+    All three samples come from the same daily table: each day contributes one
+    row per sample it belongs to (weekday totals exclude Thursdays, the paired
+    differences use every day), and Shapiro-Wilk runs grouped by (store, sample).
+    """
     from pyspark.sql import functions as F
 
-    h1 = T.h1(spark, sf)
-    whole = stats.shapiro(h1, "sum_g", STORE).withColumn("sample", F.lit("sum_g"))
-    by_dow = stats.shapiro(h1.filter(F.col("day_of_week").isin(*DUMMY_LEVELS)), "sum_g", [*STORE, "day_of_week"])
-    by_dow = by_dow.withColumn("sample", F.concat(F.lit("sum_g|"), F.col("day_of_week"))).drop("day_of_week")
-    diff = T.h3(spark, sf).withColumn("diff", F.col("cumul_16_19") - F.col("cumul_20_22"))
-    paired = stats.shapiro(diff, "diff", STORE).withColumn("sample", F.lit("diff_16_19_minus_20_22"))
-    return whole.unionByName(by_dow).unionByName(paired)
+    tt = features.stage_targets(T.tt(spark, sf))
+    not_thu = F.col("day_of_week") != THU
+    entries = F.array(
+        F.struct(F.lit("sum_g").alias("sample"), F.col("sum_g").alias("x"), not_thu.alias("keep")),
+        F.struct(F.concat(F.lit("sum_g|"), F.col("day_of_week")).alias("sample"), F.col("sum_g").alias("x"),
+                 (not_thu & F.col("day_of_week").isin(*DUMMY_LEVELS)).alias("keep")),
+        F.struct(F.lit("diff_16_19_minus_20_22").alias("sample"), (F.col("cumul_16_19") - F.col("cumul_20_22")).alias("x"),
+                 F.lit(True).alias("keep")),
+    )
+    long = tt.select(*STORE, F.inline(entries)).filter(F.col("keep") & F.col("sample").isNotNull())
+    return stats.shapiro(long, "x", [*STORE, "sample"])
 
 
 @register("st_decision")

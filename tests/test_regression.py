@@ -135,3 +135,22 @@ def test_saturated_model_has_null_adjusted_r2(spark):
     assert out["df_resid"] == 0
     assert out["adj_r2"] is None
     assert abs(out["r2"] - 1.0) < 1e-6
+
+
+def test_forward_selection_handles_leverage_one_candidate(spark):
+    # x3 has a single 1 in the sample: adding it gives that row leverage 1
+    pdf = _fixture()
+    pdf = pdf[pdf.grp == "a"].copy()
+    pdf["x3"] = 0.0
+    pdf.iloc[4, pdf.columns.get_loc("x3")] = 1.0
+    df = spark.createDataFrame(pdf)
+    cands = ["x3", "x1"]
+    trace, result = regression.forward_selection(df, "y", cands, ["grp"], max_features=2, margin=0.0)
+    sub = pdf.dropna(subset=[*cands, "y"])
+    sel, rmse = _forward_reference(sub, "y", cands, 2, 0.0)
+    r = result.collect()[0]
+    assert list(r["selected"]) == sel
+    assert abs(r["rmse"] - rmse) < 1e-3
+    step1 = {row["candidate"]: row["rmse"] for row in trace.filter("step = 1").collect()}
+    want_x3, _ = _loocv_rmse(sub[["x3"]].to_numpy(), sub["y"].to_numpy())
+    assert abs(step1["x3"] - want_x3) < 1e-3
