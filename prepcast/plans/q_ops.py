@@ -125,7 +125,7 @@ def prj_onehot_drop(spark, sf):
 
 
 @register("prj_is_friday", sql(FEATURE_CTES, f"""
-SELECT day_id, 1.0 AS const, CAST(day_of_week = '{FRI}' AS INTEGER) AS dow_fri, roll_prev_3days_mean_t2
+SELECT day_id, CAST(1.0 AS DOUBLE) AS const, CAST(day_of_week = '{FRI}' AS INTEGER) AS dow_fri, roll_prev_3days_mean_t2
 FROM mf WHERE date >= DATE '{VALIDATION_START}' AND date < DATE '{VALIDATION_END}'"""))
 def prj_is_friday(spark, sf):
     v = features.validation_set(T.mf(spark, sf), VALIDATION_START, VALIDATION_END)
