@@ -37,11 +37,32 @@ def bin30(ts: Column) -> Column:
     return F.concat(F.lpad(F.hour(ts).cast("string"), 2, "0"), F.lit(":"), F.lpad(half, 2, "0"))
 
 
+def bin30_index(ts: Column) -> Column:
+    """Half-hour slot of the day, 0..47 (integer key for the hot path; label it after aggregating)."""
+    return (F.hour(ts) * 2 + F.when(F.minute(ts) >= 30, 1).otherwise(0)).cast("int")
+
+
+def bin30_label(idx: Column) -> Column:
+    """'HH:00' / 'HH:30' label of a half-hour slot index."""
+    return F.concat(F.lpad((idx / 2).cast("int").cast("string"), 2, "0"), F.lit(":"),
+                    F.when(idx % 2 == 1, F.lit("30")).otherwise(F.lit("00")))
+
+
+def bin30_slot(label: str) -> int:
+    """Slot index of a fixed 'HH:MM' label."""
+    hh, mm = label.split(":")
+    return int(hh) * 2 + (1 if mm == "30" else 0)
+
+
 def bin60(ts: Column) -> Column:
     """'HH:00' label of a timestamp."""
     return F.concat(F.lpad(F.hour(ts).cast("string"), 2, "0"), F.lit(":00"))
 
 
+def bin60_label(hour: Column) -> Column:
+    return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":00"))
+
+
 def holiday_flag(holiday: Column, pre_holiday: Column) -> Column:
     """1 when either flag is 1, else 0 (NULL flags count as 0)."""
     return F.when((holiday == 1) | (pre_holiday == 1), F.lit(1)).otherwise(F.lit(0))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepcast.functions.columns import BINS30, bin30, c, holiday_flag, rnd
+from prepcast.functions.columns import BINS30, bin30, bin30_index, bin30_slot, c, holiday_flag, rnd
 
 DAY_KEYS = ["day_id", "store_id"]
 
@@ -25,11 +25,14 @@ def _dec(x: Column) -> Column:
 
 
 def pivot_bins(odl: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per day: 14 half-hour sums, ``sum_g`` and ``cnt`` (= SUM(qty)) in one pass."""
+    """Per day: 14 half-hour sums, ``sum_g`` and ``cnt`` (= SUM(qty)) in one pass.
+
+    Rows are matched to bins by an integer slot index (no per-row strings).
+    """
     keys = keys or DAY_KEYS
-    t = with_bin30(odl)
+    t = odl.withColumn("_slot", bin30_index(F.col("order_datetime")))
     sums = [
-        F.sum(F.when(F.col("hh_mm") == b, _dec(F.col("amount_g"))).otherwise(F.lit(0).cast("decimal(18,2)")))
+        F.sum(F.when(F.col("_slot") == bin30_slot(b), _dec(F.col("amount_g"))).otherwise(F.lit(0).cast("decimal(18,2)")))
         .cast("double")
         .alias(b)
         for b in BINS30

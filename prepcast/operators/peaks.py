@@ -13,18 +13,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepcast.functions.columns import bin30, bin60, div, holiday_flag, rnd
+from prepcast.functions.columns import bin30, bin30_index, bin30_label, bin60_label, div, holiday_flag, rnd
 from prepcast.operators.daily import day_totals
 
 
 def bin_sums(odl: DataFrame, label: str = "hh_mm", width: int = 30) -> DataFrame:
-    """SUM(amount_g) per (day, bin), exact, as double grams."""
-    b = bin30(F.col("order_datetime")) if width == 30 else bin60(F.col("order_datetime"))
-    return (
-        odl.select("day_id", b.alias(label), F.col("amount_g").cast("decimal(18,2)").alias("g"))
-        .groupBy("day_id", label)
+    """SUM(amount_g) per (day, bin), exact.
+
+    Grouped on an integer slot (half-hour index or hour); the 'HH:MM' label is
+    formatted once per aggregated row, not per order line. Zero-padded labels
+    sort like the slots, so window orderings are unchanged.
+    """
+    ts = F.col("order_datetime")
+    slot = bin30_index(ts) if width == 30 else F.hour(ts)
+    agg = (
+        odl.select("day_id", slot.alias("_slot"), F.col("amount_g").cast("decimal(18,2)").alias("g"))
+        .groupBy("day_id", "_slot")
         .agg(F.sum("g").alias("cum_bin_dec"))
     )
+    lab = bin30_label(F.col("_slot")) if width == 30 else bin60_label(F.col("_slot"))
+    return agg.select("day_id", lab.alias(label), "cum_bin_dec")
 
 
 def peak30(odl: DataFrame) -> DataFrame:
