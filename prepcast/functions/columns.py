@@ -87,9 +87,19 @@ def div(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def cents(x: Column) -> Column:
+    """A two-decimal amount as integer hundredths (exact)."""
+    return F.round(x * 100).cast("long")
+
+
+def from_cents(c: Column) -> Column:
+    """Integer hundredths back to the amount, as the nearest double."""
+    return c.cast("double") / F.lit(100.0)
+
+
 def exact_sum(x: Column) -> Column:
-    """Order-independent sum of a two-decimal double column."""
-    return F.sum(x.cast("decimal(18,2)")).cast("double")
+    """Order-independent exact sum of a two-decimal column, summed as long hundredths."""
+    return from_cents(F.sum(cents(x)))
 
 
 def g_to_kg(sum_g: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepcast.functions.columns import BINS30, bin30, bin30_index, bin30_slot, c, holiday_flag, rnd
+from prepcast.functions.columns import BINS30, bin30, bin30_index, bin30_slot, c, cents, from_cents, holiday_flag, rnd
 
 DAY_KEYS = ["day_id", "store_id"]
 
@@ -20,26 +20,20 @@ def with_bin30(odl: DataFrame, ts: str = "order_datetime") -> DataFrame:
     return odl.withColumn("hh_mm", bin30(F.col(ts)))
 
 
-def _dec(x: Column) -> Column:
-    return x.cast("decimal(18,2)")
-
-
 def pivot_bins(odl: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per day: 14 half-hour sums, ``sum_g`` and ``cnt`` (= SUM(qty)) in one pass.
 
     Rows are matched to bins by an integer slot index (no per-row strings).
     """
     keys = keys or DAY_KEYS
-    t = odl.withColumn("_slot", bin30_index(F.col("order_datetime")))
+    t = odl.select(*keys, bin30_index(F.col("order_datetime")).alias("_slot"), cents(F.col("amount_g")).alias("_c"), "qty")
     sums = [
-        F.sum(F.when(F.col("_slot") == bin30_slot(b), _dec(F.col("amount_g"))).otherwise(F.lit(0).cast("decimal(18,2)")))
-        .cast("double")
-        .alias(b)
+        from_cents(F.sum(F.when(F.col("_slot") == bin30_slot(b), F.col("_c")).otherwise(F.lit(0).cast("long")))).alias(b)
         for b in BINS30
     ]
     return t.groupBy(*keys).agg(
         *sums,
-        F.sum(_dec(F.col("amount_g"))).cast("double").alias("sum_g"),
+        from_cents(F.sum("_c")).alias("sum_g"),
         F.sum("qty").alias("cnt"),
     )
 
@@ -48,7 +42,7 @@ def day_totals(odl: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per day: exact ``sum_g`` (g) and ``cnt``; the pre-aggregated child of every join."""
     keys = keys or DAY_KEYS
     return odl.groupBy(*keys).agg(
-        F.sum(_dec(F.col("amount_g"))).cast("double").alias("sum_g"),
+        from_cents(F.sum(cents(F.col("amount_g")))).alias("sum_g"),
         F.sum("qty").alias("cnt"),
     )
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepcast.functions.columns import (
-    BINS30, FRI, THU, WEEKDAY_LABELS, bin30, bin60, g_to_kg, holiday_flag, rnd,
+    BINS30, FRI, THU, WEEKDAY_LABELS, bin30, bin60, from_cents, g_to_kg, holiday_flag, rnd,
 )
 from prepcast.operators import daily, describe, features, kpi, peaks
 from prepcast.plans import tables as T
@@ -270,7 +270,7 @@ def agg_pivot_bins(spark, sf):
 SELECT day_id, {BIN30_SQL} AS hh_mm, CAST(SUM({DEC}) AS DOUBLE) AS cum_bin FROM odl GROUP BY 1, 2"""))
 def agg_bin_sum(spark, sf):
     s = peaks.bin_sums(T.odl(spark, sf), "hh_mm", 30)
-    return s.select("day_id", "hh_mm", F.col("cum_bin_dec").cast("double").alias("cum_bin"))
+    return s.select("day_id", "hh_mm", from_cents(F.col("cum_cents")).alias("cum_bin"))
 
 
 @register("agg_group_by_pk", sql(H1_CTES, "SELECT day_id, day_of_week, is_pre_holiday, sum_g FROM h1"))
@@ -418,8 +418,8 @@ def win_running(spark, sf):
     from pyspark.sql import Window
 
     s = peaks.bin_sums(T.odl(spark, sf), "hh_mm", 30)
-    return s.select("day_id", "hh_mm", F.sum("cum_bin_dec").over(Window.partitionBy("day_id").orderBy("hh_mm"))
-                    .cast("double").alias("running_g"))
+    return s.select("day_id", "hh_mm", from_cents(F.sum("cum_cents").over(Window.partitionBy("day_id").orderBy("hh_mm")))
+                    .alias("running_g"))
 
 
 @register("win_cum_share", sql((_SHARE,), "SELECT day_id, hh_mm, cum_pct FROM share"))

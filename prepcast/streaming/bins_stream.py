@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prepcast.functions.columns import cents, from_cents
 from prepcast.session import scratch_path
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -38,7 +39,7 @@ def half_hour_sums(lines: DataFrame, watermark: str = "1 day") -> DataFrame:
     return (
         lines.withWatermark("order_datetime", watermark)
         .groupBy("store_id", F.window("order_datetime", "30 minutes"))
-        .agg(F.sum(F.col("amount_g").cast("decimal(18,2)")).alias("g"), F.count(F.lit(1)).alias("n_lines"))
+        .agg(F.sum(cents(F.col("amount_g"))).alias("g"), F.count(F.lit(1)).alias("n_lines"))
         .select("store_id", F.col("window.start").cast("timestamp_ntz").alias("bin_start"), "g", "n_lines")
     )
 
@@ -55,7 +56,7 @@ def read_bins(spark: SparkSession, sink: str) -> DataFrame:
     raw = spark.read.parquet(sink)
     w = Window.partitionBy("store_id", "bin_start").orderBy(F.col("epoch").desc())
     latest = raw.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-    return latest.select("store_id", "bin_start", F.col("g").cast("double").alias("amount_g"), "n_lines")
+    return latest.select("store_id", "bin_start", from_cents(F.col("g")).alias("amount_g"), "n_lines")
 
 
 def run_available(spark: SparkSession, folder: str, file_glob: str = "*.parquet", sink: str | None = None,
