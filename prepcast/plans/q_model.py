@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepcast.operators import backtest, corr, influence, regression
-from prepcast.operators.features import FEATURE_COLUMNS, with_dummies
+from prepcast.operators.features import FEATURE_COLUMNS
 from prepcast.plans import tables as T
 from prepcast.plans.catalog import register
 from prepcast.plans.oracle_sql import FEATURE_CTES, R, sql
@@ -44,7 +44,7 @@ SNAPSHOT_END = "2024-01-22"  # 'before' snapshot of the before/after diagnosis
 
 def af(spark, sf):
     """Analysis frame: features + dummies."""
-    return with_dummies(T.mf(spark, sf))
+    return T.af(spark, sf)
 
 
 AF = """
