@@ -290,31 +290,48 @@ def _param_fields(s: dict) -> dict:
 _LEVERAGE_ONE = 1e-9
 
 
-def _exact_loo(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Held-out prediction for leverage-1 rows: refit without the row by downdating
-    the Gram matrix; the centred system is solved with a pseudo-inverse (the
-    minimum-norm least-squares fit)."""
+def _exact_loo_value(x, y: float, gram) -> float | None:
+    """Held-out residual of one row by refitting without it: the Gram matrix is
+    downdated by the row and the centred system solved with a pseudo-inverse
+    (the minimum-norm least-squares fit, as a refit would give)."""
+    x = np.asarray(x, dtype=float)  # [1, features...]
+    k = len(x) - 1
+    a = _sym(np.asarray(gram, dtype=float), k + 2)
+    xtx = a[: k + 1, : k + 1] - np.outer(x, x)
+    xty = a[: k + 1, k + 1] - x * y
+    n = xtx[0, 0]
+    if n <= 0:
+        return None
+    mu = xtx[0, 1:] / n
+    ybar = xty[0] / n
+    sxx = xtx[1:, 1:] - n * np.outer(mu, mu)
+    sxy = xty[1:] - n * mu * ybar
+    b = np.linalg.pinv(sxx) @ sxy if k > 0 else np.zeros(0)
+    return float(y - (ybar + (x[1:] - mu) @ b))
+
+
+def _fill_exact_loo(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pass rows through; where PRESS is 0/0 (leverage 1) compute the exact held-out residual."""
     for pdf in it:
-        out = []
-        for rec in pdf.to_dict("records"):
-            x = np.asarray(rec["x"], dtype=float)  # [1, features...]
-            y = float(rec["y"])
-            k = len(x) - 1
-            a = _sym(np.asarray(rec["gram"], dtype=float), k + 2)
-            xtx = a[: k + 1, : k + 1] - np.outer(x, x)
-            xty = a[: k + 1, k + 1] - x * y
-            n = xtx[0, 0]
-            if n <= 0:
-                out.append(None)
-                continue
-            mu = xtx[0, 1:] / n
-            ybar = xty[0] / n
-            sxx = xtx[1:, 1:] - n * np.outer(mu, mu)
-            sxy = xty[1:] - n * mu * ybar
-            b = np.linalg.pinv(sxx) @ sxy if k > 0 else np.zeros(0)
-            pred = ybar + (x[1:] - mu) @ b
-            out.append(y - pred)
-        yield pdf.assign(e_loo=pd.Series(out, dtype="float64"))[["_rid", "e_loo"]]
+        e = pdf["e_press"].astype("float64").to_numpy(copy=True)
+        missing = np.flatnonzero(pd.isna(pdf["e_press"]).to_numpy())
+        for i in missing:
+            v = _exact_loo_value(pdf["_x"].iloc[i], float(pdf["_y"].iloc[i]), pdf["gram"].iloc[i])
+            e[i] = np.nan if v is None else v
+        yield pdf.assign(e_loo=e)
+
+
+def with_exact_loo(j: DataFrame) -> DataFrame:
+    """Add ``e_loo``: PRESS where defined, exact refit for leverage-1 rows.
+
+    The rows are persisted, and only when some row has leverage 1 do they go
+    through the (Arrow-batched) exact path; otherwise e_loo is PRESS as is.
+    """
+    j = j.persist()
+    if j.filter(F.col("e_press").isNull()).limit(1).count() == 0:
+        return j.withColumn("e_loo", F.col("e_press"))
+    schema = T.StructType(j.schema.fields + [T.StructField("e_loo", T.DoubleType(), True)])
+    return j.mapInPandas(_fill_exact_loo, schema)
 
 
 def press_rows(rows: DataFrame, params: DataFrame, target: str, all_cols: list[str], groups: list[str],
@@ -347,12 +364,7 @@ def loocv_residuals(rows: DataFrame, models: dict[str, list[str]], target: str,
     all_cols = sorted({cname for cols in models.values() for cname in cols})
     grams = model_grams(rows, models, target, groups)
     params = _params(grams, groups, all_cols)
-    j = press_rows(rows, params, target, all_cols, groups, keep)
-    j = j.withColumn("_rid", F.monotonically_increasing_id())
-    lev1 = j.filter(F.col("e_press").isNull()).select("_rid", F.col("_x").alias("x"), F.col("_y").alias("y"), "gram")
-    fixed = lev1.mapInPandas(_exact_loo, "_rid long, e_loo double")
-    j = j.join(fixed, "_rid", "left").withColumn("e_loo", F.coalesce(F.col("e_press"), F.col("e_loo")))
-    return j.drop("_rid")
+    return with_exact_loo(press_rows(rows, params, target, all_cols, groups, keep))
 
 
 def loocv_rmse(rows: DataFrame, models: dict[str, list[str]], target: str, groups: list[str]) -> DataFrame:
@@ -390,6 +402,11 @@ def forward_selection(df: DataFrame, target: str, candidates: list[str], groups:
     Inside a step a candidate replaces the running best only when its RMSE is
     below ``best - margin`` (candidate order matters, as in the reference).
     Returns (trace: one row per group/step/candidate, result: one row per group).
+
+    The common sample is checkpointed once (it carries the whole upstream
+    plan); each step's small state (one row per group, or per group and
+    candidate) is persisted, so lineage stays at most ``max_features`` short,
+    deterministic steps above that checkpoint.
     """
     base_features = list(base_features or [])
     cols = [*base_features, *candidates]
@@ -410,14 +427,14 @@ def forward_selection(df: DataFrame, target: str, candidates: list[str], groups:
         *groups,
         F.array(*[F.lit(b) for b in base_features]).cast("array<string>").alias("selected"),
         F.col("rmse").alias("current"), F.lit(True).alias("active"),
-    ), checkpoint)
+    ), False)
     trace_parts = [start.select(*groups, F.lit(0).alias("step"), F.lit(None).cast("string").alias("candidate"),
                                 "rmse", F.lit(True).alias("chosen"))]
     steps = min(max_features - len(base_features), len(candidates))
     for step in range(1, steps + 1):
         models = _step_models(state, candidates, groups)
         scored = _materialize(_score_models(sample, gram_all, models, target, cols, groups), False)
-        folded = _materialize(_fold_step(scored, state, groups, margin, order), checkpoint)
+        folded = _materialize(_fold_step(scored, state, groups, margin, order), False)
         trace_parts.append(
             scored.join(folded.select(*groups, "pick"), groups, "left").select(
                 *groups, F.lit(step).alias("step"), "candidate", "rmse",
@@ -488,11 +505,10 @@ def _score_models(sample: DataFrame, gram_all: DataFrame, models: DataFrame, tar
     if (quick.agg(F.sum("_lev1")).first()[0] or 0) == 0:
         out = quick.select(*groups, "model", _round(F.sqrt(F.col("_ss") / F.col("_n"))).alias("rmse"))
         return out.join(names, [*groups, "model"])
-    j = j.withColumn("_rid", F.monotonically_increasing_id())
-    lev1 = j.filter(F.col("e_press").isNull()).select("_rid", F.col("_x").alias("x"), F.col("_y").alias("y"), "gram")
-    fixed = lev1.mapInPandas(_exact_loo, "_rid long, e_loo double")
-    j = j.join(fixed, "_rid", "left").withColumn("e_loo", F.coalesce(F.col("e_press"), F.col("e_loo")))
-    out = j.groupBy(*groups, "model").agg(_round(F.sqrt(F.avg(F.col("e_loo") * F.col("e_loo")))).alias("rmse"))
+    j = j.drop("_xall").persist()
+    schema = T.StructType(j.schema.fields + [T.StructField("e_loo", T.DoubleType(), True)])
+    fixed = j.mapInPandas(_fill_exact_loo, schema)
+    out = fixed.groupBy(*groups, "model").agg(_round(F.sqrt(F.avg(F.col("e_loo") * F.col("e_loo")))).alias("rmse"))
     return out.join(names, [*groups, "model"])
 
 
