@@ -324,14 +324,11 @@ def _fill_exact_loo(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def with_exact_loo(j: DataFrame) -> DataFrame:
     """Add ``e_loo``: PRESS where defined, exact refit for leverage-1 rows.
 
-    The rows are persisted, and only when some row has leverage 1 do they go
-    through the (Arrow-batched) exact path; otherwise e_loo is PRESS as is.
+    A lazy, Arrow-batched pass-through: rows with a defined PRESS residual are
+    copied, only leverage-1 rows are refitted (at most p per group and model).
     """
-    j = j.persist()
-    if j.filter(F.col("e_press").isNull()).limit(1).count() == 0:
-        return j.withColumn("e_loo", F.col("e_press"))
     schema = T.StructType(j.schema.fields + [T.StructField("e_loo", T.DoubleType(), True)])
-    return j.mapInPandas(_fill_exact_loo, schema)
+    return j.drop("_xall").mapInPandas(_fill_exact_loo, T.StructType([f for f in schema.fields if f.name != "_xall"]))
 
 
 def press_rows(rows: DataFrame, params: DataFrame, target: str, all_cols: list[str], groups: list[str],
@@ -380,15 +377,17 @@ def loocv_rmse(rows: DataFrame, models: dict[str, list[str]], target: str, group
 # 4. Forward selection
 # --------------------------------------------------------------------------
 
-def _materialize(df: DataFrame, checkpoint: bool) -> DataFrame:
+def _materialize(df: DataFrame, checkpoint: bool = True) -> DataFrame:
     """Cut lineage: reliable checkpoint into the shared checkpoint folder.
 
-    The frame is persisted first so that writing the checkpoint does not run
-    the plan a second time; lost cached blocks are recomputed from lineage.
+    The frame is persisted only while the checkpoint is written (so the plan
+    runs once) and unpersisted right after: no cache entry outlives the call,
+    and the returned frame's plan is a scan of the checkpoint files. With
+    ``checkpoint=False`` the frame is returned as is (lazy).
     """
-    df = df.persist()
     if not checkpoint:
         return df
+    df = df.persist()
     out = df.checkpoint(eager=True)
     df.unpersist()
     return out
@@ -403,38 +402,34 @@ def forward_selection(df: DataFrame, target: str, candidates: list[str], groups:
     below ``best - margin`` (candidate order matters, as in the reference).
     Returns (trace: one row per group/step/candidate, result: one row per group).
 
-    The common sample is checkpointed once (it carries the whole upstream
-    plan); each step's small state (one row per group, or per group and
-    candidate) is persisted, so lineage stays at most ``max_features`` short,
-    deterministic steps above that checkpoint.
+    The common sample and every step's small state (one row per group, or
+    per group and candidate) are checkpointed, so each step's plan is a scan
+    of checkpoint files and no cached plan lingers in the session.
     """
     base_features = list(base_features or [])
     cols = [*base_features, *candidates]
     sample = _materialize(df.select(*groups, target, *cols).dropna(subset=[target, *cols]), checkpoint)
     order = {cname: i for i, cname in enumerate(candidates)}
-    gram_all = _materialize(
-        model_grams(sample, {"__all__": cols}, target, groups).select(*groups, F.col("gram").alias("gall"), "n"),
-        False,
-    )
+    gram_all = model_grams(sample, {"__all__": cols}, target, groups).select(*groups, F.col("gram").alias("gall"), "n")
 
     # step 0: the starting model (constant only, or the base features)
     start_models = sample.select(*groups).distinct().select(
         *groups, F.lit("__start__").alias("model"), F.lit(None).cast("string").alias("candidate"),
         F.array(*[F.lit(b) for b in base_features]).cast("array<string>").alias("terms"),
     )
-    start = _materialize(_score_models(sample, gram_all, start_models, target, cols, groups), False)
-    state = _materialize(start.select(
+    start = _score_models(sample, gram_all, start_models, target, cols, groups, checkpoint)
+    state = start.select(
         *groups,
         F.array(*[F.lit(b) for b in base_features]).cast("array<string>").alias("selected"),
         F.col("rmse").alias("current"), F.lit(True).alias("active"),
-    ), False)
+    )
     trace_parts = [start.select(*groups, F.lit(0).alias("step"), F.lit(None).cast("string").alias("candidate"),
                                 "rmse", F.lit(True).alias("chosen"))]
     steps = min(max_features - len(base_features), len(candidates))
     for step in range(1, steps + 1):
         models = _step_models(state, candidates, groups)
-        scored = _materialize(_score_models(sample, gram_all, models, target, cols, groups), False)
-        folded = _materialize(_fold_step(scored, state, groups, margin, order), False)
+        scored = _score_models(sample, gram_all, models, target, cols, groups, checkpoint)
+        folded = _materialize(_fold_step(scored, state, groups, margin, order), checkpoint)
         trace_parts.append(
             scored.join(folded.select(*groups, "pick"), groups, "left").select(
                 *groups, F.lit(step).alias("step"), "candidate", "rmse",
@@ -464,12 +459,14 @@ def _step_models(state: DataFrame, candidates: list[str], groups: list[str]) ->
 
 
 def _score_models(sample: DataFrame, gram_all: DataFrame, models: DataFrame, target: str, cols: list[str],
-                  groups: list[str]) -> DataFrame:
+                  groups: list[str], checkpoint: bool = True) -> DataFrame:
     """LOOCV RMSE of each (group, model) whose terms differ per group.
 
     Sub-systems of the group's Gram matrix (over all columns) are solved per
     model, then one PRESS pass scores them all. Only when some row has
     leverage 1 (checked on the aggregated counts) is the exact refit path run.
+    The per-(group, model) scores are checkpointed, so callers reuse them
+    without recomputation.
     """
     m = models.join(gram_all, groups)
     full = ["const", *cols, "__y__"]
@@ -500,16 +497,14 @@ def _score_models(sample: DataFrame, gram_all: DataFrame, models: DataFrame, tar
     quick = _materialize(j.groupBy(*groups, "model").agg(
         F.sum(F.col("e_press") * F.col("e_press")).alias("_ss"), F.count(F.lit(1)).alias("_n"),
         F.sum(F.when(F.col("e_press").isNull(), 1).otherwise(0)).alias("_lev1"),
-    ), False)
+    ), checkpoint)
     names = models.select(*groups, "model", "candidate")
     if (quick.agg(F.sum("_lev1")).first()[0] or 0) == 0:
         out = quick.select(*groups, "model", _round(F.sqrt(F.col("_ss") / F.col("_n"))).alias("rmse"))
         return out.join(names, [*groups, "model"])
-    j = j.drop("_xall").persist()
-    schema = T.StructType(j.schema.fields + [T.StructField("e_loo", T.DoubleType(), True)])
-    fixed = j.mapInPandas(_fill_exact_loo, schema)
+    fixed = with_exact_loo(j)
     out = fixed.groupBy(*groups, "model").agg(_round(F.sqrt(F.avg(F.col("e_loo") * F.col("e_loo")))).alias("rmse"))
-    return out.join(names, [*groups, "model"])
+    return _materialize(out.join(names, [*groups, "model"]), checkpoint)
 
 
 def _fold_step(scored: DataFrame, state: DataFrame, groups: list[str], margin: float, order: dict[str, int]) -> DataFrame:
