@@ -1,6 +1,7 @@
 """Grouped tests against direct numpy computations."""
 
 import numpy as np
+from pyspark.sql import functions as F
 import pandas as pd
 import pytest
 
@@ -71,3 +72,17 @@ def test_shapiro_out_of_range_groups_are_reported(spark):
     out = {r["grp"]: r for r in stats.shapiro(spark.createDataFrame(pdf), "x", ["grp"]).collect()}
     assert out["a"]["W"] is None and out["a"]["reason"] == "n<3"
     assert 0 < out["b"]["W"] <= 1 and out["b"]["p"] is not None
+
+
+def test_prefix_counts_exact_for_any_bucketing(spark):
+    import random
+
+    random.seed(5)
+    rows = [("g%d" % (i % 3), float(random.randint(0, 400)), random.randint(1, 4)) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, v double, c int").groupBy("g", "v").agg(F.sum("c").alias("c"))
+    pdf = df.toPandas()
+    for buckets in (1, 7, 64):
+        out = stats.prefix_counts(df, ["g"], "v", "c", buckets=buckets).toPandas()
+        for _, r in out.iterrows():
+            sub = pdf[(pdf.g == r["g"]) & (pdf.v < r["v"])]
+            assert r["_before"] == sub["c"].sum()
