@@ -565,3 +565,116 @@ def stream_bin30(spark, sf):
     from prepcast.streaming.bins_stream import run_available
 
     return run_available(spark, sf, file_glob="events.parquet")
+
+
+# ------------------------------------------------------------------ scalar functions (§2.9)
+
+
+@register("fn_date_format", sql((), "SELECT order_id, strftime(order_datetime, '%H:') AS hh, "
+                                    "strftime(order_datetime, '%H:00') AS hh00 FROM odl"))
+def fn_date_format(spark, sf):
+    ts = F.col("order_datetime")
+    return T.odl(spark, sf).select("order_id", F.date_format(ts, "HH:").alias("hh"), F.date_format(ts, "HH:00").alias("hh00"))
+
+
+@register("fn_minute_floor", sql((), "SELECT order_id, CAST(minute(order_datetime) AS INTEGER) AS minute, "
+                                     "CAST(floor(minute(order_datetime) / 30) * 30 AS BIGINT) AS half FROM odl"))
+def fn_minute_floor(spark, sf):
+    ts = F.col("order_datetime")
+    return T.odl(spark, sf).select("order_id", F.minute(ts).alias("minute"),
+                                   (F.floor(F.minute(ts) / 30) * 30).cast("long").alias("half"))
+
+
+@register("fn_lpad_concat", sql((), f"SELECT order_id, {BIN30_SQL} AS hh_mm, lpad(CAST(qty AS VARCHAR), 3, '0') AS qty3 FROM odl"))
+def fn_lpad_concat(spark, sf):
+    return T.odl(spark, sf).select("order_id", bin30(F.col("order_datetime")).alias("hh_mm"),
+                                   F.lpad(F.col("qty").cast("string"), 3, "0").alias("qty3"))
+
+
+@register("fn_round", sql((), f"SELECT day_id, {R('end_g / 1000', 2)} AS end_kg2, {R('end_g / 1000', 1)} AS end_kg1 FROM dcl"))
+def fn_round(spark, sf):
+    return T.dcl(spark, sf).select("day_id", rnd(F.col("end_g") / 1000, 2).alias("end_kg2"),
+                                   rnd(F.col("end_g") / 1000, 1).alias("end_kg1"))
+
+
+@register("fn_round_half_even", sql((), "SELECT order_id, round_even(amount_g / 10, 0) AS amount_dag FROM odl"))
+def fn_round_half_even(spark, sf):
+    from prepcast.functions.columns import rnd_even
+
+    return T.odl(spark, sf).select("order_id", rnd_even(F.col("amount_g") / 10, 0).alias("amount_dag"))
+
+
+@register("fn_coalesce", sql((), "SELECT day_id, COALESCE(second_fried_kg, 0) AS second_fried_kg FROM dcl"))
+def fn_coalesce(spark, sf):
+    return T.dcl(spark, sf).select("day_id", F.coalesce(F.col("second_fried_kg"), F.lit(0.0)).alias("second_fried_kg"))
+
+
+@register("fn_abs", sql(AF_CTES, f"SELECT day_id, abs(roll_prev_3days_mean_t2 - {T2}) AS abs_gap FROM af"))
+def fn_abs(spark, sf):
+    return af(spark, sf).select("day_id", F.abs(F.col("roll_prev_3days_mean_t2") - F.col(T2)).alias("abs_gap"))
+
+
+@register("fn_case_searched", sql((), f"SELECT day_id, {HOLIDAY} AS holiday_status, "
+                                      "CASE WHEN second_fried_kg IS NULL THEN 'single' WHEN second_fried_kg > first_fried_kg "
+                                      "THEN 'second_larger' ELSE 'first_larger' END AS batches FROM dcl"))
+def fn_case_searched(spark, sf):
+    d = T.dcl(spark, sf)
+    return d.select("day_id", holiday_flag(F.col("is_holiday"), F.col("is_pre_holiday")).alias("holiday_status"),
+                    F.when(F.col("second_fried_kg").isNull(), "single")
+                    .when(F.col("second_fried_kg") > F.col("first_fried_kg"), "second_larger")
+                    .otherwise("first_larger").alias("batches"))
+
+
+@register("fn_case_simple", sql((), f"SELECT day_id, CASE day_of_week WHEN '{FRI}' THEN 'pre_weekend' "
+                                    f"WHEN '{THU}' THEN 'excluded' ELSE 'regular' END AS day_kind FROM dcl"))
+def fn_case_simple(spark, sf):
+    dow = F.col("day_of_week")
+    return T.dcl(spark, sf).select("day_id", F.when(dow == FRI, "pre_weekend").when(dow == THU, "excluded")
+                                   .otherwise("regular").alias("day_kind"))
+
+
+@register("fn_like_date", sql(FEATURE_CTES, f"""
+SELECT day_id, date FROM mf WHERE date >= DATE '{MONTH}-01' AND date < DATE '{MONTH}-01' + INTERVAL 1 MONTH"""))
+def fn_like_date(spark, sf):
+    """``date LIKE 'YYYY-MM%'`` as a half-open range on the date."""
+    return features.month_filter(T.mf(spark, sf), MONTH).select("day_id", "date")
+
+
+@register("fn_division", sql((DAYT,), f"""
+SELECT d.day_id, {R(D('t.sum_g / 1000', '(d.first_fried_kg + d.second_fried_kg)'), 4)} AS demand_per_stock
+FROM dcl d JOIN dayt t ON d.day_id = t.day_id"""))
+def fn_division(spark, sf):
+    """Division with NULL on a zero (or NULL) divisor."""
+    from prepcast.functions.columns import div
+
+    t = daily.day_totals(T.odl(spark, sf), ["day_id"])
+    j = T.dcl(spark, sf).join(t, "day_id")
+    return j.select("day_id", rnd(div(F.col("sum_g") / 1000, F.col("first_fried_kg") + F.col("second_fried_kg")), 4)
+                    .alias("demand_per_stock"))
+
+
+@register("fn_date_add", sql(FEATURE_CTES, "SELECT day_id, CAST(date + INTERVAL 7 DAY AS DATE) AS date_plus_7 FROM mf"))
+def fn_date_add(spark, sf):
+    return T.mf(spark, sf).select("day_id", F.date_add("date", 7).alias("date_plus_7"))
+
+
+@register("fn_to_date", sql((), "SELECT order_id, CAST(order_datetime AS DATE) AS order_day FROM odl"))
+def fn_to_date(spark, sf):
+    return T.odl(spark, sf).select("order_id", F.to_date("order_datetime").alias("order_day"))
+
+
+@register("fn_sqrt_mean_square", sql(AF_CTES, f"""
+SELECT store_id, {R(f'sqrt(AVG((roll_prev_3days_mean_t2 - {T2}) * (roll_prev_3days_mean_t2 - {T2})))', 4)} AS rms_gap
+FROM af GROUP BY store_id"""))
+def fn_sqrt_mean_square(spark, sf):
+    gap = F.col("roll_prev_3days_mean_t2") - F.col(T2)
+    return af(spark, sf).groupBy("store_id").agg(rnd(F.sqrt(F.avg(gap * gap)), 4).alias("rms_gap"))
+
+
+@register("fn_bool_and_mean", sql(AF_CTES, f"""
+SELECT store_id, {R(f'AVG(CAST((dow_fri = 1 AND {T2} > roll_prev_3days_mean_t2) AS INTEGER))', 4)} AS share_fri_above
+FROM af WHERE roll_prev_3days_mean_t2 IS NOT NULL GROUP BY store_id"""))
+def fn_bool_and_mean(spark, sf):
+    a = af(spark, sf).filter(F.col("roll_prev_3days_mean_t2").isNotNull())
+    flag = (F.col("dow_fri") == 1) & (F.col(T2) > F.col("roll_prev_3days_mean_t2"))
+    return a.groupBy("store_id").agg(rnd(F.avg(flag.cast("int")), 4).alias("share_fri_above"))
