@@ -43,8 +43,10 @@ def corr_matrix(df: DataFrame, cols: list[str], groups: list[str]) -> DataFrame:
         *groups, F.element_at(xs, F.col("pid") + 1).alias("x"), F.element_at(ys, F.col("pid") + 1).alias("y"),
         F.round(F.try_divide(F.col("sxy"), F.when(den != 0, den)), DIGITS).alias("r"), "n",
     )
-    lower = upper.filter(F.col("x") != F.col("y")).select(*groups, F.col("y").alias("x"), F.col("x").alias("y"), "r", "n")
-    return upper.unionByName(lower)
+    # both orientations from the same aggregated row (no second branch, no union)
+    both = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y")))).otherwise(
+        F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    return upper.select(*groups, F.explode(both).alias("_o"), "r", "n").select(*groups, "_o.x", "_o.y", "r", "n")
 
 
 def corr_target(df: DataFrame, cols: list[str], target: str, groups: list[str]) -> DataFrame:

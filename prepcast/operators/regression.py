@@ -127,8 +127,8 @@ def _solve(gram, n: int, k: int) -> dict:
     return out
 
 
-COEF_SCHEMA = "model string, term string, coef double, se double, t double"
-FIT_SCHEMA = "model string, n long, k int, r2 double, adj_r2 double, F double, df_resid long"
+SUMMARY_SCHEMA = ("model string, term string, coef double, se double, t double, "
+                  "n long, k int, r2 double, adj_r2 double, F double, df_resid long")
 
 
 def _rows_of(pdf: pd.DataFrame, groups: list[str]):
@@ -136,13 +136,13 @@ def _rows_of(pdf: pd.DataFrame, groups: list[str]):
         yield rec, {g: rec[g] for g in groups}
 
 
-def ols_tables(grams: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(coefficient table, fit table) for every (group, model) Gram row."""
+def ols_long(grams: DataFrame, groups: list[str]) -> DataFrame:
+    """One pass over the (group, model) Gram rows: one row per (group, model, term)
+    with the coefficient, its standard error and t, and the model's fit statistics."""
     gfields = [grams.schema[g] for g in groups]
-    coef_schema = T.StructType(gfields + T._parse_datatype_string(COEF_SCHEMA).fields)
-    fit_schema = T.StructType(gfields + T._parse_datatype_string(FIT_SCHEMA).fields)
+    schema = T.StructType(gfields + T._parse_datatype_string(SUMMARY_SCHEMA).fields)
 
-    def coefs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
             for rec, key in _rows_of(pdf, groups):
@@ -150,23 +150,24 @@ def ols_tables(grams: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFram
                 s = _solve(rec["gram"], rec["n"], len(terms))
                 if s["beta"] is None:
                     continue
+                fit = {"n": s["n"], "k": s["k"], "r2": s["r2"], "adj_r2": s["adj_r2"], "F": s["F"],
+                       "df_resid": s["df_resid"]}
                 for i, name in enumerate(["const", *terms]):
                     se = None if s["se"] is None else float(s["se"][i])
                     b = float(s["beta"][i])
                     rows.append({**key, "model": rec["model"], "term": name, "coef": b, "se": se,
-                                 "t": (b / se) if se not in (None, 0.0) else None})
-            yield pd.DataFrame(rows, columns=[f.name for f in coef_schema.fields])
+                                 "t": (b / se) if se not in (None, 0.0) else None, **fit})
+            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
-    def fits(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for rec, key in _rows_of(pdf, groups):
-                s = _solve(rec["gram"], rec["n"], len(rec["terms"]))
-                rows.append({**key, "model": rec["model"], "n": s["n"], "k": s["k"], "r2": s["r2"],
-                             "adj_r2": s["adj_r2"], "F": s["F"], "df_resid": s["df_resid"]})
-            yield pd.DataFrame(rows, columns=[f.name for f in fit_schema.fields])
+    return grams.mapInPandas(run, schema)
 
-    return grams.mapInPandas(coefs, coef_schema), grams.mapInPandas(fits, fit_schema)
+
+def ols_tables(grams: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(coefficient table, fit table) for every (group, model) Gram row, from one pass."""
+    long = ols_long(grams, groups)
+    coef = long.select(*groups, "model", "term", "coef", "se", "t")
+    fit = long.filter(F.col("term") == "const").select(*groups, "model", "n", "k", "r2", "adj_r2", "F", "df_resid")
+    return coef, fit
 
 
 def _round(c: Column) -> Column:
@@ -176,8 +177,7 @@ def _round(c: Column) -> Column:
 def ols_summary(df: DataFrame, cols: list[str], target: str, groups: list[str], model: str = "ols",
                 with_p: bool = True) -> DataFrame:
     """Long summary: one row per (group, term) with coef / se / t (/ p) and the model's fit statistics."""
-    coef, fit = ols_tables(model_grams(df, {model: cols}, target, groups), groups)
-    j = coef.join(fit, [*groups, "model"])
+    j = ols_long(model_grams(df, {model: cols}, target, groups), groups)
     out = j.select(
         *groups, "model", "term",
         _round(F.col("coef")).alias("coef"), _round(F.col("se")).alias("se"), _round(F.col("t")).alias("t"),
@@ -239,9 +239,7 @@ def stepwise_scan(df: DataFrame, selected: list[str], remaining: list[str], targ
                   with_p: bool = True) -> DataFrame:
     """Add each remaining candidate to ``selected``: R², adj R², t (and p) of the added term."""
     models = {f: [*selected, f] for f in remaining}
-    coef, fit = ols_tables(model_grams(df, models, target, groups), groups)
-    added = coef.filter(F.col("term") == F.col("model")).select(*groups, "model", "t")
-    j = fit.join(added, [*groups, "model"], "left")
+    j = ols_long(model_grams(df, models, target, groups), groups).filter(F.col("term") == F.col("model"))
     out = j.select(
         *groups, F.col("model").alias("added"), "n", "k", "df_resid",
         _round(F.col("r2")).alias("r2"), _round(F.col("adj_r2")).alias("adj_r2"),
