@@ -8,7 +8,7 @@ broadcast it from its measured size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,16 @@ def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the first by an explicit order (deterministic dedup)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    """One row per key: the first by an explicit order (deterministic dedup).
+
+    ``min_by`` over a struct of the row is a regular aggregate with a map-side
+    combine, so a key duplicated millions of times never gathers in one task.
+    Ties in ``order`` are broken by the row's own values.
+    """
+    others = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in others])
+    best = F.min_by(row, F.struct(*order, row)).alias("_first")
+    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in others])
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str = "day_id") -> DataFrame:

@@ -130,3 +130,9 @@ def test_row_level_day_total_is_not_a_window_over_order_lines(spark):
     plan = _plan(peaks.row_bins(T.odl(spark, SF_SMALL)))
     assert "Window" not in plan
     assert "HashAggregate" in plan
+
+
+def test_keep_first_is_deterministic(spark):
+    df = spark.createDataFrame([("k", 3, "c"), ("k", 1, "b"), ("k", 1, "a"), ("j", 5, "z")], "key string, o int, v string")
+    out = {r["key"]: (r["o"], r["v"]) for r in quality.keep_first(df, ["key"], [F.col("o")]).collect()}
+    assert out == {"k": (1, "a"), "j": (5, "z")}
