@@ -129,31 +129,67 @@ def levene(df: DataFrame, value: str, label: str, groups: list[str], levels: lis
     return out
 
 
-def shapiro(df: DataFrame, value: str, groups: list[str], max_n: int = 5000) -> DataFrame:
-    """Shapiro-Wilk W and p per group (3 <= n <= max_n, else NULL with a reason).
+# Fixed coefficients of Royston's polynomial corrections for the two largest weights.
+_SW_C1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
+_SW_C2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
 
-    n is counted first, and only groups within the defined range are sorted,
-    so no group larger than ``max_n`` is ever ranked in one task.
+
+def _poly(coefs: list[float], x: Column) -> Column:
+    out = F.lit(coefs[-1])
+    for c in reversed(coefs[:-1]):
+        out = out * x + F.lit(c)
+    return out
+
+
+def shapiro(df: DataFrame, value: str, groups: list[str], max_n: int = 5000, with_p: bool = True) -> DataFrame:
+    """Shapiro-Wilk W (and p) per group (3 <= n <= max_n, else NULL with a reason).
+
+    n is counted first, and only groups within the defined range are ranked,
+    so no group larger than ``max_n`` is ever ordered in one task. The weights
+    (Royston's approximation) are column expressions: expected normal order
+    statistics from the inverse normal CDF, their sum of squares and the two
+    corrected extreme weights come from windows over the (bounded) group.
     """
+    from prepcast.functions.normal import norm_ppf
+
     v = df.filter(F.col(value).isNotNull()).select(*groups, value)
     sizes = v.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
     ok = sizes.filter((F.col("n") >= 3) & (F.col("n") <= max_n))
-    ranked = v.join(ok, groups, "inner").withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(value))
-    ).withColumn("_a", dist.shapiro_weight(F.col("_rank"), F.col("n")))
-    mean_w = Window.partitionBy(*groups)
-    ranked = ranked.withColumn("_dev2", (F.col(value) - F.avg(value).over(mean_w)) ** 2)
-    agg = ranked.groupBy(*groups, "n").agg(F.sum(F.col("_a") * F.col(value)).alias("_ax"), F.sum("_dev2").alias("_ss"))
-    w = agg.select(*groups, "n", F.least(F.lit(1.0), div(F.col("_ax") ** 2, F.col("_ss"))).alias("W"))
-    w = w.withColumn("p", dist.shapiro_pvalue("W", "n"))
-    res = w.select(*groups, "n", _r(F.col("W")).alias("W"), _r(F.col("p")).alias("p"),
-                   F.lit(None).cast("string").alias("reason"))
+    gw = Window.partitionBy(*groups)
+    i, n = F.col("_i"), F.col("n")
+    r = v.join(ok, groups, "inner").withColumn("_i", F.row_number().over(gw.orderBy(value)))
+    r = r.withColumn("_p", (i - 0.375) / (n + 0.25)).withColumn("_m", norm_ppf("_p"))
+    r = r.withColumns({
+        "_ssm": F.sum(F.col("_m") * F.col("_m")).over(gw),
+        "_mn": F.max("_m").over(gw),
+        "_mn1": F.max(F.when(i == n - 1, F.col("_m"))).over(gw),
+        "_mean": F.avg(value).over(gw),
+    })
+    u = F.lit(1.0) / F.sqrt(n)
+    an = F.col("_mn") / F.sqrt("_ssm") + _poly(_SW_C1, u)
+    an1 = F.col("_mn1") / F.sqrt("_ssm") + _poly(_SW_C2, u)
+    phi = F.when(n > 5, (F.col("_ssm") - 2 * F.col("_mn") ** 2 - 2 * F.col("_mn1") ** 2) / (1 - 2 * an**2 - 2 * an1**2)) \
+        .otherwise((F.col("_ssm") - 2 * F.col("_mn") ** 2) / (1 - 2 * an**2))
+    half = F.lit(0.5 ** 0.5)
+    a = (
+        F.when(n == 3, F.when(i == 1, -half).when(i == 3, half).otherwise(F.lit(0.0)))
+        .when(i == n, an).when(i == 1, -an)
+        .when((n > 5) & (i == n - 1), an1).when((n > 5) & (i == 2), -an1)
+        .otherwise(F.col("_m") / F.sqrt(phi))
+    )
+    agg = r.groupBy(*groups, "n").agg(
+        F.sum(a * F.col(value)).alias("_ax"), F.sum((F.col(value) - F.col("_mean")) ** 2).alias("_ss"))
+    w = agg.select(*groups, "n", F.least(F.lit(1.0), div(F.col("_ax") ** 2, F.col("_ss"))).alias("_w"))
+    res = w.select(*groups, "n", _r(F.col("_w")).alias("W"), F.lit(None).cast("string").alias("reason"))
     out_of_range = sizes.join(ok.select(*groups), groups, "left_anti").select(
-        *groups, "n", F.lit(None).cast("double").alias("W"), F.lit(None).cast("double").alias("p"),
+        *groups, "n", F.lit(None).cast("double").alias("W"),
         F.when(F.col("n") < 3, F.lit("n<3")).otherwise(F.lit(f"n>{max_n}")).alias("reason"),
     )
     res = res.unionByName(out_of_range)
-    return res.withColumn("normal", F.when(F.col("p").isNull(), F.lit(None).cast("boolean")).otherwise(F.col("p") > ALPHA))
+    if with_p:
+        res = res.withColumn("p", _r(dist.shapiro_pvalue("W", "n")))
+        res = res.withColumn("normal", F.when(F.col("p").isNull(), F.lit(None).cast("boolean")).otherwise(F.col("p") > ALPHA))
+    return res
 
 
 def prefix_counts(cnt: DataFrame, groups: list[str], value: str, count: str, buckets: int = 64,

@@ -165,14 +165,10 @@ def st_wilcoxon_pvalue(spark, sf):
     return stats.wilcoxon(T.h3(spark, sf), "cumul_16_19", "cumul_20_22", STORE, with_p=True)
 
 
-@register("st_shapiro")
-def st_shapiro(spark, sf):
-    """Whole sample, per weekday and on the paired differences, per store, in one grouped pass.
-
-    All three samples come from the same daily table: each day contributes one
-    row per sample it belongs to (weekday totals exclude Thursdays, the paired
-    differences use every day), and Shapiro-Wilk runs grouped by (store, sample).
-    """
+def _shapiro_long(spark, sf):
+    """All three samples from the same daily table: each day contributes one row
+    per sample it belongs to (weekday totals exclude Thursdays, the paired
+    differences use every day)."""
     from pyspark.sql import functions as F
 
     tt = features.stage_targets(T.tt(spark, sf))
@@ -184,8 +180,71 @@ def st_shapiro(spark, sf):
         F.struct(F.lit("diff_16_19_minus_20_22").alias("sample"), (F.col("cumul_16_19") - F.col("cumul_20_22")).alias("x"),
                  F.lit(True).alias("keep")),
     )
-    long = tt.select(*STORE, F.inline(entries)).filter(F.col("keep") & F.col("sample").isNotNull())
-    return stats.shapiro(long, "x", [*STORE, "sample"])
+    return tt.select(*STORE, F.inline(entries)).filter(F.col("keep") & F.col("sample").isNotNull())
+
+
+def _shapiro_sql() -> str:
+    from prepcast.functions.normal import norm_ppf_sql
+    from prepcast.operators.stats import _SW_C1, _SW_C2
+
+    def poly(c, x):
+        out = repr(c[-1])
+        for v in reversed(c[:-1]):
+            out = f"({out} * {x} + {v!r})"
+        return out
+
+    u = "(1.0 / sqrt(n))"
+    an = f"(mn / sqrt(ssm) + {poly(_SW_C1, u)})"
+    an1 = f"(mn1 / sqrt(ssm) + {poly(_SW_C2, u)})"
+    phi = (f"(CASE WHEN n > 5 THEN (ssm - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * {an} * {an} - 2 * {an1} * {an1}) "
+           f"ELSE (ssm - 2 * mn * mn) / (1 - 2 * {an} * {an}) END)")
+    a = (f"(CASE WHEN n = 3 THEN (CASE WHEN i = 1 THEN -sqrt(0.5) WHEN i = 3 THEN sqrt(0.5) ELSE 0.0 END) "
+         f"WHEN i = n THEN {an} WHEN i = 1 THEN -{an} WHEN n > 5 AND i = n - 1 THEN {an1} "
+         f"WHEN n > 5 AND i = 2 THEN -{an1} ELSE m / sqrt({phi}) END)")
+    levels = ", ".join(f"'{x}'" for x in DUMMY_LEVELS)
+    ctes = f"""
+slong AS (
+    SELECT store_id, 'sum_g' AS sample, sum_g AS x FROM tt WHERE day_of_week != '{THU}'
+    UNION ALL
+    SELECT store_id, 'sum_g|' || day_of_week, sum_g FROM tt WHERE day_of_week != '{THU}' AND day_of_week IN ({levels})
+    UNION ALL
+    SELECT store_id, 'diff_16_19_minus_20_22', cumul_16_19 - cumul_20_22 FROM h3
+),
+sv AS (SELECT * FROM slong WHERE x IS NOT NULL AND sample IS NOT NULL),
+ssz AS (SELECT store_id, sample, COUNT(*) AS n FROM sv GROUP BY 1, 2),
+sr AS (
+    SELECT v.store_id, v.sample, v.x, z.n,
+           ROW_NUMBER() OVER (PARTITION BY v.store_id, v.sample ORDER BY v.x) AS i
+    FROM sv v JOIN ssz z ON v.store_id = z.store_id AND v.sample = z.sample
+    WHERE z.n BETWEEN 3 AND 5000
+),
+sm AS (SELECT *, {norm_ppf_sql('((i - 0.375) / (n + 0.25))')} AS m FROM sr),
+sw AS (
+    SELECT *, SUM(m * m) OVER g AS ssm, MAX(m) OVER g AS mn,
+           MAX(CASE WHEN i = n - 1 THEN m END) OVER g AS mn1, AVG(x) OVER g AS xbar
+    FROM sm WINDOW g AS (PARTITION BY store_id, sample)
+),
+sa AS (SELECT store_id, sample, n, x, xbar, {a} AS a FROM sw)"""
+    body = f"""
+SELECT store_id, sample, n, {R('LEAST(1.0, SUM(a * x) * SUM(a * x) / NULLIF(SUM((x - xbar) * (x - xbar)), 0))', 6)} AS W,
+       CAST(NULL AS VARCHAR) AS reason
+FROM sa GROUP BY store_id, sample, n
+UNION ALL
+SELECT store_id, sample, n, CAST(NULL AS DOUBLE), CASE WHEN n < 3 THEN 'n<3' ELSE 'n>5000' END
+FROM ssz WHERE n < 3 OR n > 5000"""
+    return sql((*H3_CTES, ctes), body)
+
+
+@register("st_shapiro", _shapiro_sql())
+def st_shapiro(spark, sf):
+    """Shapiro-Wilk W for the whole sample, per weekday and on the paired
+    differences, per store, in one grouped pass."""
+    return stats.shapiro(_shapiro_long(spark, sf), "x", [*STORE, "sample"], with_p=False)
+
+
+@register("st_shapiro_pvalue")
+def st_shapiro_pvalue(spark, sf):
+    return stats.shapiro(_shapiro_long(spark, sf), "x", [*STORE, "sample"])
 
 
 @register("st_decision")

@@ -86,3 +86,18 @@ def test_prefix_counts_exact_for_any_bucketing(spark):
         for _, r in out.iterrows():
             sub = pdf[(pdf.g == r["g"]) & (pdf.v < r["v"])]
             assert r["_before"] == sub["c"].sum()
+
+
+def test_shapiro_w_matches_reference_weights(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g, n in (("a", 4), ("b", 5), ("c", 6), ("d", 11), ("e", 40), ("f", 300)):
+        rows += [(g, float(v)) for v in rng.gamma(2.0, 3.0, n)]
+    pdf = pd.DataFrame(rows, columns=["grp", "x"])
+    out = {r["grp"]: r for r in stats.shapiro(spark.createDataFrame(pdf), "x", ["grp"]).collect()}
+    for g, sub in pdf.groupby("grp"):
+        x = np.sort(sub["x"].to_numpy())
+        a = np.array(dist.shapiro_weights(len(x)))
+        w = min(1.0, (a @ x) ** 2 / np.sum((x - x.mean()) ** 2))
+        assert abs(out[g]["W"] - w) < 2e-6, (g, out[g]["W"], w)
+        assert abs(out[g]["p"] - dist.shapiro_p(w, len(x))) < 1e-4
