@@ -28,13 +28,18 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-line log (the reference's ``order_detail_log``)."""
+def order_lines(spark: SparkSession, sf_dir: str, store_col: str = "event_type") -> DataFrame:
+    """Order-line log (the reference's ``order_detail_log``).
+
+    ``store_col`` picks the events column that plays the store (``user_id``
+    gives the many-entity variant used by the scale test).
+    """
     ev = _events(spark, sf_dir)
     order_date = F.to_date("ts")
+    store = F.col(store_col).cast("string")
     return ev.select(
-        F.concat(F.col("event_type"), F.lit("_"), order_date.cast("string")).alias("day_id"),
-        F.col("event_type").alias("store_id"),
+        F.concat(store, F.lit("_"), order_date.cast("string")).alias("day_id"),
+        store.alias("store_id"),
         F.col("event_id").alias("order_id"),
         F.col("user_id").cast("string").alias("receipt_id"),
         F.col("ts").alias("order_datetime"),
@@ -44,11 +49,11 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def daily_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_log(spark: SparkSession, sf_dir: str, store_col: str = "event_type") -> DataFrame:
     """Daily operations log (the reference's ``daily_chicken_log``)."""
     k = F.regexp_extract(F.col("props"), r"([0-9]+)", 1).cast("long")
     ev = _events(spark, sf_dir).select(
-        F.col("event_type").alias("store_id"),
+        F.col(store_col).cast("string").alias("store_id"),
         F.to_date("ts").alias("date"),
         F.hour("ts").alias("hh"),
         k.alias("k"),
