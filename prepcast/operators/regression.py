@@ -400,9 +400,10 @@ def forward_selection(df: DataFrame, target: str, candidates: list[str], groups:
     below ``best - margin`` (candidate order matters, as in the reference).
     Returns (trace: one row per group/step/candidate, result: one row per group).
 
-    The common sample and every step's small state (one row per group, or
-    per group and candidate) are checkpointed, so each step's plan is a scan
-    of checkpoint files and no cached plan lingers in the session.
+    The common sample and, per step, the folded state (one row per group,
+    carrying that step's scored candidate list for the trace) are
+    checkpointed: each step's plan is a scan of checkpoint files plus one
+    scoring pass, and no cached plan lingers in the session.
     """
     base_features = list(base_features or [])
     cols = [*base_features, *candidates]
@@ -415,23 +416,29 @@ def forward_selection(df: DataFrame, target: str, candidates: list[str], groups:
         *groups, F.lit("__start__").alias("model"), F.lit(None).cast("string").alias("candidate"),
         F.array(*[F.lit(b) for b in base_features]).cast("array<string>").alias("terms"),
     )
-    start = _score_models(sample, gram_all, start_models, target, cols, groups, checkpoint)
+
+    def fold(models: DataFrame, state: DataFrame | None) -> DataFrame:
+        """Score the step's models and fold them into the next state in one
+        checkpointed frame; rerun exactly only if some row had leverage 1."""
+        scored = _score_models(sample, gram_all, models, target, cols, groups)
+        out = _materialize(_fold_step(scored, state, groups, margin, order), checkpoint)
+        if out.filter(F.col("_lev1") > 0).limit(1).count() == 0:
+            return out
+        scored = _score_models(sample, gram_all, models, target, cols, groups, exact=True)
+        return _materialize(_fold_step(scored, state, groups, margin, order), checkpoint)
+
+    start = fold(start_models, None)
     state = start.select(
-        *groups,
-        F.array(*[F.lit(b) for b in base_features]).cast("array<string>").alias("selected"),
-        F.col("rmse").alias("current"), F.lit(True).alias("active"),
-    )
+        *groups, F.array(*[F.lit(b) for b in base_features]).cast("array<string>").alias("selected"), "current", "active")
     trace_parts = [start.select(*groups, F.lit(0).alias("step"), F.lit(None).cast("string").alias("candidate"),
-                                "rmse", F.lit(True).alias("chosen"))]
+                                F.col("current").alias("rmse"), F.lit(True).alias("chosen"))]
     steps = min(max_features - len(base_features), len(candidates))
     for step in range(1, steps + 1):
-        models = _step_models(state, candidates, groups)
-        scored = _score_models(sample, gram_all, models, target, cols, groups, checkpoint)
-        folded = _materialize(_fold_step(scored, state, groups, margin, order), checkpoint)
+        folded = fold(_step_models(state, candidates, groups), state)
         trace_parts.append(
-            scored.join(folded.select(*groups, "pick"), groups, "left").select(
-                *groups, F.lit(step).alias("step"), "candidate", "rmse",
-                (F.col("candidate") == F.col("pick")).alias("chosen"),
+            folded.select(*groups, "pick", F.explode("_c").alias("_e")).select(
+                *groups, F.lit(step).alias("step"), F.col("_e.candidate").alias("candidate"), F.col("_e.rmse").alias("rmse"),
+                (F.col("_e.candidate") == F.col("pick")).alias("chosen"),
             )
         )
         state = folded.select(
@@ -457,14 +464,13 @@ def _step_models(state: DataFrame, candidates: list[str], groups: list[str]) ->
 
 
 def _score_models(sample: DataFrame, gram_all: DataFrame, models: DataFrame, target: str, cols: list[str],
-                  groups: list[str], checkpoint: bool = True) -> DataFrame:
-    """LOOCV RMSE of each (group, model) whose terms differ per group.
+                  groups: list[str], exact: bool = False) -> DataFrame:
+    """LOOCV RMSE of each (group, model) whose terms differ per group (lazy).
 
     Sub-systems of the group's Gram matrix (over all columns) are solved per
-    model, then one PRESS pass scores them all. Only when some row has
-    leverage 1 (checked on the aggregated counts) is the exact refit path run.
-    The per-(group, model) scores are checkpointed, so callers reuse them
-    without recomputation.
+    model, then one PRESS pass scores them all. ``_lev1`` counts rows whose
+    leverage is 1 (PRESS undefined); with ``exact=True`` those rows are refitted
+    exactly (the caller reruns a step that way only when the count is non-zero).
     """
     m = models.join(gram_all, groups)
     full = ["const", *cols, "__y__"]
@@ -492,24 +498,39 @@ def _score_models(sample: DataFrame, gram_all: DataFrame, models: DataFrame, tar
 
     params = m.select(*groups, "model", "terms", "gall", "n").mapInPandas(run, schema)
     j = press_rows(sample, params, target, cols, groups)
-    quick = _materialize(j.groupBy(*groups, "model").agg(
-        F.sum(F.col("e_press") * F.col("e_press")).alias("_ss"), F.count(F.lit(1)).alias("_n"),
-        F.sum(F.when(F.col("e_press").isNull(), 1).otherwise(0)).alias("_lev1"),
-    ), checkpoint)
     names = models.select(*groups, "model", "candidate")
-    if (quick.agg(F.sum("_lev1")).first()[0] or 0) == 0:
-        out = quick.select(*groups, "model", _round(F.sqrt(F.col("_ss") / F.col("_n"))).alias("rmse"))
+    if exact:
+        fixed = with_exact_loo(j)
+        out = fixed.groupBy(*groups, "model").agg(
+            _round(F.sqrt(F.avg(F.col("e_loo") * F.col("e_loo")))).alias("rmse"), F.lit(0).alias("_lev1"))
         return out.join(names, [*groups, "model"])
-    fixed = with_exact_loo(j)
-    out = fixed.groupBy(*groups, "model").agg(_round(F.sqrt(F.avg(F.col("e_loo") * F.col("e_loo")))).alias("rmse"))
-    return _materialize(out.join(names, [*groups, "model"]), checkpoint)
+    quick = j.groupBy(*groups, "model").agg(
+        F.sum(F.col("e_press") * F.col("e_press")).alias("_ss"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.when(F.col("e_press").isNull(), 1).otherwise(0)).alias("_lev1"),
+    )
+    out = quick.select(*groups, "model", _round(F.sqrt(F.col("_ss") / F.col("_n"))).alias("rmse"), "_lev1")
+    return out.join(names, [*groups, "model"])
+
 
+def _fold_step(scored: DataFrame, state: DataFrame | None, groups: list[str], margin: float,
+               order: dict[str, int]) -> DataFrame:
+    """Running-best fold over each group's candidates in list order.
 
-def _fold_step(scored: DataFrame, state: DataFrame, groups: list[str], margin: float, order: dict[str, int]) -> DataFrame:
-    """Running-best fold over the group's candidates in list order."""
+    Output per group: selected, current, active, best, pick, the scored
+    candidate list ``_c`` (for the trace) and ``_lev1`` (rows whose leverage
+    was 1). With ``state=None`` (the starting model) the score itself becomes
+    the current RMSE.
+    """
+    if state is None:
+        return scored.select(
+            *groups, F.array().cast("array<string>").alias("selected"), F.col("rmse").alias("current"),
+            F.lit(True).alias("active"), F.col("rmse").alias("best"), F.lit(None).cast("string").alias("pick"),
+            F.array().cast("array<struct<_ord:int,candidate:string,rmse:double>>").alias("_c"), "_lev1",
+        )
     ordmap = F.create_map(*[x for cname, i in order.items() for x in (F.lit(cname), F.lit(i))])
     s = scored.withColumn("_ord", ordmap[F.col("candidate")])
-    lists = s.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("_ord", "candidate", "rmse"))).alias("_c"))
+    lists = s.groupBy(*groups).agg(
+        F.array_sort(F.collect_list(F.struct("_ord", "candidate", "rmse"))).alias("_c"), F.max("_lev1").alias("_lev1"))
     j = state.filter("active").join(lists, groups, "left")
     fold = F.aggregate(
         "_c",
@@ -518,11 +539,12 @@ def _fold_step(scored: DataFrame, state: DataFrame, groups: list[str], margin: f
                               F.struct(x["rmse"].alias("best"), x["candidate"].alias("pick"))).otherwise(acc),
     )
     j = j.withColumn("_f", fold)
-    inactive = state.filter(~F.col("active")).select(*groups, "selected", "current", "active",
-                                                     F.lit(None).cast("double").alias("best"),
-                                                     F.lit(None).cast("string").alias("pick"))
+    inactive = state.filter(~F.col("active")).select(
+        *groups, "selected", "current", "active", F.lit(None).cast("double").alias("best"),
+        F.lit(None).cast("string").alias("pick"),
+        F.array().cast("array<struct<_ord:int,candidate:string,rmse:double>>").alias("_c"), F.lit(0).cast("long").alias("_lev1"))
     return j.select(*groups, "selected", "current", "active", F.col("_f.best").alias("best"),
-                    F.col("_f.pick").alias("pick")).unionByName(inactive)
+                    F.col("_f.pick").alias("pick"), "_c", F.coalesce("_lev1", F.lit(0).cast("long")).alias("_lev1")).unionByName(inactive)
 
 
 # --------------------------------------------------------------------------
