@@ -29,7 +29,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str, store_col: str = "event_type") -> DataFrame:
-    """Order-line log (the reference's ``order_detail_log``).
+    """Order-line log: one row per receipt line, N per store-day.
 
     ``store_col`` picks the events column that plays the store (``user_id``
     gives the many-entity variant used by the scale test).
@@ -50,7 +50,7 @@ def order_lines(spark: SparkSession, sf_dir: str, store_col: str = "event_type")
 
 
 def daily_log(spark: SparkSession, sf_dir: str, store_col: str = "event_type") -> DataFrame:
-    """Daily operations log (the reference's ``daily_chicken_log``)."""
+    """Daily operations log: one row per store-day (preparation amounts, leftovers, flags)."""
     k = F.regexp_extract(F.col("props"), r"([0-9]+)", 1).cast("long")
     ev = _events(spark, sf_dir).select(
         F.col(store_col).cast("string").alias("store_id"),
