@@ -44,14 +44,14 @@ def order_lines(spark: SparkSession, sf_dir: str, store_col: str = "event_type")
         F.col("user_id").cast("string").alias("receipt_id"),
         F.col("ts").alias("order_datetime"),
         order_date.alias("order_date"),
-        (F.regexp_extract("props", r"([0-9]+)", 1).cast("int") % 3 + 1).alias("qty"),
+        (F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int") % 3 + 1).alias("qty"),
         F.col("value").alias("amount_g"),
     )
 
 
 def daily_log(spark: SparkSession, sf_dir: str, store_col: str = "event_type") -> DataFrame:
     """Daily operations log: one row per store-day (preparation amounts, leftovers, flags)."""
-    k = F.regexp_extract(F.col("props"), r"([0-9]+)", 1).cast("long")
+    k = F.regexp_extract(F.col("props"), r"([0-9]+)", 1).try_cast("long")
     ev = _events(spark, sf_dir).select(
         F.col(store_col).cast("string").alias("store_id"),
         F.to_date("ts").alias("date"),
@@ -101,7 +101,7 @@ odl AS (
            CAST(user_id AS VARCHAR) AS receipt_id,
            ts AS order_datetime,
            CAST(ts AS DATE) AS order_date,
-           CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 3 + 1 AS qty,
+           TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 3 + 1 AS qty,
            value AS amount_g
     FROM events
 ),
@@ -109,9 +109,9 @@ dcl_src AS (
     SELECT event_type AS store_id, CAST(ts AS DATE) AS date,
            COUNT(*) AS n,
            SUM(CAST(round(value * 100) AS BIGINT)) AS cents,
-           SUM(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS ksum,
-           MAX(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS kmax,
-           MIN(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS kmin,
+           SUM(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS ksum,
+           MAX(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS kmax,
+           MIN(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS kmin,
            SUM(CASE WHEN hour(ts) >= 19 THEN 1 ELSE 0 END) AS late
     FROM events
     GROUP BY 1, 2
