@@ -56,6 +56,7 @@ def daily_log(spark: SparkSession, sf_dir: str, store_col: str = "event_type") -
         F.col(store_col).cast("string").alias("store_id"),
         F.to_date("ts").alias("date"),
         F.hour("ts").alias("hh"),
+        F.col("ts"),
         k.alias("k"),
         F.round(F.col("value") * 100).cast("long").alias("cents"),
     )
@@ -66,6 +67,8 @@ def daily_log(spark: SparkSession, sf_dir: str, store_col: str = "event_type") -
         F.max("k").alias("kmax"),
         F.min("k").alias("kmin"),
         F.sum(F.when(F.col("hh") >= 19, 1).otherwise(0)).alias("late"),
+        F.min(F.when(F.col("hh") >= 19, F.col("ts"))).alias("first_late_ts"),
+        F.max("ts").alias("last_ts"),
     )
     dow = F.weekday("date") + 1  # 1 = Monday
     first_c = F.expr("(cents * (60 + ksum % 31)) div 100000")
@@ -74,6 +77,7 @@ def daily_log(spark: SparkSession, sf_dir: str, store_col: str = "event_type") -
     def hundredths(x):
         return x.cast("double") / F.lit(100.0)
 
+    late = F.col("late") > 0
     return day.select(
         F.concat(F.col("store_id"), F.lit("_"), F.col("date").cast("string")).alias("day_id"),
         "store_id",
@@ -81,13 +85,21 @@ def daily_log(spark: SparkSession, sf_dir: str, store_col: str = "event_type") -
         weekday_label(F.col("date")).alias("day_of_week"),
         F.when(F.col("kmin") % 4 == 0, 1).otherwise(0).alias("is_rain"),
         F.when(F.col("n") % 13 == 0, F.lit(None)).when(dow >= 6, 1).otherwise(0).cast("int").alias("is_holiday"),
+        F.when(dow >= 6, F.lit("1")).otherwise(F.lit("-")).alias("long_weekend"),
+        F.lit(None).cast("string").alias("long_weekend_note"),
         F.when(dow == 5, 1).otherwise(0).alias("is_pre_holiday"),
+        F.lit(None).cast("string").alias("special_day"),
+        F.when(F.col("kmax") % 10 == 0, 1).otherwise(0).alias("is_substitute"),
         hundredths(F.expr("(cents * (60 + ksum % 31)) div 100000 * 100 div 88")).alias("first_raw_kg"),
         hundredths(first_c).alias("first_fried_kg"),
-        F.when(F.col("late") > 0, 1).otherwise(0).alias("is_refried"),
-        F.when(F.col("late") > 0, hundredths(F.expr("(cents * (25 + kmax % 21)) div 100000 * 100 div 88"))).alias("second_raw_kg"),
-        F.when(F.col("late") > 0, hundredths(second_c)).alias("second_fried_kg"),
+        F.when(late, 1).otherwise(0).alias("is_refried"),
+        F.when(late, F.expr("cents * (kmin % 5) div 1000").cast("double")).alias("pre_refry_left_g"),
+        F.date_format("first_late_ts", "HH:mm:ss").alias("refry_time"),
+        F.when(late, hundredths(F.expr("(cents * (25 + kmax % 21)) div 100000 * 100 div 88"))).alias("second_raw_kg"),
+        F.when(late, hundredths(second_c)).alias("second_fried_kg"),
         F.expr("cents * (kmin % 9) div 1000").cast("double").alias("end_g"),
+        F.date_format("last_ts", "HH:mm:ss").alias("close_time"),
+        F.lit(None).cast("string").alias("remark"),
         F.when(F.dayofmonth("date") >= 15, (F.col("n") % 7).cast("double") / F.lit(10.0)).alias("plus_kg"),
     )
 
@@ -112,7 +124,9 @@ dcl_src AS (
            SUM(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS ksum,
            MAX(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS kmax,
            MIN(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS kmin,
-           SUM(CASE WHEN hour(ts) >= 19 THEN 1 ELSE 0 END) AS late
+           SUM(CASE WHEN hour(ts) >= 19 THEN 1 ELSE 0 END) AS late,
+           MIN(CASE WHEN hour(ts) >= 19 THEN ts END) AS first_late_ts,
+           MAX(ts) AS last_ts
     FROM events
     GROUP BY 1, 2
 ),
@@ -121,13 +135,21 @@ dcl AS (
            list_extract(['월','화','수','목','금','토','일'], isodow(date)) AS day_of_week,
            CASE WHEN kmin % 4 = 0 THEN 1 ELSE 0 END AS is_rain,
            CAST(CASE WHEN n % 13 = 0 THEN NULL WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS INTEGER) AS is_holiday,
+           CASE WHEN isodow(date) >= 6 THEN '1' ELSE '-' END AS long_weekend,
+           CAST(NULL AS VARCHAR) AS long_weekend_note,
            CASE WHEN isodow(date) = 5 THEN 1 ELSE 0 END AS is_pre_holiday,
+           CAST(NULL AS VARCHAR) AS special_day,
+           CASE WHEN kmax % 10 = 0 THEN 1 ELSE 0 END AS is_substitute,
            CAST((cents * (60 + ksum % 31)) // 100000 * 100 // 88 AS DOUBLE) / 100.0 AS first_raw_kg,
            CAST((cents * (60 + ksum % 31)) // 100000 AS DOUBLE) / 100.0 AS first_fried_kg,
            CASE WHEN late > 0 THEN 1 ELSE 0 END AS is_refried,
+           CASE WHEN late > 0 THEN CAST(cents * (kmin % 5) // 1000 AS DOUBLE) END AS pre_refry_left_g,
+           strftime(first_late_ts, '%H:%M:%S') AS refry_time,
            CASE WHEN late > 0 THEN CAST((cents * (25 + kmax % 21)) // 100000 * 100 // 88 AS DOUBLE) / 100.0 END AS second_raw_kg,
            CASE WHEN late > 0 THEN CAST((cents * (25 + kmax % 21)) // 100000 AS DOUBLE) / 100.0 END AS second_fried_kg,
            CAST(cents * (kmin % 9) // 1000 AS DOUBLE) AS end_g,
+           strftime(last_ts, '%H:%M:%S') AS close_time,
+           CAST(NULL AS VARCHAR) AS remark,
            CASE WHEN dayofmonth(date) >= 15 THEN CAST(n % 7 AS DOUBLE) / 10.0 END AS plus_kg
     FROM dcl_src
 )"""

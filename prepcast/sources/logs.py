@@ -34,13 +34,21 @@ DAILY_LOG_SCHEMA = T.StructType([
     T.StructField("day_of_week", T.StringType(), True),
     T.StructField("is_rain", T.IntegerType(), True),
     T.StructField("is_holiday", T.IntegerType(), True),
+    T.StructField("long_weekend", T.StringType(), True),
+    T.StructField("long_weekend_note", T.StringType(), True),
     T.StructField("is_pre_holiday", T.IntegerType(), True),
+    T.StructField("special_day", T.StringType(), True),
+    T.StructField("is_substitute", T.IntegerType(), True),
     T.StructField("first_raw_kg", T.DoubleType(), True),
     T.StructField("first_fried_kg", T.DoubleType(), True),
     T.StructField("is_refried", T.IntegerType(), True),
+    T.StructField("pre_refry_left_g", T.DoubleType(), True),
+    T.StructField("refry_time", T.StringType(), True),    # TIME as 'HH:mm:ss'
     T.StructField("second_raw_kg", T.DoubleType(), True),
     T.StructField("second_fried_kg", T.DoubleType(), True),
     T.StructField("end_g", T.DoubleType(), True),
+    T.StructField("close_time", T.StringType(), True),    # TIME as 'HH:mm:ss'
+    T.StructField("remark", T.StringType(), True),
     T.StructField("plus_kg", T.DoubleType(), True),
 ])
 DAILY_LOG_REQUIRED = ["day_id", "date"]
