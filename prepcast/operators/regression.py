@@ -178,18 +178,17 @@ def ols_summary(df: DataFrame, cols: list[str], target: str, groups: list[str],
                 with_p: bool = True) -> DataFrame:
     """Long summary: one row per (group, term) with coef / se / t (/ p) and the model's fit statistics."""
     j = ols_long(model_grams(df, {model: cols}, target, groups), groups)
-    out = j.select(
+    extra = []
+    if with_p:
+        extra = [_round(dist.t_pvalue(F.col("t"), F.col("df_resid").cast("double"))).alias("p"),
+                 _round(dist.f_pvalue(F.col("F"), F.col("k").cast("double"), F.col("df_resid").cast("double"))).alias("F_p")]
+    return j.select(
         *groups, "model", "term",
         _round(F.col("coef")).alias("coef"), _round(F.col("se")).alias("se"), _round(F.col("t")).alias("t"),
         "n", "k", "df_resid",
         _round(F.col("r2")).alias("r2"), _round(F.col("adj_r2")).alias("adj_r2"), _round(F.col("F")).alias("F"),
+        *extra,
     )
-    if with_p:
-        out = out.withColumns({
-            "p": _round(dist.t_pvalue(F.col("t"), F.col("df_resid").cast("double"))),
-            "F_p": _round(dist.f_pvalue(F.col("F"), F.col("k").cast("double"), F.col("df_resid").cast("double"))),
-        })
-    return out
 
 
 def coefficients(df: DataFrame, cols: list[str], target: str, groups: list[str], model: str = "ols") -> DataFrame:
@@ -203,6 +202,18 @@ def coefficients(df: DataFrame, cols: list[str], target: str, groups: list[str],
 # --------------------------------------------------------------------------
 
 def single_feature_scan(df: DataFrame, features: list[str], target: str, groups: list[str]) -> DataFrame:
+    """Per feature: n, R², adjusted R², slope and its t (own complete cases), via regr_*.
+
+    Carries the unrounded t as ``_t`` for ``with_slope_p``; use ``scan_result`` to drop it.
+    """
+    return _single_feature_scan(df, features, target, groups)
+
+
+def scan_result(scan: DataFrame) -> DataFrame:
+    return scan.drop("_t")
+
+
+def _single_feature_scan(df: DataFrame, features: list[str], target: str, groups: list[str]) -> DataFrame:
     """Per feature: n, R², adjusted R², slope, its t and p (own complete cases), via regr_*."""
     parts = []
     for f in features:
@@ -227,12 +238,13 @@ def single_feature_scan(df: DataFrame, features: list[str], target: str, groups:
     return long.select(
         *groups, "feature", "n",
         _round(F.col("r2")).alias("r2"), _round(adj).alias("adj_r2"),
-        _round(F.col("slope")).alias("slope"), _round(t).alias("t"),
+        _round(F.col("slope")).alias("slope"), _round(t).alias("t"), t.alias("_t"),
     )
 
 
 def with_slope_p(scan: DataFrame) -> DataFrame:
-    return scan.withColumn("p", _round(dist.t_pvalue(F.col("t"), (F.col("n") - 2).cast("double"))))
+    """Add the slope's two-sided p (from the unrounded t, n - 2 df)."""
+    return scan.withColumn("p", _round(dist.t_pvalue(F.col("_t"), (F.col("n") - 2).cast("double")))).drop("_t")
 
 
 def stepwise_scan(df: DataFrame, selected: list[str], remaining: list[str], target: str, groups: list[str],
@@ -240,14 +252,12 @@ def stepwise_scan(df: DataFrame, selected: list[str], remaining: list[str], targ
     """Add each remaining candidate to ``selected``: R², adj R², t (and p) of the added term."""
     models = {f: [*selected, f] for f in remaining}
     j = ols_long(model_grams(df, models, target, groups), groups).filter(F.col("term") == F.col("model"))
-    out = j.select(
+    extra = [_round(dist.t_pvalue(F.col("t"), F.col("df_resid").cast("double"))).alias("p")] if with_p else []
+    return j.select(
         *groups, F.col("model").alias("added"), "n", "k", "df_resid",
         _round(F.col("r2")).alias("r2"), _round(F.col("adj_r2")).alias("adj_r2"),
-        _round(F.col("t")).alias("t"),
+        _round(F.col("t")).alias("t"), *extra,
     )
-    if with_p:
-        out = out.withColumn("p", _round(dist.t_pvalue(F.col("t"), F.col("df_resid").cast("double"))))
-    return out
 
 
 # --------------------------------------------------------------------------

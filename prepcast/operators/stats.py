@@ -34,11 +34,24 @@ def ttest_1samp(df: DataFrame, value: str, popmean: float, groups: list[str], wi
     )
     t = div(F.col("mean") - F.lit(float(popmean)), F.col("sd") / F.sqrt("n"))
     out = a.select(*groups, "n", _r(F.col("mean")).alias("mean"), _r(F.col("sd")).alias("sd"),
-                   _r(t).alias("t"), (F.col("n") - 1).alias("df"))
+                   t.alias("_t"), (F.col("n") - 1).alias("df"))
+    return _finish_t(out, with_p)
+
+
+def _finish_t(out: DataFrame, with_p: bool) -> DataFrame:
+    """Round the statistic ``_t`` into ``t``; with_p adds p (from the unrounded t) and the decision."""
     if with_p:
-        out = out.withColumn("p", dist.t_pvalue("t", F.col("df").cast("double")))
+        out = out.withColumn("p", _r(dist.t_pvalue(F.col("_t"), F.col("df").cast("double"))))
         out = out.withColumn("decision", decision(F.col("p")))
-    return out
+    return out.withColumn("t", _r(F.col("_t"))).drop("_t")
+
+
+def _finish_f(out: DataFrame, with_p: bool) -> DataFrame:
+    """Round ``_F`` into ``F``; with_p adds p (from the unrounded F) and the decision."""
+    if with_p:
+        out = out.withColumn("p", _r(dist.f_pvalue(F.col("_F"), F.col("df1").cast("double"), F.col("df2").cast("double"))))
+        out = out.withColumn("decision", decision(F.col("p")))
+    return out.withColumn("F", _r(F.col("_F"))).drop("_F")
 
 
 def ttest_rel(df: DataFrame, x: str, y: str, groups: list[str], with_p: bool = False) -> DataFrame:
@@ -47,11 +60,8 @@ def ttest_rel(df: DataFrame, x: str, y: str, groups: list[str], with_p: bool = F
     a = d.groupBy(*groups).agg(F.count("_d").alias("n"), F.avg("_d").alias("mean_diff"), F.stddev_samp("_d").alias("sd_diff"))
     t = div(F.col("mean_diff"), F.col("sd_diff") / F.sqrt("n"))
     out = a.select(*groups, "n", _r(F.col("mean_diff")).alias("mean_diff"), _r(F.col("sd_diff")).alias("sd_diff"),
-                   _r(t).alias("t"), (F.col("n") - 1).alias("df"))
-    if with_p:
-        out = out.withColumn("p", dist.t_pvalue("t", F.col("df").cast("double")))
-        out = out.withColumn("decision", decision(F.col("p")))
-    return out
+                   t.alias("_t"), (F.col("n") - 1).alias("df"))
+    return _finish_t(out, with_p)
 
 
 def cohens_d(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
@@ -77,11 +87,8 @@ def ttest_ind(df: DataFrame, value: str, label: str, groups: list[str], a_level=
     sp2 = div((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b"), dfree)
     t = div(F.col("mean_a") - F.col("mean_b"), F.sqrt(sp2 * (F.lit(1.0) / F.col("n_a") + F.lit(1.0) / F.col("n_b"))))
     out = s.select(*groups, "n_a", "n_b", _r(F.col("mean_a")).alias("mean_a"), _r(F.col("mean_b")).alias("mean_b"),
-                   _r(t).alias("t"), dfree.alias("df"))
-    if with_p:
-        out = out.withColumn("p", dist.t_pvalue("t", F.col("df").cast("double")))
-        out = out.withColumn("decision", decision(F.col("p")))
-    return out
+                   t.alias("_t"), dfree.alias("df"))
+    return _finish_t(out, with_p)
 
 
 def _oneway(df: DataFrame, value: str, label: str, groups: list[str]) -> DataFrame:
@@ -98,7 +105,7 @@ def _oneway(df: DataFrame, value: str, label: str, groups: list[str]) -> DataFra
     ssb = F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["ni"] * (c["mi"] - F.col("grand")) ** 2)
     d1, d2 = F.col("k") - 1, F.col("N") - F.col("k")
     fstat = div(ssb / d1, F.col("ssw") / d2)
-    return tot.select(*groups, "k", "N", _r(fstat).alias("F"), d1.alias("df1"), d2.alias("df2"))
+    return tot.select(*groups, "k", "N", fstat.alias("_F"), d1.alias("df1"), d2.alias("df2"))
 
 
 def anova(df: DataFrame, value: str, label: str, groups: list[str], levels: list | None = DUMMY_LEVELS,
@@ -107,11 +114,7 @@ def anova(df: DataFrame, value: str, label: str, groups: list[str], levels: list
     v = df.filter(F.col(value).isNotNull())
     if levels is not None:
         v = v.filter(F.col(label).isin(*levels))
-    out = _oneway(v, value, label, groups)
-    if with_p:
-        out = out.withColumn("p", dist.f_pvalue("F", F.col("df1").cast("double"), F.col("df2").cast("double")))
-        out = out.withColumn("decision", decision(F.col("p")))
-    return out
+    return _finish_f(_oneway(v, value, label, groups), with_p)
 
 
 def levene(df: DataFrame, value: str, label: str, groups: list[str], levels: list | None = DUMMY_LEVELS,
@@ -122,11 +125,7 @@ def levene(df: DataFrame, value: str, label: str, groups: list[str], levels: lis
         v = v.filter(F.col(label).isin(*levels))
     med = v.groupBy(*groups, label).agg(F.percentile(value, 0.5).alias("_med"))
     z = v.join(med, [*groups, label]).withColumn("_z", F.abs(F.col(value) - F.col("_med")))
-    out = _oneway(z, "_z", label, groups)
-    if with_p:
-        out = out.withColumn("p", dist.f_pvalue("F", F.col("df1").cast("double"), F.col("df2").cast("double")))
-        out = out.withColumn("decision", decision(F.col("p")))
-    return out
+    return _finish_f(_oneway(z, "_z", label, groups), with_p)
 
 
 # Fixed coefficients of Royston's polynomial corrections for the two largest weights.

@@ -139,3 +139,31 @@ H3 = f"""
 h3 AS (
     SELECT store_id, day_id, date, day_of_week, ({_s1}) AS cumul_16_19, ({_s2}) AS cumul_20_22 FROM tt
 )"""
+
+
+def T_P(t: str, nu: str) -> str:
+    """Two-sided Student-t tail for integer df by the finite series in theta = atan(|t|/sqrt(nu))."""
+    th = f"atan(abs({t}) / sqrt({nu}))"
+    c, s = f"cos({th})", f"sin({th})"
+    odd = (f"(2.0 / pi()) * ({th} + {s} * {c} * coalesce(list_sum(list_transform(range(0, ({nu} - 1) // 2), "
+           f"lambda j: coalesce(list_product(list_transform(range(1, j + 1), lambda i: (2.0 * i) / (2.0 * i + 1.0))), 1.0)"
+           f" * pow({c}, 2 * j))), 0.0))")
+    even = (f"{s} * list_sum(list_transform(range(0, {nu} // 2), "
+            f"lambda j: coalesce(list_product(list_transform(range(1, j + 1), lambda i: (2.0 * i - 1.0) / (2.0 * i))), 1.0)"
+            f" * pow({c}, 2 * j)))")
+    return f"(CASE WHEN {t} IS NULL OR {nu} IS NULL OR {nu} <= 0 THEN NULL WHEN {nu} % 2 = 1 THEN 1.0 - {odd} ELSE 1.0 - {even} END)"
+
+
+def F_P(f: str, d1: str, d2: str) -> str:
+    """Upper F tail when either df is even (finite series); NULL otherwise."""
+    x = f"({d2} / ({d2} + {d1} * {f}))"
+    even1 = (f"pow({x}, {d2} / 2.0) * list_sum(list_transform(range(0, {d1} // 2), "
+             f"lambda i: exp(lgamma({d2} / 2.0 + i) - lgamma({d2} / 2.0) - lgamma(i + 1.0)) * pow(1 - {x}, i)))")
+    even2 = (f"1 - pow(1 - {x}, {d1} / 2.0) * list_sum(list_transform(range(0, {d2} // 2), "
+             f"lambda i: exp(lgamma({d1} / 2.0 + i) - lgamma({d1} / 2.0) - lgamma(i + 1.0)) * pow({x}, i)))")
+    return (f"(CASE WHEN {f} IS NULL OR {d1} <= 0 OR {d2} <= 0 THEN NULL WHEN {f} <= 0 THEN 1.0 "
+            f"WHEN {d1} % 2 = 0 THEN {even1} WHEN {d2} % 2 = 0 THEN {even2} END)")
+
+
+def DECISION(p: str) -> str:
+    return f"(CASE WHEN {p} IS NULL THEN NULL WHEN {p} < 0.05 THEN 'reject' ELSE 'keep' END)"

@@ -12,7 +12,7 @@ from prepcast.functions.columns import DUMMY_LEVELS, THU
 from prepcast.operators import features, stats
 from prepcast.plans import tables as T
 from prepcast.plans.catalog import register
-from prepcast.plans.oracle_sql import DAYT, FEATURE_CTES, H1, H3, D, R, sql
+from prepcast.plans.oracle_sql import DAYT, DECISION, F_P, FEATURE_CTES, H1, H3, T_P, D, R, sql
 
 STORE = ["store_id"]
 POPMEAN = 20000.0  # reference's hypothesised daily mean (20 kg)
@@ -24,16 +24,33 @@ def r6(x: str) -> str:
     return R(x, 6)
 
 
-@register("st_ttest_1samp", sql((DAYT, H1), f"""
+def _with_t(cols: str, t: str, src: str, with_p: bool) -> str:
+    """SELECT cols, t (rounded) [, p, decision] FROM src, where src exposes the raw t as _t."""
+    if not with_p:
+        return f"SELECT {cols}, {r6(t)} AS t FROM ({src}) q"
+    p = r6(T_P("_t", "df"))
+    return f"SELECT {cols}, {r6(t)} AS t, {p} AS p, {DECISION(p)} AS decision FROM ({src}) q"
+
+
+def _with_f(cols: str, src: str, with_p: bool) -> str:
+    if not with_p:
+        return f"SELECT {cols}, {r6('_F')} AS F FROM ({src}) q"
+    p = r6(F_P("_F", "df1", "df2"))
+    return f"SELECT {cols}, {r6('_F')} AS F, {p} AS p, {DECISION(p)} AS decision FROM ({src}) q"
+
+
+_T1 = f"""
 SELECT store_id, COUNT(sum_g) AS n, {r6('AVG(sum_g)')} AS mean, {r6('STDDEV_SAMP(sum_g)')} AS sd,
-       {r6(D(f'AVG(sum_g) - {POPMEAN}', 'STDDEV_SAMP(sum_g) / SQRT(COUNT(sum_g))'))} AS t,
-       COUNT(sum_g) - 1 AS df
-FROM h1 GROUP BY store_id"""))
+       {D(f'AVG(sum_g) - {POPMEAN}', 'STDDEV_SAMP(sum_g) / SQRT(COUNT(sum_g))')} AS _t, COUNT(sum_g) - 1 AS df
+FROM h1 GROUP BY store_id"""
+
+
+@register("st_ttest_1samp", sql((DAYT, H1), _with_t("store_id, n, mean, sd, df", "_t", _T1, False)))
 def st_ttest_1samp(spark, sf):
     return stats.ttest_1samp(T.h1(spark, sf), "sum_g", POPMEAN, STORE)
 
 
-@register("st_ttest_1samp_pvalue")
+@register("st_ttest_1samp_pvalue", sql((DAYT, H1), _with_t("store_id, n, mean, sd, df", "_t", _T1, True)))
 def st_ttest_1samp_pvalue(spark, sf):
     return stats.ttest_1samp(T.h1(spark, sf), "sum_g", POPMEAN, STORE, with_p=True)
 
@@ -51,12 +68,14 @@ tot AS (
 )"""
 
 
-_ONEWAY_BODY = f"""
+_ONEWAY_SRC = f"""
 SELECT t.store_id, t.k, t.N,
-       {r6(D('SUM(c.ni * (c.mi - t.grand) * (c.mi - t.grand)) / (t.k - 1)', 't.ssw / (t.N - t.k)'))} AS F,
+       {D('SUM(c.ni * (c.mi - t.grand) * (c.mi - t.grand)) / (t.k - 1)', 't.ssw / (t.N - t.k)')} AS _F,
        t.k - 1 AS df1, t.N - t.k AS df2
 FROM tot t JOIN cell c ON c.store_id = t.store_id
 GROUP BY t.store_id, t.k, t.N, t.ssw, t.grand"""
+_ONEWAY_BODY = _with_f("store_id, k, N, df1, df2", _ONEWAY_SRC, False)
+_ONEWAY_BODY_P = _with_f("store_id, k, N, df1, df2", _ONEWAY_SRC, True)
 
 
 @register("st_anova", sql((DAYT, H1, _oneway_sql("h1", "sum_g", "day_of_week", f"day_of_week IN ({LEVELS_SQL})")),
@@ -65,7 +84,8 @@ def st_anova(spark, sf):
     return stats.anova(T.h1(spark, sf), "sum_g", "day_of_week", STORE)
 
 
-@register("st_anova_pvalue")
+@register("st_anova_pvalue", sql((DAYT, H1, _oneway_sql("h1", "sum_g", "day_of_week", f"day_of_week IN ({LEVELS_SQL})")),
+                                 _ONEWAY_BODY_P))
 def st_anova_pvalue(spark, sf):
     return stats.anova(T.h1(spark, sf), "sum_g", "day_of_week", STORE, with_p=True)
 
@@ -87,7 +107,7 @@ def st_levene(spark, sf):
     return stats.levene(T.h1(spark, sf), "sum_g", "day_of_week", STORE)
 
 
-@register("st_levene_pvalue")
+@register("st_levene_pvalue", sql((DAYT, H1, _LEV, _oneway_sql("zt", "z", "day_of_week", "TRUE")), _ONEWAY_BODY_P))
 def st_levene_pvalue(spark, sf):
     return stats.levene(T.h1(spark, sf), "sum_g", "day_of_week", STORE, with_p=True)
 
@@ -96,20 +116,23 @@ def _cond(agg: str, lv: int) -> str:
     return f"{agg}(CASE WHEN is_pre_holiday = {lv} THEN sum_g END)"
 
 
-@register("st_ttest_ind", sql((DAYT, H1), f"""
+_TI = f"""
 SELECT store_id, n_a, n_b, {r6('mean_a')} AS mean_a, {r6('mean_b')} AS mean_b,
-       {r6(D('mean_a - mean_b', 'SQRT(' + D('(n_a - 1) * var_a + (n_b - 1) * var_b', 'n_a + n_b - 2') + ' * (1.0 / n_a + 1.0 / n_b))'))} AS t,
+       {D('mean_a - mean_b', 'SQRT(' + D('(n_a - 1) * var_a + (n_b - 1) * var_b', 'n_a + n_b - 2') + ' * (1.0 / n_a + 1.0 / n_b))')} AS _t,
        n_a + n_b - 2 AS df
 FROM (
     SELECT store_id, {_cond('COUNT', 0)} AS n_a, {_cond('AVG', 0)} AS mean_a, {_cond('VAR_SAMP', 0)} AS var_a,
            {_cond('COUNT', 1)} AS n_b, {_cond('AVG', 1)} AS mean_b, {_cond('VAR_SAMP', 1)} AS var_b
     FROM h1 WHERE sum_g IS NOT NULL AND is_pre_holiday IN (0, 1) GROUP BY store_id
-) s"""))
+) s"""
+
+
+@register("st_ttest_ind", sql((DAYT, H1), _with_t("store_id, n_a, n_b, mean_a, mean_b, df", "_t", _TI, False)))
 def st_ttest_ind(spark, sf):
     return stats.ttest_ind(T.h1(spark, sf), "sum_g", "is_pre_holiday", STORE)
 
 
-@register("st_ttest_ind_pvalue")
+@register("st_ttest_ind_pvalue", sql((DAYT, H1), _with_t("store_id, n_a, n_b, mean_a, mean_b, df", "_t", _TI, True)))
 def st_ttest_ind_pvalue(spark, sf):
     return stats.ttest_ind(T.h1(spark, sf), "sum_g", "is_pre_holiday", STORE, with_p=True)
 
@@ -117,15 +140,18 @@ def st_ttest_ind_pvalue(spark, sf):
 _PAIRS = "(SELECT store_id, cumul_16_19 - cumul_20_22 AS d FROM h3 WHERE cumul_16_19 IS NOT NULL AND cumul_20_22 IS NOT NULL)"
 
 
-@register("st_ttest_rel", sql(H3_CTES, f"""
+_TR = f"""
 SELECT store_id, COUNT(d) AS n, {r6('AVG(d)')} AS mean_diff, {r6('STDDEV_SAMP(d)')} AS sd_diff,
-       {r6(D('AVG(d)', 'STDDEV_SAMP(d) / SQRT(COUNT(d))'))} AS t, COUNT(d) - 1 AS df
-FROM {_PAIRS} p GROUP BY store_id"""))
+       {D('AVG(d)', 'STDDEV_SAMP(d) / SQRT(COUNT(d))')} AS _t, COUNT(d) - 1 AS df
+FROM {_PAIRS} p GROUP BY store_id"""
+
+
+@register("st_ttest_rel", sql(H3_CTES, _with_t("store_id, n, mean_diff, sd_diff, df", "_t", _TR, False)))
 def st_ttest_rel(spark, sf):
     return stats.ttest_rel(T.h3(spark, sf), "cumul_16_19", "cumul_20_22", STORE)
 
 
-@register("st_ttest_rel_pvalue")
+@register("st_ttest_rel_pvalue", sql(H3_CTES, _with_t("store_id, n, mean_diff, sd_diff, df", "_t", _TR, True)))
 def st_ttest_rel_pvalue(spark, sf):
     return stats.ttest_rel(T.h3(spark, sf), "cumul_16_19", "cumul_20_22", STORE, with_p=True)
 

@@ -13,7 +13,7 @@ from prepcast.operators import backtest, corr, influence, regression
 from prepcast.operators.features import FEATURE_COLUMNS
 from prepcast.plans import tables as T
 from prepcast.plans.catalog import register
-from prepcast.plans.oracle_sql import FEATURE_CTES, R, sql
+from prepcast.plans.oracle_sql import F_P, FEATURE_CTES, T_P, R, sql
 
 STORE = ["store_id"]
 T1, T2 = "cumul_16_19", "cumul_20_22"
@@ -140,7 +140,7 @@ def cor_select(spark, sf):
 
 # ----------------------------------------------------------------- regression
 
-def _scan_sql(target: str, feats: list[str]) -> str:
+def _scan_sql(target: str, feats: list[str], with_p: bool = False) -> str:
     parts = []
     for f in feats:
         n = f"regr_count({target}, {f})"
@@ -149,17 +149,19 @@ def _scan_sql(target: str, feats: list[str]) -> str:
         parts.append(
             f"SELECT store_id, '{f}' AS feature, CAST({n} AS BIGINT) AS n, {r4(f'regr_r2({target}, {f})')} AS r2, "
             f"{r4(f'CASE WHEN {n} - 2 > 0 THEN 1 - (1 - regr_r2({target}, {f})) * ({n} - 1) / ({n} - 2) END')} AS adj_r2, "
-            f"{r4(f'regr_slope({target}, {f})')} AS slope, {r4(t)} AS t FROM af GROUP BY store_id"
+            f"{r4(f'regr_slope({target}, {f})')} AS slope, {r4(t)} AS t"
+            + (f", {r4(T_P(t, f'({n} - 2)'))} AS p" if with_p else "")
+            + " FROM af GROUP BY store_id"
         )
     return "\nUNION ALL\n".join(parts)
 
 
 @register("reg_single_scan", sql(AF_CTES, _scan_sql(T1, FEATURE_COLUMNS)))
 def reg_single_scan(spark, sf):
-    return regression.single_feature_scan(af(spark, sf), FEATURE_COLUMNS, T1, STORE)
+    return regression.scan_result(regression.single_feature_scan(af(spark, sf), FEATURE_COLUMNS, T1, STORE))
 
 
-@register("reg_single_scan_pvalue")
+@register("reg_single_scan_pvalue", sql(AF_CTES, _scan_sql(T1, FEATURE_COLUMNS, with_p=True)))
 def reg_single_scan_pvalue(spark, sf):
     return regression.with_slope_p(regression.single_feature_scan(af(spark, sf), FEATURE_COLUMNS, T1, STORE))
 
@@ -197,13 +199,15 @@ def _ols2(src: str, y: str, x1: str, x2: str, where: str = "TRUE", name: str = "
 )"""
 
 
-def _ols2_long(name: str, model: str, x1: str, x2: str) -> str:
+def _ols2_long(name: str, model: str, x1: str, x2: str, with_p: bool = False) -> str:
     parts = []
     for term, b, se in (("const", "b0", "se0"), (x1, "b1", "se1"), (x2, "b2", "se2")):
+        pcols = (f", {r4(T_P(f'{b} / NULLIF({se}, 0)', 'df_resid'))} AS p, {r4(F_P('F', '2', 'df_resid'))} AS F_p"
+                 if with_p else "")
         parts.append(
             f"SELECT store_id, '{model}' AS model, '{term}' AS term, {r4(b)} AS coef, {r4(se)} AS se, "
             f"{r4(f'{b} / NULLIF({se}, 0)')} AS t, n, CAST(2 AS INTEGER) AS k, df_resid, {r4('r2')} AS r2, "
-            f"{r4('adj_r2')} AS adj_r2, {r4('F')} AS F FROM {name}"
+            f"{r4('adj_r2')} AS adj_r2, {r4('F')} AS F{pcols} FROM {name}"
         )
     return "\nUNION ALL\n".join(parts)
 
@@ -212,17 +216,23 @@ _STEP_BASE = "lag_biweekly_t1"
 _STEP_REMAINING = [f for f in FEATURE_COLUMNS if f != _STEP_BASE]
 
 
-@register("reg_stepwise_scan", sql(
-    (*AF_CTES, *[_ols2("af", T1, _STEP_BASE, c, name=f"s{i}") for i, c in enumerate(_STEP_REMAINING)]),
-    "\nUNION ALL\n".join(
-        f"SELECT store_id, '{c}' AS added, n, CAST(2 AS INTEGER) AS k, df_resid, {r4('r2')} AS r2, {r4('adj_r2')} AS adj_r2, "
-        f"{r4('b2 / NULLIF(se2, 0)')} AS t FROM s{i}"
-        for i, c in enumerate(_STEP_REMAINING))))
+def _stepwise_sql(with_p: bool) -> str:
+    return sql(
+        (*AF_CTES, *[_ols2("af", T1, _STEP_BASE, c, name=f"s{i}") for i, c in enumerate(_STEP_REMAINING)]),
+        "\nUNION ALL\n".join(
+            f"SELECT store_id, '{c}' AS added, n, CAST(2 AS INTEGER) AS k, df_resid, {r4('r2')} AS r2, {r4('adj_r2')} AS adj_r2, "
+            f"{r4('b2 / NULLIF(se2, 0)')} AS t"
+            + (f", {r4(T_P('b2 / NULLIF(se2, 0)', 'df_resid'))} AS p" if with_p else "")
+            + f" FROM s{i}"
+            for i, c in enumerate(_STEP_REMAINING)))
+
+
+@register("reg_stepwise_scan", _stepwise_sql(False))
 def reg_stepwise_scan(spark, sf):
     return regression.stepwise_scan(af(spark, sf), [_STEP_BASE], _STEP_REMAINING, T1, STORE, with_p=False)
 
 
-@register("reg_stepwise_scan_pvalue")
+@register("reg_stepwise_scan_pvalue", _stepwise_sql(True))
 def reg_stepwise_scan_pvalue(spark, sf):
     return regression.stepwise_scan(af(spark, sf), [_STEP_BASE], _STEP_REMAINING, T1, STORE)
 
@@ -232,7 +242,7 @@ def reg_ols(spark, sf):
     return regression.ols_summary(af(spark, sf), T2_MODEL, T2, STORE, model="t2", with_p=False)
 
 
-@register("reg_ols_pvalue")
+@register("reg_ols_pvalue", sql((*AF_CTES, _ols2("af", T2, *T2_MODEL)), _ols2_long("o2", "t2", *T2_MODEL, with_p=True)))
 def reg_ols_pvalue(spark, sf):
     return regression.ols_summary(af(spark, sf), T2_MODEL, T2, STORE, model="t2")
 
@@ -278,7 +288,8 @@ def reg_standardized(spark, sf):
     return regression.ols_summary(scaled, T2_MODEL, T2, STORE, model="t2_std", with_p=False)
 
 
-@register("reg_standardized_pvalue")
+@register("reg_standardized_pvalue", sql((*AF_CTES, _STD, _ols2("std", T2, *T2_MODEL)),
+                                         _ols2_long("o2", "t2_std", *T2_MODEL, with_p=True)))
 def reg_standardized_pvalue(spark, sf):
     scaled = regression.standardize(af(spark, sf), ["roll_prev_3days_mean_t2"], STORE)
     return regression.ols_summary(scaled, T2_MODEL, T2, STORE, model="t2_std")
