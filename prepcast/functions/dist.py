@@ -1,7 +1,10 @@
 """Tail probabilities and Shapiro-Wilk helpers (numpy + stdlib only).
 
-These run once per *result* row (one per test per group), inside vectorised
-pandas UDFs; observation rows never pass through them.
+The t and F tails run once per *result* row (one per test per group) in
+vectorised pandas UDFs; observation rows never pass through them. The
+Shapiro-Wilk and Wilcoxon functions here are the reference implementations
+the JVM-side SQL versions (functions/tails.py, functions/normal.py) are
+tested against.
 Formulas: regularised incomplete beta by Lentz's continued fraction
 (Numerical Recipes), Student t and F tails through it, Royston (1995) for the
 Shapiro-Wilk weights and p-value, exact Wilcoxon signed-rank null by counting.
@@ -178,32 +181,3 @@ def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
         [f_sf(a, b, c) if pd.notna(a) and pd.notna(b) and pd.notna(c) else None for a, b, c in zip(f, d1, d2)],
         dtype="float64",
     )
-
-
-@F.pandas_udf(T.DoubleType())
-def shapiro_weight(rank: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series(
-        [shapiro_weights(int(b))[int(a) - 1] if pd.notna(b) and 3 <= int(b) <= 5000 else None for a, b in zip(rank, n)],
-        dtype="float64",
-    )
-
-
-@F.pandas_udf(T.DoubleType())
-def shapiro_pvalue(w: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series(
-        [shapiro_p(a, int(b)) if pd.notna(a) and pd.notna(b) and 3 <= int(b) <= 5000 else None for a, b in zip(w, n)],
-        dtype="float64",
-    )
-
-
-@F.pandas_udf(T.DoubleType())
-def wilcoxon_pvalue(stat: pd.Series, n: pd.Series, z: pd.Series, exact: pd.Series) -> pd.Series:
-    out = []
-    for s, k, zz, ex in zip(stat, n, z, exact):
-        if pd.isna(s) or pd.isna(k) or int(k) == 0:
-            out.append(None)
-        elif bool(ex):
-            out.append(wilcoxon_exact_two_sided(float(s), int(k)))
-        else:
-            out.append(norm_two_sided(float(zz)) if pd.notna(zz) else None)
-    return pd.Series(out, dtype="float64")

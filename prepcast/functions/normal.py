@@ -47,3 +47,32 @@ def norm_ppf_sql(p: str) -> str:
 def norm_ppf(p: str) -> Column:
     """Inverse normal CDF of the numeric column named ``p``."""
     return F.expr(norm_ppf_sql(f"`{p}`"))
+
+
+# Fixed published coefficients of Hart's double-precision normal tail algorithm.
+HART_NUM = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383,
+            112.079291497871, 221.213596169931, 220.206867912376]
+HART_DEN = [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461,
+            296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+HART_SPLIT = 7.07106781186547
+SQRT_2PI = 2.506628274631
+
+
+def _tail_sql(a: str) -> str:
+    """P(Z > a) for a >= 0."""
+    e = f"exp(-({a}) * ({a}) / 2)"
+    rational = f"({e} * {_horner(HART_NUM, a)} / {_horner(HART_DEN, a)})"
+    cf = f"({a} + {_lit(1.0)} / ({a} + {_lit(2.0)} / ({a} + {_lit(3.0)} / ({a} + {_lit(4.0)} / ({a} + {_lit(0.65)})))))"
+    far = f"({e} / {cf} / {_lit(SQRT_2PI)})"
+    return f"(CASE WHEN {a} > 37 THEN 0.0 WHEN {a} < {_lit(HART_SPLIT)} THEN {rational} ELSE {far} END)"
+
+
+def norm_sf_sql(z: str) -> str:
+    """SQL text of the standard normal upper tail P(Z > z)."""
+    t = _tail_sql(f"abs({z})")
+    return f"(CASE WHEN {z} IS NULL THEN NULL WHEN {z} >= 0 THEN {t} ELSE 1.0 - {t} END)"
+
+
+def norm_sf(z: str) -> Column:
+    """Standard normal upper tail of the numeric column named ``z``."""
+    return F.expr(norm_sf_sql(f"`{z}`"))

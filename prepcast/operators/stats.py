@@ -186,7 +186,9 @@ def shapiro(df: DataFrame, value: str, groups: list[str], max_n: int = 5000, wit
     )
     res = res.unionByName(out_of_range)
     if with_p:
-        res = res.withColumn("p", _r(dist.shapiro_pvalue("W", "n")))
+        from prepcast.functions.tails import shapiro_p_sql
+
+        res = res.withColumn("p", _r(F.expr(shapiro_p_sql("W", "n"))))
         res = res.withColumn("normal", F.when(F.col("p").isNull(), F.lit(None).cast("boolean")).otherwise(F.col("p") > ALPHA))
     return res
 
@@ -250,9 +252,11 @@ def wilcoxon(df: DataFrame, x: str, y: str, groups: list[str], with_p: bool = Fa
     se = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_tie") / 48.0)
     stat = F.least("w_plus", "w_minus")
     out = agg.select(*groups, "n", _r(F.col("w_plus")).alias("w_plus"), _r(F.col("w_minus")).alias("w_minus"),
-                     _r(stat).alias("statistic"), _r(div(stat - mean, se)).alias("z"),
+                     _r(stat).alias("statistic"), div(stat - mean, se).alias("_z"),
                      ((F.col("n") <= 50) & (F.col("_maxc") == 1)).alias("exact"))
     if with_p:
-        out = out.withColumn("p", dist.wilcoxon_pvalue("statistic", "n", "z", "exact"))
+        from prepcast.functions.tails import wilcoxon_p_sql
+
+        out = out.withColumn("p", _r(F.expr(wilcoxon_p_sql("statistic", "n", "_z", "exact"))))
         out = out.withColumn("decision", decision(F.col("p")))
-    return out
+    return out.withColumn("z", _r(F.col("_z"))).drop("_z")

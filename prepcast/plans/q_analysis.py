@@ -55,25 +55,29 @@ def st_ttest_1samp_pvalue(spark, sf):
     return stats.ttest_1samp(T.h1(spark, sf), "sum_g", POPMEAN, STORE, with_p=True)
 
 
-def _oneway_sql(src: str, value: str, label: str, where: str) -> str:
+def _oneway_sql(src: str, value: str, label: str, where: str, pre: str = "") -> str:
     return f"""
-cell AS (
+{pre}cell AS (
     SELECT store_id, {label} AS lv, COUNT({value}) AS ni, SUM({value}) AS si, AVG({value}) AS mi,
            VAR_POP({value}) AS vi
     FROM {src} WHERE {value} IS NOT NULL AND {where} GROUP BY 1, 2
 ),
-tot AS (
+{pre}tot AS (
     SELECT store_id, COUNT(*) AS k, CAST(SUM(ni) AS BIGINT) AS N, SUM(si) / SUM(ni) AS grand, SUM(ni * vi) AS ssw
-    FROM cell WHERE ni > 0 GROUP BY 1
+    FROM {pre}cell WHERE ni > 0 GROUP BY 1
 )"""
 
 
-_ONEWAY_SRC = f"""
+def _oneway_src(pre: str = "") -> str:
+    return f"""
 SELECT t.store_id, t.k, t.N,
        {D('SUM(c.ni * (c.mi - t.grand) * (c.mi - t.grand)) / (t.k - 1)', 't.ssw / (t.N - t.k)')} AS _F,
        t.k - 1 AS df1, t.N - t.k AS df2
-FROM tot t JOIN cell c ON c.store_id = t.store_id
+FROM {pre}tot t JOIN {pre}cell c ON c.store_id = t.store_id
 GROUP BY t.store_id, t.k, t.N, t.ssw, t.grand"""
+
+
+_ONEWAY_SRC = _oneway_src()
 _ONEWAY_BODY = _with_f("store_id, k, N, df1, df2", _ONEWAY_SRC, False)
 _ONEWAY_BODY_P = _with_f("store_id, k, N, df1, df2", _ONEWAY_SRC, True)
 
@@ -177,16 +181,29 @@ wagg AS (
 )"""
 
 
-@register("st_wilcoxon", sql((*H3_CTES, _WIL), f"""
+_WSRC = f"""
 SELECT store_id, n, {r6('w_plus')} AS w_plus, {r6('w_minus')} AS w_minus, {r6('LEAST(w_plus, w_minus)')} AS statistic,
-       {r6(D('LEAST(w_plus, w_minus) - n * (n + 1) / 4.0', 'SQRT(n * (n + 1) * (2 * n + 1) / 24.0 - tie / 48.0)'))} AS z,
+       {D('LEAST(w_plus, w_minus) - n * (n + 1) / 4.0', 'SQRT(n * (n + 1) * (2 * n + 1) / 24.0 - tie / 48.0)')} AS _z,
        (n <= 50 AND maxc = 1) AS exact
-FROM wagg"""))
+FROM wagg"""
+
+
+def _wilcoxon_body(with_p: bool) -> str:
+    from prepcast.functions.tails import wilcoxon_p_sql
+
+    cols = "store_id, n, w_plus, w_minus, statistic, exact, " + r6("_z") + " AS z"
+    if not with_p:
+        return f"SELECT {cols} FROM ({_WSRC}) q"
+    p = r6(wilcoxon_p_sql("statistic", "n", "_z", "exact", engine="duckdb"))
+    return f"SELECT {cols}, {p} AS p, {DECISION(p)} AS decision FROM ({_WSRC}) q"
+
+
+@register("st_wilcoxon", sql((*H3_CTES, _WIL), _wilcoxon_body(False)))
 def st_wilcoxon(spark, sf):
     return stats.wilcoxon(T.h3(spark, sf), "cumul_16_19", "cumul_20_22", STORE)
 
 
-@register("st_wilcoxon_pvalue")
+@register("st_wilcoxon_pvalue", sql((*H3_CTES, _WIL), _wilcoxon_body(True)))
 def st_wilcoxon_pvalue(spark, sf):
     return stats.wilcoxon(T.h3(spark, sf), "cumul_16_19", "cumul_20_22", STORE, with_p=True)
 
@@ -209,7 +226,7 @@ def _shapiro_long(spark, sf):
     return tt.select(*STORE, F.inline(entries)).filter(F.col("keep") & F.col("sample").isNotNull())
 
 
-def _shapiro_sql() -> str:
+def _shapiro_sql(with_p: bool = False) -> str:
     from prepcast.functions.normal import norm_ppf_sql
     from prepcast.operators.stats import _SW_C1, _SW_C2
 
@@ -258,6 +275,12 @@ FROM sa GROUP BY store_id, sample, n
 UNION ALL
 SELECT store_id, sample, n, CAST(NULL AS DOUBLE), CASE WHEN n < 3 THEN 'n<3' ELSE 'n>5000' END
 FROM ssz WHERE n < 3 OR n > 5000"""
+    if with_p:
+        from prepcast.functions.tails import shapiro_p_sql
+
+        p = r6(shapiro_p_sql("W", "n"))
+        body = (f"SELECT *, {p} AS p, CASE WHEN {p} IS NULL THEN NULL ELSE {p} > 0.05 END AS normal "
+                f"FROM ({body}) q")
     return sql((*H3_CTES, ctes), body)
 
 
@@ -268,12 +291,29 @@ def st_shapiro(spark, sf):
     return stats.shapiro(_shapiro_long(spark, sf), "x", [*STORE, "sample"], with_p=False)
 
 
-@register("st_shapiro_pvalue")
+@register("st_shapiro_pvalue", _shapiro_sql(with_p=True))
 def st_shapiro_pvalue(spark, sf):
     return stats.shapiro(_shapiro_long(spark, sf), "x", [*STORE, "sample"])
 
 
-@register("st_decision")
+def _decision_sql() -> str:
+    ctes = (DAYT, H1, *H3_CTES,
+            _oneway_sql("h1", "sum_g", "day_of_week", f"day_of_week IN ({LEVELS_SQL})", pre="a_"),
+            _LEV, _oneway_sql("zt", "z", "day_of_week", "TRUE", pre="l_"), _WIL)
+    parts = [
+        ("ttest_1samp", "t", _with_t("store_id, n, mean, sd, df", "_t", _T1, True)),
+        ("anova", "F", _with_f("store_id, k, N, df1, df2", _oneway_src("a_"), True)),
+        ("levene", "F", _with_f("store_id, k, N, df1, df2", _oneway_src("l_"), True)),
+        ("ttest_ind", "t", _with_t("store_id, n_a, n_b, mean_a, mean_b, df", "_t", _TI, True)),
+        ("ttest_rel", "t", _with_t("store_id, n, mean_diff, sd_diff, df", "_t", _TR, True)),
+        ("wilcoxon", "statistic", _wilcoxon_body(True)),
+    ]
+    body = "\nUNION ALL\n".join(
+        f"SELECT store_id, '{name}' AS test, {stat} AS statistic, p, decision FROM ({q}) {name}_q" for name, stat, q in parts)
+    return sql(ctes, body)
+
+
+@register("st_decision", _decision_sql())
 def st_decision(spark, sf):
     """H1-H3 summary per store: test, statistic, p and decision in one long table."""
     from pyspark.sql import functions as F

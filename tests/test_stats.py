@@ -101,3 +101,13 @@ def test_shapiro_w_matches_reference_weights(spark):
         w = min(1.0, (a @ x) ** 2 / np.sum((x - x.mean()) ** 2))
         assert abs(out[g]["W"] - w) < 2e-6, (g, out[g]["W"], w)
         assert abs(out[g]["p"] - dist.shapiro_p(w, len(x))) < 1e-4
+
+
+def test_wilcoxon_exact_p_matches_python(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(10, 3, 18)
+    y = x - rng.normal(0.8, 2, 18)
+    pdf = pd.DataFrame({"grp": "a", "x": x, "y": y})
+    r = stats.wilcoxon(spark.createDataFrame(pdf), "x", "y", ["grp"], with_p=True).collect()[0]
+    assert r["exact"] is True
+    assert abs(r["p"] - dist.wilcoxon_exact_two_sided(r["statistic"], r["n"])) < 1e-6
