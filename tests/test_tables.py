@@ -136,3 +136,13 @@ def test_keep_first_is_deterministic(spark):
     df = spark.createDataFrame([("k", 3, "c"), ("k", 1, "b"), ("k", 1, "a"), ("j", 5, "z")], "key string, o int, v string")
     out = {r["key"]: (r["o"], r["v"]) for r in quality.keep_first(df, ["key"], [F.col("o")]).collect()}
     assert out == {"k": (1, "a"), "j": (5, "z")}
+
+
+def test_rank_tests_run_without_python(spark):
+    from prepcast.operators import stats
+
+    h3 = features.stage_targets(T.tt(spark, SF_SMALL))
+    for df in (stats.shapiro(h3, "sum_g", ["store_id"]),
+               stats.wilcoxon(h3, "cumul_16_19", "cumul_20_22", ["store_id"], with_p=True, buckets=4)):
+        plan = _plan(df)
+        assert "Python" not in plan and "ArrowEval" not in plan
