@@ -17,6 +17,7 @@ DAY_KEYS = ["day_id", "store_id"]
 
 
 def with_bin30(odl: DataFrame, ts: str = "order_datetime") -> DataFrame:
+    """Order lines with their 'HH:MM' half-hour label (for row-level outputs)."""
     return odl.withColumn("hh_mm", bin30(F.col(ts)))
 
 
