@@ -2,8 +2,8 @@
 
 CSV dialect of the operational exports: UTF-8, ``,`` separator, optional
 ``"`` quoting, one header row, columns by position. Types are declared (no
-inference); NOT NULL columns are checked by a filter, and failing rows go to
-a quarantine frame instead of failing the load.
+inference); malformed lines (kept with their raw text) and rows missing a
+NOT NULL column go to a quarantine frame instead of failing the load.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from prepcast.operators.quality import not_null_split
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -61,8 +60,27 @@ def _csv_options() -> dict[str, str]:
     }
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.options(**_csv_options()).schema(schema).csv(path)
+CORRUPT = "_corrupt_record"
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
+    """Typed CSV read. With ``keep_corrupt`` a malformed line keeps its raw text
+    in ``_corrupt_record`` (its typed fields are NULL) instead of being dropped."""
+    if not keep_corrupt:
+        return spark.read.options(**_csv_options()).schema(schema).csv(path)
+    full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
+    return spark.read.options(**_csv_options(), columnNameOfCorruptRecord=CORRUPT).schema(full).csv(path)
+
+
+def _load(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined): quarantined rows are malformed lines or miss a NOT NULL column."""
+    from pyspark.sql import functions as F
+
+    raw = read_csv(spark, path, schema, keep_corrupt=True)
+    bad = F.col(CORRUPT).isNotNull()
+    for name in required:
+        bad = bad | F.col(name).isNull()
+    return raw.filter(~bad).drop(CORRUPT), raw.filter(bad)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -71,12 +89,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def load_order_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantined) order lines from CSV."""
-    return not_null_split(read_csv(spark, path, ORDER_LINES_SCHEMA), ORDER_LINES_REQUIRED)
+    return _load(spark, path, ORDER_LINES_SCHEMA, ORDER_LINES_REQUIRED)
 
 
 def load_daily_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantined) daily log rows from CSV."""
-    return not_null_split(read_csv(spark, path, DAILY_LOG_SCHEMA), DAILY_LOG_REQUIRED)
+    return _load(spark, path, DAILY_LOG_SCHEMA, DAILY_LOG_REQUIRED)
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -19,13 +19,15 @@ def test_csv_quarantine_and_types(spark):
         fh.write("day_id,store_id,order_id,receipt_id,order_datetime,order_date,qty,amount_g\n")
         fh.write('s_2024-01-01,s,1,"r,1",2024-01-01 16:05:00.000000,2024-01-01,2,150.5\n')
         fh.write(",s,2,r2,2024-01-01 16:10:00.000000,2024-01-01,1,10\n")          # missing key -> quarantine
-        fh.write("s_2024-01-01,s,3,r3,2024-01-01 17:00:00.000000,2024-01-01,x,20\n")  # bad int -> NULL qty
+        fh.write("s_2024-01-01,s,3,r3,2024-01-01 17:00:00.000000,2024-01-01,x,20\n")  # bad int -> quarantine
     ok, bad = logs.load_order_lines(spark, d)
     rows = {r["order_id"]: r for r in ok.collect()}
-    assert set(rows) == {1, 3}
+    assert set(rows) == {1}
     assert rows[1]["receipt_id"] == "r,1" and rows[1]["amount_g"] == 150.5 and rows[1]["qty"] == 2
-    assert rows[3]["qty"] is None
-    assert [r["order_id"] for r in bad.collect()] == [2]
+    quarantined = {r["order_id"]: r for r in bad.collect()}
+    assert set(quarantined) == {2, 3}                       # missing key; malformed number
+    assert quarantined[3]["_corrupt_record"].startswith("s_2024-01-01,s,3,")
+    assert "_corrupt_record" not in ok.columns
     assert dict(ok.dtypes)["order_datetime"] == "timestamp_ntz"
 
 
