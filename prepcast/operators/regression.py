@@ -395,6 +395,9 @@ def _materialize(df: DataFrame, checkpoint: bool = True) -> DataFrame:
     """
     if not checkpoint:
         return df
+    from prepcast.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     df = df.persist()
     out = df.checkpoint(eager=True)
     df.unpersist()

@@ -207,6 +207,9 @@ def prefix_counts(cnt: DataFrame, groups: list[str], value: str, count: str, buc
     fr = [i / buckets for i in range(1, buckets)]
     cuts = cnt.groupBy(*groups).agg(F.percentile_approx(value, fr, 10000).alias("_cuts"))
     if checkpoint:
+        from prepcast.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(cnt.sparkSession)
         cuts = cuts.checkpoint(eager=True)
     b = cnt.join(cuts, groups, "inner").withColumn(
         "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
