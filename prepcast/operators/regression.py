@@ -385,23 +385,18 @@ def loocv_rmse(rows: DataFrame, models: dict[str, list[str]], target: str, group
 # 4. Forward selection
 # --------------------------------------------------------------------------
 
-def _materialize(df: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """Cut lineage: reliable checkpoint into the shared checkpoint folder.
+def _materialize(df: DataFrame, checkpoint: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """Cut lineage with a written table in the shared checkpoint folder.
 
-    The frame is persisted only while the checkpoint is written (so the plan
-    runs once) and unpersisted right after: no cache entry outlives the call,
-    and the returned frame's plan is a scan of the checkpoint files. With
-    ``checkpoint=False`` the frame is returned as is (lazy).
+    With ``checkpoint=False`` the frame is returned as is (lazy). The write
+    goes through adaptive execution (a persisted plan would not), so a small
+    step table lands in few partitions and a large one is spread by ``keys``.
     """
     if not checkpoint:
         return df
-    from prepcast.session import ensure_checkpoint_dir
+    from prepcast.session import written_table
 
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.persist()
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+    return written_table(df, "selection", keys)
 
 
 def forward_selection(df: DataFrame, target: str, candidates: list[str], groups: list[str],
@@ -420,7 +415,7 @@ def forward_selection(df: DataFrame, target: str, candidates: list[str], groups:
     """
     base_features = list(base_features or [])
     cols = [*base_features, *candidates]
-    sample = _materialize(df.select(*groups, target, *cols).dropna(subset=[target, *cols]), checkpoint)
+    sample = _materialize(df.select(*groups, target, *cols).dropna(subset=[target, *cols]), checkpoint, groups)
     order = {cname: i for i, cname in enumerate(candidates)}
     gram_all = model_grams(sample, {"__all__": cols}, target, groups).select(*groups, F.col("gram").alias("gall"), "n")
 
@@ -434,11 +429,11 @@ def forward_selection(df: DataFrame, target: str, candidates: list[str], groups:
         """Score the step's models and fold them into the next state in one
         checkpointed frame; rerun exactly only if some row had leverage 1."""
         scored = _score_models(sample, gram_all, models, target, cols, groups)
-        out = _materialize(_fold_step(scored, state, groups, margin, order), checkpoint)
+        out = _materialize(_fold_step(scored, state, groups, margin, order), checkpoint, groups)
         if out.filter(F.col("_lev1") > 0).limit(1).count() == 0:
             return out
         scored = _score_models(sample, gram_all, models, target, cols, groups, exact=True)
-        return _materialize(_fold_step(scored, state, groups, margin, order), checkpoint)
+        return _materialize(_fold_step(scored, state, groups, margin, order), checkpoint, groups)
 
     start = fold(start_models, None)
     state = start.select(

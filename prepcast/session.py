@@ -9,7 +9,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "prepcast") -> SparkSession:
@@ -53,3 +53,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written_table(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Cut lineage by writing ``df`` as Parquet into the shared checkpoint folder
+    and reading it back.
+
+    The write runs once through adaptive execution (so a small result lands in
+    few files and a large one is spread by ``keys``); the returned frame is a
+    plain scan, sized by file splits, that survives executor loss.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    out = df.repartition(*keys) if keys else df
+    out.write.mode("overwrite").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
