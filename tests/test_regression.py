@@ -154,3 +154,28 @@ def test_forward_selection_handles_leverage_one_candidate(spark):
     step1 = {row["candidate"]: row["rmse"] for row in trace.filter("step = 1").collect()}
     want_x3, _ = _loocv_rmse(sub[["x3"]].to_numpy(), sub["y"].to_numpy())
     assert abs(step1["x3"] - want_x3) < 1e-3
+
+
+def test_forward_selection_with_base_features(spark, frame):
+    pdf = _fixture()
+    cands = ["x3", "x2"]
+    _, result = regression.forward_selection(frame, "y", cands, ["grp"], base_features=["x1"], max_features=2, margin=0.0)
+    got = {r["grp"]: (list(r["selected"]), r["rmse"]) for r in result.collect()}
+    for g, sub in pdf.groupby("grp"):
+        sub = sub.dropna(subset=["x1", *cands, "y"])
+        y = sub["y"].to_numpy()
+        cur, _ = _loocv_rmse(sub[["x1"]].to_numpy(), y)
+        best_c, best = None, cur
+        for c in cands:
+            trial, _ = _loocv_rmse(sub[["x1", c]].to_numpy(), y)
+            if trial < best:
+                best, best_c = trial, c
+        want = ["x1"] + ([best_c] if best_c else [])
+        assert got[g][0] == want
+        assert abs(got[g][1] - best) < 1e-3
+
+
+def test_loocv_on_tiny_groups_does_not_fail(spark):
+    pdf = pd.DataFrame({"grp": ["a", "b", "b"], "x1": [1.0, 2.0, 3.0], "y": [1.0, 2.0, 2.5]})
+    out = regression.loocv_rmse(spark.createDataFrame(pdf), {"m": ["x1"], "c": []}, "y", ["grp"]).collect()
+    assert {(r["grp"], r["model"]) for r in out} >= {("b", "c")}

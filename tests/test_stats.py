@@ -111,3 +111,11 @@ def test_wilcoxon_exact_p_matches_python(spark):
     r = stats.wilcoxon(spark.createDataFrame(pdf), "x", "y", ["grp"], with_p=True).collect()[0]
     assert r["exact"] is True
     assert abs(r["p"] - dist.wilcoxon_exact_two_sided(r["statistic"], r["n"])) < 1e-6
+
+
+def test_shapiro_rejects_groups_above_range(spark):
+    big = spark.range(5001).select(F.lit("big").alias("grp"), (F.col("id") % 97).cast("double").alias("x"))
+    small = spark.createDataFrame([("ok", 1.0), ("ok", 2.0), ("ok", 4.0), ("ok", 8.0)], "grp string, x double")
+    out = {r["grp"]: r for r in stats.shapiro(big.unionByName(small), "x", ["grp"]).collect()}
+    assert out["big"]["W"] is None and out["big"]["reason"] == "n>5000" and out["big"]["n"] == 5001
+    assert out["ok"]["W"] is not None and out["ok"]["reason"] is None
