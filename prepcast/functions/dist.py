@@ -1,7 +1,7 @@
 """Tail probabilities and Shapiro-Wilk helpers (numpy + stdlib only).
 
-The t and F tails run once per *result* row (one per test per group) in
-vectorised pandas UDFs; observation rows never pass through them. The
+The F tail runs once per *result* row (one per test per group) in a
+vectorised pandas UDF; observation rows never pass through it. The t,
 Shapiro-Wilk and Wilcoxon functions here are the reference implementations
 the JVM-side SQL versions (functions/tails.py, functions/normal.py) are
 tested against.
@@ -170,11 +170,6 @@ def wilcoxon_exact_two_sided(stat: float, n: int) -> float:
 
 # ---- vectorised UDFs over result rows ---------------------------------------
 
-@F.pandas_udf(T.DoubleType())
-def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)], dtype="float64")
-
-
 @F.pandas_udf(T.DoubleType())
 def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(

@@ -50,3 +50,22 @@ def wilcoxon_p_sql(stat: str, n: str, z: str, exact: str, engine: str = "spark")
     approx_p = f"(2.0 * {norm_sf_sql(f'abs({z})')})"
     return (f"(CASE WHEN {stat} IS NULL OR {n} IS NULL OR {n} = 0 THEN NULL "
             f"WHEN {exact} THEN {exact_p} ELSE {approx_p} END)")
+
+
+def t_p_sql(t: str, nu: str) -> str:
+    """Two-sided Student-t p for integer df (Spark SQL), exact finite series in
+    theta = atan(|t| / sqrt(nu)); the coefficients are built by recursion inside
+    one ``aggregate`` (O(nu) work per result row)."""
+    th = f"atan(abs({t}) / sqrt({nu}))"
+    c2 = f"pow(cos({th}), 2)"
+
+    def series(m: str, num: str, den: str) -> str:
+        step = f"acc.term * ({num}) / ({den}) * {c2}"
+        return (f"IF({m} >= 1, aggregate(sequence(1, CAST({m} AS INT)), named_struct('term', 1D, 'total', 1D), "
+                f"(acc, j) -> named_struct('term', {step}, 'total', acc.total + {step}), acc -> acc.total), 1D)")
+
+    odd = f"(2.0 / pi()) * ({th} + sin({th}) * cos({th}) * {series(f'({nu} - 3) div 2', '2 * j', '2 * j + 1')})"
+    one = f"(2.0 / pi()) * {th}"
+    even = f"sin({th}) * {series(f'({nu} - 2) div 2', '2 * j - 1', '2 * j')}"
+    return (f"(CASE WHEN {t} IS NULL OR {nu} IS NULL OR {nu} <= 0 THEN NULL "
+            f"WHEN {nu} = 1 THEN 1.0 - {one} WHEN {nu} % 2 = 1 THEN 1.0 - {odd} ELSE 1.0 - {even} END)")

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from prepcast.functions import dist
 from prepcast.functions.columns import rnd
+from prepcast.functions.tails import t_p_sql
 
 DIGITS = 4
 
@@ -180,7 +181,7 @@ def ols_summary(df: DataFrame, cols: list[str], target: str, groups: list[str],
     j = ols_long(model_grams(df, {model: cols}, target, groups), groups)
     extra = []
     if with_p:
-        extra = [_round(dist.t_pvalue(F.col("t"), F.col("df_resid").cast("double"))).alias("p"),
+        extra = [_round(F.expr(t_p_sql("t", "df_resid"))).alias("p"),
                  _round(dist.f_pvalue(F.col("F"), F.col("k").cast("double"), F.col("df_resid").cast("double"))).alias("F_p")]
     return j.select(
         *groups, "model", "term",
@@ -244,7 +245,7 @@ def _single_feature_scan(df: DataFrame, features: list[str], target: str, groups
 
 def with_slope_p(scan: DataFrame) -> DataFrame:
     """Add the slope's two-sided p (from the unrounded t, n - 2 df)."""
-    return scan.withColumn("p", _round(dist.t_pvalue(F.col("_t"), (F.col("n") - 2).cast("double")))).drop("_t")
+    return scan.withColumn("p", _round(F.expr(t_p_sql("_t", "(n - 2)")))).drop("_t")
 
 
 def stepwise_scan(df: DataFrame, selected: list[str], remaining: list[str], target: str, groups: list[str],
@@ -252,7 +253,7 @@ def stepwise_scan(df: DataFrame, selected: list[str], remaining: list[str], targ
     """Add each remaining candidate to ``selected``: R², adj R², t (and p) of the added term."""
     models = {f: [*selected, f] for f in remaining}
     j = ols_long(model_grams(df, models, target, groups), groups).filter(F.col("term") == F.col("model"))
-    extra = [_round(dist.t_pvalue(F.col("t"), F.col("df_resid").cast("double"))).alias("p")] if with_p else []
+    extra = [_round(F.expr(t_p_sql("t", "df_resid"))).alias("p")] if with_p else []
     return j.select(
         *groups, F.col("model").alias("added"), "n", "k", "df_resid",
         _round(F.col("r2")).alias("r2"), _round(F.col("adj_r2")).alias("adj_r2"),

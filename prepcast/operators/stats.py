@@ -2,8 +2,9 @@
 
 Every test returns one row per group (``groups``, e.g. the store): sample
 sizes, the statistic and its degrees of freedom. Only those sufficient
-statistics leave the aggregation; the p-value is then attached by a
-vectorised pandas UDF per result row (``with_p=True``).
+statistics leave the aggregation. The p-value (``with_p=True``) is a JVM
+expression for the t, signed-rank and Shapiro-Wilk tests; the F tail uses a
+vectorised pandas UDF (regularised incomplete beta) once per result row.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ def ttest_1samp(df: DataFrame, value: str, popmean: float, groups: list[str], wi
 def _finish_t(out: DataFrame, with_p: bool) -> DataFrame:
     """Round the statistic ``_t`` into ``t``; with_p adds p (from the unrounded t) and the decision."""
     if with_p:
-        out = out.withColumn("p", _r(dist.t_pvalue(F.col("_t"), F.col("df").cast("double"))))
+        from prepcast.functions.tails import t_p_sql
+
+        out = out.withColumn("p", _r(F.expr(t_p_sql("_t", "df"))))
         out = out.withColumn("decision", decision(F.col("p")))
     return out.withColumn("t", _r(F.col("_t"))).drop("_t")
 
