@@ -119,3 +119,12 @@ def test_shapiro_rejects_groups_above_range(spark):
     out = {r["grp"]: r for r in stats.shapiro(big.unionByName(small), "x", ["grp"]).collect()}
     assert out["big"]["W"] is None and out["big"]["reason"] == "n>5000" and out["big"]["n"] == 5001
     assert out["ok"]["W"] is not None and out["ok"]["reason"] is None
+
+
+def test_t_tail_series_matches_incomplete_beta(spark):
+    from prepcast.functions.tails import t_p_sql
+
+    rows = [(2.68, 22), (-1.3, 1), (0.5, 2), (3.2, 7), (0.0, 5), (12.5, 9), (0.7, 3), (1.5, 2001)]
+    df = spark.createDataFrame(rows, "t double, nu long")
+    for r in df.selectExpr("t", "nu", f"{t_p_sql('t', 'nu')} AS p").collect():
+        assert abs(r["p"] - dist.t_two_sided(r["t"], float(r["nu"]))) < 1e-10
