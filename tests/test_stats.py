@@ -128,3 +128,11 @@ def test_t_tail_series_matches_incomplete_beta(spark):
     df = spark.createDataFrame(rows, "t double, nu long")
     for r in df.selectExpr("t", "nu", f"{t_p_sql('t', 'nu')} AS p").collect():
         assert abs(r["p"] - dist.t_two_sided(r["t"], float(r["nu"]))) < 1e-10
+
+
+def test_paired_t_equals_one_sample_t_on_differences(sample):
+    pdf, df = sample
+    paired = {r["grp"]: r["t"] for r in stats.ttest_rel(df, "x", "y", ["grp"]).collect()}
+    diff = df.withColumn("d", F.col("x") - F.col("y"))
+    one = {r["grp"]: r["t"] for r in stats.ttest_1samp(diff, "d", 0.0, ["grp"]).collect()}
+    assert paired == one

@@ -146,3 +146,24 @@ def test_rank_tests_run_without_python(spark):
                stats.wilcoxon(h3, "cumul_16_19", "cumul_20_22", ["store_id"], with_p=True, buckets=4)):
         plan = _plan(df)
         assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_day_shares_sum_to_100(spark):
+    share = peaks.share_table(T.odl(spark, SF_SMALL))
+    sums = share.groupBy("day_id").agg(F.sum("pct").alias("s"), F.count(F.lit(1)).alias("k")).collect()
+    for r in sums:
+        assert abs(r["s"] - 100.0) <= 0.005 * r["k"] + 1e-9
+
+
+def test_null_weekday_is_dropped_by_exclusion(spark):
+    df = spark.createDataFrame([("a", "목"), ("b", None), ("c", "월")], "day_id string, day_of_week string")
+    assert [r["day_id"] for r in features.exclude_weekday(df).collect()] == ["c"]
+
+
+def test_constant_feature_has_null_correlation(spark):
+    from prepcast.operators import corr
+
+    df = spark.createDataFrame([("g", 1.0, 5.0), ("g", 2.0, 5.0), ("g", 3.0, 5.0)], "grp string, y double, x double")
+    r = corr.corr_target(df, ["x", "y"], "y", ["grp"]).collect()
+    got = {row["feature"]: row["r"] for row in r}
+    assert got["x"] is None and abs(got["y"] - 1.0) < 1e-9
