@@ -92,3 +92,24 @@ def test_stream_incremental_upsert_matches_batch(spark):
 
 def _files(folder):
     return [os.path.join(folder, f) for f in sorted(os.listdir(folder)) if f.endswith(".parquet")]
+
+
+def test_stream_drops_data_older_than_the_watermark(spark):
+    from prepcast.session import scratch_path
+    import shutil
+
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    land = tempfile.mkdtemp(prefix="prepcast-land-", dir="/tmp")
+    src = tempfile.mkdtemp(prefix="prepcast-src-", dir="/tmp")
+    recent = F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")
+    old = F.col("ts") < F.lit("2024-01-05").cast("timestamp_ntz")
+    ev.filter(recent).coalesce(1).write.parquet(f"{land}/recent")
+    ev.filter(old).coalesce(1).write.parquet(f"{land}/old")
+    sink, ckpt = scratch_path(spark, "sink"), scratch_path(spark, "ckpt")
+    shutil.copy(_files(f"{land}/recent")[0], f"{src}/a.parquet")
+    first = bins_stream.run_available(spark, src, sink=sink, checkpoint=ckpt)
+    n_recent = first.count()
+    shutil.copy(_files(f"{land}/old")[0], f"{src}/b.parquet")     # arrives after the watermark moved on
+    after = bins_stream.run_available(spark, src, sink=sink, checkpoint=ckpt)
+    assert after.count() == n_recent
+    assert after.filter(F.col("bin_start") < F.lit("2024-01-05").cast("timestamp_ntz")).count() == 0
