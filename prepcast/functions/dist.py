@@ -1,10 +1,8 @@
 """Tail probabilities and Shapiro-Wilk helpers (numpy + stdlib only).
 
-The F tail runs once per *result* row (one per test per group) in a
-vectorised pandas UDF; observation rows never pass through it. The t,
-Shapiro-Wilk and Wilcoxon functions here are the reference implementations
-the JVM-side SQL versions (functions/tails.py, functions/normal.py) are
-tested against.
+These are the reference implementations that the JVM-side SQL versions
+(functions/tails.py, functions/normal.py) are tested against; Spark jobs use
+the SQL versions, so no hypothesis test needs Python.
 Formulas: regularised incomplete beta by Lentz's continued fraction
 (Numerical Recipes), Student t and F tails through it, Royston (1995) for the
 Shapiro-Wilk weights and p-value, exact Wilcoxon signed-rank null by counting.
@@ -17,9 +15,6 @@ from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _N = NormalDist()
 
@@ -166,13 +161,3 @@ def wilcoxon_exact_two_sided(stat: float, n: int) -> float:
     k = int(math.floor(stat))
     p_low = c[: k + 1].sum() / total
     return float(min(1.0, 2.0 * p_low))
-
-
-# ---- vectorised UDFs over result rows ---------------------------------------
-
-@F.pandas_udf(T.DoubleType())
-def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series(
-        [f_sf(a, b, c) if pd.notna(a) and pd.notna(b) and pd.notna(c) else None for a, b, c in zip(f, d1, d2)],
-        dtype="float64",
-    )

@@ -69,3 +69,31 @@ def t_p_sql(t: str, nu: str) -> str:
     even = f"sin({th}) * {series(f'({nu} - 2) div 2', '2 * j - 1', '2 * j')}"
     return (f"(CASE WHEN {t} IS NULL OR {nu} IS NULL OR {nu} <= 0 THEN NULL "
             f"WHEN {nu} = 1 THEN 1.0 - {one} WHEN {nu} % 2 = 1 THEN 1.0 - {odd} ELSE 1.0 - {even} END)")
+
+
+def _series(m: str, first: str, ratio: str, x: str) -> str:
+    """1 + sum_{j=1..m} c_j x^j with c_0 = 1 and c_j = c_{j-1} * ratio(j) (Spark SQL)."""
+    step = f"acc.term * ({ratio}) * {x}"
+    return (f"IF({m} >= 1, aggregate(sequence(1, CAST({m} AS INT)), named_struct('term', {first}, 'total', {first}), "
+            f"(acc, j) -> named_struct('term', {step}, 'total', acc.total + {step}), acc -> acc.total), {first})")
+
+
+def f_p_sql(f: str, d1: str, d2: str) -> str:
+    """Upper F tail P(F > f) for integer df (Spark SQL), by finite series:
+    either df even (A&S 26.6.4 / 26.6.5) or both odd (A&S 26.6.8)."""
+    x = f"({d2} / ({d2} + {d1} * {f}))"
+    even1 = f"(pow({x}, {d2} / 2.0) * {_series(f'{d1} div 2 - 1', '1D', f'({d2} / 2.0 + j - 1) / j', f'(1 - {x})')})"
+    even2 = f"(1 - pow(1 - {x}, {d1} / 2.0) * {_series(f'{d2} div 2 - 1', '1D', f'({d1} / 2.0 + j - 1) / j', x)})"
+    th = f"atan(sqrt({d1} * {f} / {d2}))"
+    c2, s2 = f"pow(cos({th}), 2)", f"pow(sin({th}), 2)"
+    a = (f"(2.0 / pi()) * ({th} + sin({th}) * cos({th}) * "
+         f"{_series(f'({d2} - 3) div 2', '1D', '(2 * j) / (2 * j + 1.0)', c2)})")
+    a = f"IF({d2} = 1, (2.0 / pi()) * {th}, {a})"
+    # Gamma((d2 + 1) / 2) / Gamma(d2 / 2) for odd d2 = 2m + 1: (1 / sqrt(pi)) * prod_{i=1..m} i / (i - 1/2)
+    gratio = (f"(1.0 / sqrt(pi())) * IF({d2} >= 3, aggregate(sequence(1, CAST(({d2} - 1) div 2 AS INT)), 1D, "
+              f"(acc, i) -> acc * i / (i - 0.5)), 1D)")
+    beta = (f"((2.0 / sqrt(pi())) * {gratio} * sin({th}) * pow(cos({th}), {d2}) * "
+            f"{_series(f'({d1} - 3) div 2', '1D', f'({d2} + 2 * j - 1) / (2 * j + 1.0)', s2)})")
+    odd = f"IF({d1} = 1, 1.0 - {a}, 1.0 - {a} + {beta})"
+    return (f"(CASE WHEN {f} IS NULL OR {d1} IS NULL OR {d2} IS NULL OR {d1} <= 0 OR {d2} <= 0 THEN NULL "
+            f"WHEN {f} <= 0 THEN 1.0 WHEN {d1} % 2 = 0 THEN {even1} WHEN {d2} % 2 = 0 THEN {even2} ELSE {odd} END)")

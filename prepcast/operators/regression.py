@@ -26,9 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepcast.functions import dist
 from prepcast.functions.columns import rnd
-from prepcast.functions.tails import t_p_sql
+from prepcast.functions.tails import f_p_sql, t_p_sql
 
 DIGITS = 4
 
@@ -182,7 +181,7 @@ def ols_summary(df: DataFrame, cols: list[str], target: str, groups: list[str],
     extra = []
     if with_p:
         extra = [_round(F.expr(t_p_sql("t", "df_resid"))).alias("p"),
-                 _round(dist.f_pvalue(F.col("F"), F.col("k").cast("double"), F.col("df_resid").cast("double"))).alias("F_p")]
+                 _round(F.expr(f_p_sql("F", "k", "df_resid"))).alias("F_p")]
     return j.select(
         *groups, "model", "term",
         _round(F.col("coef")).alias("coef"), _round(F.col("se")).alias("se"), _round(F.col("t")).alias("t"),

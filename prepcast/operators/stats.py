@@ -3,8 +3,9 @@
 Every test returns one row per group (``groups``, e.g. the store): sample
 sizes, the statistic and its degrees of freedom. Only those sufficient
 statistics leave the aggregation. The p-value (``with_p=True``) is a JVM
-expression for the t, signed-rank and Shapiro-Wilk tests; the F tail uses a
-vectorised pandas UDF (regularised incomplete beta) once per result row.
+expression (exact finite series for the t and F tails, the exact signed-rank
+null, Royston's transform with a double-precision normal tail), so no test
+needs Python.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepcast.functions import dist
 from prepcast.functions.columns import DUMMY_LEVELS, div, rnd
 
 DIGITS = 6  # emitted statistics are rounded to this many decimals
@@ -52,7 +52,9 @@ def _finish_t(out: DataFrame, with_p: bool) -> DataFrame:
 def _finish_f(out: DataFrame, with_p: bool) -> DataFrame:
     """Round ``_F`` into ``F``; with_p adds p (from the unrounded F) and the decision."""
     if with_p:
-        out = out.withColumn("p", _r(dist.f_pvalue(F.col("_F"), F.col("df1").cast("double"), F.col("df2").cast("double"))))
+        from prepcast.functions.tails import f_p_sql
+
+        out = out.withColumn("p", _r(F.expr(f_p_sql("_F", "df1", "df2"))))
         out = out.withColumn("decision", decision(F.col("p")))
     return out.withColumn("F", _r(F.col("_F"))).drop("_F")
 

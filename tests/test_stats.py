@@ -136,3 +136,14 @@ def test_paired_t_equals_one_sample_t_on_differences(sample):
     diff = df.withColumn("d", F.col("x") - F.col("y"))
     one = {r["grp"]: r["t"] for r in stats.ttest_1samp(diff, "d", 0.0, ["grp"]).collect()}
     assert paired == one
+
+
+def test_f_tail_series_matches_incomplete_beta(spark):
+    import itertools
+
+    from prepcast.functions.tails import f_p_sql
+
+    rows = [(float(f), d1, d2) for f, d1, d2 in itertools.product([0.2, 1.0, 7.138, 40.0], [1, 2, 3, 5], [1, 2, 3, 14, 15])]
+    df = spark.createDataFrame(rows, "f double, d1 long, d2 long")
+    for r in df.selectExpr("f", "d1", "d2", f"{f_p_sql('f', 'd1', 'd2')} AS p").collect():
+        assert abs(r["p"] - dist.f_sf(r["f"], r["d1"], r["d2"])) < 1e-10
