@@ -154,15 +154,28 @@ def T_P(t: str, nu: str) -> str:
     return f"(CASE WHEN {t} IS NULL OR {nu} IS NULL OR {nu} <= 0 THEN NULL WHEN {nu} % 2 = 1 THEN 1.0 - {odd} ELSE 1.0 - {even} END)"
 
 
+def _dseries(m: str, ratio: str, x: str) -> str:
+    """1 + sum_{j=1..m} c_j x^j, c_j = prod_{i<=j} ratio(i) (DuckDB list lambdas)."""
+    return (f"coalesce(list_sum(list_transform(range(0, ({m}) + 1), lambda j: coalesce(list_product("
+            f"list_transform(range(1, j + 1), lambda i: {ratio})), 1.0) * pow({x}, j))), 1.0)")
+
+
 def F_P(f: str, d1: str, d2: str) -> str:
-    """Upper F tail when either df is even (finite series); NULL otherwise."""
+    """Upper F tail for integer df by finite series (either df even, or both odd)."""
     x = f"({d2} / ({d2} + {d1} * {f}))"
-    even1 = (f"pow({x}, {d2} / 2.0) * list_sum(list_transform(range(0, {d1} // 2), "
-             f"lambda i: exp(lgamma({d2} / 2.0 + i) - lgamma({d2} / 2.0) - lgamma(i + 1.0)) * pow(1 - {x}, i)))")
-    even2 = (f"1 - pow(1 - {x}, {d1} / 2.0) * list_sum(list_transform(range(0, {d2} // 2), "
-             f"lambda i: exp(lgamma({d1} / 2.0 + i) - lgamma({d1} / 2.0) - lgamma(i + 1.0)) * pow({x}, i)))")
+    even1 = f"(pow({x}, {d2} / 2.0) * {_dseries(f'{d1} // 2 - 1', f'({d2} / 2.0 + i - 1) / i', f'(1 - {x})')})"
+    even2 = f"(1 - pow(1 - {x}, {d1} / 2.0) * {_dseries(f'{d2} // 2 - 1', f'({d1} / 2.0 + i - 1) / i', x)})"
+    th = f"atan(sqrt({d1} * {f} / {d2}))"
+    c2, s2 = f"pow(cos({th}), 2)", f"pow(sin({th}), 2)"
+    a = (f"(CASE WHEN {d2} = 1 THEN (2.0 / pi()) * {th} ELSE (2.0 / pi()) * ({th} + sin({th}) * cos({th}) * "
+         f"{_dseries(f'({d2} - 3) // 2', '(2.0 * i) / (2.0 * i + 1.0)', c2)}) END)")
+    gratio = (f"((1.0 / sqrt(pi())) * coalesce(list_product(list_transform(range(1, ({d2} - 1) // 2 + 1), "
+              f"lambda i: i / (i - 0.5))), 1.0))")
+    beta = (f"((2.0 / sqrt(pi())) * {gratio} * sin({th}) * pow(cos({th}), {d2}) * "
+            f"{_dseries(f'({d1} - 3) // 2', f'({d2} + 2.0 * i - 1) / (2.0 * i + 1.0)', s2)})")
+    odd = f"(CASE WHEN {d1} = 1 THEN 1.0 - {a} ELSE 1.0 - {a} + {beta} END)"
     return (f"(CASE WHEN {f} IS NULL OR {d1} <= 0 OR {d2} <= 0 THEN NULL WHEN {f} <= 0 THEN 1.0 "
-            f"WHEN {d1} % 2 = 0 THEN {even1} WHEN {d2} % 2 = 0 THEN {even2} END)")
+            f"WHEN {d1} % 2 = 0 THEN {even1} WHEN {d2} % 2 = 0 THEN {even2} ELSE {odd} END)")
 
 
 def DECISION(p: str) -> str:
