@@ -268,8 +268,46 @@ PARAM_SCHEMA = ("model string, idx array<int>, beta array<double>, mu array<doub
                 "gram array<double>, n long, p int, mse double")
 
 
-def _params(grams: DataFrame, groups: list[str], all_cols: list[str]) -> DataFrame:
-    """Coefficients and (XᵀX)⁻¹ per (group, model); ``idx`` indexes [1, all_cols...]."""
+def _params_small(grams: DataFrame, groups: list[str], all_cols: list[str]) -> DataFrame:
+    """JVM closed form of ``_params`` for models with at most one feature.
+
+    Same semantics as the pseudo-inverse solve: a zero centred Sxx gives a
+    zero slope (minimum norm)."""
+    pos = F.create_map(*[x for i, cname in enumerate(all_cols) for x in (F.lit(cname), F.lit(i + 1))])
+    g = F.col("gram")
+    k = F.size("terms")
+    n = F.col("n").cast("double")
+    # gram layout: k = 0 -> [11, 1y, yy]; k = 1 -> [11, 1x, 1y, xx, xy, yy]
+    sx, sy = F.when(k == 1, g[1]).otherwise(F.lit(0.0)), F.when(k == 1, g[2]).otherwise(g[1])
+    sxx_raw, sxy_raw = g[3], g[4]
+    syy_raw = F.when(k == 1, g[5]).otherwise(g[2])
+    mu, ybar = sx / n, sy / n
+    sxx = sxx_raw - n * mu * mu
+    sxy = sxy_raw - n * mu * ybar
+    syy = syy_raw - n * ybar * ybar
+    slope = F.when(sxx != 0, sxy / sxx).otherwise(F.lit(0.0))
+    sinv = F.when(sxx != 0, F.lit(1.0) / sxx).otherwise(F.lit(0.0))
+    sse = F.greatest(F.lit(0.0), F.when(k == 1, syy - slope * sxy).otherwise(syy))
+    dfr = F.col("n") - (k + 1)
+    one = k == 1
+    return grams.filter(F.col("n") > 0).select(
+        *groups, "model",
+        F.when(one, F.array(F.lit(0), pos[F.col("terms")[0]])).otherwise(F.array(F.lit(0))).alias("idx"),
+        F.when(one, F.array(ybar - mu * slope, slope)).otherwise(F.array(ybar)).alias("beta"),
+        F.when(one, F.array(mu)).otherwise(F.array().cast("array<double>")).alias("mu"),
+        F.when(one, F.array(sinv)).otherwise(F.array().cast("array<double>")).alias("sinv"),
+        "gram", F.col("n").cast("long").alias("n"), (k + 1).alias("p"),
+        F.when(dfr > 0, sse / dfr).alias("mse"),
+    )
+
+
+def _params(grams: DataFrame, groups: list[str], all_cols: list[str], max_k: int | None = None) -> DataFrame:
+    """Coefficients and (XᵀX)⁻¹ per (group, model); ``idx`` indexes [1, all_cols...].
+
+    Models with at most one feature are solved by JVM expressions; larger
+    systems go through one Arrow-batched Python solve per (group, model)."""
+    if max_k is not None and max_k <= 1:
+        return _params_small(grams, groups, all_cols)
     gfields = [grams.schema[g] for g in groups]
     schema = T.StructType(gfields + T._parse_datatype_string(PARAM_SCHEMA).fields)
     pos = {cname: i + 1 for i, cname in enumerate(all_cols)}
@@ -368,8 +406,17 @@ def loocv_residuals(rows: DataFrame, models: dict[str, list[str]], target: str,
     """Per (group, model, row): fitted, residual, leverage and LOOCV residual (actual - held-out prediction)."""
     all_cols = sorted({cname for cols in models.values() for cname in cols})
     grams = model_grams(rows, models, target, groups)
-    params = _params(grams, groups, all_cols)
-    return with_exact_loo(press_rows(rows, params, target, all_cols, groups, keep))
+    max_k = max(len(c) for c in models.values())
+    params = _params(grams, groups, all_cols, max_k=max_k)
+    j = press_rows(rows, params, target, all_cols, groups, keep)
+    if max_k <= 1:
+        # With at most one feature a leverage-1 row is the only row with its x
+        # value, so the refit without it has slope 0 (minimum norm) and predicts
+        # the mean of the other rows.
+        sum_y = F.when(F.size("mu") == 1, F.col("gram")[2]).otherwise(F.col("gram")[1])
+        others = F.when(F.col("n") > 1, F.col("_y") - (sum_y - F.col("_y")) / (F.col("n") - 1))
+        return j.drop("_xall").withColumn("e_loo", F.coalesce(F.col("e_press"), others))
+    return with_exact_loo(j)
 
 
 def loocv_rmse(rows: DataFrame, models: dict[str, list[str]], target: str, groups: list[str]) -> DataFrame:

@@ -179,3 +179,16 @@ def test_loocv_on_tiny_groups_does_not_fail(spark):
     pdf = pd.DataFrame({"grp": ["a", "b", "b"], "x1": [1.0, 2.0, 3.0], "y": [1.0, 2.0, 2.5]})
     out = regression.loocv_rmse(spark.createDataFrame(pdf), {"m": ["x1"], "c": []}, "y", ["grp"]).collect()
     assert {(r["grp"], r["model"]) for r in out} >= {("b", "c")}
+
+
+def test_one_feature_leverage_one_row_in_jvm_path(spark):
+    pdf = _fixture()
+    pdf = pdf[pdf.grp == "a"].copy()
+    pdf["x3"] = 2.0
+    pdf.iloc[6, pdf.columns.get_loc("x3")] = 5.0  # the only row with its x value: leverage 1
+    df = spark.createDataFrame(pdf)
+    got = regression.loocv_residuals(df, {"m": ["x3"]}, "y", ["grp"], keep=["date"]).toPandas().sort_values("date")
+    _, want = _loocv_rmse(pdf[["x3"]].to_numpy(), pdf["y"].to_numpy())
+    assert np.allclose(got["e_loo"].to_numpy(), want, atol=1e-6)
+    j = regression.loocv_residuals(df, {"m": ["x3"]}, "y", ["grp"])
+    assert "Python" not in j._jdf.queryExecution().executedPlan().toString()
