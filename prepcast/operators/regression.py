@@ -5,12 +5,16 @@ Plan shape (per group = store, all groups at once):
 1. One aggregate computes, per group and per candidate model, the masked
    sums n, Σx, Σxxᵀ, Σxy, Σy² over that model's complete cases. Many models
    share one pass over the data.
-2. A small Arrow-batched helper solves each (group, model) system of at most
-   ~16 unknowns. Only these sufficient statistics reach Python.
+2. Each (group, model) system is solved in centred coordinates: in closed
+   form on the JVM for models with at most one feature, otherwise by a small
+   Arrow-batched helper (at most ~16 unknowns). Only these sufficient
+   statistics reach Python.
 3. LOOCV never refits: the held-out residual is e / (1 - h) with leverage
-   h = xᵀ(XᵀX)⁻¹x (PRESS). It is computed in a JVM-side pass over the rows
-   joined to their group's coefficients; rows with leverage 1 (where PRESS is
-   0/0) are recomputed exactly by a downdated minimum-norm fit.
+   h = 1/n + (x - mu)ᵀ Sxx⁻¹ (x - mu) (PRESS). It is computed in a JVM-side
+   pass over the rows joined to their group's coefficients; rows with
+   leverage 1 (where PRESS is 0/0) get the exact minimum-norm refit without
+   the row (a closed form for one feature, a downdated pseudo-inverse solve
+   otherwise).
 4. Forward selection is a driver loop of at most ``max_features`` steps; each
    step is one narrow pass scoring every remaining candidate of every group,
    and the running-best rule is a fold over the group's candidate list.
