@@ -540,3 +540,15 @@ def dia_before_after(spark, sf):
     both = a.withColumn("snapshot", snap)
     groups = ["snapshot", *STORE]
     return influence.propagation(_diag(spark, sf, groups, both), DIAG_FEATURE, DIAG_TARGET, groups, lag_days=7)
+
+
+@register("cor_with_without_segment", sql((*AF_CTES, _SEG), "\nUNION ALL\n".join(
+    f"SELECT store_id, segment, '{c}' AS feature, {i} AS pos, {_pearson_sql(T1, c)} AS r_incl, "
+    f"{_pearson_sql(f'CASE WHEN date NOT IN ({_EXCL}) OR date IS NULL THEN {T1} END', f'CASE WHEN date NOT IN ({_EXCL}) OR date IS NULL THEN {c} END')} AS r_excl "
+    f"FROM seg GROUP BY store_id, segment"
+    for i, c in enumerate(TIME_COLS)
+)))
+def cor_with_without_segment(spark, sf):
+    """With / without the declared outlier dates, per store and weekday segment
+    (all days, Tuesdays, Mondays + Fridays), in one pass."""
+    return corr.corr_with_without(_segmented(af(spark, sf)), TIME_COLS, T1, [*STORE, "segment"], OUTLIER_DATES)
