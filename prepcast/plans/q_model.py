@@ -552,3 +552,27 @@ def cor_with_without_segment(spark, sf):
     """With / without the declared outlier dates, per store and weekday segment
     (all days, Tuesdays, Mondays + Fridays), in one pass."""
     return corr.corr_with_without(_segmented(af(spark, sf)), TIME_COLS, T1, [*STORE, "segment"], OUTLIER_DATES)
+
+
+def _scan_segment_sql() -> str:
+    parts = []
+    for f in FEATURE_COLUMNS:
+        n = f"regr_count({T1}, {f})"
+        sse = f"(regr_syy({T1}, {f}) - regr_slope({T1}, {f}) * regr_sxy({T1}, {f}))"
+        t = f"regr_slope({T1}, {f}) / NULLIF(sqrt(({sse} / NULLIF({n} - 2, 0)) / NULLIF(regr_sxx({T1}, {f}), 0)), 0)"
+        parts.append(
+            f"SELECT store_id, segment, '{f}' AS feature, CAST({n} AS BIGINT) AS n, {r4(f'regr_r2({T1}, {f})')} AS r2, "
+            f"{r4(f'CASE WHEN {n} - 2 > 0 THEN 1 - (1 - regr_r2({T1}, {f})) * ({n} - 1) / ({n} - 2) END')} AS adj_r2, "
+            f"{r4(f'regr_slope({T1}, {f})')} AS slope, {r4(t)} AS t "
+            f"FROM seg WHERE date NOT IN ({_EXCL}) OR date IS NULL GROUP BY store_id, segment"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("reg_single_scan_segment", sql((*AF_CTES, _SEG), _scan_segment_sql()))
+def reg_single_scan_segment(spark, sf):
+    """Single-feature scan per store and weekday segment, declared outlier dates excluded."""
+    seg = _segmented(af(spark, sf))
+    keep = ~F.col("date").isin(*[F.lit(d).cast("date") for d in OUTLIER_DATES]) | F.col("date").isNull()
+    scan = regression.single_feature_scan(seg.filter(keep), FEATURE_COLUMNS, T1, [*STORE, "segment"])
+    return regression.scan_result(scan)
