@@ -118,7 +118,8 @@ def _solve(gram, n: int, k: int) -> dict:
     if dfr > 0:
         out["mse"] = sse / dfr
     if syy > 0:
-        r2 = 1.0 - sse / syy
+        # no residual degrees of freedom: the fit interpolates, R^2 = 1 (adjusted R^2 undefined)
+        r2 = 1.0 if dfr <= 0 else 1.0 - sse / syy
         out["r2"] = r2
         if dfr > 0:
             out["adj_r2"] = 1.0 - (1.0 - r2) * (n - 1) / dfr

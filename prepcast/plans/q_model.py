@@ -144,12 +144,13 @@ def _scan_sql(target: str, feats: list[str], with_p: bool = False) -> str:
     parts = []
     for f in feats:
         n = f"regr_count({target}, {f})"
-        sse = f"(regr_syy({target}, {f}) - regr_slope({target}, {f}) * regr_sxy({target}, {f}))"
-        t = f"regr_slope({target}, {f}) / NULLIF(sqrt(({sse} / NULLIF({n} - 2, 0)) / NULLIF(regr_sxx({target}, {f}), 0)), 0)"
+        slope = f"(CASE WHEN regr_sxx({target}, {f}) = 0 THEN NULL ELSE regr_slope({target}, {f}) END)"
+        sse = f"(regr_syy({target}, {f}) - {slope} * regr_sxy({target}, {f}))"
+        t = f"{slope} / NULLIF(sqrt(({sse} / NULLIF({n} - 2, 0)) / NULLIF(regr_sxx({target}, {f}), 0)), 0)"
         parts.append(
             f"SELECT store_id, '{f}' AS feature, CAST({n} AS BIGINT) AS n, {r4(f'regr_r2({target}, {f})')} AS r2, "
             f"{r4(f'CASE WHEN {n} - 2 > 0 THEN 1 - (1 - regr_r2({target}, {f})) * ({n} - 1) / ({n} - 2) END')} AS adj_r2, "
-            f"{r4(f'regr_slope({target}, {f})')} AS slope, {r4(t)} AS t"
+            f"{r4(slope)} AS slope, {r4(t)} AS t"
             + (f", {r4(T_P(t, f'({n} - 2)'))} AS p" if with_p else "")
             + " FROM af GROUP BY store_id"
         )
@@ -166,16 +167,16 @@ def reg_single_scan_pvalue(spark, sf):
     return regression.with_slope_p(regression.single_feature_scan(af(spark, sf), FEATURE_COLUMNS, T1, STORE))
 
 
-def _ols2(src: str, y: str, x1: str, x2: str, where: str = "TRUE", name: str = "o2") -> str:
-    """Two-regressor OLS per store in closed form: coefficients, standard errors and fit."""
+def _ols2(src: str, y: str, x1: str, x2: str, where: str = "TRUE", name: str = "o2", grp: str = "store_id") -> str:
+    """Two-regressor OLS per group in closed form: coefficients, standard errors and fit."""
     return f"""
-{name}_cc AS (SELECT store_id, CAST({x1} AS DOUBLE) AS x1, CAST({x2} AS DOUBLE) AS x2, CAST({y} AS DOUBLE) AS y FROM {src}
+{name}_cc AS (SELECT {grp}, CAST({x1} AS DOUBLE) AS x1, CAST({x2} AS DOUBLE) AS x2, CAST({y} AS DOUBLE) AS y FROM {src}
        WHERE {y} IS NOT NULL AND {x1} IS NOT NULL AND {x2} IS NOT NULL AND {where}),
 {name}_m AS (
-    SELECT store_id, COUNT(*) AS n, AVG(x1) AS m1, AVG(x2) AS m2, AVG(y) AS my,
+    SELECT {grp}, COUNT(*) AS n, AVG(x1) AS m1, AVG(x2) AS m2, AVG(y) AS my,
            VAR_POP(x1) * COUNT(*) AS s11, VAR_POP(x2) * COUNT(*) AS s22, COVAR_POP(x1, x2) * COUNT(*) AS s12,
            COVAR_POP(x1, y) * COUNT(*) AS s1y, COVAR_POP(x2, y) * COUNT(*) AS s2y, VAR_POP(y) * COUNT(*) AS syy
-    FROM {name}_cc GROUP BY store_id
+    FROM {name}_cc GROUP BY {grp}
 ),
 {name}_b AS (
     SELECT *, s11 * s22 - s12 * s12 AS det,
@@ -189,7 +190,7 @@ def _ols2(src: str, y: str, x1: str, x2: str, where: str = "TRUE", name: str = "
 ),
 {name} AS (
     SELECT *, sse / NULLIF(df_resid, 0) AS sigma2,
-           CASE WHEN syy > 0 THEN 1 - sse / syy END AS r2,
+           CASE WHEN syy > 0 AND df_resid <= 0 THEN 1.0 WHEN syy > 0 THEN 1 - sse / syy END AS r2,
            CASE WHEN syy > 0 AND df_resid > 0 THEN 1 - (sse / syy) * (n - 1) / df_resid END AS adj_r2,
            CASE WHEN syy > 0 AND df_resid > 0 AND sse > 0 THEN ((syy - sse) / 2) / (sse / df_resid) END AS F,
            CASE WHEN df_resid > 0 THEN sqrt(sse / df_resid * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det)) END AS se0,
@@ -558,12 +559,13 @@ def _scan_segment_sql() -> str:
     parts = []
     for f in FEATURE_COLUMNS:
         n = f"regr_count({T1}, {f})"
-        sse = f"(regr_syy({T1}, {f}) - regr_slope({T1}, {f}) * regr_sxy({T1}, {f}))"
-        t = f"regr_slope({T1}, {f}) / NULLIF(sqrt(({sse} / NULLIF({n} - 2, 0)) / NULLIF(regr_sxx({T1}, {f}), 0)), 0)"
+        slope = f"(CASE WHEN regr_sxx({T1}, {f}) = 0 THEN NULL ELSE regr_slope({T1}, {f}) END)"
+        sse = f"(regr_syy({T1}, {f}) - {slope} * regr_sxy({T1}, {f}))"
+        t = f"{slope} / NULLIF(sqrt(({sse} / NULLIF({n} - 2, 0)) / NULLIF(regr_sxx({T1}, {f}), 0)), 0)"
         parts.append(
             f"SELECT store_id, segment, '{f}' AS feature, CAST({n} AS BIGINT) AS n, {r4(f'regr_r2({T1}, {f})')} AS r2, "
             f"{r4(f'CASE WHEN {n} - 2 > 0 THEN 1 - (1 - regr_r2({T1}, {f})) * ({n} - 1) / ({n} - 2) END')} AS adj_r2, "
-            f"{r4(f'regr_slope({T1}, {f})')} AS slope, {r4(t)} AS t "
+            f"{r4(slope)} AS slope, {r4(t)} AS t "
             f"FROM seg WHERE date NOT IN ({_EXCL}) OR date IS NULL GROUP BY store_id, segment"
         )
     return "\nUNION ALL\n".join(parts)
@@ -576,3 +578,24 @@ def reg_single_scan_segment(spark, sf):
     keep = ~F.col("date").isin(*[F.lit(d).cast("date") for d in OUTLIER_DATES]) | F.col("date").isNull()
     scan = regression.single_feature_scan(seg.filter(keep), FEATURE_COLUMNS, T1, [*STORE, "segment"])
     return regression.scan_result(scan)
+
+
+def _stepwise_segment_sql() -> str:
+    keep = f"(date NOT IN ({_EXCL}) OR date IS NULL)"
+    ctes = [_ols2("seg", T1, _STEP_BASE, c, where=keep, name=f"g{i}", grp="store_id, segment")
+            for i, c in enumerate(_STEP_REMAINING)]
+    body = "\nUNION ALL\n".join(
+        f"SELECT store_id, segment, '{c}' AS added, n, CAST(2 AS INTEGER) AS k, df_resid, {r4('r2')} AS r2, "
+        f"{r4('adj_r2')} AS adj_r2, {r4('b2 / NULLIF(se2, 0)')} AS t FROM g{i}"
+        for i, c in enumerate(_STEP_REMAINING))
+    return sql((*AF_CTES, _SEG, *ctes), body)
+
+
+@register("reg_stepwise_scan_segment", _stepwise_segment_sql())
+def reg_stepwise_scan_segment(spark, sf):
+    """Stepwise scan (base lag_biweekly_t1 + each candidate) per store and weekday
+    segment, declared outlier dates excluded."""
+    seg = _segmented(af(spark, sf))
+    keep = ~F.col("date").isin(*[F.lit(d).cast("date") for d in OUTLIER_DATES]) | F.col("date").isNull()
+    return regression.stepwise_scan(seg.filter(keep), [_STEP_BASE], _STEP_REMAINING, T1, [*STORE, "segment"],
+                                    with_p=False)
