@@ -204,7 +204,8 @@ def prefix_counts(cnt: DataFrame, groups: list[str], value: str, count: str, buc
 
     A running sum over a whole group would put the group into one task. Here
     each group's values are cut into ``buckets`` ranges by approximate
-    quantiles (cut points checkpointed, so every use sees the same ones);
+    quantiles (cut points written once to the shared checkpoint folder, so
+    every use sees the same ones);
     bucket totals give each bucket's offset (a window over at most ``buckets``
     rows per group) and a running sum inside each (group, bucket) gives the
     rest. Exact whatever the cut points are; they only balance the buckets.
@@ -212,10 +213,9 @@ def prefix_counts(cnt: DataFrame, groups: list[str], value: str, count: str, buc
     fr = [i / buckets for i in range(1, buckets)]
     cuts = cnt.groupBy(*groups).agg(F.percentile_approx(value, fr, 10000).alias("_cuts"))
     if checkpoint:
-        from prepcast.session import ensure_checkpoint_dir
+        from prepcast.session import written_table
 
-        ensure_checkpoint_dir(cnt.sparkSession)
-        cuts = cuts.checkpoint(eager=True)
+        cuts = written_table(cuts, "rank-cuts", groups)
     b = cnt.join(cuts, groups, "inner").withColumn(
         "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     ).drop("_cuts")
