@@ -331,3 +331,27 @@ def st_decision(spark, sf):
         .unionByName(long(stats.ttest_rel(h3, "cumul_16_19", "cumul_20_22", STORE, with_p=True), "ttest_rel", "t"))
         .unionByName(long(stats.wilcoxon(h3, "cumul_16_19", "cumul_20_22", STORE, with_p=True), "wilcoxon", "statistic"))
     )
+
+
+_LEV_STATUS = """
+med_s AS (
+    SELECT store_id, is_pre_holiday, quantile_cont(sum_g, 0.5) AS med FROM h1
+    WHERE sum_g IS NOT NULL AND is_pre_holiday IN (0, 1) GROUP BY 1, 2
+),
+zs AS (
+    SELECT h1.store_id, h1.is_pre_holiday, ABS(h1.sum_g - med_s.med) AS z
+    FROM h1 JOIN med_s ON h1.store_id = med_s.store_id AND h1.is_pre_holiday = med_s.is_pre_holiday
+    WHERE h1.sum_g IS NOT NULL
+)"""
+_LEV_STATUS_CTES = (DAYT, H1, _LEV_STATUS, _oneway_sql("zs", "z", "is_pre_holiday", "TRUE", pre="s_"))
+
+
+@register("st_levene_status", sql(_LEV_STATUS_CTES, _with_f("store_id, k, N, df1, df2", _oneway_src("s_"), False)))
+def st_levene_status(spark, sf):
+    """Levene (median centre) between regular days and pre-holiday days (the H2 groups)."""
+    return stats.levene(T.h1(spark, sf), "sum_g", "is_pre_holiday", STORE, levels=[0, 1])
+
+
+@register("st_levene_status_pvalue", sql(_LEV_STATUS_CTES, _with_f("store_id, k, N, df1, df2", _oneway_src("s_"), True)))
+def st_levene_status_pvalue(spark, sf):
+    return stats.levene(T.h1(spark, sf), "sum_g", "is_pre_holiday", STORE, levels=[0, 1], with_p=True)
