@@ -226,7 +226,7 @@ def _shapiro_long(spark, sf):
     return tt.select(*STORE, F.inline(entries)).filter(F.col("keep") & F.col("sample").isNotNull())
 
 
-def _shapiro_sql(with_p: bool = False) -> str:
+def _shapiro_sql(with_p: bool = False, long_cte: str | None = None, base_ctes: tuple | None = None) -> str:
     from prepcast.functions.normal import norm_ppf_sql
     from prepcast.operators.stats import _SW_C1, _SW_C2
 
@@ -245,14 +245,15 @@ def _shapiro_sql(with_p: bool = False) -> str:
          f"WHEN i = n THEN {an} WHEN i = 1 THEN -{an} WHEN n > 5 AND i = n - 1 THEN {an1} "
          f"WHEN n > 5 AND i = 2 THEN -{an1} ELSE m / sqrt({phi}) END)")
     levels = ", ".join(f"'{x}'" for x in DUMMY_LEVELS)
-    ctes = f"""
+    default_long = f"""
 slong AS (
     SELECT store_id, 'sum_g' AS sample, sum_g AS x FROM tt WHERE day_of_week != '{THU}'
     UNION ALL
     SELECT store_id, 'sum_g|' || day_of_week, sum_g FROM tt WHERE day_of_week != '{THU}' AND day_of_week IN ({levels})
     UNION ALL
     SELECT store_id, 'diff_16_19_minus_20_22', cumul_16_19 - cumul_20_22 FROM h3
-),
+),"""
+    ctes = (long_cte or default_long) + f"""
 sv AS (SELECT * FROM slong WHERE x IS NOT NULL AND sample IS NOT NULL),
 ssz AS (SELECT store_id, sample, COUNT(*) AS n FROM sv GROUP BY 1, 2),
 sr AS (
@@ -281,7 +282,7 @@ FROM ssz WHERE n < 3 OR n > 5000"""
         p = r6(shapiro_p_sql("W", "n"))
         body = (f"SELECT *, {p} AS p, CASE WHEN {p} IS NULL THEN NULL ELSE {p} > 0.05 END AS normal "
                 f"FROM ({body}) q")
-    return sql((*H3_CTES, ctes), body)
+    return sql((*(base_ctes or H3_CTES), ctes), body)
 
 
 @register("st_shapiro", _shapiro_sql())
@@ -355,3 +356,29 @@ def st_levene_status(spark, sf):
 @register("st_levene_status_pvalue", sql(_LEV_STATUS_CTES, _with_f("store_id, k, N, df1, df2", _oneway_src("s_"), True)))
 def st_levene_status_pvalue(spark, sf):
     return stats.levene(T.h1(spark, sf), "sum_g", "is_pre_holiday", STORE, levels=[0, 1], with_p=True)
+
+
+_STATUS_LONG = """
+slong AS (
+    SELECT store_id, 'status|' || CAST(is_pre_holiday AS VARCHAR) AS sample, sum_g AS x FROM h1
+    WHERE is_pre_holiday IN (0, 1)
+),"""
+
+
+def _status_long(spark, sf):
+    from pyspark.sql import functions as F
+
+    h1 = T.h1(spark, sf).filter(F.col("is_pre_holiday").isin(0, 1))
+    return h1.select(*STORE, F.concat(F.lit("status|"), F.col("is_pre_holiday").cast("string")).alias("sample"),
+                     F.col("sum_g").alias("x"))
+
+
+@register("st_shapiro_status", _shapiro_sql(long_cte=_STATUS_LONG, base_ctes=(DAYT, H1)))
+def st_shapiro_status(spark, sf):
+    """Shapiro-Wilk W per store for regular and pre-holiday days (the H2 groups)."""
+    return stats.shapiro(_status_long(spark, sf), "x", [*STORE, "sample"], with_p=False)
+
+
+@register("st_shapiro_status_pvalue", _shapiro_sql(with_p=True, long_cte=_STATUS_LONG, base_ctes=(DAYT, H1)))
+def st_shapiro_status_pvalue(spark, sf):
+    return stats.shapiro(_status_long(spark, sf), "x", [*STORE, "sample"])
