@@ -352,7 +352,8 @@ def _train_valid(spark, sf):
 def _predictions(spark, sf):
     train, valid = _train_valid(spark, sf)
     coef, _ = regression.ols_tables(regression.model_grams(train, {"t2": T2_MODEL}, T2, STORE), STORE)
-    cmean = train.dropna(subset=[T2, *T2_MODEL]).groupBy(*STORE).agg(F.avg(T2).alias("c_value"))
+    cmean = train.dropna(subset=[T2, *T2_MODEL]).groupBy(*STORE).agg(F.round(F.avg(T2).cast("decimal(38,10)"), 4)
+                                                                     .cast("double").alias("c_value"))
     p = regression.predict(valid, coef, STORE, "t2", T2_MODEL).join(cmean, STORE, "left")
     return p.select(*STORE, "day_id", "date", "day_of_week", T2, "roll_prev_3days_mean_t2",
                     F.round("prediction", 4).alias("prediction"), "c_value")
@@ -361,7 +362,7 @@ def _predictions(spark, sf):
 _BT = _cramer("af", T2, *T2_MODEL, where=f"date < DATE '{TRAIN_END}'") + f""",
 pred AS (
     SELECT a.store_id, a.day_id, a.date, a.day_of_week, a.{T2}, a.roll_prev_3days_mean_t2,
-           {r4('c.b0 + c.b1 * a.dow_fri + c.b2 * a.roll_prev_3days_mean_t2')} AS prediction, c.my AS c_value
+           {r4('c.b0 + c.b1 * a.dow_fri + c.b2 * a.roll_prev_3days_mean_t2')} AS prediction, {r4('c.my')} AS c_value
     FROM af a LEFT JOIN coef2 c ON a.store_id = c.store_id
     WHERE a.date >= DATE '{TRAIN_END}' AND a.roll_prev_3days_mean_t2 IS NOT NULL AND a.{T2} IS NOT NULL
 ),
