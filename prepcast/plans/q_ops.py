@@ -320,9 +320,11 @@ def agg_describe(spark, sf):
     return describe.describe(describe.with_all_group(T.h1(spark, sf), "day_of_week"), "sum_g", [*STORE, "day_of_week"])
 
 
-@register("agg_quantile", sql((*H1_CTES, _Q), "SELECT store_id, q1, q3, iqr, lower, upper FROM fence2"))
+@register("agg_quantile", sql((*H1_CTES, _Q), "SELECT store_id, " + ", ".join(
+    f"{R(c, 6)} AS {c}" for c in ("q1", "q3", "iqr", "lower", "upper")) + " FROM fence2"))
 def agg_quantile(spark, sf):
-    return describe.quartiles(T.h1(spark, sf), "sum_g", STORE)
+    q = describe.quartiles(T.h1(spark, sf), "sum_g", STORE)
+    return q.select(*STORE, *[rnd(F.col(c), 6).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")])
 
 
 @register("agg_box_summary", sql((*H1_CTES, """
