@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prepcast.llm import direct_codes
+from prepcast.llm import compression, direct_codes, packing
 from prepcast.llm.scratch import shared_dir
 from prepcast.llm.tokens import tokenizer_file
 
@@ -39,3 +39,14 @@ def op1_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh(spark, "direct-codes")
     direct_codes.write_store(table(spark, sf_dir, "documents"), path, tokenizer_file())
     return direct_codes.digests(direct_codes.read_store(spark, path))
+
+
+@register
+def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents at their sources' own token shares."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@register
+def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.assess(table(spark, sf_dir, "documents"))
