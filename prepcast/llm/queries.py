@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prepcast.llm import compression, direct_codes, packing
+from prepcast.llm import compression, direct_codes, packing, quality, toxicity
 from prepcast.llm.scratch import shared_dir
 from prepcast.llm.tokens import tokenizer_file
 
@@ -50,3 +50,15 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.assess(table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@register
+def op9_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
