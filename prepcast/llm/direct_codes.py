@@ -82,18 +82,32 @@ def access(levels: list[dict[str, bytes]], at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rank_one(bits: bytes, ranks: bytes, at: int) -> int:
+    """``_rank`` of one position."""
+    block, byte = at // RANK_BITS, at >> 3
+    if byte >= len(bits):
+        return sum(int.from_bytes(bits[i:i + 64], "little").bit_count() for i in range(0, len(bits), 64))
+    inside = int.from_bytes(bits[block * (RANK_BITS // 8):byte + 1], "little") & ((1 << (at % RANK_BITS)) - 1)
+    return int.from_bytes(ranks[4 * block:4 * block + 4], "little") + inside.bit_count()
+
+
 def access_range(levels: list[dict[str, bytes]], begin: int, end: int) -> np.ndarray:
     """The ids of begin <= position < end: one rank step a level, then neighbours in step."""
-    out, live, shift = np.zeros(end - begin, np.uint32), np.arange(end - begin), 0
+    out, live, shift = np.zeros(end - begin, np.uint32), None, 0
     for level in levels:
         if begin >= end:
             break
-        out[live] |= np.frombuffer(level["chunks"], np.uint8)[begin:end].astype(np.uint32) << np.uint32(shift)
-        bits = np.frombuffer(level["bits"], np.uint8)
-        more = np.unpackbits(bits[begin >> 3:(end + 7) >> 3], bitorder="little")[begin & 7:(begin & 7) + end - begin].astype(bool)
-        live = live[more]
-        begin = int(_rank(bits, np.frombuffer(level["ranks"], "<u4"), np.array([begin]))[0])
-        end = begin + len(live)
+        part = np.frombuffer(level["chunks"], np.uint8, end - begin, begin).astype(np.uint32) << np.uint32(shift)
+        if live is None:
+            out[:] = part
+        else:
+            out[live] |= part
+        bits = level["bits"]
+        here = np.frombuffer(bits, np.uint8, ((end + 7) >> 3) - (begin >> 3), begin >> 3)
+        more = np.flatnonzero(np.unpackbits(here, bitorder="little")[begin & 7:(begin & 7) + end - begin])
+        live = more if live is None else live[more]
+        begin = _rank_one(bits, level["ranks"], begin)
+        end = begin + len(more)
         shift += 8
     return out
 

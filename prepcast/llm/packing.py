@@ -56,7 +56,7 @@ def encode(docs: DataFrame, file: str, end_id: int) -> DataFrame:
             raw = data.tobytes()
             ids = [enc.ids(raw[a:b]) + end for a, b in zip(offs, offs[1:])]
             n = len(ids)
-            small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if enc.tok.get_vocab_size() <= 65536 else x for x in ids]
+            small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if not enc.wide else x for x in ids]
             inner = []  # ids of the same queue before it in this partition
             for queue, x in zip(batch.column("queue").to_pylist(), ids):
                 inner.append(at.get(queue, 0))

@@ -9,43 +9,68 @@ worker and is emptied when full, so its memory is bounded.
 from __future__ import annotations
 
 import os
+from array import array
 
-import numpy as np
-
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 LONG_WORD = 256
 
 
 class Encoder:
-    """ids(text) -> little-endian uint32 bytes of a text's ids, without special tokens."""
+    """ids(text) -> little-endian uint32 bytes of a text's ids, without special tokens.
+
+    Words are looked up with ASCII capitals lowered, as the tokenizer lowers them
+    itself (not in a text with ``<|``: special tokens are matched as written). A
+    point or comma after a letter or digit is a piece of its own, so such a word
+    is its stem and the mark. Two generations of at most ``cache_words`` words are
+    kept: words of the older one that come up again move to the newer one.
+    """
 
     def __init__(self, file: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
-        self.cache: dict[bytes, bytes] = {}
+        self.wide = self.tok.get_vocab_size() > 65536
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.cache_words = cache_words
+        self.marks = {m: self._encode([m])[0] for m in (b".", b",")}
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         out = self.tok.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in out]
+        return [array("I", e.ids).tobytes() for e in out]
+
+    def _learn(self, words: set[bytes]) -> None:
+        new, old, marks = self.new, self.old, self.marks
+        stems, rest = {}, []
+        for w in words:
+            if (known := old.get(w)) is not None:
+                new[w] = known
+            elif w[-1:] in marks and w[-2:-1].isalnum():
+                stems[w] = w[:-1]
+            else:
+                rest.append(w)
+        more = {s for s in stems.values() if s not in new and s not in words}
+        rest += more
+        for at in range(0, len(rest), 4096):
+            part = rest[at:at + 4096]
+            new.update(zip(part, self._encode(part)))
+        for w, s in stems.items():
+            new[w] = (new[s] if s in new else old[s]) + marks[w[-1:]]
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        cache = self.cache
-        missing = [w for w in dict.fromkeys(words) if w not in cache]
-        if len(cache) + len(missing) > self.cache_words:
-            cache.clear()
-            missing = list(dict.fromkeys(words))
-        for at in range(0, len(missing), 4096):
-            part = missing[at:at + 4096]
-            cache.update(zip(part, self._encode(part)))
-        out = b"".join([cache[w] for w in words])
-        for w in missing:
-            if len(w) > LONG_WORD:  # rare and large: not worth keeping
-                del cache[w]
-        return out
+        words = (text if b"<|" in text else text.lower()).split()
+        if len(self.new) > self.cache_words:
+            self.old, self.new = self.new, {}
+        found = list(map(self.new.get, words))
+        if None in found:
+            missing = {w for w, x in zip(words, found) if x is None}
+            self._learn(missing)
+            found = [self.new[w] for w in words]
+            for w in missing:
+                if len(w) > LONG_WORD:  # rare and large: not worth keeping
+                    del self.new[w]
+        return b"".join(found)
 
 
 _ENCODERS: dict[str, Encoder] = {}
