@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prepcast.llm import compression, direct_codes, packing, quality, toxicity
+from prepcast.llm import compression, direct_codes, neardup, packing, quality, toxicity
 from prepcast.llm.scratch import shared_dir
 from prepcast.llm.tokens import tokenizer_file
 
@@ -62,3 +62,9 @@ def op7_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@register
+def op6_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles, similarity 0.8, over all documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
