@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prepcast.llm import compression, direct_codes, neardup, packing, quality, toxicity
+from prepcast.llm import compression, decontaminate, direct_codes, neardup, packing, quality, toxicity
 from prepcast.llm.scratch import shared_dir
 from prepcast.llm.tokens import tokenizer_file
 
@@ -68,3 +68,9 @@ def op9_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, similarity 0.8, over all documents."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+@register
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document and benchmark item."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
