@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prepcast.llm import compression, decontaminate, direct_codes, neardup, packing, quality, toxicity
+from prepcast.llm import compression, decontaminate, direct_codes, neardup, packing, pii, quality, toxicity
 from prepcast.llm.scratch import shared_dir
 from prepcast.llm.tokens import tokenizer_file
 
@@ -74,3 +74,8 @@ def op6_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per contaminated document and benchmark item."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op4_information_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
