@@ -201,4 +201,4 @@ def tokens_at(store: DataFrame, wanted: DataFrame) -> DataFrame:
             token = pa.array(got, pa.int64(), mask=~here)
         return pa.table({"doc_id": asked.column("doc_id"), "position": asked.column("position"), "token": token})
 
-    return placed.groupBy("shard", "block").cogroup(store.select("shard", "block", "levels").groupBy("shard", "block")).applyInArrow(run, "doc_id long, position long, token long")
+    return placed.groupBy("shard", "block").cogroup(store.select(F.col("shard").alias("s"), F.col("block").alias("b"), "levels").groupBy("s", "b")).applyInArrow(run, "doc_id long, position long, token long")
