@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prepcast.llm import compression, context_mixing, decontaminate, direct_codes, neardup, packing, pii, quality, toxicity
+from prepcast.llm import compression, context_mixing, decontaminate, direct_codes, neardup, packing, pii, quality, substring_dedup, toxicity
 from prepcast.llm.scratch import shared_dir
 from prepcast.llm.tokens import tokenizer_file
 
@@ -84,3 +84,8 @@ def op4_information_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.assess(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_lyndon_grouped_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")

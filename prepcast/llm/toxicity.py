@@ -1,17 +1,18 @@
 """Toxicity: character n-gram linear classifier on naive Bayes log-count ratios.
 
-A text's features are the distinct 3- to 5-byte n-grams of its whole text (A-Z as
+A text's features are the distinct 4-, 6- and 8-byte n-grams of its whole text (A-Z as
 a-z, white space as one kind), hashed into a fixed number of slots. Each slot's
 scale is its log-count ratio r = log((p + a) / |p|) - log((n + a) / |n|) over toxic
-and other training texts; a text is the vector of its slots' r at unit length,
+and other training texts, drawn towards 0 by two standard errors so that rare n-grams
+don't fit noise; a text is the vector of its slots' r at unit length,
 and a logistic regression on these vectors gives the score.
 
 The fit takes a bounded sample of labelled rows (``max_rows``) on the driver;
 scoring runs over all documents with the two slot tables as the only shared data.
 
 Defined cases: a null or empty text has no n-gram and gets the intercept's score;
-without training rows of both classes every score is the share of toxic rows
-(0 without any); repeated rows are scored each; an empty table gives no rows;
+without training rows of both classes every score is that of the
+one class (0.5 or less without any); repeated rows are scored each; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 from prepcast.llm.labelled import held_out, labelled_sample
 from prepcast.llm.text import LOWER, SPACE, slices, text_buffer
 
-SIZES = (3, 4, 5)
+SIZES = (4, 6, 8)
 SLOT_BITS = 18
-MAX_ROWS = 8000
+MAX_ROWS = 6000
 THRESHOLD = 0.5
+_ODD = np.random.default_rng(13).integers(0, 2**63, 9, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.where(SPACE, 32, LOWER).astype(np.uint64)
 
 
@@ -64,7 +66,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         packed = (packed[:-1] << np.uint64(8)) | letters[k - 1:]
         if k in SIZES:
             whole = np.arange(n - k + 1) + k <= end[:n - k + 1]
-            slot = ((packed + np.uint64(k << 56)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+            slot = (packed * _ODD[k]) >> np.uint64(64 - SLOT_BITS)
             keys.append(((text[:n - k + 1] << np.uint64(SLOT_BITS)) | slot)[whole])
         if not len(packed):
             break
@@ -75,28 +77,30 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (found & np.uint64((1 << SLOT_BITS) - 1)).astype(np.uint32), first
 
 
-def fit(slots: np.ndarray, first: np.ndarray, y: np.ndarray, alpha: float = 1.0, epochs: int = 12, rate: float = 0.5, l2: float = 1e-5, seed: int = 7) -> Model:
-    """Log-count ratios, then Adagrad over minibatches of the scaled unit vectors."""
+def fit(texts: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, epochs: int = 12, rate: float = 0.5, l2: float = 1e-5, seed: int = 7, errors: float = 2.0) -> Model:
+    """Log-count ratios, then Adagrad over minibatches of the scaled unit vectors. ``texts``: slots of each text."""
     size = 1 << SLOT_BITS
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
-        return Model(np.zeros(size), np.zeros(size), 30.0 * np.sign(p - 0.5) if p in (0.0, 1.0) else 0.0)
-    label = np.repeat(y, np.diff(first)).astype(bool)
-    pos, neg = (np.bincount(slots[m], minlength=size) + alpha for m in (label, ~label))
+        return Model(np.zeros(size), np.zeros(size), 30.0 * float(np.sign(p - 0.5)))
+    count = {0: np.zeros(size), 1: np.zeros(size)}
+    for slots, label in zip(texts, y):
+        count[int(label)][slots] += 1
+    pos, neg = count[1] + alpha, count[0] + alpha
     ratio = np.log(pos / (y.sum() + 2 * alpha)) - np.log(neg / ((1 - y).sum() + 2 * alpha))
-    ratio[(pos + neg) < 2 * alpha + 3] = 0.0  # seen in fewer than three training texts
-    norm = np.sqrt(np.maximum(_sums(ratio[slots] ** 2, first), 1e-12))
+    doubt = errors * np.sqrt(1 / pos + 1 / neg)
+    ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - doubt, 0)
+    texts = [t[ratio[t] != 0] for t in texts]
+    norm = np.array([np.sqrt(max((ratio[t] ** 2).sum(), 1e-12)) for t in texts])
     w, b = np.ones(size), float(np.log(y.mean() / (1 - y.mean())))
     seen, seen_b, rng = np.full(size, 1e-8), 1e-8, np.random.default_rng(seed)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
-            count = first[part + 1] - first[part]
-            row = np.repeat(np.arange(len(part)), count)
-            at = np.repeat(first[part] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            j = slots[at]
+            row = np.repeat(np.arange(len(part)), [len(texts[i]) for i in part])
+            j = np.concatenate([texts[i] for i in part])
             x = ratio[j] / norm[part][row]
-            z = np.bincount(row, x * w[j], len(part)) + b
-            err = (1 / (1 + np.exp(-z)) - y[part]) / len(part)
+            out = np.bincount(row, x * w[j], len(part)) + b
+            err = (1 / (1 + np.exp(-out)) - y[part]) / len(part)
             grad = np.bincount(j, x * err[row], size) + l2 * w
             seen += grad * grad
             w -= rate * grad / np.sqrt(seen)
@@ -114,10 +118,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max
             slots, first = features(*text_buffer(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([slots[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["doc_id", "y", "slots"])
 
-    got = sample.mapInArrow(run, "doc_id long, y int, slots binary").toArrow().sort_by("doc_id")
-    parts = [np.frombuffer(x, np.uint32) for x in got.column("slots").to_pylist()]
-    first = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return fit(np.concatenate(parts) if parts else np.zeros(0, np.uint32), first, got.column("y").to_numpy().astype(np.float64))
+    got = sample.mapInArrow(run, "doc_id long, y int, slots binary").toArrow()
+    order = np.lexsort((got.column("y").to_numpy(), got.column("doc_id").to_numpy()))
+    texts = [np.frombuffer(x.as_buffer(), np.uint32) for x in got.column("slots")]
+    return fit([texts[i] for i in order], got.column("y").to_numpy().astype(np.float64)[order])
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
