@@ -147,12 +147,14 @@ def sanitise(docs: DataFrame) -> DataFrame:
     spans that overlap are masked as one, with the first one's mask.
     """
     _, extra = _analysed(docs)
-    based = _with_extra(with_base(docs).withColumn("h", F.xxhash64("t")), extra)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    based = _with_extra(with_base(own).withColumn("h", F.xxhash64("t")), extra)
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS[:4])
     mask = f"case when x.k < 4 then element_at(array({names}), x.k + 1) when x.k = 4 then concat('[ABOUT ', upper(x.v), ']') else '' end"
     piece = f"named_struct('at', greatest(acc.at, x.e), 'out', if(x.s < acc.at, acc.out, concat(acc.out, array(substring(t, acc.at + 1, x.s - acc.at), {mask}))))"
     whole = f"if(size(base) + size(extra) = 0, t, aggregate(array_sort(concat(base, extra)), named_struct('at', 0, 'out', cast(array() as array<string>)), (acc, x) -> {piece}, acc -> concat(array_join(acc.out, ''), substring(t, acc.at + 1))))"
-    out = based.withColumn("text", F.when(F.col("text").isNull(), None).otherwise(F.expr(whole)))
+    out = based.withColumn("masked", F.when(F.col("text").isNull(), None).otherwise(F.expr(whole)))
+    new = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("masked"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
