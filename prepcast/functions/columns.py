@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+import inspect
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -111,3 +114,32 @@ def stage_sum(bins: list[str]) -> Column:
     for b in bins[1:]:
         out = out + c(b)
     return out
+
+
+SERIES = "_series"
+
+
+def join_groups(a: DataFrame, b: DataFrame, groups: list[str]) -> DataFrame:
+    """Inner join on the entity columns; without any, ``b`` (a keyless aggregate: one row) joins on a literal key."""
+    if groups:
+        return a.join(b, groups, "inner")
+    key = {SERIES: F.lit(0)}
+    return a.withColumns(key).join(F.broadcast(b.withColumns(key)), SERIES).drop(SERIES)
+
+
+def single_series(fn):
+    """Let a grouped function take ``groups=[]``: all rows get one literal key, which the result doesn't show."""
+    sig = inspect.signature(fn)
+
+    @functools.wraps(fn)
+    def run(*args, **kwargs):
+        call = sig.bind(*args, **kwargs)
+        if call.arguments.get("groups") != []:
+            return fn(*args, **kwargs)
+        first = next(iter(call.arguments))
+        call.arguments[first] = call.arguments[first].withColumn(SERIES, F.lit(0))
+        call.arguments["groups"] = [SERIES]
+        out = fn(*call.args, **call.kwargs)
+        return tuple(d.drop(SERIES) for d in out) if isinstance(out, tuple) else out.drop(SERIES)
+
+    return run

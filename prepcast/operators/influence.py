@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prepcast.functions.columns import single_series
 from prepcast.operators.regression import loocv_residuals
 
 DIGITS = 4
@@ -18,6 +19,7 @@ def _r(c):
     return F.round(c, DIGITS)
 
 
+@single_series
 def diagnose(df: DataFrame, feature: str, target: str, groups: list[str]) -> DataFrame:
     """Per row of the one-feature model: LOOCV residual (actual - held-out prediction),
     leverage and Cook's D, plus the group's n and 4/n threshold."""
@@ -71,6 +73,7 @@ def cooks_flagged(diag: DataFrame, groups: list[str]) -> DataFrame:
     return cooks(diag.filter(F.col("cooks_d") > F.col("threshold")), groups)
 
 
+@single_series
 def propagation(diag: DataFrame, feature: str, target: str, groups: list[str], lag_days: int = 7) -> DataFrame:
     """Two-row report per group: the Y outlier (max |LOOCV residual|) and the X outlier
     (max Cook's D); propagated iff X.date = Y.date + lag_days and X.feature = Y.target."""

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepcast.functions.columns import rnd
+from prepcast.functions.columns import join_groups, rnd, single_series
 from prepcast.functions.tails import f_p_sql, t_p_sql
 
 DIGITS = 4
@@ -58,18 +58,25 @@ def model_grams(df: DataFrame, models: dict[str, list[str]], target: str, groups
     target are all non-null). The mask is applied once per term in a
     projection (a masked term is NULL outside the model's complete cases), so
     the aggregate itself is a flat list of sums of products.
+
+    The sums are taken about ``shift``, the group's mean of each column and of
+    the target, so large means cancel nothing: centred second moments keep
+    their digits whatever the level of the data.
     """
+    names = list(dict.fromkeys([cname for cols in models.values() for cname in cols] + [target]))
+    means = df.groupBy(*groups).agg(*[F.coalesce(F.avg(F.col(cname).cast("double")), F.lit(0.0)).alias(f"_c_{cname}") for cname in names])
+    df = join_groups(df, means, groups)
     ok_cols, term_cols = [], []
     for k, (_, cols) in enumerate(models.items()):
         mask = F.col(target).isNotNull()
         for cname in cols:
             mask = mask & F.col(cname).isNotNull()
         ok_cols.append(mask.alias(f"_ok{k}"))
-    staged = df.select(*groups, *{c: F.col(c) for cols in models.values() for c in cols}.values(), F.col(target), *ok_cols)
+    staged = df.select(*groups, *names, *[f"_c_{cname}" for cname in names], *ok_cols)
     for k, (_, cols) in enumerate(models.items()):
-        raw = [F.lit(1.0)] + [F.col(cname).cast("double") for cname in cols] + [F.col(target).cast("double")]
+        raw = [F.lit(1.0)] + [F.col(cname).cast("double") - F.col(f"_c_{cname}") for cname in [*cols, target]]
         term_cols += [F.when(F.col(f"_ok{k}"), t).alias(f"_t{k}_{i}") for i, t in enumerate(raw)]
-    masked = staged.select(*groups, *term_cols)
+    masked = staged.select(*groups, *[f"_c_{cname}" for cname in names], *term_cols)
     aggs = []
     for k, (name, cols) in enumerate(models.items()):
         m = len(cols) + 2
@@ -79,10 +86,11 @@ def model_grams(df: DataFrame, models: dict[str, list[str]], target: str, groups
             F.array(*[F.lit(cname) for cname in cols]).cast("array<string>").alias("terms"),
             F.count(t[0]).alias("n"),
             F.array(*[F.coalesce(F.sum(t[i] * t[j]), F.lit(0.0)) for i, j in _tri_index(m)]).alias("gram"),
+            F.array(*[F.min(f"_c_{cname}") for cname in [*cols, target]]).alias("shift"),
         ).alias(f"_m{k}"))
     wide = masked.groupBy(*groups).agg(*aggs)
     return wide.select(*groups, F.explode(F.array(*[F.col(f"_m{k}") for k in range(len(models))])).alias("_g")).select(
-        *groups, "_g.model", "_g.terms", "_g.n", "_g.gram"
+        *groups, "_g.model", "_g.terms", "_g.n", "_g.gram", "_g.shift"
     )
 
 
@@ -90,8 +98,31 @@ def model_grams(df: DataFrame, models: dict[str, list[str]], target: str, groups
 # 2. Solve (small helper, one call per (group, model) row)
 # --------------------------------------------------------------------------
 
-def _solve(gram, n: int, k: int) -> dict:
-    """OLS summary from the Gram vector of [1, x_1..x_k, y].
+RANK_TOL = 1e-10  # a column counts as constant below this share of its own scale
+
+
+def _pinv(sxx: np.ndarray, raw: np.ndarray, shift, n: int) -> tuple[np.ndarray, int]:
+    """Pseudo-inverse and rank of the centred cross products, on columns scaled to unit length.
+
+    A column whose spread vanishes beside its level, or that others determine,
+    adds nothing to the rank."""
+    k = len(sxx)
+    if k == 0:
+        return np.zeros((0, 0)), 0
+    level = np.asarray(shift, dtype=float) ** 2 * n + np.diag(raw)
+    size = np.sqrt(np.maximum(np.diag(sxx), 0.0))
+    live = size > np.sqrt(np.maximum(level, 0.0)) * 1e-12
+    unit = np.where(live, size, 1.0)
+    scaled = np.where(np.outer(live, live), sxx / np.outer(unit, unit), 0.0)
+    rank = int(np.linalg.matrix_rank(scaled, tol=RANK_TOL, hermitian=True))
+    if rank == k:
+        return np.linalg.inv(scaled) / np.outer(unit, unit), rank
+    kept = np.where(np.outer(live, live), sxx, 0.0)  # minimum norm in the columns' own units
+    return np.linalg.pinv(kept, rcond=RANK_TOL, hermitian=True), rank
+
+
+def _solve(gram, n: int, k: int, shift) -> dict:
+    """OLS summary from the Gram vector of [1, x_1..x_k, y] about ``shift``.
 
     Solved in centred coordinates (Sxx = Σxxᵀ - nμμᵀ), which keeps the
     leverage and residuals accurate when the columns have large means.
@@ -108,8 +139,12 @@ def _solve(gram, n: int, k: int) -> dict:
     sxx = a[1 : k + 1, 1 : k + 1] - n * np.outer(mu, mu)
     sxy = a[1 : k + 1, k + 1] - n * mu * ybar
     syy = float(a[k + 1, k + 1] - n * ybar * ybar)
-    sinv = np.linalg.pinv(sxx) if k > 0 else np.zeros((0, 0))
+    sinv, rank = _pinv(sxx, a[1 : k + 1, 1 : k + 1], shift[:k], n)
+    out["df_resid"] = int(n) - 1 - rank
+    out["k"] = rank
     b = sinv @ sxy if k > 0 else np.zeros(0)
+    shift = np.asarray(shift, dtype=float)
+    mu, ybar = mu + shift[:k], ybar + shift[k]
     b0 = ybar - mu @ b
     sse = max(syy - float(b @ sxy), 0.0)
     beta = np.concatenate([[b0], b])
@@ -127,8 +162,8 @@ def _solve(gram, n: int, k: int) -> dict:
             var_b = np.diag(sinv) * sigma2 if k > 0 else np.zeros(0)
             var_b0 = sigma2 * (1.0 / n + float(mu @ sinv @ mu)) if k > 0 else sigma2 / n
             out["se"] = np.sqrt(np.maximum(np.concatenate([[var_b0], var_b]), 0.0))
-            if k > 0 and sigma2 > 0:
-                out["F"] = ((syy - sse) / k) / sigma2
+            if rank > 0 and sigma2 > 0:
+                out["F"] = ((syy - sse) / rank) / sigma2
     return out
 
 
@@ -152,7 +187,7 @@ def ols_long(grams: DataFrame, groups: list[str]) -> DataFrame:
             rows = []
             for rec, key in _rows_of(pdf, groups):
                 terms = list(rec["terms"])
-                s = _solve(rec["gram"], rec["n"], len(terms))
+                s = _solve(rec["gram"], rec["n"], len(terms), rec["shift"])
                 if s["beta"] is None:
                     continue
                 fit = {"n": s["n"], "k": s["k"], "r2": s["r2"], "adj_r2": s["adj_r2"], "F": s["F"],
@@ -270,7 +305,7 @@ def stepwise_scan(df: DataFrame, selected: list[str], remaining: list[str], targ
 # --------------------------------------------------------------------------
 
 PARAM_SCHEMA = ("model string, idx array<int>, beta array<double>, mu array<double>, sinv array<double>, "
-                "gram array<double>, n long, p int, mse double")
+                "gram array<double>, shift array<double>, n long, p int, mse double")
 
 
 def _params_small(grams: DataFrame, groups: list[str], all_cols: list[str]) -> DataFrame:
@@ -290,18 +325,22 @@ def _params_small(grams: DataFrame, groups: list[str], all_cols: list[str]) -> D
     sxx = sxx_raw - n * mu * mu
     sxy = sxy_raw - n * mu * ybar
     syy = syy_raw - n * ybar * ybar
-    slope = F.when(sxx != 0, sxy / sxx).otherwise(F.lit(0.0))
-    sinv = F.when(sxx != 0, F.lit(1.0) / sxx).otherwise(F.lit(0.0))
+    c = F.col("shift")
+    live = sxx > F.lit(1e-24) * (sxx_raw + n * c[0] * c[0])  # spread beside the column's own level
+    slope = F.when(live, sxy / sxx).otherwise(F.lit(0.0))
+    sinv = F.when(live, F.lit(1.0) / sxx).otherwise(F.lit(0.0))
+    mu, ybar = mu + c[0], ybar + F.when(k == 1, c[1]).otherwise(c[0])
     sse = F.greatest(F.lit(0.0), F.when(k == 1, syy - slope * sxy).otherwise(syy))
-    dfr = F.col("n") - (k + 1)
     one = k == 1
+    used = F.when(one & live, 1).otherwise(0)  # rank without the constant
+    dfr = F.col("n") - (used + 1)
     return grams.filter(F.col("n") > 0).select(
         *groups, "model",
         F.when(one, F.array(F.lit(0), pos[F.col("terms")[0]])).otherwise(F.array(F.lit(0))).alias("idx"),
         F.when(one, F.array(ybar - mu * slope, slope)).otherwise(F.array(ybar)).alias("beta"),
         F.when(one, F.array(mu)).otherwise(F.array().cast("array<double>")).alias("mu"),
         F.when(one, F.array(sinv)).otherwise(F.array().cast("array<double>")).alias("sinv"),
-        "gram", F.col("n").cast("long").alias("n"), (k + 1).alias("p"),
+        "gram", "shift", F.col("n").cast("long").alias("n"), (used + 1).alias("p"),
         F.when(dfr > 0, sse / dfr).alias("mse"),
     )
 
@@ -322,11 +361,11 @@ def _params(grams: DataFrame, groups: list[str], all_cols: list[str], max_k: int
             rows = []
             for rec, key in _rows_of(pdf, groups):
                 terms = list(rec["terms"])
-                s = _solve(rec["gram"], rec["n"], len(terms))
+                s = _solve(rec["gram"], rec["n"], len(terms), rec["shift"])
                 if s["beta"] is None:
                     continue
                 rows.append({**key, "model": rec["model"], "idx": [0] + [pos[t] for t in terms], **_param_fields(s),
-                             "gram": [float(v) for v in rec["gram"]]})
+                             "gram": [float(v) for v in rec["gram"]], "shift": [float(v) for v in rec["shift"]]})
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
     return grams.mapInPandas(run, schema)
@@ -341,12 +380,14 @@ def _param_fields(s: dict) -> dict:
 _LEVERAGE_ONE = 1e-9
 
 
-def _exact_loo_value(x, y: float, gram) -> float | None:
+def _exact_loo_value(x, y: float, gram, shift) -> float | None:
     """Held-out residual of one row by refitting without it: the Gram matrix is
     downdated by the row and the centred system solved with a pseudo-inverse
     (the minimum-norm least-squares fit, as a refit would give)."""
-    x = np.asarray(x, dtype=float)  # [1, features...]
+    x, shift = np.array(x, dtype=float), np.asarray(shift, dtype=float)  # [1, features...]
     k = len(x) - 1
+    x[1:] -= shift[:k]
+    y = y - shift[k]
     a = _sym(np.asarray(gram, dtype=float), k + 2)
     xtx = a[: k + 1, : k + 1] - np.outer(x, x)
     xty = a[: k + 1, k + 1] - x * y
@@ -357,7 +398,7 @@ def _exact_loo_value(x, y: float, gram) -> float | None:
     ybar = xty[0] / n
     sxx = xtx[1:, 1:] - n * np.outer(mu, mu)
     sxy = xty[1:] - n * mu * ybar
-    b = np.linalg.pinv(sxx) @ sxy if k > 0 else np.zeros(0)
+    b = _pinv(sxx, xtx[1:, 1:], shift[:k], n)[0] @ sxy if k > 0 else np.zeros(0)
     return float(y - (ybar + (x[1:] - mu) @ b))
 
 
@@ -367,19 +408,19 @@ def _fill_exact_loo(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = pdf["e_press"].astype("float64").to_numpy(copy=True)
         missing = np.flatnonzero(pd.isna(pdf["e_press"]).to_numpy())
         for i in missing:
-            v = _exact_loo_value(pdf["_x"].iloc[i], float(pdf["_y"].iloc[i]), pdf["gram"].iloc[i])
+            v = _exact_loo_value(pdf["_x"].iloc[i], float(pdf["_y"].iloc[i]), pdf["gram"].iloc[i], pdf["shift"].iloc[i])
             e[i] = np.nan if v is None else v
         yield pdf.assign(e_loo=e)
 
 
 def with_exact_loo(j: DataFrame) -> DataFrame:
-    """Add ``e_loo``: PRESS where defined, exact refit for leverage-1 rows.
+    """Add ``e_loo``: PRESS where defined, exact refit for leverage-1 rows (at most p per group and model).
 
-    A lazy, Arrow-batched pass-through: rows with a defined PRESS residual are
-    copied, only leverage-1 rows are refitted (at most p per group and model).
-    """
-    schema = T.StructType(j.schema.fields + [T.StructField("e_loo", T.DoubleType(), True)])
-    return j.drop("_xall").mapInPandas(_fill_exact_loo, T.StructType([f for f in schema.fields if f.name != "_xall"]))
+    Only the rows without a PRESS residual go through Python."""
+    j = j.drop("_xall")
+    schema = T.StructType([*j.schema.fields, T.StructField("e_loo", T.DoubleType(), True)])
+    known = j.filter(F.col("e_press").isNotNull()).withColumn("e_loo", F.col("e_press"))
+    return known.unionByName(j.filter(F.col("e_press").isNull()).mapInPandas(_fill_exact_loo, schema))
 
 
 def press_rows(rows: DataFrame, params: DataFrame, target: str, all_cols: list[str], groups: list[str],
@@ -388,7 +429,7 @@ def press_rows(rows: DataFrame, params: DataFrame, target: str, all_cols: list[s
     keep = keep or []
     xall = F.array(F.lit(1.0), *[F.col(cname).cast("double") for cname in all_cols])
     r = rows.select(*groups, *keep, xall.alias("_xall"), F.col(target).cast("double").alias("_y"))
-    j = r.join(params, groups, "inner")
+    j = join_groups(r, params, groups)
     j = j.withColumn("_x", F.expr("transform(idx, i -> element_at(_xall, i + 1))"))
     j = j.filter(F.col("_y").isNotNull() & F.expr("NOT exists(_x, v -> v IS NULL)"))
     j = j.withColumn("_k", F.size("mu"))
@@ -406,6 +447,7 @@ def press_rows(rows: DataFrame, params: DataFrame, target: str, all_cols: list[s
     return j
 
 
+@single_series
 def loocv_residuals(rows: DataFrame, models: dict[str, list[str]], target: str, groups: list[str],
                     keep: list[str] | None = None) -> DataFrame:
     """Per (group, model, row): fitted, residual, leverage and LOOCV residual (actual - held-out prediction)."""
@@ -418,12 +460,14 @@ def loocv_residuals(rows: DataFrame, models: dict[str, list[str]], target: str,
         # With at most one feature a leverage-1 row is the only row with its x
         # value, so the refit without it has slope 0 (minimum norm) and predicts
         # the mean of the other rows.
-        sum_y = F.when(F.size("mu") == 1, F.col("gram")[2]).otherwise(F.col("gram")[1])
+        about = F.when(F.size("mu") == 1, F.col("shift")[1]).otherwise(F.col("shift")[0])
+        sum_y = F.when(F.size("mu") == 1, F.col("gram")[2]).otherwise(F.col("gram")[1]) + F.col("n") * about
         others = F.when(F.col("n") > 1, F.col("_y") - (sum_y - F.col("_y")) / (F.col("n") - 1))
         return j.drop("_xall").withColumn("e_loo", F.coalesce(F.col("e_press"), others))
     return with_exact_loo(j)
 
 
+@single_series
 def loocv_rmse(rows: DataFrame, models: dict[str, list[str]], target: str, groups: list[str]) -> DataFrame:
     """LOOCV RMSE per (group, model), equal to refitting n times."""
     r = loocv_residuals(rows, models, target, groups)
@@ -451,6 +495,7 @@ def _materialize(df: DataFrame, checkpoint: bool = True, keys: list[str] | None
     return written_table(df, "selection", keys)
 
 
+@single_series
 def forward_selection(df: DataFrame, target: str, candidates: list[str], groups: list[str],
                       base_features: list[str] | None = None, max_features: int = 5, margin: float = 0.0,
                       checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -469,7 +514,7 @@ def forward_selection(df: DataFrame, target: str, candidates: list[str], groups:
     cols = [*base_features, *candidates]
     sample = _materialize(df.select(*groups, target, *cols).dropna(subset=[target, *cols]), checkpoint, groups)
     order = {cname: i for i, cname in enumerate(candidates)}
-    gram_all = model_grams(sample, {"__all__": cols}, target, groups).select(*groups, F.col("gram").alias("gall"), "n")
+    gram_all = model_grams(sample, {"__all__": cols}, target, groups).select(*groups, F.col("gram").alias("gall"), F.col("shift").alias("sall"), "n")
 
     # step 0: the starting model (constant only, or the base features)
     start_models = sample.select(*groups).distinct().select(
@@ -478,26 +523,21 @@ def forward_selection(df: DataFrame, target: str, candidates: list[str], groups:
     )
 
     def fold(models: DataFrame, state: DataFrame | None) -> DataFrame:
-        """Score the step's models and fold them into the next state in one
-        checkpointed frame; rerun exactly only if some row had leverage 1."""
+        """Score the step's models and fold them into the next state: one written frame, one action."""
         scored = _score_models(sample, gram_all, models, target, cols, groups)
-        out = _materialize(_fold_step(scored, state, groups, margin, order), checkpoint, groups)
-        if out.filter(F.col("_lev1") > 0).limit(1).count() == 0:
-            return out
-        scored = _score_models(sample, gram_all, models, target, cols, groups, exact=True)
         return _materialize(_fold_step(scored, state, groups, margin, order), checkpoint, groups)
 
     start = fold(start_models, None)
     state = start.select(
         *groups, F.array(*[F.lit(b) for b in base_features]).cast("array<string>").alias("selected"), "current", "active")
     trace_parts = [start.select(*groups, F.lit(0).alias("step"), F.lit(None).cast("string").alias("candidate"),
-                                F.col("current").alias("rmse"), F.lit(True).alias("chosen"))]
+                                _round(F.col("current")).alias("rmse"), F.lit(True).alias("chosen"))]
     steps = min(max_features - len(base_features), len(candidates))
     for step in range(1, steps + 1):
         folded = fold(_step_models(state, candidates, groups), state)
         trace_parts.append(
             folded.select(*groups, "pick", F.explode("_c").alias("_e")).select(
-                *groups, F.lit(step).alias("step"), F.col("_e.candidate").alias("candidate"), F.col("_e.rmse").alias("rmse"),
+                *groups, F.lit(step).alias("step"), F.col("_e.candidate").alias("candidate"), _round(F.col("_e.rmse")).alias("rmse"),
                 (F.col("_e.candidate") == F.col("pick")).alias("chosen"),
             )
         )
@@ -510,7 +550,7 @@ def forward_selection(df: DataFrame, target: str, candidates: list[str], groups:
     trace = trace_parts[0]
     for part in trace_parts[1:]:
         trace = trace.unionByName(part)
-    result = state.select(*groups, "selected", F.col("current").alias("rmse"))
+    result = state.select(*groups, "selected", _round(F.col("current")).alias("rmse"))
     return trace, result
 
 
@@ -524,13 +564,13 @@ def _step_models(state: DataFrame, candidates: list[str], groups: list[str]) ->
 
 
 def _score_models(sample: DataFrame, gram_all: DataFrame, models: DataFrame, target: str, cols: list[str],
-                  groups: list[str], exact: bool = False) -> DataFrame:
-    """LOOCV RMSE of each (group, model) whose terms differ per group (lazy).
+                  groups: list[str]) -> DataFrame:
+    """Unrounded LOOCV RMSE of each (group, model) whose terms differ per group (lazy).
 
     Sub-systems of the group's Gram matrix (over all columns) are solved per
-    model, then one PRESS pass scores them all. ``_lev1`` counts rows whose
-    leverage is 1 (PRESS undefined); with ``exact=True`` those rows are refitted
-    exactly (the caller reruns a step that way only when the count is non-zero).
+    model, then one PRESS pass scores them all. Rows with leverage 1 (PRESS
+    undefined; at most one per unknown) travel in a list beside their model's
+    sums and are refitted there, so no group is scored twice.
     """
     m = models.join(gram_all, groups)
     full = ["const", *cols, "__y__"]
@@ -549,26 +589,31 @@ def _score_models(sample: DataFrame, gram_all: DataFrame, models: DataFrame, tar
                 sub = big[np.ix_(sel, sel)]
                 k = len(sel) - 2
                 gram = [sub[i, j] for i, j in _tri_index(k + 2)]
-                s = _solve(gram, rec["n"], k)
+                shift = [float(rec["sall"][i - 1]) for i in sel[1:]]
+                s = _solve(gram, rec["n"], k, shift)
                 if s["beta"] is None:
                     continue
                 rows.append({**key, "model": rec["model"], "idx": sel[:-1], **_param_fields(s),
-                             "gram": [float(v) for v in gram]})
+                             "gram": [float(v) for v in gram], "shift": shift})
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
-    params = m.select(*groups, "model", "terms", "gall", "n").mapInPandas(run, schema)
+    params = m.select(*groups, "model", "terms", "gall", "sall", "n").mapInPandas(run, schema)
     j = press_rows(sample, params, target, cols, groups)
     names = models.select(*groups, "model", "candidate")
-    if exact:
-        fixed = with_exact_loo(j)
-        out = fixed.groupBy(*groups, "model").agg(
-            _round(F.sqrt(F.avg(F.col("e_loo") * F.col("e_loo")))).alias("rmse"), F.lit(0).alias("_lev1"))
-        return out.join(names, [*groups, "model"])
-    quick = j.groupBy(*groups, "model").agg(
+    sums = j.groupBy(*groups, "model").agg(
         F.sum(F.col("e_press") * F.col("e_press")).alias("_ss"), F.count(F.lit(1)).alias("_n"),
-        F.sum(F.when(F.col("e_press").isNull(), 1).otherwise(0)).alias("_lev1"),
+        F.collect_list(F.when(F.col("e_press").isNull(), F.struct("_x", "_y"))).alias("_lev1"),
+        F.first("gram").alias("gram"), F.first("shift").alias("shift"),
     )
-    out = quick.select(*groups, "model", _round(F.sqrt(F.col("_ss") / F.col("_n"))).alias("rmse"), "_lev1")
+
+    def refit(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            extra = [sum((_exact_loo_value(r["_x"], r["_y"], g, c) or 0.0) ** 2 for r in lev)
+                     for lev, g, c in zip(pdf["_lev1"], pdf["gram"], pdf["shift"])]
+            rmse = np.sqrt((pdf["_ss"].fillna(0.0) + extra) / pdf["_n"])
+            yield pdf[[*groups, "model"]].assign(rmse=rmse)
+
+    out = sums.mapInPandas(refit, T.StructType(gfields + T._parse_datatype_string("model string, rmse double").fields))
     return out.join(names, [*groups, "model"])
 
 
@@ -577,20 +622,19 @@ def _fold_step(scored: DataFrame, state: DataFrame | None, groups: list[str], ma
     """Running-best fold over each group's candidates in list order.
 
     Output per group: selected, current, active, best, pick, the scored
-    candidate list ``_c`` (for the trace) and ``_lev1`` (rows whose leverage
-    was 1). With ``state=None`` (the starting model) the score itself becomes
+    candidate list ``_c`` (for the trace). With ``state=None`` (the starting model) the score itself becomes
     the current RMSE.
     """
     if state is None:
         return scored.select(
             *groups, F.array().cast("array<string>").alias("selected"), F.col("rmse").alias("current"),
             F.lit(True).alias("active"), F.col("rmse").alias("best"), F.lit(None).cast("string").alias("pick"),
-            F.array().cast("array<struct<_ord:int,candidate:string,rmse:double>>").alias("_c"), "_lev1",
+            F.array().cast("array<struct<_ord:int,candidate:string,rmse:double>>").alias("_c"),
         )
     ordmap = F.create_map(*[x for cname, i in order.items() for x in (F.lit(cname), F.lit(i))])
     s = scored.withColumn("_ord", ordmap[F.col("candidate")])
     lists = s.groupBy(*groups).agg(
-        F.array_sort(F.collect_list(F.struct("_ord", "candidate", "rmse"))).alias("_c"), F.max("_lev1").alias("_lev1"))
+        F.array_sort(F.collect_list(F.struct("_ord", "candidate", "rmse"))).alias("_c"))
     j = state.filter("active").join(lists, groups, "left")
     fold = F.aggregate(
         "_c",
@@ -602,9 +646,9 @@ def _fold_step(scored: DataFrame, state: DataFrame | None, groups: list[str], ma
     inactive = state.filter(~F.col("active")).select(
         *groups, "selected", "current", "active", F.lit(None).cast("double").alias("best"),
         F.lit(None).cast("string").alias("pick"),
-        F.array().cast("array<struct<_ord:int,candidate:string,rmse:double>>").alias("_c"), F.lit(0).cast("long").alias("_lev1"))
+        F.array().cast("array<struct<_ord:int,candidate:string,rmse:double>>").alias("_c"))
     return j.select(*groups, "selected", "current", "active", F.col("_f.best").alias("best"),
-                    F.col("_f.pick").alias("pick"), "_c", F.coalesce("_lev1", F.lit(0).cast("long")).alias("_lev1")).unionByName(inactive)
+                    F.col("_f.pick").alias("pick"), "_c").unionByName(inactive)
 
 
 # --------------------------------------------------------------------------
@@ -619,7 +663,7 @@ def predict(df: DataFrame, coef: DataFrame, groups: list[str], model: str, terms
     """
     c = coef.filter(F.col("model") == model)
     wide = c.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("term", "coef"))).alias("_b"))
-    j = df.join(wide, groups, "left")
+    j = df.join(wide, groups, "left") if groups else join_groups(df, wide, groups)
     pred = F.coalesce(F.col("_b")["const"], F.lit(0.0))
     for t in terms:
         pred = pred + F.coalesce(F.col("_b")[t], F.lit(0.0)) * F.col(t).cast("double")
@@ -631,7 +675,7 @@ def standardize(df: DataFrame, cols: list[str], groups: list[str]) -> DataFrame:
     stats = df.groupBy(*groups).agg(*[
         e for cname in cols for e in (F.avg(cname).alias(f"_mu_{cname}"), F.stddev_pop(cname).alias(f"_sd_{cname}"))
     ])
-    j = df.join(stats, groups, "left")
+    j = df.join(stats, groups, "left") if groups else join_groups(df, stats, groups)
     for cname in cols:
         j = j.withColumn(cname, F.try_divide(F.col(cname) - F.col(f"_mu_{cname}"), F.col(f"_sd_{cname}")))
     return j.drop(*[f"_{p}_{cname}" for cname in cols for p in ("mu", "sd")])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepcast.functions.columns import DUMMY_LEVELS, div, rnd
+from prepcast.functions.columns import DUMMY_LEVELS, div, join_groups, rnd, single_series
 
 DIGITS = 6  # emitted statistics are rounded to this many decimals
 ALPHA = 0.05
@@ -105,9 +105,10 @@ def _oneway(df: DataFrame, value: str, label: str, groups: list[str]) -> DataFra
     tot = cell.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("k"), F.sum("ni").alias("N"), (F.sum("si") / F.sum("ni")).alias("grand"),
         F.sum(F.col("ni") * F.col("vi")).alias("ssw"),
-        F.collect_list(F.struct("ni", "mi")).alias("cells"),
     )
-    ssb = F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["ni"] * (c["mi"] - F.col("grand")) ** 2)
+    near = join_groups(cell, tot.select(*groups, "grand"), groups)
+    between = near.groupBy(*groups).agg(F.sum(F.col("ni") * (F.col("mi") - F.col("grand")) ** 2).alias("ssb"))
+    tot, ssb = join_groups(tot, between, groups), F.col("ssb")
     d1, d2 = F.col("k") - 1, F.col("N") - F.col("k")
     fstat = div(ssb / d1, F.col("ssw") / d2)
     return tot.select(*groups, "k", "N", fstat.alias("_F"), d1.alias("df1"), d2.alias("df2"))
@@ -122,6 +123,7 @@ def anova(df: DataFrame, value: str, label: str, groups: list[str], levels: list
     return _finish_f(_oneway(v, value, label, groups), with_p)
 
 
+@single_series
 def levene(df: DataFrame, value: str, label: str, groups: list[str], levels: list | None = DUMMY_LEVELS,
            with_p: bool = False) -> DataFrame:
     """Levene's test with the median as centre (Brown-Forsythe): ANOVA on |x - median|."""
@@ -145,57 +147,51 @@ def _poly(coefs: list[float], x: Column) -> Column:
     return out
 
 
-def shapiro(df: DataFrame, value: str, groups: list[str], max_n: int = 5000, with_p: bool = True) -> DataFrame:
-    """Shapiro-Wilk W (and p) per group (3 <= n <= max_n, else NULL with a reason).
+@single_series
+def shapiro(df: DataFrame, value: str, groups: list[str], with_p: bool = True, buckets: int = 64) -> DataFrame:
+    """Shapiro-Wilk W (and p) per group of any size n >= 3 (below: NULL with a reason).
 
-    n is counted first, and only groups within the defined range are ranked,
-    so no group larger than ``max_n`` is ever ordered in one task. The weights
-    (Royston's approximation) are column expressions: expected normal order
-    statistics from the inverse normal CDF, their sum of squares and the two
-    corrected extreme weights come from windows over the (bounded) group.
+    Ranks come from counts of distinct values and a bucketed running sum
+    (``prefix_counts``), so no group is ordered inside one task. The expected
+    normal order statistics m follow from rank and n alone, and W needs only
+    grouped sums: Σm², Σmx, Σ(x - mean)² and the two smallest and largest values.
     """
     from prepcast.functions.normal import norm_ppf
 
-    v = df.filter(F.col(value).isNotNull()).select(*groups, value)
-    sizes = v.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-    ok = sizes.filter((F.col("n") >= 3) & (F.col("n") <= max_n))
-    gw = Window.partitionBy(*groups)
+    v = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_x"))
+    sizes = v.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), (F.var_pop("_x") * F.count(F.lit(1))).alias("_ss"))
+    cnt = v.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = prefix_counts(cnt, groups, "_x", "_c", buckets).join(sizes.filter("n >= 3"), groups)
     i, n = F.col("_i"), F.col("n")
-    r = v.join(ok, groups, "inner").withColumn("_i", F.row_number().over(gw.orderBy(value)))
+    r = ranked.withColumn("_i", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_c"))))
     r = r.withColumn("_p", (i - 0.375) / (n + 0.25)).withColumn("_m", norm_ppf("_p"))
-    r = r.withColumns({
-        "_ssm": F.sum(F.col("_m") * F.col("_m")).over(gw),
-        "_mn": F.max("_m").over(gw),
-        "_mn1": F.max(F.when(i == n - 1, F.col("_m"))).over(gw),
-        "_mean": F.avg(value).over(gw),
-    })
+    at = lambda k: F.max(F.when(i == k, F.col("_x")))
+    m_at = lambda k: F.max(F.when(i == k, F.col("_m")))
+    agg = r.groupBy(*groups, "n", "_ss").agg(
+        F.sum(F.col("_m") * F.col("_m")).alias("_ssm"), F.sum(F.col("_m") * F.col("_x")).alias("_mx"),
+        at(F.lit(1)).alias("_x1"), at(F.lit(2)).alias("_x2"), at(n - 1).alias("_y2"), at(n).alias("_y1"),
+        m_at(n).alias("_mn"), m_at(n - 1).alias("_mn1"),
+    )
     u = F.lit(1.0) / F.sqrt(n)
     an = F.col("_mn") / F.sqrt("_ssm") + _poly(_SW_C1, u)
     an1 = F.col("_mn1") / F.sqrt("_ssm") + _poly(_SW_C2, u)
+    outer, inner = F.col("_y1") - F.col("_x1"), F.col("_y2") - F.col("_x2")
     phi = F.when(n > 5, (F.col("_ssm") - 2 * F.col("_mn") ** 2 - 2 * F.col("_mn1") ** 2) / (1 - 2 * an**2 - 2 * an1**2)) \
         .otherwise((F.col("_ssm") - 2 * F.col("_mn") ** 2) / (1 - 2 * an**2))
-    half = F.lit(0.5 ** 0.5)
-    a = (
-        F.when(n == 3, F.when(i == 1, -half).when(i == 3, half).otherwise(F.lit(0.0)))
-        .when(i == n, an).when(i == 1, -an)
-        .when((n > 5) & (i == n - 1), an1).when((n > 5) & (i == 2), -an1)
-        .otherwise(F.col("_m") / F.sqrt(phi))
-    )
-    agg = r.groupBy(*groups, "n").agg(
-        F.sum(a * F.col(value)).alias("_ax"), F.sum((F.col(value) - F.col("_mean")) ** 2).alias("_ss"))
-    w = agg.select(*groups, "n", F.least(F.lit(1.0), div(F.col("_ax") ** 2, F.col("_ss"))).alias("_w"))
-    res = w.select(*groups, "n", _r(F.col("_w")).alias("W"), F.lit(None).cast("string").alias("reason"))
-    out_of_range = sizes.join(ok.select(*groups), groups, "left_anti").select(
-        *groups, "n", F.lit(None).cast("double").alias("W"),
-        F.when(F.col("n") < 3, F.lit("n<3")).otherwise(F.lit(f"n>{max_n}")).alias("reason"),
-    )
-    res = res.unionByName(out_of_range)
+    # the two extreme weights on each side (one for n <= 5) replace m / sqrt(phi)
+    rest = (F.col("_mx") - F.col("_mn") * outer - F.when(n > 5, F.col("_mn1") * inner).otherwise(F.lit(0.0))) / F.sqrt(phi)
+    ax = F.when(n == 3, F.lit(0.5 ** 0.5) * outer).otherwise(
+        rest + an * outer + F.when(n > 5, an1 * inner).otherwise(F.lit(0.0)))
+    w = agg.select(*groups, "n", F.least(F.lit(1.0), div(ax ** 2, F.col("_ss"))).alias("_w"), F.lit(None).cast("string").alias("reason"))
+    small = sizes.filter("n < 3").select(*groups, "n", F.lit(None).cast("double").alias("_w"), F.lit("n<3").alias("reason"))
+    res = w.unionByName(small)
+    out = res.select(*groups, "n", _r(F.col("_w")).alias("W"), "reason", "_w")
     if with_p:
         from prepcast.functions.tails import shapiro_p_sql
 
-        res = res.withColumn("p", _r(F.expr(shapiro_p_sql("W", "n"))))
-        res = res.withColumn("normal", F.when(F.col("p").isNull(), F.lit(None).cast("boolean")).otherwise(F.col("p") > ALPHA))
-    return res
+        out = out.withColumn("p", _r(F.expr(shapiro_p_sql("_w", "n"))))
+        out = out.withColumn("normal", F.when(F.col("p").isNull(), F.lit(None).cast("boolean")).otherwise(F.col("p") > ALPHA))
+    return out.drop("_w")
 
 
 def prefix_counts(cnt: DataFrame, groups: list[str], value: str, count: str, buckets: int = 64,
@@ -228,20 +224,26 @@ def prefix_counts(cnt: DataFrame, groups: list[str], value: str, count: str, buc
         "_before", F.col("_off") + F.col("_local")).drop("_off", "_local", "_bucket")
 
 
-def wilcoxon(df: DataFrame, x: str, y: str, groups: list[str], with_p: bool = False, buckets: int = 64) -> DataFrame:
+@single_series
+def wilcoxon(df: DataFrame, x: str, y: str, groups: list[str], with_p: bool = False, buckets: int = 64,
+             method: str = "auto") -> DataFrame:
     """Wilcoxon signed-rank on x - y: zeros dropped, tied |d| get average ranks,
-    statistic = min(W+, W-).
+    statistic = min(W+, W-). ``zeros`` counts the dropped differences; a group
+    of zeros only has n = 0 and no p.
+
+    ``method``: "approx" (normal, tie-corrected), "exact" (null distribution by
+    counting; cubic in n) or "auto", the rule of the libraries this test is
+    compared with: exact up to 50 differences without zeros and ties.
 
     Ranks come from counts of distinct |d| values and a bucketed running sum
     over the distinct values (``prefix_counts``), so ties are free and no
     group is ordered inside a single task.
     """
-    d = (
-        df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .select(*groups, (F.col(x) - F.col(y)).alias("_d"))
-        .filter(F.col("_d") != 0)
-        .withColumn("_a", F.abs("_d"))
-    )
+    if method not in ("auto", "exact", "approx"):
+        raise ValueError(f"unknown method {method}")
+    every = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, (F.col(x) - F.col(y)).alias("_d"))
+    zeros = every.groupBy(*groups).agg(F.count(F.when(F.col("_d") == 0, 1)).alias("zeros"))
+    d = every.filter(F.col("_d") != 0).withColumn("_a", F.abs("_d"))
     cnt = d.groupBy(*groups, "_a").agg(
         F.count(F.lit(1)).alias("_c"), F.sum(F.when(F.col("_d") > 0, 1).otherwise(0)).alias("_pos")
     )
@@ -255,13 +257,16 @@ def wilcoxon(df: DataFrame, x: str, y: str, groups: list[str], with_p: bool = Fa
         F.sum(F.col("_c") ** 3 - F.col("_c")).alias("_tie"),
         F.max("_c").alias("_maxc"),
     )
+    agg = zeros.join(agg, groups, "left").fillna(0, ["n"])
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4.0
     se = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_tie") / 48.0)
     stat = F.least("w_plus", "w_minus")
-    out = agg.select(*groups, "n", _r(F.col("w_plus")).alias("w_plus"), _r(F.col("w_minus")).alias("w_minus"),
+    clean = (F.coalesce("_maxc", F.lit(0)) == 1) & (F.col("zeros") == 0)
+    rule = {"auto": (F.col("n") <= 50) & clean, "exact": F.lit(True), "approx": F.lit(False)}[method]
+    out = agg.select(*groups, "n", "zeros", _r(F.col("w_plus")).alias("w_plus"), _r(F.col("w_minus")).alias("w_minus"),
                      _r(stat).alias("statistic"), div(stat - mean, se).alias("_z"),
-                     ((F.col("n") <= 50) & (F.col("_maxc") == 1)).alias("exact"))
+                     rule.alias("exact"))
     if with_p:
         from prepcast.functions.tails import wilcoxon_p_sql
 

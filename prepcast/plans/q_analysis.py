@@ -167,6 +167,7 @@ def st_cohens_d(spark, sf):
 
 
 _WIL = f"""
+wz AS (SELECT store_id, CAST(SUM(CASE WHEN d = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros FROM {_PAIRS} p WHERE d IS NOT NULL GROUP BY 1),
 nz AS (SELECT store_id, d, ABS(d) AS a FROM {_PAIRS} p WHERE d <> 0),
 cnt AS (SELECT store_id, a, COUNT(*) AS c, SUM(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS pos FROM nz GROUP BY 1, 2),
 rk AS (
@@ -182,16 +183,17 @@ wagg AS (
 
 
 _WSRC = f"""
-SELECT store_id, n, {r6('w_plus')} AS w_plus, {r6('w_minus')} AS w_minus, {r6('LEAST(w_plus, w_minus)')} AS statistic,
+SELECT store_id, n, zeros, {r6('w_plus')} AS w_plus, {r6('w_minus')} AS w_minus, {r6('LEAST(w_plus, w_minus)')} AS statistic,
        {D('LEAST(w_plus, w_minus) - n * (n + 1) / 4.0', 'SQRT(n * (n + 1) * (2 * n + 1) / 24.0 - tie / 48.0)')} AS _z,
-       (n <= 50 AND maxc = 1) AS exact
-FROM wagg"""
+       (n <= 50 AND COALESCE(maxc, 0) = 1 AND zeros = 0) AS exact
+FROM (SELECT wz.store_id, wz.zeros, COALESCE(w.n, 0) AS n, w_plus, w_minus, tie, maxc
+      FROM wz LEFT JOIN wagg w ON wz.store_id = w.store_id) w"""
 
 
 def _wilcoxon_body(with_p: bool) -> str:
     from prepcast.functions.tails import wilcoxon_p_sql
 
-    cols = "store_id, n, w_plus, w_minus, statistic, exact, " + r6("_z") + " AS z"
+    cols = "store_id, n, zeros, w_plus, w_minus, statistic, exact, " + r6("_z") + " AS z"
     if not with_p:
         return f"SELECT {cols} FROM ({_WSRC}) q"
     p = r6(wilcoxon_p_sql("statistic", "n", "_z", "exact", engine="duckdb"))
@@ -260,7 +262,7 @@ sr AS (
     SELECT v.store_id, v.sample, v.x, z.n,
            ROW_NUMBER() OVER (PARTITION BY v.store_id, v.sample ORDER BY v.x) AS i
     FROM sv v JOIN ssz z ON v.store_id = z.store_id AND v.sample = z.sample
-    WHERE z.n BETWEEN 3 AND 5000
+    WHERE z.n >= 3
 ),
 sm AS (SELECT *, {norm_ppf_sql('((i - 0.375) / (n + 0.25))')} AS m FROM sr),
 sw AS (
@@ -270,18 +272,19 @@ sw AS (
 ),
 sa AS (SELECT store_id, sample, n, x, xbar, {a} AS a FROM sw)"""
     body = f"""
-SELECT store_id, sample, n, {R('LEAST(1.0, SUM(a * x) * SUM(a * x) / NULLIF(SUM((x - xbar) * (x - xbar)), 0))', 6)} AS W,
+SELECT store_id, sample, n, LEAST(1.0, SUM(a * x) * SUM(a * x) / NULLIF(SUM((x - xbar) * (x - xbar)), 0)) AS _w,
        CAST(NULL AS VARCHAR) AS reason
 FROM sa GROUP BY store_id, sample, n
 UNION ALL
-SELECT store_id, sample, n, CAST(NULL AS DOUBLE), CASE WHEN n < 3 THEN 'n<3' ELSE 'n>5000' END
-FROM ssz WHERE n < 3 OR n > 5000"""
+SELECT store_id, sample, n, CAST(NULL AS DOUBLE), 'n<3'
+FROM ssz WHERE n < 3"""
+    extra = ""
     if with_p:
         from prepcast.functions.tails import shapiro_p_sql
 
-        p = r6(shapiro_p_sql("W", "n"))
-        body = (f"SELECT *, {p} AS p, CASE WHEN {p} IS NULL THEN NULL ELSE {p} > 0.05 END AS normal "
-                f"FROM ({body}) q")
+        p = r6(shapiro_p_sql("_w", "n"))
+        extra = f", {p} AS p, CASE WHEN {p} IS NULL THEN NULL ELSE {p} > 0.05 END AS normal"
+    body = f"SELECT store_id, sample, n, {R('_w', 6)} AS W, reason{extra} FROM ({body}) q"
     return sql((*(base_ctes or H3_CTES), ctes), body)
 
 

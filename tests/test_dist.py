@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from prepcast.functions import dist
+import dist_check as dist
 
 
 def test_paired_t_pvalue_matches_published():

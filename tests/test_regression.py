@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from prepcast.operators import influence, regression
+from prepcast.operators import regression as R
 
 
 def _fixture(seed=3, n=14):
@@ -192,3 +193,41 @@ def test_one_feature_leverage_one_row_in_jvm_path(spark):
     assert np.allclose(got["e_loo"].to_numpy(), want, atol=1e-6)
     j = regression.loocv_residuals(df, {"m": ["x3"]}, "y", ["grp"])
     assert "Python" not in j._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("level", [0.0, 1e6, 1e8])
+def test_level_of_the_data_costs_no_digits(spark, level):
+    rng = np.random.default_rng(5)
+    x, z = rng.normal(0, 1, 60) + level, rng.normal(0, 1, 60) - 3 * level
+    y = 2 * (x - level) - 0.5 * (z + 3 * level) + rng.normal(0, 1, 60) + level
+    df = spark.createDataFrame([("s", float(a), float(b), float(c)) for a, b, c in zip(x, z, y)], "store_id string, x double, z double, y double")
+    a = np.column_stack([np.ones(60), x - x.mean(), z - z.mean()])
+    beta = np.linalg.lstsq(a, y - y.mean(), rcond=None)[0]
+    got = {r["term"]: r["coef"] for r in R.ols_long(R.model_grams(df, {"m": ["x", "z"]}, "y", ["store_id"]), ["store_id"]).collect()}
+    assert abs(got["x"] - beta[1]) < 1e-6 * abs(beta[1]) and abs(got["z"] - beta[2]) < 1e-6 * abs(beta[2])
+    h = np.einsum("ij,jk,ik->i", a, np.linalg.inv(a.T @ a), a)
+    loo = ((y - y.mean()) - a @ beta) / (1 - h)
+    rmse = R.loocv_rmse(df, {"m": ["x", "z"]}, "y", []).first()["rmse"]
+    assert abs(rmse - np.sqrt(np.mean(loo**2))) < 1e-3
+
+
+def test_rank_sets_the_degrees_of_freedom(spark):
+    rng = np.random.default_rng(6)
+    rows = [("s", float(a), 7.0, 2 * float(a), float(b)) for a, b in zip(rng.normal(0, 1, 20), rng.normal(0, 1, 20))]
+    df = spark.createDataFrame(rows, "store_id string, x double, c double, twice double, y double")
+    for cols in (["x", "c"], ["x", "twice"], ["x"]):
+        r = R.ols_summary(df, cols, "y", ["store_id"]).filter("term = 'const'").first()
+        assert r["df_resid"] == 18 and r["k"] == 1
+    fit = R.loocv_residuals(df, {"m": ["c"]}, "y", ["store_id"]).first()
+    assert fit["p"] == 1
+
+
+def test_forward_selection_single_series_and_tiny_margins(spark):
+    rng = np.random.default_rng(8)
+    x, z = rng.normal(0, 1, 40), rng.normal(0, 1, 40)
+    y = 3 * x + 1e-5 * z * 0
+    df = spark.createDataFrame([("s", float(a), float(a + 1e-6 * b), float(c + 0.01 * b)) for a, b, c in zip(x, z, y)], "store_id string, x double, near double, y double")
+    a = R.forward_selection(df, "y", ["x", "near"], [], max_features=1)[1].first()
+    b = R.forward_selection(df, "y", ["x", "near"], ["store_id"], max_features=1)[1].first()
+    rmse = {c: R.loocv_residuals(df, {"m": [c]}, "y", []).selectExpr("sqrt(avg(e_loo * e_loo)) r").first()["r"] for c in ("x", "near")}
+    assert a["selected"] == b["selected"] == [min(rmse, key=rmse.get)] and a["rmse"] == b["rmse"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import pandas as pd
 import pytest
 
-from prepcast.functions import dist
+import dist_check as dist
 from prepcast.operators import stats
 
 
@@ -113,12 +113,52 @@ def test_wilcoxon_exact_p_matches_python(spark):
     assert abs(r["p"] - dist.wilcoxon_exact_two_sided(r["statistic"], r["n"])) < 1e-6
 
 
-def test_shapiro_rejects_groups_above_range(spark):
-    big = spark.range(5001).select(F.lit("big").alias("grp"), (F.col("id") % 97).cast("double").alias("x"))
-    small = spark.createDataFrame([("ok", 1.0), ("ok", 2.0), ("ok", 4.0), ("ok", 8.0)], "grp string, x double")
-    out = {r["grp"]: r for r in stats.shapiro(big.unionByName(small), "x", ["grp"]).collect()}
-    assert out["big"]["W"] is None and out["big"]["reason"] == "n>5000" and out["big"]["n"] == 5001
-    assert out["ok"]["W"] is not None and out["ok"]["reason"] is None
+def test_shapiro_has_no_upper_limit(spark):
+    rng = np.random.default_rng(2)
+    x = {"ties": np.arange(5001) % 97, "large": rng.normal(0, 1, 50_000), "ok": np.array([1.0, 2.0, 4.0, 8.0]), "two": np.array([1.0, 2.0])}
+    pdf = pd.DataFrame([(g, float(v)) for g, xs in x.items() for v in xs], columns=["grp", "x"])
+    out = {r["grp"]: r for r in stats.shapiro(spark.createDataFrame(pdf), "x", ["grp"]).collect()}
+    for g in ("ties", "large", "ok"):
+        s = np.sort(x[g]).astype(float)
+        w = (np.array(dist.shapiro_weights(len(s))) @ s) ** 2 / np.sum((s - s.mean()) ** 2)
+        assert abs(out[g]["W"] - min(1.0, w)) < 2e-6 and out[g]["p"] is not None and out[g]["n"] == len(s)
+    assert out["two"]["W"] is None and out["two"]["reason"] == "n<3"
+
+
+def test_wilcoxon_counts_zeros(spark):
+    rows = [("z", float(d), 0.0) for d in (0, 1, 2, 3, 4, 6)] + [("none", 1.0, 1.0)] * 3 + [("plain", float(d), 0.0) for d in (1, 2, 3, 4, 6)]
+    df = spark.createDataFrame(rows, "grp string, x double, y double")
+    out = {r["grp"]: r for r in stats.wilcoxon(df, "x", "y", ["grp"], with_p=True).collect()}
+    assert (out["z"]["n"], out["z"]["zeros"], out["z"]["exact"], out["z"]["decision"]) == (5, 1, False, "reject") and abs(out["z"]["p"] - 0.0431) < 1e-3
+    assert (out["none"]["n"], out["none"]["zeros"], out["none"]["p"]) == (0, 3, None)
+    assert out["plain"]["exact"] and abs(out["plain"]["p"] - 0.0625) < 1e-9
+    assert not stats.wilcoxon(df, "x", "y", ["grp"], method="approx").filter("exact").count()
+
+
+def test_single_series_form_equals_the_only_group(sample):
+    pdf, df = sample
+    one = df.filter("grp = 'a'")
+    for run in (lambda d, g: stats.shapiro(d, "x", g), lambda d, g: stats.wilcoxon(d, "x", "y", g, with_p=True), lambda d, g: stats.levene(d, "x", "lv", g, with_p=True),
+                lambda d, g: stats.anova(d, "x", "lv", g, with_p=True), lambda d, g: stats.ttest_ind(d, "x", "flag", g, with_p=True)):
+        (a,), (b,) = run(one, []).collect(), run(one, ["grp"]).drop("grp").collect()
+        assert a.asDict() == b.asDict()
+
+
+def test_tails_at_large_df(spark):
+    from prepcast.functions.tails import f_p_sql, t_p_sql
+
+    def integral(f, d1, d2):  # upper tail by quadrature of the density of ln F
+        import math
+        u = np.linspace(math.log(f), math.log(f) + 1.0, 200_001)
+        e = np.exp(u)
+        log = (math.lgamma((d1 + d2) / 2) - math.lgamma(d1 / 2) - math.lgamma(d2 / 2) + d1 / 2 * math.log(d1 / d2) + d1 / 2 * u - (d1 + d2) / 2 * np.log1p(d1 * e / d2))
+        return np.trapezoid(np.exp(log), u)
+
+    df = spark.createDataFrame([(1.05, 2000, 4000), (1.05, 20000, 40000), (0.99, 300, 100000)], "f double, d1 long, d2 long")
+    for r in df.selectExpr("*", f"{f_p_sql('f', 'd1', 'd2')} AS p").collect():
+        assert abs(r["p"] - integral(r["f"], r["d1"], r["d2"])) < 1e-6
+    t = spark.createDataFrame([(1.959963984540054, 4_000_000)], "t double, nu long").selectExpr(f"{t_p_sql('t', 'nu')} AS p").first()["p"]
+    assert abs(t - 0.05) < 1e-6
 
 
 def test_t_tail_series_matches_incomplete_beta(spark):
