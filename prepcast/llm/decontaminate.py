@@ -6,8 +6,8 @@ and non-ASCII bytes, A-Z as a-z. The hashes of all masks over the benchmark item
 and over the documents are joined; a Bloom filter of fixed size made from the
 benchmark's hashes keeps back document hashes that can't join. Every hit gives a
 diagonal (document position - item position); around it the words are compared
-one by one, without gaps, and the best segment (a match counts 1, a substitution
--4, so at least 80 % agree) must hold enough matching words.
+one by one, without gaps, and the longest segment in which at least 80 % agree must
+hold enough matching words.
 
 An item of n words is found in a document when a segment has
 min(``NEED``, max(5, 0.8 n)) matching words or more. Items shorter than a mask are
@@ -145,12 +145,16 @@ def _hits(docs: DataFrame, bloom, masks: list[str]) -> DataFrame:
 
 
 def best_segment(same: np.ndarray) -> tuple[int, int, int]:
-    """(begin, end, matches) of the best stretch; of equal ones the longest."""
-    run = np.concatenate([[0], np.cumsum(np.where(same, 10001, -40000))])
-    low = np.minimum.accumulate(run)
-    end = int((run - low).argmax())
-    begin = int(run[:end + 1].argmin())
-    return begin, end, int(same[begin:end].sum())
+    """(begin, end, matches) of the longest stretch in which at least four of five words agree, cut to its matches."""
+    run = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
+    ahead = np.maximum.accumulate(run[::-1])[::-1]  # best sum from each place on: falls along the item
+    begin = np.arange(len(run))
+    end = len(run) - np.searchsorted(ahead[::-1], run, "left") - 1  # last place whose sum is no less
+    best = int((end - begin).argmax())
+    hits = np.flatnonzero(same[best:int(end[best])])
+    if not len(hits):
+        return 0, 0, 0
+    return best + int(hits[0]), best + int(hits[-1]) + 1, len(hits)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
