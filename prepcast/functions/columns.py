@@ -90,19 +90,17 @@ def div(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def cents(x: Column) -> Column:
-    """A two-decimal amount as integer hundredths (exact)."""
-    return F.round(x * 100).cast("long")
+UNITS = 1_000_000
 
 
-def from_cents(c: Column) -> Column:
-    """Integer hundredths back to the amount, as the nearest double."""
-    return c.cast("double") / F.lit(100.0)
+def units(x: Column) -> Column:
+    """An amount as integer millionths: finer than the FLOAT source column resolves, and sums exactly in any order."""
+    return F.round(x * UNITS).cast("long")
 
 
-def exact_sum(x: Column) -> Column:
-    """Order-independent exact sum of a two-decimal column, summed as long hundredths."""
-    return from_cents(F.sum(cents(x)))
+def from_units(c: Column) -> Column:
+    """Integer millionths back to the amount, as the nearest double."""
+    return c.cast("double") / F.lit(float(UNITS))
 
 
 def g_to_kg(sum_g: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepcast.functions.columns import BINS30, bin30, bin30_index, bin30_slot, c, cents, from_cents, holiday_flag, rnd
+from prepcast.functions.columns import BINS30, bin30, bin30_index, bin30_slot, c, units, from_units, holiday_flag, rnd
 
 DAY_KEYS = ["day_id", "store_id"]
 
@@ -27,14 +27,14 @@ def pivot_bins(odl: DataFrame, keys: list[str] | None = None) -> DataFrame:
     Rows are matched to bins by an integer slot index (no per-row strings).
     """
     keys = keys or DAY_KEYS
-    t = odl.select(*keys, bin30_index(F.col("order_datetime")).alias("_slot"), cents(F.col("amount_g")).alias("_c"), "qty")
+    t = odl.select(*keys, bin30_index(F.col("order_datetime")).alias("_slot"), units(F.col("amount_g")).alias("_c"), "qty")
     sums = [
-        from_cents(F.sum(F.when(F.col("_slot") == bin30_slot(b), F.col("_c")).otherwise(F.lit(0).cast("long")))).alias(b)
+        from_units(F.sum(F.when(F.col("_slot") == bin30_slot(b), F.col("_c")).otherwise(F.lit(0).cast("long")))).alias(b)
         for b in BINS30
     ]
     return t.groupBy(*keys).agg(
         *sums,
-        from_cents(F.sum("_c")).alias("sum_g"),
+        from_units(F.sum("_c")).alias("sum_g"),
         F.sum("qty").alias("cnt"),
     )
 
@@ -43,7 +43,7 @@ def day_totals(odl: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per day: exact ``sum_g`` (g) and ``cnt``; the pre-aggregated child of every join."""
     keys = keys or DAY_KEYS
     return odl.groupBy(*keys).agg(
-        from_cents(F.sum(cents(F.col("amount_g")))).alias("sum_g"),
+        from_units(F.sum(units(F.col("amount_g")))).alias("sum_g"),
         F.sum("qty").alias("cnt"),
     )
 

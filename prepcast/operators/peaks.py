@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepcast.functions.columns import bin30, bin30_index, bin30_label, bin60_label, cents, div, from_cents, holiday_flag, rnd
+from prepcast.functions.columns import bin30, bin30_index, bin30_label, bin60_label, units, div, from_units, holiday_flag, rnd
 from prepcast.operators.daily import day_totals
 
 
@@ -27,22 +27,22 @@ def bin_sums(odl: DataFrame, label: str = "hh_mm", width: int = 30) -> DataFrame
     ts = F.col("order_datetime")
     slot = bin30_index(ts) if width == 30 else F.hour(ts)
     agg = (
-        odl.select("day_id", slot.alias("_slot"), cents(F.col("amount_g")).alias("_c"))
+        odl.select("day_id", slot.alias("_slot"), units(F.col("amount_g")).alias("_c"))
         .groupBy("day_id", "_slot")
-        .agg(F.sum("_c").alias("cum_cents"))
+        .agg(F.sum("_c").alias("cum_units"))
     )
     lab = bin30_label(F.col("_slot")) if width == 30 else bin60_label(F.col("_slot"))
-    return agg.select("day_id", lab.alias(label), "cum_cents")
+    return agg.select("day_id", lab.alias(label), "cum_units")
 
 
 def peak30(odl: DataFrame) -> DataFrame:
     """Half-hour peaks: share > ROUND(avg + 1 SD, 2); also reports the 2 SD level."""
     s = bin_sums(odl, "hh_mm", 30)
     day = Window.partitionBy("day_id")
-    total = from_cents(F.sum("cum_cents").over(day))
+    total = from_units(F.sum("cum_units").over(day))
     share = s.withColumns({
-        "pct": rnd(div(from_cents(F.col("cum_cents")), total) * 100, 2),
-        "cum_pct": rnd(div(from_cents(F.sum("cum_cents").over(day.orderBy("hh_mm"))), total) * 100, 2),
+        "pct": rnd(div(from_units(F.col("cum_units")), total) * 100, 2),
+        "cum_pct": rnd(div(from_units(F.sum("cum_units").over(day.orderBy("hh_mm"))), total) * 100, 2),
     })
     stats = share.withColumns({
         "daily_peak_pct": rnd(F.avg("pct").over(day) + F.stddev_pop("pct").over(day), 2),
@@ -61,12 +61,12 @@ def peak60(odl: DataFrame, digits: int = 8) -> DataFrame:
     The emitted thresholds are rounded to ``digits`` decimals so that engines
     with different summation orders print the same value.
     """
-    s = bin_sums(odl, "bin_hour", 60).withColumn("sum_kg", from_cents(F.col("cum_cents")) / F.lit(1000.0))
+    s = bin_sums(odl, "bin_hour", 60).withColumn("sum_kg", from_units(F.col("cum_units")) / F.lit(1000.0))
     day = Window.partitionBy("day_id")
-    total = from_cents(F.sum("cum_cents").over(day)) / F.lit(1000.0)
+    total = from_units(F.sum("cum_units").over(day)) / F.lit(1000.0)
     share = s.withColumns({
         "pct": rnd(div(F.col("sum_kg"), total) * 100, 2),
-        "cum_pct": rnd(div(from_cents(F.sum("cum_cents").over(day.orderBy("bin_hour"))) / F.lit(1000.0), total) * 100, 2),
+        "cum_pct": rnd(div(from_units(F.sum("cum_units").over(day.orderBy("bin_hour"))) / F.lit(1000.0), total) * 100, 2),
     })
     stats = share.withColumns({
         "peek_time_raw": F.avg("pct").over(day) + F.stddev_pop("pct").over(day),
@@ -87,13 +87,13 @@ def share_table(odl: DataFrame) -> DataFrame:
     """Per (day, half-hour): bin sum, day total, share and running share."""
     s = bin_sums(odl, "hh_mm", 30)
     day = Window.partitionBy("day_id")
-    total = from_cents(F.sum("cum_cents").over(day))
+    total = from_units(F.sum("cum_units").over(day))
     return s.select(
         "day_id", "hh_mm",
-        from_cents(F.col("cum_cents")).alias("cum_bin"),
+        from_units(F.col("cum_units")).alias("cum_bin"),
         total.alias("total"),
-        rnd(div(from_cents(F.col("cum_cents")), total) * 100, 2).alias("pct"),
-        rnd(div(from_cents(F.sum("cum_cents").over(day.orderBy("hh_mm"))), total) * 100, 2).alias("cum_pct"),
+        rnd(div(from_units(F.col("cum_units")), total) * 100, 2).alias("pct"),
+        rnd(div(from_units(F.sum("cum_units").over(day.orderBy("hh_mm"))), total) * 100, 2).alias("cum_pct"),
     )
 
 
@@ -115,7 +115,7 @@ def with_day_total(odl: DataFrame, name: str = "day_total_g") -> DataFrame:
     into one task, while the aggregate combines map-side and the join's small
     side (one row per day) is broadcast or, if large, skew-split by AQE.
     """
-    totals = odl.groupBy("day_id").agg(from_cents(F.sum(cents(F.col("amount_g")))).alias(name))
+    totals = odl.groupBy("day_id").agg(from_units(F.sum(units(F.col("amount_g")))).alias(name))
     return odl.join(totals, "day_id", "inner")
 
 

@@ -185,14 +185,15 @@ def _ols2(src: str, y: str, x1: str, x2: str, where: str = "TRUE", name: str = "
     FROM {name}_m
 ),
 {name}_f AS (
-    SELECT *, my - b1 * m1 - b2 * m2 AS b0, GREATEST(syy - b1 * s1y - b2 * s2y, 0) AS sse, n - 3 AS df_resid
-    FROM {name}_b
+    SELECT *, my - b1 * m1 - b2 * m2 AS b0, GREATEST(syy - b1 * s1y - b2 * s2y, 0) AS sse, n - 1 - rnk AS df_resid
+    FROM (SELECT *, CASE WHEN s11 = 0 AND s22 = 0 THEN 0 WHEN s11 = 0 OR s22 = 0 OR det <= 1e-10 * s11 * s22 THEN 1 ELSE 2 END AS rnk
+          FROM {name}_b) r
 ),
 {name} AS (
     SELECT *, sse / NULLIF(df_resid, 0) AS sigma2,
            CASE WHEN syy > 0 AND df_resid <= 0 THEN 1.0 WHEN syy > 0 THEN 1 - sse / syy END AS r2,
            CASE WHEN syy > 0 AND df_resid > 0 THEN 1 - (sse / syy) * (n - 1) / df_resid END AS adj_r2,
-           CASE WHEN syy > 0 AND df_resid > 0 AND sse > 0 THEN ((syy - sse) / 2) / (sse / df_resid) END AS F,
+           CASE WHEN syy > 0 AND df_resid > 0 AND sse > 0 THEN ((syy - sse) / NULLIF(rnk, 0)) / (sse / df_resid) END AS F,
            CASE WHEN df_resid > 0 THEN sqrt(sse / df_resid * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det)) END AS se0,
            CASE WHEN df_resid > 0 THEN sqrt(sse / df_resid * s22 / det) END AS se1,
            CASE WHEN df_resid > 0 THEN sqrt(sse / df_resid * s11 / det) END AS se2
@@ -207,7 +208,7 @@ def _ols2_long(name: str, model: str, x1: str, x2: str, with_p: bool = False) ->
                  if with_p else "")
         parts.append(
             f"SELECT store_id, '{model}' AS model, '{term}' AS term, {r4(b)} AS coef, {r4(se)} AS se, "
-            f"{r4(f'{b} / NULLIF({se}, 0)')} AS t, n, CAST(2 AS INTEGER) AS k, df_resid, {r4('r2')} AS r2, "
+            f"{r4(f'{b} / NULLIF({se}, 0)')} AS t, n, CAST(rnk AS INTEGER) AS k, df_resid, {r4('r2')} AS r2, "
             f"{r4('adj_r2')} AS adj_r2, {r4('F')} AS F{pcols} FROM {name}"
         )
     return "\nUNION ALL\n".join(parts)
@@ -221,7 +222,7 @@ def _stepwise_sql(with_p: bool) -> str:
     return sql(
         (*AF_CTES, *[_ols2("af", T1, _STEP_BASE, c, name=f"s{i}") for i, c in enumerate(_STEP_REMAINING)]),
         "\nUNION ALL\n".join(
-            f"SELECT store_id, '{c}' AS added, n, CAST(2 AS INTEGER) AS k, df_resid, {r4('r2')} AS r2, {r4('adj_r2')} AS adj_r2, "
+            f"SELECT store_id, '{c}' AS added, n, CAST(rnk AS INTEGER) AS k, df_resid, {r4('r2')} AS r2, {r4('adj_r2')} AS adj_r2, "
             f"{r4('b2 / NULLIF(se2, 0)')} AS t"
             + (f", {r4(T_P('b2 / NULLIF(se2, 0)', 'df_resid'))} AS p" if with_p else "")
             + f" FROM s{i}"
@@ -586,7 +587,7 @@ def _stepwise_segment_sql() -> str:
     ctes = [_ols2("seg", T1, _STEP_BASE, c, where=keep, name=f"g{i}", grp="store_id, segment")
             for i, c in enumerate(_STEP_REMAINING)]
     body = "\nUNION ALL\n".join(
-        f"SELECT store_id, segment, '{c}' AS added, n, CAST(2 AS INTEGER) AS k, df_resid, {r4('r2')} AS r2, "
+        f"SELECT store_id, segment, '{c}' AS added, n, CAST(rnk AS INTEGER) AS k, df_resid, {r4('r2')} AS r2, "
         f"{r4('adj_r2')} AS adj_r2, {r4('b2 / NULLIF(se2, 0)')} AS t FROM g{i}"
         for i, c in enumerate(_STEP_REMAINING))
     return sql((*AF_CTES, _SEG, *ctes), body)

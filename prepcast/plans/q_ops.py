@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepcast.functions.columns import (
-    BINS30, FRI, THU, WEEKDAY_LABELS, bin30, bin60, from_cents, g_to_kg, holiday_flag, rnd,
+    BINS30, FRI, THU, WEEKDAY_LABELS, bin30, bin60, from_units, g_to_kg, holiday_flag, rnd,
 )
 from prepcast.operators import daily, describe, features, kpi, peaks
 from prepcast.plans import tables as T
@@ -117,9 +117,11 @@ _OH_LEVELS = [x for x in WEEKDAY_LABELS if x not in (THU, WEEKDAY_LABELS[0])]
 def prj_onehot_drop(spark, sf):
     """One-hot with levels inferred from the data, baseline level dropped.
 
-    The distinct levels are a bounded metadata read (at most seven weekdays)."""
+    The levels (at most seven weekdays) are read from the daily log, which the
+    feature table keeps every weekday of but the excluded one."""
     mf = T.mf(spark, sf)
-    levels = sorted(r[0] for r in mf.select("day_of_week").distinct().collect() if r[0] is not None)
+    seen = T.dcl(spark, sf).where(F.col("day_of_week") != THU).select("day_of_week").distinct().collect()
+    levels = sorted(r[0] for r in seen if r[0] is not None)
     return mf.select("day_id", *[(F.col("day_of_week") == lv).cast("double").alias(f"day_of_week_{lv}")
                                  for lv in levels if lv != WEEKDAY_LABELS[0]])
 
@@ -270,7 +272,7 @@ def agg_pivot_bins(spark, sf):
 SELECT day_id, {BIN30_SQL} AS hh_mm, CAST(SUM({DEC}) AS DOUBLE) AS cum_bin FROM odl GROUP BY 1, 2"""))
 def agg_bin_sum(spark, sf):
     s = peaks.bin_sums(T.odl(spark, sf), "hh_mm", 30)
-    return s.select("day_id", "hh_mm", from_cents(F.col("cum_cents")).alias("cum_bin"))
+    return s.select("day_id", "hh_mm", from_units(F.col("cum_units")).alias("cum_bin"))
 
 
 @register("agg_group_by_pk", sql(H1_CTES, "SELECT day_id, day_of_week, is_pre_holiday, sum_g FROM h1"))
@@ -420,7 +422,7 @@ def win_running(spark, sf):
     from pyspark.sql import Window
 
     s = peaks.bin_sums(T.odl(spark, sf), "hh_mm", 30)
-    return s.select("day_id", "hh_mm", from_cents(F.sum("cum_cents").over(Window.partitionBy("day_id").orderBy("hh_mm")))
+    return s.select("day_id", "hh_mm", from_units(F.sum("cum_units").over(Window.partitionBy("day_id").orderBy("hh_mm")))
                     .alias("running_g"))
 
 
@@ -512,11 +514,11 @@ SELECT day_id, hh_mm, pct, daily_peak_pct, daily_2peek_pct FROM (
           FROM (SELECT day_id, {BIN30_SQL} AS hh_mm, SUM({DEC}) AS cb FROM odl GROUP BY 1, 2) b) s
 ) t WHERE pct > daily_peak_pct"""))
 def sink_dashboard(spark, sf):
-    """Peak table published for dashboards, partitioned by store for pruning."""
+    """Peak table published for dashboards, partitioned by date for pruning."""
     path = scratch_path(spark, "peak30")
-    out = peaks.peak30(T.odl(spark, sf)).withColumn("store", F.split("day_id", "_")[0])
-    logs.write_snapshot(out, path, partition_by=["store"])
-    return logs.read_snapshot(spark, path).drop("store")
+    out = peaks.peak30(T.odl(spark, sf)).withColumn("date", F.to_date(F.substring("day_id", -10, 10)))
+    logs.write_snapshot(out, path, partition_by=["date"])
+    return logs.read_snapshot(spark, path).drop("date")
 
 
 

@@ -36,19 +36,26 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is. Only when it
-    is unset (tests, local runs) is a fresh folder under /tmp taken.
+    The folder named by ``spark.checkpoint.dir`` is used as is. Only a local
+    session may leave it unset (a fresh folder under /tmp is taken): on a
+    cluster every executor would write to its own disk.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        require_local(spark.sparkContext.master)
         conf = tempfile.mkdtemp(prefix="prepcast-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(conf)
     return spark.sparkContext.getCheckpointDir() or conf
 
 
+def require_local(master: str) -> None:
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
