@@ -12,7 +12,7 @@ scoring runs over all documents with the two slot tables as the only shared data
 
 Defined cases: a null or empty text has no n-gram and gets the intercept's score;
 without training rows of both classes every score is that of the
-one class (0.5 or less without any); repeated rows are scored each; an empty table gives no rows;
+one class (near 0 without any); repeated rows are scored each; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepcast.llm.labelled import held_out, labelled_sample
+from prepcast.llm.scratch import written
 from prepcast.llm.text import LOWER, SPACE, slices, text_buffer
 
 SIZES = (4, 6, 8)
@@ -77,20 +78,16 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (found & np.uint64((1 << SLOT_BITS) - 1)).astype(np.uint32), first
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, epochs: int = 12, rate: float = 0.5, l2: float = 1e-5, seed: int = 7, errors: float = 2.0) -> Model:
-    """Log-count ratios, then Adagrad over minibatches of the scaled unit vectors. ``texts``: slots of each text."""
-    size = 1 << SLOT_BITS
-    if not len(y) or y.min() == y.max():
-        p = float(y.mean()) if len(y) else 0.0
-        return Model(np.zeros(size), np.zeros(size), 30.0 * float(np.sign(p - 0.5)))
-    count = {0: np.zeros(size), 1: np.zeros(size)}
-    for slots, label in zip(texts, y):
-        count[int(label)][slots] += 1
-    pos, neg = count[1] + alpha, count[0] + alpha
-    ratio = np.log(pos / (y.sum() + 2 * alpha)) - np.log(neg / ((1 - y).sum() + 2 * alpha))
-    doubt = errors * np.sqrt(1 / pos + 1 / neg)
-    ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - doubt, 0)
-    texts = [t[ratio[t] != 0] for t in texts]
+def ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, alpha: float = 1.0, errors: float = 2.0) -> np.ndarray:
+    """Log-count ratio of every slot from the texts holding it, less ``errors`` standard errors."""
+    pos, neg = toxic + alpha, other + alpha
+    ratio = np.log(pos / (n_toxic + 2 * alpha)) - np.log(neg / (n_other + 2 * alpha))
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - errors * np.sqrt(1 / pos + 1 / neg), 0)
+
+
+def fit(texts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, epochs: int = 12, rate: float = 0.5, l2: float = 1e-5, seed: int = 7) -> Model:
+    """Adagrad over minibatches of the scaled unit vectors. ``texts``: slots with a ratio of each text."""
+    size = len(ratio)
     norm = np.array([np.sqrt(max((ratio[t] ** 2).sum(), 1e-12)) for t in texts])
     w, b = np.ones(size), float(np.log(y.mean() / (1 - y.mean())))
     seen, seen_b, rng = np.full(size, 1e-8), 1e-8, np.random.default_rng(seed)
@@ -110,18 +107,43 @@ def fit(texts: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, epochs: int
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = MAX_ROWS, label: str = "toxic") -> Model:
-    """Fit on at most ``max_rows`` labelled rows; only their slot lists reach the driver."""
-    sample = labelled_sample(docs, labels, label, folds, held, max_rows)
+    """Fit on at most ``max_rows`` labelled rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Slots are counted in Spark; the driver gets the counts (a fixed number of
+    slots) and then only the slots of each text that have a ratio.
+    """
+    sample = written(labelled_sample(docs, labels, label, folds, held, max_rows), "toxicity-sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 1 << SLOT_BITS), np.int64)
+        for batch in slices(batches, "text", 2 << 20):
+            slots, first = features(*text_buffer(batch.column("text")))
+            y = np.repeat(batch.column("y").to_numpy(), np.diff(first))
+            sums += np.stack([np.bincount(slots[y == k], minlength=1 << SLOT_BITS) for k in (0, 1)])
+        at = np.flatnonzero(sums.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["slot", "other", "toxic"])
+
+    rows = sample.groupBy("y").count().collect()
+    n = {0: 0, 1: 0, **{r["y"]: r["count"] for r in rows}}
+    if not n[0] or not n[1]:
+        none = np.zeros(1 << SLOT_BITS)
+        return Model(none, none, 30.0 if n[1] else -30.0)
+    got = sample.mapInArrow(count, "slot long, other long, toxic long").groupBy("slot").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
+    sums = np.zeros((2, 1 << SLOT_BITS))
+    sums[:, got.column("slot").to_numpy()] = got.column("other").to_numpy(), got.column("toxic").to_numpy()
+    ratio = ratios(sums[1], sums[0], n[1], n[0])
+    telling = sample.sparkSession.sparkContext.broadcast(ratio != 0)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             slots, first = features(*text_buffer(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([slots[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["doc_id", "y", "slots"])
+            texts = [t[telling.value[t]].tobytes() for t in np.split(slots, first[1:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(texts, pa.binary())], names=["doc_id", "y", "slots"])
 
-    got = sample.mapInArrow(run, "doc_id long, y int, slots binary").toArrow()
+    got = sample.mapInArrow(keep, "doc_id long, y int, slots binary").toArrow()
     order = np.lexsort((got.column("y").to_numpy(), got.column("doc_id").to_numpy()))
     texts = [np.frombuffer(x.as_buffer(), np.uint32) for x in got.column("slots")]
-    return fit([texts[i] for i in order], got.column("y").to_numpy().astype(np.float64)[order])
+    return fit([texts[i] for i in order], got.column("y").to_numpy().astype(np.float64)[order], ratio)
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
