@@ -16,11 +16,6 @@ from prepcast.functions.columns import BINS30, bin30, bin30_index, bin30_slot, c
 DAY_KEYS = ["day_id", "store_id"]
 
 
-def with_bin30(odl: DataFrame, ts: str = "order_datetime") -> DataFrame:
-    """Order lines with their 'HH:MM' half-hour label (for row-level outputs)."""
-    return odl.withColumn("hh_mm", bin30(F.col(ts)))
-
-
 def pivot_bins(odl: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per day: 14 half-hour sums, ``sum_g`` and ``cnt`` (= SUM(qty)) in one pass.
 

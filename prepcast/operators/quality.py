@@ -38,11 +38,3 @@ def orphans(child: DataFrame, parent: DataFrame, key: str = "day_id") -> DataFra
 def accepted(child: DataFrame, parent: DataFrame, key: str = "day_id") -> DataFrame:
     """Child rows whose parent exists."""
     return child.join(parent.select(key), key, "left_semi")
-
-
-def not_null_split(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, quarantined rows) for NOT NULL columns."""
-    bad: Column = F.lit(False)
-    for name in required:
-        bad = bad | F.col(name).isNull()
-    return df.filter(~bad), df.filter(bad)

@@ -1,7 +1,7 @@
 """Typed CSV sources for the two logs, snapshots and sinks.
 
 CSV dialect of the operational exports: UTF-8, ``,`` separator, optional
-``"`` quoting, one header row, columns by position. Types are declared (no
+``"`` quoting, ``\\N`` for NULL, one header row, columns by position. Types are declared (no
 inference); malformed lines (kept with their raw text) and rows missing a
 NOT NULL column go to a quarantine frame instead of failing the load.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+TS_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"  # the fraction may be missing
 
 ORDER_LINES_SCHEMA = T.StructType([
     T.StructField("day_id", T.StringType(), False),
@@ -56,7 +56,7 @@ DAILY_LOG_REQUIRED = ["day_id", "date"]
 def _csv_options() -> dict[str, str]:
     return {
         "header": "true", "sep": ",", "quote": '"', "escape": '"', "encoding": "UTF-8",
-        "mode": "PERMISSIVE", "timestampNTZFormat": TS_FORMAT, "dateFormat": "yyyy-MM-dd",
+        "mode": "PERMISSIVE", "nullValue": "\\N", "timestampNTZFormat": TS_FORMAT, "dateFormat": "yyyy-MM-dd",
     }
 
 

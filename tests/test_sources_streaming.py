@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from prepcast.plans import tables as T
@@ -117,3 +119,34 @@ def test_stream_counts_lines_that_arrive_late(spark):
     into = scratch_path(spark, "compacted")
     bins_stream.compact(spark, sink, into)
     assert bins_stream.read_bins(spark, into).exceptAll(after).count() == 0
+
+
+def test_null_marker_and_times_without_fraction(spark, tmp_path):
+    p = tmp_path / "lines.csv"
+    p.write_text("day_id,store_id,order_id,receipt_id,order_datetime,order_date,qty,amount_g\n"
+                 "s_2024-01-01,s,1,\\N,2024-01-01 16:05:09,2024-01-01,\\N,10.125\n"
+                 "s_2024-01-01,\\N,2,r2,2024-01-01 16:05:09.250000,2024-01-01,3,\n"
+                 "s_2024-01-01,s,x,r3,2024-01-01 16:05:09,2024-01-01,3,1.5\n"
+                 "\\N,s,4,r4,2024-01-01 16:05:09,2024-01-01,3,1.5\n")
+    ok, bad = logs.load_order_lines(spark, str(p))
+    rows = {r["order_id"]: r for r in ok.collect()}
+    assert set(rows) == {1, 2} and bad.count() == 2
+    assert rows[1]["receipt_id"] is None and rows[1]["qty"] is None and rows[1]["amount_g"] == 10.125
+    assert rows[1]["order_datetime"].microsecond == 0 and rows[2]["order_datetime"].microsecond == 250000
+    assert rows[2]["store_id"] is None and rows[2]["amount_g"] is None
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from prepcast.session import require_local
+
+    require_local("local[8]")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            require_local(master)
+
+
+def test_amounts_keep_their_third_decimal(spark):
+    from prepcast.functions.columns import from_units, units
+
+    df = spark.range(1000).selectExpr("0.001D as g")
+    assert df.agg(from_units(F.sum(units(F.col("g")))).alias("g")).first()["g"] == 1.0
