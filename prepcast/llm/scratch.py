@@ -19,10 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: later steps survive lost executors."""
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: later steps survive lost executors.
+
+    ``free`` asks the driver's JVM to collect garbage afterwards. Spark deletes
+    the shuffle files of a finished job only when the driver collects the job's
+    objects, which a small driver does rarely; until then they fill executors' disks.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    if free:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -184,24 +184,24 @@ def _repeats(table: pa.Table) -> pa.Table:
 
 def removed_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, th, a, b): byte ranges to remove from documents (doc, th, text); they may overlap."""
-    counted = written(_anchor_counts(docs), "dedup-anchors")
-    marks = written(_marks(docs, _mixed_table(counted)), "dedup-intervals")
+    counted = written(_anchor_counts(docs), "dedup-anchors", free=True)
+    marks = written(_marks(docs, _mixed_table(counted)), "dedup-intervals", free=True)
     again = marks.where("again").selectExpr("doc", "th", "lo a", f"lo + more + {WINDOW} b")
     once = marks.where("not again")
     kinds = once.groupBy("anchor", "whole").agg(F.min("doc").alias("least"))
     shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
-    ranked = written(once.join(kinds, ["anchor", "whole"]).select("doc", "th", "anchor", "lo", "more", "offset", "least"), "dedup-ranked")
+    ranked = written(once.join(kinds, ["anchor", "whole"]).select("doc", "th", "anchor", "lo", "more", "offset", "least"), "dedup-ranked", free=True)
     later = ranked.where("doc > least").selectExpr("doc", "th", "lo a", f"lo + more + {WINDOW} b")
     spans = ranked.where("doc = least").join(shared, "anchor").groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "more", "offset")).alias("spans"))
-    spans = written(spans, "dedup-spans")
+    spans = written(spans, "dedup-spans", free=True)
     texts = sieve(docs.select("doc", "th", "text"), "th", spans.select("th"))
-    pieces = written(texts.join(spans, ["doc", "th"]).mapInArrow(_pieces, "doc long, th long, key long, left binary, right binary, start long, extra int"), "dedup-pieces")
+    pieces = written(texts.join(spans, ["doc", "th"]).mapInArrow(_pieces, "doc long, th long, key long, left binary, right binary, start long, extra int"), "dedup-pieces", free=True)
     same = pieces.groupBy("key", "left", "right").agg(F.min(F.struct("doc", "start", "th")).alias("top"))
-    first = written(same.select("key", "left", "right", "top.*", F.expr(f"length(left) + length(right) - {SLOT - 1}").cast("int").alias("extra")), "dedup-kinds")
+    first = written(same.select("key", "left", "right", "top.*", F.expr(f"length(left) + length(right) - {SLOT - 1}").cast("int").alias("extra")), "dedup-kinds", free=True)
     met = pieces.join(first.selectExpr("key", "left", "right", "doc as top_doc", "start as top_start"), ["key", "left", "right"])
     copies = met.where("doc > top_doc or (doc = top_doc and start > top_start)").selectExpr("doc", "th", "start a", f"start + extra + {WINDOW} b")
     many = first.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = written(first.join(many, "key"), "dedup-mixed")
+    mixed = written(first.join(many, "key"), "dedup-mixed", free=True)
     buckets = max(1, mixed.count() // BUCKET_PIECES)
     found = mixed.where(F.col("kinds") <= hot).groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(_repeats, _RANGE)
     wide = mixed.where(F.col("kinds") > hot).select("key", "doc", "th", "left", "right", F.explode(F.expr("sequence(0, extra)")).alias("i"), "start")
