@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +45,13 @@ from prepcast.llm.text import LOWER, SPACE, per_text, slices, text_buffer, word_
 ORDERS = (1, 2, 3, 4, 5, 7)
 REACH = max(ORDERS)
 ALWAYS = 3
-SLOT_BITS = 22
+SLOT_BITS = 21
 CHUNK_BITS = 14
 GATES = 27
 PRIOR = np.float32(0.5)
 BUCKETS = 33
-SLICE_BYTES = 6 << 20
+SLICE_BYTES, BASE_BYTES = 2_000_000, 2_000_000
+HELD_GRAMS = 1_000_000
 END_TOKEN = 0x1E0F7A11
 _U = np.uint64
 _ODD = np.random.default_rng(77).integers(0, 2**63, len(ORDERS), dtype=np.uint64) * _U(2) + _U(1)
@@ -146,11 +148,29 @@ class Model:
 def _grams(training: DataFrame) -> DataFrame:
     """(gram, n): distinct windows of all training texts."""
 
+    def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        key, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return key[at], np.add.reduceat(n, at)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts = [], []  # summed over slices before they leave the task, up to HELD_GRAMS
         for batch in slices(batches, "text", SLICE_BYTES):
             key = np.sort(windows(*text_buffer(batch.column("text")))[0])
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(np.diff(np.append(at, len(key))))], names=["gram", "n"])
+            held.append(key[at])
+            counts.append(np.diff(np.append(at, len(key))))
+            if sum(map(len, held)) > HELD_GRAMS:
+                key, n = merged(held, counts)
+                held, counts = [key], [n]
+                if len(key) > HELD_GRAMS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
+                    held, counts = [], []
+        if held:
+            key, n = merged(held, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     return training.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -181,12 +201,23 @@ def _slot_table(grams: DataFrame) -> np.ndarray:
     return table
 
 
-def _learn_weights(grams: DataFrame, model: Model, rate: float, batch_rows: int = 4096) -> np.ndarray:
-    """One online pass in every partition from the model's weights; the partitions' weights averaged by bits seen in each gate."""
-    shared = grams.sparkSession.sparkContext.broadcast(model)
+@dataclass
+class Learnt:
+    """A model whose slot table is broadcast once; the small rest travels with each job."""
+
+    table: Broadcast
+    weights: np.ndarray
+    refined: np.ndarray | None = None
+
+    def model(self) -> Model:
+        return Model(self.table.value, self.weights.copy(), self.refined)
+
+
+def _learn_weights(grams: DataFrame, learnt: Learnt, rate: float, batch_rows: int = 4096) -> np.ndarray:
+    """One online pass in every partition from the weights so far; the partitions' weights averaged by bits seen in each gate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(shared.value.table, shared.value.weights.copy())
+        own = learnt.model()
         bits, squares = np.zeros(GATES), np.full(own.weights.shape, 1e-9)
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
@@ -203,24 +234,24 @@ def _learn_weights(grams: DataFrame, model: Model, rate: float, batch_rows: int
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES)), pa.array(bits), pa.array((own.weights * bits[:, None]).tolist(), pa.list_(pa.float64()))], names=["gate", "bits", "w"])
 
     sums = [F.sum(F.element_at("w", i + 1)).alias(f"w{i}") for i in range(len(ORDERS) + 1)]
-    out = model.weights.copy()
+    out = learnt.weights.copy()
     for row in grams.mapInArrow(run, "gate long, bits double, w array<double>").groupBy("gate").agg(F.sum("bits").alias("bits"), *sums).collect():
         if row["bits"]:
             out[row["gate"]] = [row[f"w{i}"] / row["bits"] for i in range(len(ORDERS) + 1)]
     return out
 
 
-def _learn_map(grams: DataFrame, model: Model) -> np.ndarray:
+def _learn_map(grams: DataFrame, learnt: Learnt) -> np.ndarray:
     """What followed each (known bits, mixed odds bucket), over all training windows."""
-    shared = grams.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = learnt.model()
         zero, one_ = np.zeros(256 * BUCKETS), np.zeros(256 * BUCKETS)
         for batch in batches:
             key, n = batch.column("gram").to_numpy().view(_U), batch.column("n").to_numpy().astype(float)
             for bit in range(7, -1, -1):
                 one = (key >> _U(bit)) & _U(1) == 1
-                at = shared.value.place(key, bit, shared.value.mixed(*shared.value.inputs(key, bit, one)))
+                at = model.place(key, bit, model.mixed(*model.inputs(key, bit, one)))
                 one_ += np.bincount(at, n * one, 256 * BUCKETS)
                 zero += np.bincount(at, n * ~one, 256 * BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256 * BUCKETS)), pa.array(zero), pa.array(one_)], names=["at", "zero", "one"])
@@ -232,27 +263,26 @@ def _learn_map(grams: DataFrame, model: Model) -> np.ndarray:
     return out
 
 
-def train(training: DataFrame, passes: int = 2) -> Model:
+def train(training: DataFrame, passes: int = 2) -> Learnt:
     """Learn from every text of ``training``."""
-    grams = written(_grams(training), "mixing-grams")
+    grams = written(_grams(training), "mixing-grams", free=True)
     weights = np.full((GATES, len(ORDERS) + 1), 0.15)
     weights[:, -2:] = 0.5, 0.0
-    model = Model(_slot_table(grams), weights)
+    learnt = Learnt(training.sparkSession.sparkContext.broadcast(_slot_table(grams)), weights)
     for step in range(passes):
-        model.weights = _learn_weights(grams, model, 0.05 / (step + 1))
-    model.refined = _learn_map(grams, model)
-    return model
+        learnt = Learnt(learnt.table, _learn_weights(grams, learnt, 0.05 / (step + 1)))
+    return Learnt(learnt.table, learnt.weights, _learn_map(grams, learnt))
 
 
-def text_scores(docs: DataFrame, model: Model) -> DataFrame:
+def text_scores(docs: DataFrame, learnt: Learnt) -> DataFrame:
     """doc_id, h (text hash), score: the model's log10 probability of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = learnt.model()
         for batch in slices(batches, "text", SLICE_BYTES):
             key, first = windows(*text_buffer(batch.column("text")))
             kinds, at = np.unique(key, return_inverse=True)
-            value = np.concatenate([shared.value.log10(kinds[i:i + 65536]) for i in range(0, len(kinds), 65536)])
+            value = np.concatenate([model.log10(kinds[i:i + 65536]) for i in range(0, len(kinds), 65536)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(per_text(value[at], first))], names=["doc_id", "h", "score"])
 
     return docs.mapInArrow(run, "doc_id long, h long, score double")
@@ -265,7 +295,7 @@ def base_scores(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text", SLICE_BYTES):
+        for batch in slices(batches, "text", BASE_BYTES):
             data, offs = text_buffer(batch.column("text"))
             starts, ends, first = word_bounds(data, offs)
             words = np.insert(word_hashes(data, starts, ends), first[1:], _U(END_TOKEN))
@@ -277,9 +307,9 @@ def base_scores(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["slice", "docs", "hs", "held", "n", "at", "kinds", "counts"])
             number += 1
 
-    parts = written(docs.mapInArrow(cut, "slice long, docs array<long>, hs array<long>, held array<boolean>, n array<long>, at binary, kinds array<long>, counts array<long>"), "mixing-slices")
+    parts = written(docs.mapInArrow(cut, "slice long, docs array<long>, hs array<long>, held array<boolean>, n array<long>, at binary, kinds array<long>, counts array<long>"), "mixing-slices", free=True)
     each = parts.select("slice", F.explode(F.arrays_zip("kinds", "counts")).alias("x")).select("slice", F.col("x.kinds").alias("kind"), F.col("x.counts").alias("c"))
-    counts = written(each.groupBy("kind").agg(F.sum("c").alias("c")), "mixing-counts")
+    counts = written(each.groupBy("kind").agg(F.sum("c").alias("c")), "mixing-counts", free=True)
     known = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.expr("cast(c > 0 as long)")), F.lit(0)).alias("v")).first()
     tokens, kinds_seen = known["n"], known["v"]
     answers = each.select(F.col("slice").alias("of"), "kind").join(counts, "kind")
@@ -300,8 +330,8 @@ def base_scores(docs: DataFrame) -> DataFrame:
 def assess(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """Base and model scores of every document; learnt from those outside the held-out fold."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(folds, held).alias("held_out"), "text").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    model = train(base.where(~F.col("held_out")))
-    scores = text_scores(base.select("doc_id", "h", "text"), model).distinct().selectExpr("doc_id as __doc", "h as __h", "score")
+    learnt = train(base.where(~F.col("held_out")))
+    scores = text_scores(base.select("doc_id", "h", "text"), learnt).distinct().selectExpr("doc_id as __doc", "h as __h", "score")
     rows = base_scores(base)
     joined = rows.join(scores, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
