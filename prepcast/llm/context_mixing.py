@@ -1,21 +1,23 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is its bytes (A-Z as a-z) and an end symbol. Each symbol's eight bits are
-predicted in turn. The predictor of order o hashes the last o bytes and the bits
-already known into one of 2**SLOT_BITS slots, which holds how often a 0 and a 1
-followed there in the training texts; its estimate falls back on the next shorter
-order's where little was seen. Beyond the third byte a context ends where
-the current word began, so the long orders learn words' beginnings. The predictors' log odds are added with
-weights; a gate (how much the three longest contexts have seen) picks the weight
-set. The mixed odds are refined by an adaptive map from (known bits, odds) to what
-was seen. The sum of the bits' log probabilities is the text's.
-
-Everything is learnt from all training texts as Spark jobs: distinct windows of
-REACH + 1 bytes with their counts are grouped first, and the slots, the weights
-and the map are built from that table. Weights are learnt online, batch after
-batch, in every partition from common starting weights and then averaged, twice;
-each window is left out of the counts that predict it. Only tables of fixed size
-(slots, gates, map) are collected and shared; bits per byte follow from the score.
+predicted in turn. The predictor of order o knows how often a 0 and a 1 followed
+the last o bytes and the bits already known in the training texts; its estimate
+falls back on the next shorter order's where little was seen. The predictors' log
+odds are added with weights; a gate (how much the three longest contexts have seen)
+picks the weight set. The mixed odds are refined by an adaptive map from (known
+bits, odds) to what was seen. The sum of the bits' log probabilities is the text's.
+
+Counts are exact and grow with the texts. Distinct windows of REACH + 1 bytes are
+dealt by their last NEAR context bytes to buckets, whose number follows the texts'
+size; so a bucket holds all that was seen after each of its contexts of NEAR and
+more bytes. The counts of shorter contexts (2**24 at most) are shared. To be scored,
+slices of documents send their distinct windows to the buckets and get each one's
+log probability back: a window is scored once, however many slices hold it.
+
+Everything is learnt from all training texts as Spark jobs. Weights are learnt
+online, batch after batch, in every partition from common starting weights and
+then averaged, twice; each window is left out of the counts that predict it.
 
 The unigram base works on words (runs of bytes other than ``\\x20 \\x09-\\x0D``) and
 an end token. Word counts are joined by word hash to the distinct words of slices
@@ -40,38 +42,31 @@ from pyspark.sql import functions as F
 
 from prepcast.llm.labelled import held_out
 from prepcast.llm.scratch import written
-from prepcast.llm.text import LOWER, SPACE, per_text, slices, text_buffer, word_bounds, word_hashes
+from prepcast.llm.text import LOWER, SPACE, mix, per_text, slices, text_buffer, word_bounds, word_hashes
 
 ORDERS = (1, 2, 3, 4, 5, 7)
 REACH = max(ORDERS)
 ALWAYS = 3
-SLOT_BITS = 21
-CHUNK_BITS = 14
+NEAR = 3
+SLOT_BITS = 22
 GATES = 27
 PRIOR = np.float32(0.5)
 BUCKETS = 33
-SLICE_BYTES, BASE_BYTES = 2_000_000, 2_000_000
-HELD_GRAMS = 1_000_000
+SLICE_BYTES, BASE_BYTES = 6_000_000, 2_000_000
+BUCKET_BYTES, LEAST_BUCKETS = 12_000_000, 24
+CHUNK_GRAMS = 200_000
 END_TOKEN = 0x1E0F7A11
 _U = np.uint64
 _ODD = np.random.default_rng(77).integers(0, 2**63, len(ORDERS), dtype=np.uint64) * _U(2) + _U(1)
-#: Counts are kept as one byte: exact to 32, then in steps of 1/8 octave.
+#: A slot's counts are kept as one byte each: exact to 32, then in steps of 1/8 octave.
 _VALUE = np.concatenate([np.arange(33), 32 * 2.0 ** (np.arange(1, 224) / 8)]).astype(np.float32)
 _N0, _N1 = np.repeat(_VALUE, 256), np.tile(_VALUE, 256)
 
 
-_SEEN = np.digitize(_N0 + _N1, [1, 4]).astype(np.int64)
-_SEEN_WITHOUT = np.digitize(_N0 + _N1 - 1, [1, 4]).astype(np.int64)
-
-
-def packed_count(n: np.ndarray) -> np.ndarray:
-    return np.searchsorted(_VALUE, n * (1 + 1e-9), "right").astype(np.int64) - 1
-
-
-def windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(data: np.ndarray, offs: np.ndarray, always: int = ALWAYS) -> tuple[np.ndarray, np.ndarray]:
     """(window of each symbol, first): the REACH bytes before it and itself, with an end (0) after each text.
 
-    Bytes before the start of the text, and bytes beyond the third that lie
+    Bytes before the start of the text, and bytes beyond the ``always``-th that lie
     before the current word and its separator, are 0.
     """
     texts = len(offs) - 1
@@ -81,15 +76,13 @@ def windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     place = np.arange(len(data)) + np.repeat(begin + REACH - offs[:-1], size)
     line[place] = LOWER[data]
     n = max(len(line) - REACH, 0)
-    gap = SPACE[line]
-    key = line[REACH:].astype(_U)
-    inside = np.ones(n, bool)
-    for j in range(1, REACH + 1):
-        byte = line[REACH - j:REACH - j + n]
-        if j > ALWAYS:
-            byte = np.where(inside, byte, 0)
-        key |= byte.astype(_U) << _U(8 * j)
-        inside &= ~gap[REACH - j:REACH - j + n]
+    key = np.ndarray((n,), "<u8", line, strides=(1,)).byteswap() if n else np.zeros(0, _U)  # eight bytes from each place on
+    if always < REACH:
+        gap, inside = SPACE[line], np.ones(n, bool)
+        for j in range(1, REACH + 1):
+            if j > always:
+                key &= ~np.where(inside, _U(0), _U(255 << 8 * j))
+            inside &= ~gap[REACH - j:REACH - j + n]
     real = np.ones(n, bool)
     for j in range(REACH):  # windows that end in the next text's padding
         real[begin[1:] - REACH + j] = False
@@ -103,25 +96,79 @@ def _slots(key: np.ndarray, which: int, bit: int) -> np.ndarray:
     return (((ctx << _U(8)) | node) * _ODD[which] >> _U(64 - SLOT_BITS)).astype(np.int64) + (which << SLOT_BITS)
 
 
+def turned(key: np.ndarray) -> np.ndarray:
+    """Windows with the nearest context byte on top and the symbol last: sorted, equal contexts of any order are neighbours."""
+    back = key.byteswap()
+    return back << _U(8) | back >> _U(56)
+
+
+def context(turn: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` bytes and the symbol of turned windows."""
+    return turn >> _U(64 - 8 * order) << _U(8) | turn & _U(255)
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def path_counts(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For 0 to 8 known bits of the symbol: how often the key's context was followed by a symbol with these bits."""
+    before = np.concatenate([[0], np.cumsum(n)])
+    out = np.empty((9, len(key)), np.float32)
+    for k in range(9):
+        part = key >> _U(8 - k)
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        to = np.append(at[1:], len(key))
+        out[k] = np.repeat(before[to] - before[at], to - at)
+    return out
+
+
+def shared_counts(key: np.ndarray, n: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """``path_counts`` of the keys in ``want``, which ``key`` need not hold."""
+    before = np.concatenate([[0], np.cumsum(n)])
+    out = np.empty((9, len(want)), np.float32)
+    for k in range(9):
+        least = want >> _U(8 - k) << _U(8 - k)
+        out[k] = before[np.searchsorted(key, least + _U(1 << 8 - k))] - before[np.searchsorted(key, least)]
+    return out
+
+
+Found = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class Model:
+    """Mixing over counts in hashed slots; ``Exact`` takes them from whole contexts."""
+
     table: np.ndarray  # per slot: packed count of 0s and of 1s
     weights: np.ndarray  # gate x (orders + bias)
     refined: np.ndarray | None = None  # known bits x bucket -> odds
 
-    def inputs(self, key: np.ndarray, bit: int, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, key: np.ndarray) -> Found:
+        return key, key
+
+    def counts(self, found: Found, which: int, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        cell = self.table[_slots(found[0], which, bit)]
+        return _N0[cell], _N1[cell]
+
+    def inputs(self, found: Found, bit: int, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """(log odds of each predictor and a constant, gate); ``seen`` is the true bit to leave out of the counts."""
-        odds = np.ones((len(ORDERS) + 1, len(key)), np.float32)
-        gate, p = np.zeros(len(key), np.int64), np.full(len(key), 0.5, np.float32)
+        size = len(found[0])
+        odds = np.ones((len(ORDERS) + 1, size), np.float32)
+        gate, p = np.zeros(size, np.int64), np.full(size, 0.5, np.float32)
         for which in range(len(ORDERS)):
-            cell = self.table[_slots(key, which, bit)]
-            n0, n1 = _N0[cell], _N1[cell]
+            n0, n1 = self.counts(found, which, bit)
             if seen is not None:
                 n0, n1 = np.maximum(n0 - ~seen, 0), np.maximum(n1 - seen, 0)
-            p = np.clip((n1 + PRIOR * p) / (n0 + n1 + PRIOR), 1e-5, 1 - 1e-5)
+            total = n0 + n1
+            p = np.clip((n1 + PRIOR * p) / (total + PRIOR), 1e-5, 1 - 1e-5)
             odds[which] = np.log(p / (1 - p))
             if which >= len(ORDERS) - 3:
-                gate = gate * 3 + (_SEEN if seen is None else _SEEN_WITHOUT)[cell]
+                gate = gate * 3 + (total >= 1) + (total >= 4)
         return odds, gate
 
     def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -133,9 +180,9 @@ class Model:
 
     def log10(self, key: np.ndarray) -> np.ndarray:
         """log10 probability of each window's symbol."""
-        total = np.zeros(len(key))
+        total, found = np.zeros(len(key)), self.find(key)
         for bit in range(7, -1, -1):
-            z = self.mixed(*self.inputs(key, bit, None))
+            z = self.mixed(*self.inputs(found, bit, None))
             p = 1 / (1 + np.exp(-z))
             if self.refined is not None:
                 p = 0.5 * p + 0.5 * self.refined[self.place(key, bit, z)]
@@ -145,147 +192,268 @@ class Model:
         return total
 
 
-def _grams(training: DataFrame) -> DataFrame:
-    """(gram, n): distinct windows of all training texts."""
+Shared = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+class Exact(Model):
+    """Mixing over the exact counts of turned windows; ``table`` holds (contexts with symbols, path counts) of each order."""
+
+    def learn(self, turn: np.ndarray, n: np.ndarray, shared: Shared) -> None:
+        """Take the counts of sorted turned windows, all there are of their NEAR-byte contexts."""
+        self.table = []
+        for order in ORDERS:
+            key = context(turn, order)
+            if order < NEAR:
+                key = np.unique(key)
+                self.table.append((key, shared_counts(*shared[order], key)))
+            else:
+                key, sums = (key, n) if order == REACH else summed(key, n)
+                self.table.append((key, path_counts(key, sums)))
+
+    def find(self, key: np.ndarray) -> Found:
+        at = [np.searchsorted(kinds, context(key, order)) for order, (kinds, _) in zip(ORDERS, self.table)]
+        return key, np.array(at, np.int32)
+
+    def counts(self, found: Found, which: int, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        key, at = found[0], found[1][which]
+        path = self.table[which][1]
+        both, same = path[7 - bit][at], path[8 - bit][at]
+        n1 = np.where((key >> _U(bit)) & _U(1) == 1, same, both - same)
+        return both - n1, n1
+
+
+def packed(values: np.ndarray) -> bytes:
+    """zstandard of the values' bytes, all first bytes first."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1) if len(values) else b""
+
+
+def unpacked(raw: pa.Scalar, kind: type) -> np.ndarray:
+    import zstandard
+
+    flat = np.frombuffer(zstandard.decompress(raw.as_buffer()) if len(raw.as_buffer()) else b"", np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, len(flat) // np.dtype(kind).itemsize).T).view(kind).ravel()
+
+
+def chunks(turn: np.ndarray) -> Iterator[slice]:
+    """Sorted turned windows in pieces of about CHUNK_GRAMS that keep NEAR-byte contexts whole."""
+    near = turn >> _U(64 - 8 * NEAR)
+    ends = np.append(np.flatnonzero(near[1:] != near[:-1]) + 1, len(turn))
+    at = 0
+    while at < len(turn):
+        to = int(ends[min(np.searchsorted(ends, at + CHUNK_GRAMS), len(ends) - 1)])
+        yield slice(at, to)
+        at = to
 
-    def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        key, n = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return key[at], np.add.reduceat(n, at)
+
+def dealt(turn: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, buckets there, first): windows sorted by bucket, as they were within one."""
+    bucket = (mix(turn >> _U(64 - 8 * NEAR)) % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    kinds, first = np.unique(bucket[order], return_index=True)
+    return order, kinds, np.append(first, len(turn))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """One row per slice of documents (doc_id, h, held_out, text): ids, lengths and the packed bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = [], []  # summed over slices before they leave the task, up to HELD_GRAMS
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", SLICE_BYTES):
-            key = np.sort(windows(*text_buffer(batch.column("text")))[0])
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            held.append(key[at])
-            counts.append(np.diff(np.append(at, len(key))))
-            if sum(map(len, held)) > HELD_GRAMS:
-                key, n = merged(held, counts)
-                held, counts = [key], [n]
-                if len(key) > HELD_GRAMS // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
-                    held, counts = [], []
-        if held:
-            key, n = merged(held, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
-
-    return training.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _slot_table(grams: DataFrame) -> np.ndarray:
-    """Counts of every slot, summed in Spark and packed; 2**(SLOT_BITS - CHUNK_BITS) small rows per order are collected."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            data, offs = text_buffer(batch.column("text"))
+            lists = [pa.array([batch.column(c)], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("h", pa.int64()), ("held_out", pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([np.diff(offs)], pa.list_(pa.int64())), pa.array([len(data)]), pa.array([packed(data)], pa.binary())], names=["slice", "docs", "hs", "held", "sizes", "bytes", "data"])
+            number += 1
+
+    return docs.mapInArrow(run, "slice long, docs array<long>, hs array<long>, held array<boolean>, sizes array<long>, bytes long, data binary")
+
+
+def _windows_of(sizes: pa.Scalar, data: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """(turned windows, first) of a slice."""
+    offs = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())]).astype(np.int64)
+    key, first = windows(unpacked(data, np.uint8), offs, REACH)
+    return turned(key), first
+
+
+def _sent(texts: DataFrame, buckets: int, training: bool) -> DataFrame:
+    """(bucket, slice, grams, n): each slice's distinct windows, of training documents only or of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, n = batch.column("gram").to_numpy().view(_U), batch.column("n").to_numpy()
-            for which in range(len(ORDERS)):
-                cell = np.concatenate([_slots(key, which, bit) * 2 + ((key >> _U(bit)) & _U(1)).astype(np.int64) for bit in range(8)])
-                kinds, at = np.unique(cell, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.bincount(at, np.tile(n, 8), len(kinds)).astype(np.int64))], names=["cell", "n"])
-
-    def pack(table: pa.Table) -> pa.Table:
-        cell, n = table.column("cell").to_numpy(), table.column("n").to_numpy()
-        counts = np.zeros(2 << CHUNK_BITS, np.int64)
-        counts[cell & ((2 << CHUNK_BITS) - 1)] = n
-        code = packed_count(np.minimum(counts, _VALUE[-1])).reshape(-1, 2)
-        return pa.table({"chunk": pa.array([int(cell[0]) >> (CHUNK_BITS + 1)], pa.int64()), "codes": pa.array([(code[:, 0] * 256 + code[:, 1]).astype(np.uint16).tobytes()], pa.binary())})
-
-    cells = grams.mapInArrow(spread, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    rows = cells.withColumn("chunk", F.shiftright("cell", CHUNK_BITS + 1)).groupBy("chunk").applyInArrow(pack, "chunk long, codes binary").toArrow()
-    table = np.zeros(len(ORDERS) << SLOT_BITS, np.uint16)
-    for chunk, codes in zip(rows.column("chunk").to_pylist(), rows.column("codes")):
-        table[chunk << CHUNK_BITS:(chunk + 1) << CHUNK_BITS] = np.frombuffer(codes.as_buffer(), np.uint16)
-    return table
+            for number, sizes, held, data in zip(*(batch.column(c) for c in ("slice", "sizes", "held", "data"))):
+                turn, first = _windows_of(sizes, data)
+                if training:
+                    turn = turn[np.repeat(~held.values.to_numpy(zero_copy_only=False).astype(bool), np.diff(first))]
+                turn = np.sort(turn)
+                if not len(turn):
+                    continue
+                at = np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]]))
+                n = np.diff(np.append(at, len(turn)))
+                turn = turn[at]
+                order, kinds, first = dealt(turn, buckets)
+                parts = [order[a:b] for a, b in zip(first, first[1:])]
+                cols = [pa.array(kinds), pa.array(np.full(len(kinds), number.as_py())), pa.array([packed(turn[p]) for p in parts], pa.binary()), pa.array([packed(n[p]) if training else b"" for p in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "slice", "grams", "n"])
+
+    return texts.mapInArrow(run, "bucket long, slice long, grams binary, n binary")
+
+
+def _grams(sent: DataFrame) -> DataFrame:
+    """(bucket, grams, n): each bucket's distinct windows with their counts in all training texts."""
+
+    def merge(part: pa.Table) -> pa.Table:
+        turn, n = summed(np.concatenate([unpacked(x, _U) for x in part.column("grams")]), np.concatenate([unpacked(x, np.int64) for x in part.column("n")]))
+        return pa.table({"bucket": part.column("bucket")[:1], "grams": pa.array([packed(turn)], pa.binary()), "n": pa.array([packed(n)], pa.binary())})
+
+    return sent.drop("slice").groupBy("bucket").applyInArrow(merge, "bucket long, grams binary, n binary")
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for grams, n in zip(batch.column("grams"), batch.column("n")):
+            yield unpacked(grams, _U), unpacked(n, np.int64)
+
+
+def _shared(grams: DataFrame) -> Shared:
+    """Counts of the contexts shorter than NEAR bytes with their symbols; at most 2**24 rows are collected."""
+    longest = max(o for o in ORDERS if o < NEAR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for turn, n in _each(batches):
+            key, n = summed(context(turn, longest), n)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    rows = grams.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = rows.column("key").to_numpy().view(_U), rows.column("n").to_numpy()
+    return {o: summed(key >> _U(8 * (longest - o + 1)) << _U(8) | key & _U(255), n) for o in ORDERS if o < NEAR}
 
 
 @dataclass
 class Learnt:
-    """A model whose slot table is broadcast once; the small rest travels with each job."""
+    """Weights and map travel with each job, the shared counts are broadcast once; all longer contexts stay in ``grams``."""
 
-    table: Broadcast
+    grams: DataFrame
+    shared: Broadcast
     weights: np.ndarray
     refined: np.ndarray | None = None
 
-    def model(self) -> Model:
-        return Model(self.table.value, self.weights.copy(), self.refined)
+    def maker(self):
+        """What makes the model on an executor (a DataFrame can't travel)."""
+        shared, weights, refined = self.shared, self.weights, self.refined
+        return lambda: (Exact([], weights.copy(), refined), shared.value)
 
 
-def _learn_weights(grams: DataFrame, learnt: Learnt, rate: float, batch_rows: int = 4096) -> np.ndarray:
+def _learn_weights(learnt: Learnt, rate: float, batch_rows: int = 4096) -> np.ndarray:
     """One online pass in every partition from the weights so far; the partitions' weights averaged by bits seen in each gate."""
+    make = learnt.maker()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = learnt.model()
+        own, shared = make()
         bits, squares = np.zeros(GATES), np.full(own.weights.shape, 1e-9)
-        for batch in batches:
-            for at in range(0, batch.num_rows, batch_rows):
-                part = batch.slice(at, batch_rows)
-                key, n = part.column("gram").to_numpy().view(_U), part.column("n").to_numpy().astype(float)
-                for bit in range(7, -1, -1):
-                    one = (key >> _U(bit)) & _U(1) == 1
-                    odds, gate = own.inputs(key, bit, one)
-                    err = (one - 1 / (1 + np.exp(-own.mixed(odds, gate)))) * n
-                    step = np.stack([np.bincount(gate, err * odds[i], GATES) for i in range(len(ORDERS) + 1)], 1)
-                    squares += step * step
-                    own.weights += rate * step / np.sqrt(squares)
-                    bits += np.bincount(gate, n, GATES)
+        for turn, counts in _each(batches):
+            for piece in chunks(turn):
+                own.learn(turn[piece], counts[piece], shared)
+                whole, ats = own.find(turn[piece])
+                order = np.random.default_rng(len(whole)).permutation(len(whole))  # neighbours share contexts: not one after the other
+                for at in range(0, len(order), batch_rows):
+                    rows = order[at:at + batch_rows]
+                    key, n = whole[rows], counts[piece][rows].astype(float)
+                    found = key, ats[:, rows]
+                    for bit in range(7, -1, -1):
+                        one = (key >> _U(bit)) & _U(1) == 1
+                        odds, gate = own.inputs(found, bit, one)
+                        err = (one - 1 / (1 + np.exp(-own.mixed(odds, gate)))) * n
+                        step = np.stack([np.bincount(gate, err * odds[i], GATES) for i in range(len(ORDERS) + 1)], 1)
+                        squares += step * step
+                        own.weights += rate * step / np.sqrt(squares)
+                        bits += np.bincount(gate, n, GATES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES)), pa.array(bits), pa.array((own.weights * bits[:, None]).tolist(), pa.list_(pa.float64()))], names=["gate", "bits", "w"])
 
     sums = [F.sum(F.element_at("w", i + 1)).alias(f"w{i}") for i in range(len(ORDERS) + 1)]
     out = learnt.weights.copy()
-    for row in grams.mapInArrow(run, "gate long, bits double, w array<double>").groupBy("gate").agg(F.sum("bits").alias("bits"), *sums).collect():
+    for row in learnt.grams.mapInArrow(run, "gate long, bits double, w array<double>").groupBy("gate").agg(F.sum("bits").alias("bits"), *sums).collect():
         if row["bits"]:
             out[row["gate"]] = [row[f"w{i}"] / row["bits"] for i in range(len(ORDERS) + 1)]
     return out
 
 
-def _learn_map(grams: DataFrame, learnt: Learnt) -> np.ndarray:
+def _learn_map(learnt: Learnt, batch_rows: int = 65536) -> np.ndarray:
     """What followed each (known bits, mixed odds bucket), over all training windows."""
+    make = learnt.maker()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = learnt.model()
+        model, shared = make()
         zero, one_ = np.zeros(256 * BUCKETS), np.zeros(256 * BUCKETS)
-        for batch in batches:
-            key, n = batch.column("gram").to_numpy().view(_U), batch.column("n").to_numpy().astype(float)
-            for bit in range(7, -1, -1):
-                one = (key >> _U(bit)) & _U(1) == 1
-                at = model.place(key, bit, model.mixed(*model.inputs(key, bit, one)))
-                one_ += np.bincount(at, n * one, 256 * BUCKETS)
-                zero += np.bincount(at, n * ~one, 256 * BUCKETS)
+        for turn, counts in _each(batches):
+            for piece in chunks(turn):
+                model.learn(turn[piece], counts[piece], shared)
+                for i in range(piece.start, piece.stop, batch_rows):
+                    j = min(i + batch_rows, piece.stop)
+                    key, n = turn[i:j], counts[i:j].astype(float)
+                    found = model.find(key)
+                    for bit in range(7, -1, -1):
+                        one = (key >> _U(bit)) & _U(1) == 1
+                        at = model.place(key, bit, model.mixed(*model.inputs(found, bit, one)))
+                        one_ += np.bincount(at, n * one, 256 * BUCKETS)
+                        zero += np.bincount(at, n * ~one, 256 * BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256 * BUCKETS)), pa.array(zero), pa.array(one_)], names=["at", "zero", "one"])
 
     own = 1 / (1 + np.exp(-(np.arange(256 * BUCKETS) % BUCKETS / 2 - 8)))
     out = own.copy()
-    for row in grams.mapInArrow(run, "at long, zero double, one double").groupBy("at").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).collect():
+    for row in learnt.grams.mapInArrow(run, "at long, zero double, one double").groupBy("at").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).collect():
         out[row["at"]] = (row["one"] + 4 * own[row["at"]]) / (row["zero"] + row["one"] + 4)
     return out
 
 
-def train(training: DataFrame, passes: int = 2) -> Learnt:
-    """Learn from every text of ``training``."""
-    grams = written(_grams(training), "mixing-grams", free=True)
+def train(texts: DataFrame, buckets: int, passes: int = 2) -> Learnt:
+    """Learn from every text of ``texts`` that is not held out."""
+    grams = written(_grams(_sent(texts, buckets, training=True)), "mixing-grams", free=True)
     weights = np.full((GATES, len(ORDERS) + 1), 0.15)
     weights[:, -2:] = 0.5, 0.0
-    learnt = Learnt(training.sparkSession.sparkContext.broadcast(_slot_table(grams)), weights)
+    learnt = Learnt(grams, grams.sparkSession.sparkContext.broadcast(_shared(grams)), weights)
     for step in range(passes):
-        learnt = Learnt(learnt.table, _learn_weights(grams, learnt, 0.05 / (step + 1)))
-    return Learnt(learnt.table, learnt.weights, _learn_map(grams, learnt))
+        learnt.weights = _learn_weights(learnt, 0.05 / (step + 1))
+    learnt.refined = _learn_map(learnt)
+    return learnt
 
 
-def text_scores(docs: DataFrame, learnt: Learnt) -> DataFrame:
+def text_scores(texts: DataFrame, buckets: int, learnt: Learnt) -> DataFrame:
     """doc_id, h (text hash), score: the model's log10 probability of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = learnt.model()
-        for batch in slices(batches, "text", SLICE_BYTES):
-            key, first = windows(*text_buffer(batch.column("text")))
-            kinds, at = np.unique(key, return_inverse=True)
-            value = np.concatenate([model.log10(kinds[i:i + 65536]) for i in range(0, len(kinds), 65536)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(per_text(value[at], first))], names=["doc_id", "h", "score"])
-
-    return docs.mapInArrow(run, "doc_id long, h long, score double")
+    make = learnt.maker()
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        model, shared = make()
+        grams = [unpacked(x, _U) for x in asked.column("grams")]
+        turn = np.unique(np.concatenate([*grams, *(unpacked(x, _U) for x in known.column("grams"))])) if grams else np.zeros(0, _U)
+        n = np.zeros(len(turn), np.int64)
+        for x, counts in zip(known.column("grams"), known.column("n")):
+            n[np.searchsorted(turn, unpacked(x, _U))] = unpacked(counts, np.int64)
+        value = np.zeros(len(turn), np.float32)
+        for piece in chunks(turn):
+            model.learn(turn[piece], n[piece], shared)
+            for i in range(piece.start, piece.stop, 65536):
+                j = min(i + 65536, piece.stop)
+                value[i:j] = model.log10(turn[i:j])
+        return pa.table({"of": asked.column("slice"), "bucket": asked.column("bucket"), "values": pa.array([packed(value[np.searchsorted(turn, x)]) for x in grams], pa.binary())})
+
+    asked = _sent(texts, buckets, training=False).drop("n")
+    answers = written(asked.groupBy("bucket").cogroup(learnt.grams.groupBy("bucket")).applyInArrow(answer, "of long, bucket long, values binary"), "mixing-answers", free=True)
+
+    def add(part: pa.Table, answered: pa.Table) -> pa.Table:
+        turn, first = _windows_of(part.column("sizes")[0], part.column("data")[0])
+        place = np.argsort(turn)
+        new = np.concatenate([[True], turn[place][1:] != turn[place][:-1]])
+        order, _, _ = dealt(turn[place[new]], buckets)
+        value = np.empty(len(order))
+        value[order] = np.concatenate([unpacked(answered.column("values")[int(i)], np.float32) for i in np.argsort(answered.column("bucket").to_numpy())])
+        each = np.empty(len(turn))
+        each[place] = value[np.cumsum(new) - 1]
+        return pa.table({"doc_id": part.column("docs")[0].values, "h": part.column("hs")[0].values, "score": np.add.reduceat(each, first[:-1])})
+
+    return texts.drop("held", "bytes").groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(add, "doc_id long, h long, score double")
 
 
 def base_scores(docs: DataFrame) -> DataFrame:
@@ -330,8 +498,11 @@ def base_scores(docs: DataFrame) -> DataFrame:
 def assess(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """Base and model scores of every document; learnt from those outside the held-out fold."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(folds, held).alias("held_out"), "text").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    learnt = train(base.where(~F.col("held_out")))
-    scores = text_scores(base.select("doc_id", "h", "text"), learnt).distinct().selectExpr("doc_id as __doc", "h as __h", "score")
+    texts = written(_texts(base), "mixing-texts")
+    buckets = max(LEAST_BUCKETS, (texts.agg(F.sum("bytes").alias("n")).first()["n"] or 0) // BUCKET_BYTES)
+    learnt = train(texts, buckets)
+    each = text_scores(texts, buckets, learnt)
+    scores = each.groupBy("doc_id", "h").agg(F.max("score").alias("score")).selectExpr("doc_id as __doc", "h as __h", "score")
     rows = base_scores(base)
     joined = rows.join(scores, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
