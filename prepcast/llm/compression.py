@@ -81,22 +81,27 @@ def band(size: int) -> tuple[float, float] | None:
     return found
 
 
+def outside(zip_, part: bytes) -> bool:
+    """Whether a part's ratio is beyond the limits for its length."""
+    limits = band(len(part))
+    return limits is not None and not limits[0] <= len(zip_.compress(part)) / len(part) <= limits[1]
+
+
 def verdict(zip_, raw: bytes) -> tuple[float | None, float | None, str]:
-    """(ratio, share of bad chunks, verdict) of one text."""
+    """(ratio, share of bytes in bad chunks, verdict) of one text."""
     if not raw:
         return None, None, "short"
     ratio = len(zip_.compress(raw)) / len(raw)
     limits = band(len(raw))
     if limits is None:
         return ratio, None, "short"
-    bad = total = 0
-    if len(raw) >= 2 * CHUNK:
-        low, high = band(CHUNK)
-        for at in range(0, len(raw) - CHUNK + 1, CHUNK):
-            part = len(zip_.compress(raw[at:at + CHUNK])) / CHUNK
-            bad += not low <= part <= high
-            total += 1
-    share = bad / total if total else None
+    share = None
+    if len(raw) > CHUNK:
+        last = len(raw) - len(raw) % CHUNK
+        bad = sum(CHUNK for at in range(0, last, CHUNK) if outside(zip_, raw[at:at + CHUNK]))
+        if last < len(raw) and (outside(zip_, raw[last:]) or outside(zip_, raw[-CHUNK:])):
+            bad += len(raw) - last
+        share = bad / len(raw)
     if ratio < limits[0]:
         return ratio, share, "repetitive"
     if ratio > limits[1]:

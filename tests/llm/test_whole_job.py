@@ -1,11 +1,12 @@
 """Cases of the second review: operators that did less than their whole job."""
 
+import base64
 import math
 import zlib
 
 import numpy as np
 
-from prepcast.llm import context_mixing
+from prepcast.llm import compression, context_mixing
 
 
 def test_mixing_counts_are_exact_and_cross_words(spark):
@@ -38,3 +39,14 @@ def test_mixing_counts_are_exact_and_cross_words(spark):
     got = [r.score for r in context_mixing.assess(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
     assert len(got) == sum(zlib.crc32(str(i).encode()) % 10 == 0 for i in range(400))
     assert -np.mean(got) / math.log10(2) / 40 < 1.5  # the first letter is one bit; the last, after four more bytes, is settled by it
+
+
+def test_compression_judges_the_bytes_after_the_last_full_chunk(spark):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 9))) for _ in range(400)]
+    prose = " ".join(rng.choice(words, 4000))
+    noise = base64.b64encode(rng.bytes(9000)).decode()
+    rows = [(1, prose[:4500] + noise[:3600]), (2, prose[:8100]), (3, prose[:8200] + noise[:3900]), (4, prose[:4090] + noise[:6]), (5, prose[:4200])]
+    got = {r.doc_id: r for r in compression.assess(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.verdict for i, r in got.items()} == {1: "bad chunks", 2: "ok", 3: "bad chunks", 4: "ok", 5: "ok"}
+    assert got[1].bad_chunk_share == (8100 - 4096) / 8100 and got[2].bad_chunk_share == got[5].bad_chunk_share == 0 and got[4].bad_chunk_share is None
