@@ -2,17 +2,18 @@
 
 Base spans are the leftmost non-overlapping matches of four patterns (email, ip,
 card, phone) that pass their check (octets, Luhn, digit count). Every found value
-is a protected entity. The terms around an entity (letters and digits, within
-``REACH`` characters of a mention, outside base spans) can give it away even when
-the value is masked. With N documents, df documents holding a term and joint
-documents holding it beside the entity, the corpus says how much of the
-entity's information a term reveals:
+is a protected entity. The terms of a text (letters and digits, a letter among them)
+can give it away even when the value is masked. With N documents, df documents
+holding an entity or a term and joint documents holding both, the corpus says how
+much of the entity's information a term reveals:
 
     disclosure = log2(N * joint / (df(entity) * df(term))) / log2(N / df(entity))
 
-1 means the term occurs nowhere else. Terms seen beside the entity in at least
-``SUPPORT`` different contexts are removed from ``REMOVE`` on and generalised (to
-the entity's kind) from ``GENERALISE`` on; both become spans beside the base ones.
+1 means the term occurs nowhere else. Terms from ``REMOVE`` on are removed and those
+from ``GENERALISE`` on generalised (to the entity's kind) if the four counts are no
+chance: their log-likelihood ratio against independence must reach ``SUPPORT``. Each
+occurrence outside base spans, in every document that holds the entity, becomes a
+span beside the base ones.
 
 Positions come from ``split`` and ``regexp_extract_all`` of one pattern: the gaps'
 and the matches' lengths in code points add up to the starts. The patterns hold
@@ -20,8 +21,8 @@ possessive loops and start a run only at its first character (or where the last
 match ended), so long runs are read once and no loop recurses.
 
 Defined cases: a null text is an empty text without spans; repeated rows give
-equal rows and count as documents each; an entity in every document has no
-information and reveals nothing; an empty table gives no rows; other columns are
+equal rows and count as documents each, with or without a doc_id; an entity in every
+document has no information and reveals nothing; an empty table gives no rows; other columns are
 ignored by ``find`` and kept by ``sanitise``.
 """
 
@@ -33,8 +34,7 @@ from pyspark.sql import functions as F
 from prepcast.llm.scratch import written
 
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
-REACH = 64
-SUPPORT = 2
+SUPPORT = 10.83  # chi-square of one degree of freedom: 1 in 1000
 GENERALISE, REMOVE = 0.75, 0.9
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -81,43 +81,58 @@ def with_base(docs: DataFrame) -> DataFrame:
     return df.drop(*(f"m_{kind}" for kind in PATTERNS))
 
 
-def _contexts(based: DataFrame) -> DataFrame:
-    """(doc_id, h, kind, value, side, term, s, e): every term beside every mention."""
-    each = based.where("size(base) > 0").select("doc_id", "h", "t", "base", F.explode("base").alias("x"))
-    left = f"substring(t, greatest(x.s - {REACH}, 0) + 1, x.s - greatest(x.s - {REACH}, 0))"
-    each = each.select("doc_id", "h", "base", F.col("x.k").alias("kind"), F.lower("x.v").alias("value"), F.expr(f"greatest(x.s - {REACH}, 0)").alias("a"), F.expr(left).alias("left"), F.col("x.e").alias("b"), F.expr(f"substring(t, x.e + 1, {REACH})").alias("right"), F.expr(f"x.e + {REACH} < length(t)").alias("cut"))
-    each = each.withColumn("ml", F.expr(f"regexp_extract_all(left, {_sql(TERM)}, 0)")).withColumn("mr", F.expr(f"regexp_extract_all(right, {_sql(TERM)}, 0)")).withColumn("around", F.xxhash64("left", "right"))
-    before = f"filter({_places('left', 'ml', TERM, 0, 'a')}, x -> x.s > a or a = 0)"
-    after = f"filter({_places('right', 'mr', TERM, 0, 'b')}, x -> not cut or x.e < b + {REACH})"
-    terms = each.select("doc_id", "h", "kind", "value", "around", F.expr(f"filter(concat({before}, {after}), x -> x.v rlike '\\\\p{{L}}' and not exists(base, y -> y.s < x.e and x.s < y.e))").alias("terms"))
-    return terms.select("doc_id", "h", "kind", "value", "around", F.explode("terms").alias("x")).select("doc_id", "h", "kind", "value", "around", F.lower("x.v").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+def _terms(text: str) -> str:
+    """SQL: the distinct terms of ``text``."""
+    return f"array_distinct(transform(regexp_extract_all({text}, {_sql(TERM)}, 0), x -> lower(x)))"
 
 
-def disclosures(docs: DataFrame, based: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(kind, value, term, disclosure) of the terms beside each entity that reach SUPPORT and GENERALISE.
+def _pairs(light: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """(row, kind, value, df_entity, term, df_term): entities and terms of one row that can reach GENERALISE.
 
-    Entity, term and joint counts are grouped over all documents, with partial
-    aggregation before every shuffle; only the counts of candidate terms are joined.
+    joint is at most the smaller df, so no term beyond N**(1 - GENERALISE) *
+    df(entity)**GENERALISE documents can; common terms go before the pairs are made.
     """
-    joint = contexts.groupBy("kind", "value", "term").agg(F.countDistinct("doc_id", "h").alias("joint"), F.countDistinct("around").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    entity = based.select(F.explode("base").alias("x"), "doc_id", "h").select(F.col("x.k").alias("kind"), F.lower("x.v").alias("value"), "doc_id", "h").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("df_entity"))
-    words = docs.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(text), {_sql(TERM)}, 0))")).alias("term"))
-    term = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    joined = joint.join(entity, ["kind", "value"]).join(term, "term").withColumn("n", F.lit(docs.count()))
+    with_entity = light.where("size(base) > 0")
+    entity = with_entity.select("row", F.explode(F.expr("array_distinct(transform(base, x -> named_struct('kind', x.k, 'value', lower(x.v))))")).alias("x")).select("row", "x.kind", "x.value")
+    counts = entity.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("df_entity"))
+    held = entity.join(counts, ["kind", "value"]).withColumn("most", F.expr(f"pow({n}D, {1 - GENERALISE}D) * pow(df_entity, {GENERALISE}D) * 1.000000001D"))
+    words = with_entity.select("row", F.explode(F.expr(_terms("t"))).alias("term")).where("term rlike '\\\\p{L}'")
+    rare = words.join(held.groupBy("row").agg(F.max("most").alias("row_most")), "row").join(terms, "term").where("df_term <= row_most")
+    return rare.drop("row_most").join(held, "row").where("df_term <= most").drop("most")
+
+
+def disclosures(pairs: DataFrame, n: int) -> DataFrame:
+    """(kind, value, term, disclosure) of the terms that reach SUPPORT and GENERALISE."""
+    joint = pairs.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("joint"), F.max("df_entity").alias("df_entity"), F.max("df_term").alias("df_term")).withColumn("n", F.lit(n))
     score = F.expr("if(n > df_entity, log2(n * joint / (df_entity * df_term)) / log2(n / df_entity), 0D)")
-    return joined.select("kind", "value", "term", score.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    cells = (("joint", "df_entity", "df_term"), ("df_entity - joint", "df_entity", "(n - df_term)"), ("df_term - joint", "(n - df_entity)", "df_term"), ("n - df_entity - df_term + joint", "(n - df_entity)", "(n - df_term)"))
+    ratio = " + ".join(f"if({seen} > 0, ({seen}) * ln(({seen}) * double(n) / (double({a}) * {b})), 0D)" for seen, a, b in cells)
+    return joint.select("kind", "value", "term", score.alias("disclosure"), F.expr(f"2 * ({ratio})").alias("support")).where((F.col("disclosure") >= GENERALISE) & (F.col("support") >= SUPPORT)).drop("support")
+
+
+def _occurrences() -> str:
+    """SQL: spans of the terms in ``telling`` (term -> disclosure, kind) in ``t``, outside ``base``."""
+    names = ", ".join(map(repr, KINDS[:4]))
+    matches = f"regexp_extract_all(t, {_sql(TERM)}, 0)"
+    kind = f"if(telling[lower(x.m)].disclosure >= {REMOVE}D, {KINDS.index('removed')}, {KINDS.index('general')})"
+    span = f"named_struct('s', acc.at + length(x.g), 'k', {kind}, 'e', acc.at + length(x.g) + length(x.m), 'v', element_at(array({names}), telling[lower(x.m)].about + 1))"
+    free = "not exists(base, y -> y.s < acc.at + length(x.g) + length(x.m) and acc.at + length(x.g) < y.e)"
+    step = f"named_struct('at', acc.at + length(x.g) + length(x.m), 'out', if(telling[lower(x.m)] is not null and {free}, concat(acc.out, array({span})), acc.out))"
+    zipped = f"zip_with(slice(split(t, {_sql(TERM)}, -1), 1, size({matches})), {matches}, (g, m) -> named_struct('g', g, 'm', m))"
+    return f"aggregate({zipped}, named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)), (acc, x) -> {step}, acc -> acc.out)"
 
 
 def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(base spans of every row, revealing term spans by doc_id and text hash)."""
     based = with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("h", F.xxhash64("t"))
-    light = written(based.select("doc_id", "h", "base", F.expr("if(size(base) > 0, t, null)").alias("t")), "pii-base")
-    contexts = written(_contexts(light), "pii-contexts")
-    telling = disclosures(docs, light, contexts)
-    hits = contexts.join(telling, ["kind", "value", "term"]).groupBy("doc_id", "h", "s", "e").agg(F.max("disclosure").alias("disclosure"), F.max_by("kind", "disclosure").alias("about"))
-    spans = hits.select("doc_id", "h", F.struct("s", F.when(F.col("disclosure") >= REMOVE, KINDS.index("removed")).otherwise(KINDS.index("general")).alias("k"), "e", F.expr(f"element_at(array({', '.join(map(repr, KINDS[:4]))}), about + 1)").alias("v")).alias("x"))
-    extra = spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("x")).alias("extra"))
-    return light, written(extra, "pii-extra")
+    light = written(based.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "base", F.expr("if(size(base) > 0, t, null)").alias("t")), "pii-base")
+    n = light.count()
+    terms = docs.select(F.explode(F.expr(_terms("cast(text as string)"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    pairs = written(_pairs(light, terms, n), "pii-pairs")
+    hits = pairs.join(disclosures(pairs, n), ["kind", "value", "term"]).groupBy("row", "term").agg(F.max(F.struct("disclosure", (-F.col("kind")).alias("about"))).alias("x"))
+    telling = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("x.disclosure", (-F.col("x.about")).alias("about"))))).alias("telling"))
+    extra = light.join(telling, "row").select("doc_id", "h", F.expr(_occurrences()).alias("extra"))
+    return light.drop("row"), written(extra.groupBy("doc_id", "h").agg(F.first("extra").alias("extra")), "pii-extra")
 
 
 def _with_extra(df: DataFrame, extra: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from prepcast.llm import compression, context_mixing
+from prepcast.llm import compression, context_mixing, pii
 
 
 def test_mixing_counts_are_exact_and_cross_words(spark):
@@ -50,3 +50,21 @@ def test_compression_judges_the_bytes_after_the_last_full_chunk(spark):
     got = {r.doc_id: r for r in compression.assess(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r.verdict for i, r in got.items()} == {1: "bad chunks", 2: "ok", 3: "bad chunks", 4: "ok", 5: "ok"}
     assert got[1].bad_chunk_share == (8100 - 4096) / 8100 and got[2].bad_chunk_share == got[5].bad_chunk_share == 0 and got[4].bad_chunk_share is None
+
+
+def _marked(row, text):
+    return sorted(text[int(a):int(b)].lower() for k, a, b in (s.split(":") for s in row.spans.split(",") if s) if k in ("general", "removed"))
+
+
+def test_pii_terms_far_from_the_mention_and_in_one_document(spark):
+    fill = " the plain words of every note go on and on" * 4
+    rows = [(i, f"Quibbix met us.{fill} Write to ann@corp.example.{fill} Ask for quibbix again.") for i in range(3)]
+    rows += [(10, f"Only vexmar knows.{fill} Call bob@solo.example.")]  # one document, one mention
+    rows += [(20, f"Copied by dunlop.{fill} Call cy@copy.example.")] * 5  # exact copies count each
+    rows += [(100 + i, f"Us and bob write, call or ask again for the notes.{fill} met corp solo copy by only knows copied to cy example") for i in range(200)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    text = dict(rows)
+    assert _marked(got[0], text[0]) == ["quibbix", "quibbix"] and _marked(got[10], text[10]) == ["vexmar"] and _marked(got[20], text[20]) == ["dunlop"]
+    assert all(got[i].spans == "" for i in range(100, 300))
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "uibbix" not in clean[0] and "vexmar" not in clean[10] and "dunlop" not in clean[20]
