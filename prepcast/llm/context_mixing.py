@@ -498,11 +498,11 @@ def base_scores(docs: DataFrame) -> DataFrame:
 def assess(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """Base and model scores of every document; learnt from those outside the held-out fold."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(folds, held).alias("held_out"), "text").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = written(base_scores(base), "mixing-base", free=True)
     texts = written(_texts(base), "mixing-texts")
     buckets = max(LEAST_BUCKETS, (texts.agg(F.sum("bytes").alias("n")).first()["n"] or 0) // BUCKET_BYTES)
     learnt = train(texts, buckets)
-    each = text_scores(texts, buckets, learnt)
+    each = written(text_scores(texts, buckets, learnt), "mixing-scores", free=True)
     scores = each.groupBy("doc_id", "h").agg(F.max("score").alias("score")).selectExpr("doc_id as __doc", "h as __h", "score")
-    rows = base_scores(base)
     joined = rows.join(scores, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
