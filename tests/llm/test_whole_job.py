@@ -68,3 +68,11 @@ def test_pii_terms_far_from_the_mention_and_in_one_document(spark):
     assert all(got[i].spans == "" for i in range(100, 300))
     clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "uibbix" not in clean[0] and "vexmar" not in clean[10] and "dunlop" not in clean[20]
+
+
+def test_pii_rows_without_id_and_repeated_rows_count(spark):
+    fill = " the plain words of every note go on and on" * 4
+    rows = [(None, f"Only vexmar knows.{fill} Call bob@solo.example.")] + [(7, f"Only dunlop knows.{fill} Call cy@copy.example.")] * 3
+    rows += [(100 + i, f"Only copy or call bob solo cy example knows{fill}") for i in range(200)]
+    got = {(r.doc_id, r.base_sha256): r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() if "email" in r.spans}
+    assert sorted((i or 0, *_marked(r, dict(rows)[i])) for (i, _), r in got.items()) == [(0, "vexmar"), (7, "dunlop")]
