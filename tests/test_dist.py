@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-import dist_check as dist
+from tests import dist_check as dist
 
 
 def test_paired_t_pvalue_matches_published():

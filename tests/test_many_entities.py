@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from prepcast.operators import daily, features, regression, stats
 from prepcast.sources.fixtures import daily_log, order_lines
 
-from conftest import SF_MID
+from tests.paths import SF_MID
 
 
 def _frames(spark):

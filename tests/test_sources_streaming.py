@@ -11,7 +11,7 @@ from prepcast.plans import tables as T
 from prepcast.sources import logs
 from prepcast.streaming import bins_stream
 
-from conftest import SF_SMALL
+from tests.paths import SF_SMALL
 
 
 def test_csv_quarantine_and_types(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import pandas as pd
 import pytest
 
-import dist_check as dist
+from tests import dist_check as dist
 from prepcast.operators import stats
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from prepcast.operators import daily, features, kpi, peaks, quality
 from prepcast.plans import tables as T
 
-from conftest import SF_SMALL
+from tests.paths import SF_SMALL
 
 
 def _odl(spark, rows):
