@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from prepcast.llm import compression, context_mixing, decontaminate, direct_codes, neardup, packing, pii, quality, substring_dedup, toxicity
+from prepcast.llm import compression, context_mixing, decontaminate, direct_codes, html_density, neardup, packing, pii, quality, substring_dedup, toxicity
 from prepcast.llm.scratch import shared_dir
 from prepcast.llm.tokens import tokenizer_file
 
@@ -92,6 +92,11 @@ def op8_lyndon_grouped_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@register
+def op13_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
