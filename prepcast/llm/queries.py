@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prepcast.llm import compression, context_mixing, decontaminate, direct_codes, html_density, neardup, packing, pii, quality, substring_dedup, toxicity
+from prepcast.llm import compression, context_mixing, decontaminate, direct_codes, hard_negatives, html_density, neardup, packing, pii, quality, substring_dedup, toxicity
 from prepcast.llm.scratch import shared_dir
 from prepcast.llm.tokens import tokenizer_file
 
@@ -92,6 +93,35 @@ def op8_lyndon_grouped_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@register
+def op11_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are every 50th vec_id, five positives, three negatives at 50 to 95 percent; every 7th row gets the next label first."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", moved.alias("label"), "embedding"))
+
+
+ORACLE["op11_rotated_codes"] = """
+WITH v AS MATERIALIZED (
+  SELECT CAST(vec_id AS BIGINT) AS id,
+         CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.id AS anchor, b.id AS other, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0),
+p AS (
+  SELECT anchor, other, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+SELECT p.anchor AS anchor_id, p.other AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+       n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
 @register
 def op13_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract(table(spark, sf_dir, "pages"))
