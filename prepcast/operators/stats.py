@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepcast.functions.columns import DUMMY_LEVELS, div, join_groups, rnd, single_series
+from prepcast.functions.columns import DUMMY_LEVELS, div, rnd, single_series
+from prepcast.operators.selection import quantiles
 
 DIGITS = 6  # emitted statistics are rounded to this many decimals
 ALPHA = 0.05
@@ -97,23 +98,26 @@ def ttest_ind(df: DataFrame, value: str, label: str, groups: list[str], a_level=
 
 
 def _oneway(df: DataFrame, value: str, label: str, groups: list[str]) -> DataFrame:
-    """F of a one-way layout from per-cell n / sum / sum of squares (two aggregations)."""
+    """F of a one-way layout from per-cell n / sum / mean / variance, in one pass over the rows.
+
+    The grand mean is attached to the cells by a window over a group's cells (one row per
+    label), so the sums of squares are about means and the rows are read once."""
     cell = df.groupBy(*groups, label).agg(
         F.count(value).alias("ni"), F.sum(value).alias("si"), F.avg(value).alias("mi"),
         F.var_pop(value).alias("vi"),
     ).filter(F.col("ni") > 0)
+    whole = Window.partitionBy(*groups)
+    cell = cell.withColumn("grand", F.sum("si").over(whole) / F.sum("ni").over(whole))
     tot = cell.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("k"), F.sum("ni").alias("N"), (F.sum("si") / F.sum("ni")).alias("grand"),
-        F.sum(F.col("ni") * F.col("vi")).alias("ssw"),
+        F.count(F.lit(1)).alias("k"), F.sum("ni").alias("N"), F.sum(F.col("ni") * F.col("vi")).alias("ssw"),
+        F.sum(F.col("ni") * (F.col("mi") - F.col("grand")) ** 2).alias("ssb"),
     )
-    near = join_groups(cell, tot.select(*groups, "grand"), groups)
-    between = near.groupBy(*groups).agg(F.sum(F.col("ni") * (F.col("mi") - F.col("grand")) ** 2).alias("ssb"))
-    tot, ssb = join_groups(tot, between, groups), F.col("ssb")
     d1, d2 = F.col("k") - 1, F.col("N") - F.col("k")
-    fstat = div(ssb / d1, F.col("ssw") / d2)
+    fstat = div(F.col("ssb") / d1, F.col("ssw") / d2)
     return tot.select(*groups, "k", "N", fstat.alias("_F"), d1.alias("df1"), d2.alias("df2"))
 
 
+@single_series
 def anova(df: DataFrame, value: str, label: str, groups: list[str], levels: list | None = DUMMY_LEVELS,
           with_p: bool = False) -> DataFrame:
     """One-way ANOVA F over the listed levels of ``label``."""
@@ -130,7 +134,7 @@ def levene(df: DataFrame, value: str, label: str, groups: list[str], levels: lis
     v = df.filter(F.col(value).isNotNull())
     if levels is not None:
         v = v.filter(F.col(label).isin(*levels))
-    med = v.groupBy(*groups, label).agg(F.percentile(value, 0.5).alias("_med"))
+    med = quantiles(v, value, [*groups, label], [0.5]).select(*groups, label, F.col("_q")[0].alias("_med"))
     z = v.join(med, [*groups, label]).withColumn("_z", F.abs(F.col(value) - F.col("_med")))
     return _finish_f(_oneway(z, "_z", label, groups), with_p)
 
@@ -155,22 +159,25 @@ def shapiro(df: DataFrame, value: str, groups: list[str], with_p: bool = True, b
     (``prefix_counts``), so no group is ordered inside one task. The expected
     normal order statistics m follow from rank and n alone, and W needs only
     grouped sums: Σm², Σmx, Σ(x - mean)² and the two smallest and largest values.
+    The sums of m and m² over the ranks of a tied value have a closed form
+    (``rank_sums``), so a tie of any length is one row.
     """
     from prepcast.functions.normal import norm_ppf
+    from prepcast.functions.order_stats import rank_sums
 
     v = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_x"))
     sizes = v.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), (F.var_pop("_x") * F.count(F.lit(1))).alias("_ss"))
     cnt = v.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = prefix_counts(cnt, groups, "_x", "_c", buckets).join(sizes.filter("n >= 3"), groups)
-    i, n = F.col("_i"), F.col("n")
-    r = ranked.withColumn("_i", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_c"))))
-    r = r.withColumn("_p", (i - 0.375) / (n + 0.25)).withColumn("_m", norm_ppf("_p"))
-    at = lambda k: F.max(F.when(i == k, F.col("_x")))
-    m_at = lambda k: F.max(F.when(i == k, F.col("_m")))
-    agg = r.groupBy(*groups, "n", "_ss").agg(
-        F.sum(F.col("_m") * F.col("_m")).alias("_ssm"), F.sum(F.col("_m") * F.col("_x")).alias("_mx"),
+    n = F.col("n")
+    enough = sizes.filter("n >= 3")
+    for k, name in ((0, "_mn"), (1, "_mn1")):  # the two largest order statistics
+        enough = enough.withColumn("_p", (n - k - 0.375) / (n + 0.25)).withColumn(name, norm_ppf("_p"))
+    ranked = prefix_counts(cnt, groups, "_x", "_c", buckets).join(enough.drop("_p"), groups)
+    ranked = rank_sums(ranked.withColumns({"_lo": F.col("_before") + 1, "_hi": F.col("_before") + F.col("_c")}), "_lo", "_hi", "n")
+    at = lambda k: F.max(F.when(k.between(F.col("_lo"), F.col("_hi")), F.col("_x")))
+    agg = ranked.groupBy(*groups, "n", "_ss", "_mn", "_mn1").agg(
+        F.sum("_m2").alias("_ssm"), F.sum(F.col("_m1") * F.col("_x")).alias("_mx"),
         at(F.lit(1)).alias("_x1"), at(F.lit(2)).alias("_x2"), at(n - 1).alias("_y2"), at(n).alias("_y1"),
-        m_at(n).alias("_mn"), m_at(n - 1).alias("_mn1"),
     )
     u = F.lit(1.0) / F.sqrt(n)
     an = F.col("_mn") / F.sqrt("_ssm") + _poly(_SW_C1, u)

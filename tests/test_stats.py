@@ -187,3 +187,60 @@ def test_f_tail_series_matches_incomplete_beta(spark):
     df = spark.createDataFrame(rows, "f double, d1 long, d2 long")
     for r in df.selectExpr("f", "d1", "d2", f"{f_p_sql('f', 'd1', 'd2')} AS p").collect():
         assert abs(r["p"] - dist.f_sf(r["f"], r["d1"], r["d2"])) < 1e-10
+
+
+def test_rank_sums_equal_the_sums_over_single_ranks(spark):
+    from statistics import NormalDist
+
+    from prepcast.functions.order_stats import EDGE, rank_sums
+
+    n = 60_000
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    ranges = [(1, n), (1, 1), (n, n), (1, 5_000), (2, 40_001), (EDGE, n - EDGE), (EDGE + 1, n - EDGE), (30_000, 30_000 + 2 * EDGE), (59_000, n), (29_000, 31_000), (10, 150), (n - 200, n - 3)]
+    df = spark.createDataFrame([(a, b, n) for a, b in ranges], "lo long, hi long, n long")
+    for r in rank_sums(df, "lo", "hi", "n").collect():
+        part = m[r["lo"] - 1:r["hi"]]
+        assert abs(r["_m1"] - part.sum()) < 1e-7 * (1 + np.abs(part).sum()) and abs(r["_m2"] - (part**2).sum()) < 1e-7 * (1 + (part**2).sum()), r
+
+
+def test_shapiro_with_a_tie_of_fifty_million_rows(spark):
+    """The tied value is one row; the result follows from the same sums over the ranks in numpy."""
+    n, few = 50_000_000, 1_000
+    df = spark.range(n, numPartitions=8).selectExpr("'a' AS grp", f"IF(id < {few}, id, 5000) * 1D AS x")
+    (r,) = stats.shapiro(df, "x", ["grp"]).collect()
+    from statistics import NormalDist
+
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, few + 1)])
+    x = np.arange(few, dtype=float)
+    rest = -m.sum()  # all ranks sum to zero
+    mean = (x.sum() + 5000.0 * (n - few)) / n
+    ss = ((x - mean) ** 2).sum() + (5000.0 - mean) ** 2 * (n - few)
+    ssm = float(spark.range(1).selectExpr("1L AS lo", f"{n}L AS hi", f"{n}L AS n").transform(lambda d: __import__("prepcast.functions.order_stats", fromlist=["x"]).rank_sums(d, "lo", "hi", "n")).first()["_m2"])
+    assert abs(ssm / n - 1) < 1e-4
+    approx = (m @ x + 5000.0 * rest) ** 2 / ssm / ss  # the corrections of the two extreme weights don't show at this n
+    assert r["n"] == n and abs(r["W"] - approx) < 1e-4 and r["p"] == 0.0
+
+
+def test_quantiles_of_large_and_tied_groups(spark):
+    from prepcast.operators.describe import box_summary, describe, iqr_outliers
+    from prepcast.operators.selection import quantiles
+
+    rng = np.random.default_rng(8)
+    x = {"normal": rng.normal(5, 2, 120_000), "ties": rng.integers(0, 7, 60_000).astype(float), "one": np.array([3.5]), "two": np.array([1.0, 2.0]), "same": np.full(5000, 7.0), "skew": np.exp(rng.normal(0, 6, 50_000))}
+    pdf = pd.DataFrame({"grp": np.repeat(list(x), [len(v) for v in x.values()]), "x": np.concatenate(list(x.values()))})
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([("ties", None), ("empty", None)], "grp string, x double")).repartition(7)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.9, 1.0]
+    for accuracy in (100, 10_000):  # a coarse sketch gives wide brackets and the same quantiles
+        got = {r["grp"]: r for r in quantiles(df, "x", ["grp"], probs, accuracy).collect()}
+        assert set(got) == set(x)
+        for g, v in x.items():
+            assert got[g]["_n"] == len(v) and np.allclose(got[g]["_q"], np.quantile(v, probs), rtol=1e-12)
+    (one,) = quantiles(df.filter("grp = 'normal'"), "x", [], [0.5]).collect()
+    assert one["_q"][0] == pytest.approx(np.median(x["normal"]), rel=1e-12)
+    s = {r["grp"]: r for r in describe(df, "x", ["grp"]).collect()}
+    b = {r["grp"]: r for r in box_summary(df, "x", ["grp"]).collect()}
+    for g, v in x.items():
+        assert s[g]["p50"] == pytest.approx(np.median(v), abs=1e-6) and b[g]["q3"] == pytest.approx(np.quantile(v, 0.75), abs=1e-5, rel=1e-9)
+    q1, q3 = np.quantile(x["normal"], [0.25, 0.75])
+    far = ((x["normal"] < q1 - 1.5 * (q3 - q1)) | (x["normal"] > q3 + 1.5 * (q3 - q1))).sum()
+    assert iqr_outliers(df.filter("grp = 'normal'"), "x", ["grp"]).count() == far == b["normal"]["n_outliers"]
