@@ -196,7 +196,8 @@ def shapiro(df: DataFrame, value: str, groups: list[str], with_p: bool = True, b
     if with_p:
         from prepcast.functions.tails import shapiro_p_sql
 
-        out = out.withColumn("p", _r(F.expr(shapiro_p_sql("_w", "n"))))
+        # W bound to a name: its own expression is long, and the formula names it often
+        out = out.withColumn("p", _r(F.expr(f"element_at(transform(array(named_struct('w', _w, 'n', n)), q -> {shapiro_p_sql('q.w', 'q.n')}), 1)")))
         out = out.withColumn("normal", F.when(F.col("p").isNull(), F.lit(None).cast("boolean")).otherwise(F.col("p") > ALPHA))
     return out.drop("_w")
 

@@ -13,6 +13,7 @@ from prepcast.operators import backtest, corr, influence, regression
 from prepcast.operators.features import FEATURE_COLUMNS
 from prepcast.plans import tables as T
 from prepcast.plans.catalog import register
+from prepcast.plans.forward_sql import forward_ctes
 from prepcast.plans.oracle_sql import F_P, FEATURE_CTES, T_P, R, sql
 
 STORE = ["store_id"]
@@ -328,18 +329,41 @@ def reg_loocv_rmse(spark, sf):
     return r.withColumn("rmse", F.round("rmse", 4))
 
 
-@register("reg_forward_select")
+_FWD = {"max_features": 3, "margin": 50.0}
+_FS1, _FS1_TRACE, _ = forward_ctes("af", T1, CANDIDATES_T1, [], **_FWD)
+_FS2, _, _FS2_RESULT = forward_ctes("af", T2, CANDIDATES_T2, [], **_FWD)
+_CAND_BASED = [c for c in CANDIDATES_T2 if c != "dow_fri"]
+_FSB, _FSB_TRACE, _FSB_RESULT = forward_ctes("af", T2, _CAND_BASED, ["dow_fri"], 4, 0.0)
+
+
+@register("reg_forward_select", sql((*AF_CTES, _FS2), _FS2_RESULT))
 def reg_forward_select(spark, sf):
-    _, result = regression.forward_selection(af(spark, sf), T2, CANDIDATES_T2, STORE, max_features=3, margin=50.0)
-    return result
+    """Chosen features (in order of choice, comma-joined) and LOOCV RMSE per store."""
+    _, result = regression.forward_selection(af(spark, sf), T2, CANDIDATES_T2, STORE, **_FWD)
+    return result.withColumn("selected", F.array_join("selected", ","))
 
 
-@register("reg_forward_select_trace")
+@register("reg_forward_select_trace", sql((*AF_CTES, _FS1), _FS1_TRACE))
 def reg_forward_select_trace(spark, sf):
-    trace, _ = regression.forward_selection(af(spark, sf), T1, CANDIDATES_T1, STORE, max_features=3, margin=50.0)
+    trace, _ = regression.forward_selection(af(spark, sf), T1, CANDIDATES_T1, STORE, **_FWD)
     return trace
 
 
+def _based(spark, sf):
+    return regression.forward_selection(af(spark, sf), T2, _CAND_BASED, STORE, base_features=["dow_fri"], max_features=4, margin=0.0)
+
+
+@register("reg_forward_select_base", sql((*AF_CTES, _FSB), _FSB_RESULT))
+def reg_forward_select_base(spark, sf):
+    """The same from a fixed base feature and without a margin."""
+    return _based(spark, sf)[1].withColumn("selected", F.array_join("selected", ","))
+
+
+@register("reg_forward_select_base_trace", sql((*AF_CTES, _FSB), _FSB_TRACE))
+def reg_forward_select_base_trace(spark, sf):
+    return _based(spark, sf)[0]
+
+
 # ------------------------------------------------------------- back-test
 
 def _train_valid(spark, sf):
