@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prepcast.operators.moments import pair_moments
+
 DIGITS = 6
 
 
@@ -20,28 +22,10 @@ def pearson(y: str, x: str) -> Column:
 
 
 def corr_matrix(df: DataFrame, cols: list[str], groups: list[str]) -> DataFrame:
-    """Long matrix: (groups, x, y, r, n) for every ordered pair of ``cols``.
-
-    Each row is expanded into one (pair, a, b) entry per column pair and the
-    regr_* moments are aggregated per (group, pair): a narrow ``stack``
-    followed by one partial + final aggregation, instead of one very wide
-    aggregate.
-    """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    # one SQL generator expression (parsed once) instead of hundreds of Column objects
-    args = ", ".join(f"{k}, CAST(`{a}` AS DOUBLE), CAST(`{b}` AS DOUBLE)" for k, (a, b) in enumerate(pairs))
-    long = df.selectExpr(*[f"`{g}`" for g in groups], f"stack({len(pairs)}, {args}) AS (pid, a, b)")
-    agg = long.groupBy(*groups, "pid").agg(
-        F.expr("regr_sxy(a, b)").alias("sxy"), F.expr("regr_sxx(a, b)").alias("sxx"),
-        F.expr("regr_syy(a, b)").alias("syy"), F.expr("regr_count(a, b)").alias("n"),
-    )
+    """Long matrix: (groups, x, y, r, n) for every ordered pair of ``cols``, from one pass of matrix products (``moments``)."""
+    m = pair_moments(df, cols, groups)
     den = F.sqrt(F.col("sxx") * F.col("syy"))
-    xs = F.expr("array(" + ", ".join(f"'{a}'" for a, _ in pairs) + ")")
-    ys = F.expr("array(" + ", ".join(f"'{b}'" for _, b in pairs) + ")")
-    upper = agg.select(
-        *groups, F.element_at(xs, F.col("pid") + 1).alias("x"), F.element_at(ys, F.col("pid") + 1).alias("y"),
-        F.round(F.try_divide(F.col("sxy"), F.when(den != 0, den)), DIGITS).alias("r"), "n",
-    )
+    upper = m.select(*groups, "x", "y", F.round(F.try_divide(F.col("sxy"), F.when(den != 0, den)), DIGITS).alias("r"), "n")
     # both orientations from the same aggregated row (no second branch, no union)
     both = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y")))).otherwise(
         F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))

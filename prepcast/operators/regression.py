@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from prepcast.functions.columns import join_groups, rnd, single_series
 from prepcast.functions.tails import f_p_sql, t_p_sql
+from prepcast.operators.moments import model_moments, pair_moments
 
 DIGITS = 4
 
@@ -254,22 +255,12 @@ def scan_result(scan: DataFrame) -> DataFrame:
 
 
 def _single_feature_scan(df: DataFrame, features: list[str], target: str, groups: list[str]) -> DataFrame:
-    """Per feature: n, R², adjusted R², slope, its t and p (own complete cases), via regr_*."""
-    parts = []
-    for f in features:
-        y, x = F.col(target).cast("double"), F.col(f).cast("double")
-        parts.append(F.struct(
-            F.lit(f).alias("feature"),
-            F.expr(f"regr_count(`{target}`, `{f}`)").alias("n"),
-            F.expr(f"regr_r2(`{target}`, `{f}`)").alias("r2"),
-            F.expr(f"regr_slope(`{target}`, `{f}`)").alias("slope"),
-            F.expr(f"regr_sxx(`{target}`, `{f}`)").alias("sxx"),
-            F.expr(f"regr_syy(`{target}`, `{f}`)").alias("syy"),
-            F.expr(f"regr_sxy(`{target}`, `{f}`)").alias("sxy"),
-        ))
-        del y, x
-    wide = df.groupBy(*groups).agg(F.array(*parts).alias("_s"))
-    long = wide.select(*groups, F.explode("_s").alias("_s")).select(*groups, "_s.*")
+    """Per feature: n, R², adjusted R², slope and its t (own complete cases), from shared pairwise moments."""
+    m = pair_moments(df, list(dict.fromkeys([*features, target])), groups, with_=target)
+    long = m.where(F.col("x").isin(features)).withColumnRenamed("x", "feature")
+    fits = F.col("sxx") > 0
+    long = long.withColumn("slope", F.when(fits, F.try_divide("sxy", "sxx"))).withColumn(
+        "r2", F.when(fits, F.when(F.col("syy") == 0, F.lit(1.0)).otherwise(F.col("sxy") * F.try_divide("sxy", F.col("sxx") * F.col("syy")))))
     n = F.col("n")
     sse = F.col("syy") - F.col("slope") * F.col("sxy")
     se = F.sqrt(F.try_divide(F.try_divide(sse, n - 2), F.col("sxx")))
@@ -291,7 +282,7 @@ def stepwise_scan(df: DataFrame, selected: list[str], remaining: list[str], targ
                   with_p: bool = True) -> DataFrame:
     """Add each remaining candidate to ``selected``: R², adj R², t (and p) of the added term."""
     models = {f: [*selected, f] for f in remaining}
-    j = ols_long(model_grams(df, models, target, groups), groups).filter(F.col("term") == F.col("model"))
+    j = ols_long(model_moments(df, models, target, groups), groups).filter(F.col("term") == F.col("model"))
     extra = [_round(F.expr(t_p_sql("t", "df_resid"))).alias("p")] if with_p else []
     return j.select(
         *groups, F.col("model").alias("added"), "n", "k", "df_resid",
