@@ -3,7 +3,8 @@
 Windows run on the *daily* table (one row per store-day), never on order
 lines. ``G`` is the store's business-day series, ``W`` the same weekday
 series. Both partition by the entity, so with many stores the windows spread
-over the cluster; equal frame specs share one Window node.
+over the cluster; equal frame specs share one Window node. Without an entity the one
+series is cut into blocks (``halo``).
 Every rolling frame ends at 1 PRECEDING: the current day never feeds its own
 features (no leakage).
 """
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prepcast.functions.columns import DUMMY_LEVELS, FRI, STAGE1_BINS, STAGE2_BINS, THU, TUE, div, rnd, stage_sum
+from prepcast.operators.halo import look_back
 
 ENTITY = ["store_id"]
 
@@ -30,9 +32,7 @@ FEATURE_COLUMNS = [
 
 def windows(entity: list[str] | None = None):
     entity = ENTITY if entity is None else entity
-    g = Window.partitionBy(*entity).orderBy("date") if entity else Window.orderBy("date")
-    w = Window.partitionBy(*entity, "day_of_week").orderBy("date")
-    return g, w
+    return Window.partitionBy(*entity).orderBy("date"), Window.partitionBy(*entity, "day_of_week").orderBy("date")
 
 
 def rolling_mean(x: str, spec, n: int) -> Column:
@@ -59,33 +59,47 @@ def exclude_weekday(df: DataFrame, label: str = THU) -> DataFrame:
 
 
 def model_feature(tt: DataFrame, entity: list[str] | None = None) -> DataFrame:
-    """The ``model_feature`` view over a ``time_table``-shaped frame."""
+    """The ``model_feature`` view over a ``time_table``-shaped frame. ``entity=[]``: one series, in blocks with a halo."""
     base = exclude_weekday(stage_targets(tt)).select(
         "day_id", *(ENTITY if entity is None else entity), "date", "day_of_week", "before_rest",
         "end_g", "sum_g", "cumul_16_19", "cumul_20_22",
     )
+    if entity == []:
+        return look_back(look_back(base, [], "date", 5, _series_features), ["day_of_week"], "date", 3, _weekday_features)
     g, w = windows(entity)
+    return base.withColumns({**_series_features(g), **_weekday_features(w)})
+
+
+def _series_features(g) -> dict[str, Column]:
+    """Features over the previous business days: at most five rows back."""
     t1, t2 = "cumul_16_19", "cumul_20_22"
-    return base.withColumns({
+    return {
         "lag_prev_day_t1": F.lag(t1).over(g),
-        "lag_same_day_t1": F.lag(t1).over(w),
         "lag_prev_day_t2": F.lag(t2).over(g),
-        "lag_same_day_t2": F.lag(t2).over(w),
-        "lag_biweekly_t1": F.lag(t1, 2).over(w),
-        "lag_biweekly_t2": F.lag(t2, 2).over(w),
         "roll_prev_3days_mean_t1": rolling_mean(t1, g, 3),
-        "roll_same_3days_mean_t1": rolling_mean(t1, w, 3),
         "roll_prev_3days_mean_t2": rolling_mean(t2, g, 3),
-        "roll_same_3days_mean_t2": rolling_mean(t2, w, 3),
         "roll_prev_5days_mean_t1": rolling_mean(t1, g, 5),
         "roll_prev_5days_mean_t2": rolling_mean(t2, g, 5),
         "lag_prev_t1_ratio": lag_ratio(t1, g),
-        "lag_same_t1_ratio": lag_ratio(t1, w),
         "lag_prev_t2_ratio": lag_ratio(t2, g),
-        "lag_same_t2_ratio": lag_ratio(t2, w),
         "prev_sum_g": F.lag("sum_g").over(g),
+    }
+
+
+def _weekday_features(w) -> dict[str, Column]:
+    """Features over the same weekday: at most three rows back."""
+    t1, t2 = "cumul_16_19", "cumul_20_22"
+    return {
+        "lag_same_day_t1": F.lag(t1).over(w),
+        "lag_same_day_t2": F.lag(t2).over(w),
+        "lag_biweekly_t1": F.lag(t1, 2).over(w),
+        "lag_biweekly_t2": F.lag(t2, 2).over(w),
+        "roll_same_3days_mean_t1": rolling_mean(t1, w, 3),
+        "roll_same_3days_mean_t2": rolling_mean(t2, w, 3),
+        "lag_same_t1_ratio": lag_ratio(t1, w),
+        "lag_same_t2_ratio": lag_ratio(t2, w),
         "same_prev_sum_g": F.lag("sum_g").over(w),
-    })
+    }
 
 
 def date_range_filter(df: DataFrame, start: str, end: str) -> DataFrame:

@@ -232,6 +232,31 @@ def prefix_counts(cnt: DataFrame, groups: list[str], value: str, count: str, buc
         "_before", F.col("_off") + F.col("_local")).drop("_off", "_local", "_bucket")
 
 
+EXACT_MAX = 50  # differences up to which the exact null distribution of the signed ranks is counted
+
+
+def _both_p(out: DataFrame, with_p: bool) -> DataFrame:
+    """Add p_exact and p_approx with their decisions.
+
+    The exact distribution is counted by shifts: a rank r adds, to the number of ways to
+    reach each sum, that of the sum less r. Ranks are doubled, so those of ties are
+    whole. It depends on the ranks alone and is counted once for each tie pattern.
+    """
+    if not with_p:
+        return out
+    from prepcast.functions.normal import norm_sf_sql
+
+    ranks = "flatten(transform(_ties, t -> array_repeat(t.r, CAST(t.c AS INT))))"
+    ways = (f"aggregate({ranks}, array(1D), (c, k) -> transform(sequence(0, size(c) - 1 + CAST(k AS INT)), "
+            f"s -> coalesce(get(c, s), 0D) + IF(s >= k, coalesce(get(c, s - CAST(k AS INT)), 0D), 0D)))")
+    patterns = out.select("_ties").where(F.size("_ties") > 0).distinct().withColumn("_ways", F.expr(ways))
+    j = out.join(patterns, "_ties", "left")
+    low = "aggregate(slice(_ways, 1, CAST(floor(2 * _stat) AS INT) + 1), 0D, (a, v) -> a + v)"
+    j = j.withColumn("p_exact", _r(F.expr(f"IF(_ways IS NULL, NULL, least(1D, 2 * {low} / pow(2D, n)))")))
+    j = j.withColumn("p_approx", _r(F.expr(f"IF(n = 0, NULL, 2 * {norm_sf_sql('abs(_z)')})")))
+    return j.withColumns({"decision_exact": decision(F.col("p_exact")), "decision_approx": decision(F.col("p_approx"))}).drop("_ways")
+
+
 @single_series
 def wilcoxon(df: DataFrame, x: str, y: str, groups: list[str], with_p: bool = False, buckets: int = 64,
              method: str = "auto") -> DataFrame:
@@ -241,13 +266,15 @@ def wilcoxon(df: DataFrame, x: str, y: str, groups: list[str], with_p: bool = Fa
 
     ``method``: "approx" (normal, tie-corrected), "exact" (null distribution by
     counting; cubic in n) or "auto", the rule of the libraries this test is
-    compared with: exact up to 50 differences without zeros and ties.
+    compared with: exact up to 50 differences without zeros and ties. "both" decides
+    nothing: ``p_exact``, the null distribution of the ranks at hand, ties included
+    (NULL beyond ``EXACT_MAX`` differences), stands beside ``p_approx``.
 
     Ranks come from counts of distinct |d| values and a bucketed running sum
     over the distinct values (``prefix_counts``), so ties are free and no
     group is ordered inside a single task.
     """
-    if method not in ("auto", "exact", "approx"):
+    if method not in ("auto", "exact", "approx", "both"):
         raise ValueError(f"unknown method {method}")
     every = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, (F.col(x) - F.col(y)).alias("_d"))
     zeros = every.groupBy(*groups).agg(F.count(F.when(F.col("_d") == 0, 1)).alias("zeros"))
@@ -264,6 +291,8 @@ def wilcoxon(df: DataFrame, x: str, y: str, groups: list[str], with_p: bool = Fa
         F.sum((F.col("_c") - F.col("_pos")) * F.col("_rank")).alias("w_minus"),
         F.sum(F.col("_c") ** 3 - F.col("_c")).alias("_tie"),
         F.max("_c").alias("_maxc"),
+        # twice each rank, with its count; the ranks of a group within EXACT_MAX are among these, and at most so many
+        F.array_sort(F.collect_list(F.when(F.col("_before") < EXACT_MAX, F.struct((2 * F.col("_before") + F.col("_c") + 1).cast("long").alias("r"), F.col("_c").alias("c"))))).alias("_ties"),
     )
     agg = zeros.join(agg, groups, "left").fillna(0, ["n"])
     n = F.col("n").cast("double")
@@ -271,6 +300,10 @@ def wilcoxon(df: DataFrame, x: str, y: str, groups: list[str], with_p: bool = Fa
     se = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_tie") / 48.0)
     stat = F.least("w_plus", "w_minus")
     clean = (F.coalesce("_maxc", F.lit(0)) == 1) & (F.col("zeros") == 0)
+    if method == "both":
+        out = agg.select(*groups, "n", "zeros", _r(F.col("w_plus")).alias("w_plus"), _r(F.col("w_minus")).alias("w_minus"),
+                         _r(stat).alias("statistic"), stat.alias("_stat"), div(stat - mean, se).alias("_z"), F.when(F.col("n") <= EXACT_MAX, F.col("_ties")).alias("_ties"))
+        return _both_p(out, with_p).withColumn("z", _r(F.col("_z"))).drop("_z", "_ties", "_stat")
     rule = {"auto": (F.col("n") <= 50) & clean, "exact": F.lit(True), "approx": F.lit(False)}[method]
     out = agg.select(*groups, "n", "zeros", _r(F.col("w_plus")).alias("w_plus"), _r(F.col("w_minus")).alias("w_minus"),
                      _r(stat).alias("statistic"), div(stat - mean, se).alias("_z"),

@@ -18,6 +18,7 @@ from prepcast.plans.q_model import _BT, AF_CTES, CANDIDATES_T2, OUTLIER_DATES, S
 from prepcast.plans.q_tables import MONTH, VALIDATION_END, VALIDATION_START
 from prepcast.session import scratch_path
 from prepcast.sources import logs
+from prepcast.sources.publish import publish, published, replace_dates
 
 H1_CTES = (DAYT, H1)
 
@@ -491,12 +492,66 @@ def src_typed_schema(spark, sf):
     return cnt(ok, "accepted").unionByName(cnt(bad, "quarantined"))
 
 
+# The export files as they come: ten and 21 columns by position, textual order ids, and lines that can't be loaded.
+_FILE_ROWS = """
+files AS (
+    SELECT CASE WHEN order_id % 89 = 0 THEN NULL ELSE day_id END AS day_id, 'ORD' || order_id AS order_id, receipt_id, order_datetime,
+           CASE WHEN order_id % 2 = 0 THEN 'hall' END AS channel, 'log, ' || CAST(order_date AS VARCHAR) || '.csv' AS source_file,
+           'set "' || (qty + 1) || '", large' AS menu_name, CASE qty WHEN 1 THEN 'S' WHEN 2 THEN 'M' ELSE 'L' END AS size_category, qty, amount_g,
+           order_id % 97 = 0 AS broken
+    FROM odl
+)"""
+
+
+def _order_file(spark, sf):
+    """Write the order lines as an export file: keys missing in one line of 89, an unreadable quantity in one of 97."""
+    o, n = T.odl(spark, sf), F.col("order_id")
+    rows = o.select(
+        F.when(n % 89 != 0, F.col("day_id")).alias("day_id"), F.concat(F.lit("ORD"), n).alias("order_id"), "receipt_id", "order_datetime",
+        F.when(n % 2 == 0, F.lit("hall")).alias("channel"), F.concat(F.lit("log, "), F.col("order_date").cast("string"), F.lit(".csv")).alias("source_file"),
+        F.concat(F.lit('set "'), (F.col("qty") + 1).cast("string"), F.lit('", large')).alias("menu_name"),
+        F.when(F.col("qty") == 1, "S").when(F.col("qty") == 2, "M").otherwise("L").alias("size_category"),
+        F.when(n % 97 == 0, F.lit("two")).otherwise(F.col("qty").cast("string")).alias("qty"), "amount_g")
+    path = scratch_path(spark, "order_file")
+    logs.write_csv(rows, path)
+    return path
+
+
+@register("src_order_file", sql((_FILE_ROWS,), """
+SELECT day_id, order_id, receipt_id, order_datetime, channel, source_file, menu_name, size_category, qty, amount_g
+FROM files WHERE NOT broken AND day_id IS NOT NULL"""))
+def src_order_file(spark, sf):
+    """Accepted lines of the ten-column order file, quoted commas and quotes included."""
+    return logs.load_order_file(spark, _order_file(spark, sf))[0]
+
+
+@register("src_order_file_status", sql((_FILE_ROWS,), """
+SELECT CASE WHEN broken THEN 'malformed' WHEN day_id IS NULL THEN 'missing key' ELSE 'accepted' END AS status, COUNT(*) AS n_rows
+FROM files GROUP BY 1"""))
+def src_order_file_status(spark, sf):
+    """How many lines of the order file were accepted, and why the others were not."""
+    ok, bad = logs.load_order_file(spark, _order_file(spark, sf))
+    why = F.when(F.col(logs.CORRUPT).isNotNull(), F.lit("malformed")).otherwise(F.lit("missing key"))
+    both = ok.select(F.lit("accepted").alias("status")).unionByName(bad.select(why.alias("status")))
+    return both.groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("src_daily_file", sql((), "SELECT * EXCLUDE (store_id) FROM dcl WHERE dayofmonth(date) <> 13"))
+def src_daily_file(spark, sf):
+    """Accepted rows of the 21-column daily file; the rows of one date come without their key."""
+    rows = T.dcl(spark, sf).drop("store_id").withColumn("day_id", F.when(F.dayofmonth("date") != 13, F.col("day_id")))
+    path = scratch_path(spark, "daily_file")
+    logs.write_csv(rows, path)
+    return logs.load_daily_file(spark, path)[0]
+
+
 @register("sink_overwrite", sql((DAYT,), f"SELECT day_id, {R('sum_g / 1000', 2)} AS amount_kg FROM dayt"))
 def sink_overwrite(spark, sf):
     path = scratch_path(spark, "daily_kg")
-    logs.write_snapshot(kpi.daily_kg(T.odl(spark, sf)), path)
-    logs.write_snapshot(kpi.daily_kg(T.odl(spark, sf)), path)  # second run replaces, never appends
-    return logs.read_snapshot(spark, path)
+    for _ in range(2):  # the second run replaces, never appends; parent and child become visible together
+        publish({"daily_log": T.dcl(spark, sf), "daily_kg": kpi.daily_kg(T.odl(spark, sf))}, path)
+    days = published(spark, path, "daily_log").select("day_id")
+    return published(spark, path, "daily_kg").join(days, "day_id", "left_semi")
 
 
 @register("src_snapshot", sql(FEATURE_CTES, "SELECT * FROM mf"))
@@ -517,7 +572,8 @@ def sink_dashboard(spark, sf):
     """Peak table published for dashboards, partitioned by date for pruning."""
     path = scratch_path(spark, "peak30")
     out = peaks.peak30(T.odl(spark, sf)).withColumn("date", F.to_date(F.substring("day_id", -10, 10)))
-    logs.write_snapshot(out, path, partition_by=["date"])
+    replace_dates(out, path)
+    replace_dates(out.where(F.dayofmonth("date") <= 5), path)  # a later run of some days rewrites those only
     return logs.read_snapshot(spark, path).drop("date")
 
 

@@ -52,6 +52,21 @@ DAILY_LOG_SCHEMA = T.StructType([
 ])
 DAILY_LOG_REQUIRED = ["day_id", "date"]
 
+# The export files' own layouts, by position: order ids are text and start anew each day; the daily file knows no store.
+ORDER_FILE_SCHEMA = T.StructType([
+    T.StructField("day_id", T.StringType(), False),
+    T.StructField("order_id", T.StringType(), False),
+    T.StructField("receipt_id", T.StringType(), True),
+    T.StructField("order_datetime", T.TimestampNTZType(), True),
+    T.StructField("channel", T.StringType(), True),
+    T.StructField("source_file", T.StringType(), True),
+    T.StructField("menu_name", T.StringType(), True),
+    T.StructField("size_category", T.StringType(), True),
+    T.StructField("qty", T.IntegerType(), True),
+    T.StructField("amount_g", T.DoubleType(), True),
+])
+DAILY_FILE_SCHEMA = T.StructType([f for f in DAILY_LOG_SCHEMA.fields if f.name != "store_id"])
+
 
 def _csv_options() -> dict[str, str]:
     return {
@@ -77,6 +92,9 @@ def _load(spark: SparkSession, path: str, schema: T.StructType, required: list[s
     from pyspark.sql import functions as F
 
     raw = read_csv(spark, path, schema, keep_corrupt=True)
+    # always true, but needs every column: Spark converts only the columns that a query asks for,
+    # and a line is malformed whichever of its fields can't be read
+    raw = raw.filter(F.xxhash64(*schema.names) % 2 > -2)
     bad = F.col(CORRUPT).isNotNull()
     for name in required:
         bad = bad | F.col(name).isNull()
@@ -97,6 +115,23 @@ def load_daily_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return _load(spark, path, DAILY_LOG_SCHEMA, DAILY_LOG_REQUIRED)
 
 
+def load_order_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined) lines of the ten-column order file."""
+    return _load(spark, path, ORDER_FILE_SCHEMA, ORDER_LINES_REQUIRED)
+
+
+def load_daily_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined) rows of the 21-column daily file."""
+    return _load(spark, path, DAILY_FILE_SCHEMA, DAILY_LOG_REQUIRED)
+
+
+def as_order_lines(lines: DataFrame, store: str) -> DataFrame:
+    """Lines of one store's order file in the shape that the operators read (``order_id`` stays text)."""
+    from pyspark.sql import functions as F
+
+    return lines.select("day_id", F.lit(store).alias("store_id"), "order_id", "receipt_id", "order_datetime", F.to_date("order_datetime").alias("order_date"), "qty", "amount_g")
+
+
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Overwrite a Parquet snapshot (the reference's drop-and-recreate)."""
     w = df.write.mode("overwrite")
