@@ -29,7 +29,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepcast.llm.scratch import partitions, written
@@ -126,35 +126,52 @@ class Plan:
 def pack(docs: DataFrame, file: str, end_id: int = 2, window: int = WINDOW, mixture: dict[str, float] | None = None) -> DataFrame:
     """Pieces of all documents: where each lies in its document and in which sequence at which offset."""
     table = written(encode(docs, file, end_id), "packing-ids")
-    sums = table.groupBy("queue", "pid").agg(F.sum("doc_tokens").alias("n"))
-    before = Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    placed = table.join(bases, ["queue", "pid"])
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}
+    # a row per source and partition that holds it: partitions are ranges of sources, so partitions + sources rows at most
+    sums = table.groupBy("queue", "pid").agg(F.sum("doc_tokens").alias("n")).collect()
+    totals: dict[str, int] = {}
+    bases: dict[tuple[str, int], int] = {}
+    for r in sorted(sums, key=lambda r: (r["queue"].encode(), r["pid"])):
+        bases[r["queue"], r["pid"]] = totals.get(r["queue"], 0)
+        totals[r["queue"]] = bases[r["queue"], r["pid"]] + r["n"]
     names = list(totals)
     weights = None if mixture is None else [float(mixture.get(q, 0.0)) for q in names]
     plan = Plan([totals[q] for q in names], weights, window)
     number = {q: i for i, q in enumerate(names)}
 
+    shared = table.sparkSession.sparkContext.broadcast((plan, number, bases))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, number, bases = shared.value
         for batch in batches:
-            rows: list[list] = [[] for _ in range(8)]
-            for queue, doc, n, base, inner, ids in zip(*(batch.column(c).to_pylist() for c in ("queue", "doc_id", "doc_tokens", "base", "inner", "ids"))):
-                first = base + inner
-                arr = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
-                start, length, place = plan.pieces(number[queue], first, first + n)
-                start = start - first
-                raw = memoryview(arr).cast("B")
-                m = len(start)
-                rows[0] += [doc] * m
-                rows[1] += start.tolist()
-                rows[2] += length.tolist()
-                rows[3] += [zlib.crc32(raw[4 * s:4 * (s + k)]) for s, k in zip(rows[1][-m:], rows[2][-m:])]
-                rows[4] += [n] * m
-                rows[5] += (place // plan.window).tolist()
-                rows[6] += (place % plan.window).tolist()
-                rows[7] += [None if queue == NULL_QUEUE else queue] * m
-            names_ = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i == 7 else pa.int64()) for i, x in enumerate(rows)], names=names_)
-
-    return placed.select("queue", "doc_id", "doc_tokens", "base", "inner", "ids").mapInArrow(run, PIECES)
+            queues, pids = batch.column("queue").to_pylist(), batch.column("pid").to_pylist()
+            ids, n = batch.column("ids").to_pylist(), batch.column("doc_tokens").to_numpy()
+            docs_ = batch.column("doc_id")
+            first = batch.column("inner").to_numpy() + np.array([bases[k] for k in zip(queues, pids)], np.int64)
+            at = 0
+            while at < len(queues):  # documents that follow each other in their queue are placed together
+                to = at + 1
+                while to < len(queues) and queues[to] == queues[at] and first[to] == first[to - 1] + n[to - 1]:
+                    to += 1
+                yield placed(plan, number[queues[at]], queues[at], docs_.slice(at, to - at), first[at:to], n[at:to], ids[at:to])
+                at = to
+
+    return table.select("queue", "pid", "doc_id", "doc_tokens", "inner", "ids").mapInArrow(run, PIECES)
+
+
+def placed(plan: Plan, queue: int, name: str, docs: pa.Array, first: np.ndarray, n: np.ndarray, ids: list[bytes]) -> pa.RecordBatch:
+    """Pieces of consecutive documents of a queue, the first at queue position ``first[0]``."""
+    start, length, place = plan.pieces(queue, int(first[0]), int(first[-1] + n[-1]))
+    lo = np.searchsorted(first, start, "right") - 1
+    hi = np.searchsorted(first, start + length - 1, "right") - 1
+    row = np.repeat(np.arange(len(start)), hi - lo + 1)  # a piece is cut where a document ends
+    doc = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1)
+    left = np.maximum(start[row], first[doc])
+    right = np.minimum(start[row] + length[row], first[doc] + n[doc])
+    place = place[row] + left - start[row]
+    joined = b"".join(ids)
+    raw = memoryview(joined if len(joined) == 4 * int(n.sum()) else np.frombuffer(joined, "<u2").astype("<u4").tobytes())
+    cuts = zip((4 * (left - first[0])).tolist(), (4 * (right - first[0])).tolist())
+    crc = [zlib.crc32(raw[a:b]) for a, b in cuts]
+    source = pa.array([None if name == NULL_QUEUE else name], pa.string()).take(pa.array(np.zeros(len(doc), np.int64)))
+    cols = [docs.take(pa.array(doc)), *[pa.array(x, pa.int64()) for x in (left - first[doc], right - left, crc, n[doc], place // plan.window, place % plan.window)], source]
+    return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in PIECES.split(", ")])
