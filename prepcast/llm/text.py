@@ -65,16 +65,18 @@ def word_bounds(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE) ->
     return starts, ends, np.searchsorted(starts, offs)
 
 
-_POW: dict[str, np.ndarray] = {}
+_STEP = 1 << 16
+_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse power modulo 2**64, for i < n."""
-    if len(_POW.get("up", ())) < n:
-        m = 1 << max(16, int(n - 1).bit_length())
-        for name, b in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-            _POW[name] = np.cumprod(np.concatenate([[_U(1)], np.full(m - 1, b, _U)]), dtype=_U)
-    return _POW["up"], _POW["down"]
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) with base**i = low[i % 2**16] * high[i // 2**16] modulo 2**64 for i < n: half a megabyte each for any text."""
+    low, high = _POW.get(base, (None, np.zeros(0, _U)))
+    if len(high) * _STEP < n:
+        times = lambda b, m: np.cumprod(np.concatenate([[_U(1)], np.full(m - 1, b, _U)]), dtype=_U)
+        low, high = times(base, _STEP), times(pow(base, _STEP, 2**64), max(64, 2 * -(-n // _STEP)))
+        _POW[base] = low, high
+    return low, high
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -86,15 +88,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
     """Running polynomial sums; ``span_hash`` turns two of them into the hash of a span."""
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[:len(values)], out=out[1:])
+    n = len(values)
+    low, high = _powers(BASE, n)
+    out = np.zeros(n + 1, _U)
+    for a in range(0, n, _STEP):
+        b = min(a + _STEP, n)
+        np.multiply(values[a:b], low[:b - a], out=out[a + 1:b + 1])
+        out[a + 1:b + 1] *= high[a // _STEP]
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(_U))
+    low, high = _powers(pow(BASE, -1, 2**64), len(prefix))
+    return mix((prefix[ends] - prefix[starts]) * low[starts % _STEP] * high[starts // _STEP] + (ends - starts).astype(_U))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
