@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepcast.llm.scratch import partitions, written
-from prepcast.llm.text import text_buffer
+from prepcast.llm.text import slices, text_buffer
 from prepcast.llm.tokens import encoder
 
 WINDOW = 4096
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1024  # of texts, and of encoded documents, that a worker handles at once
 ENCODED = "pid int, inner long, queue string, doc_id long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 NULL_QUEUE = "\x00"
@@ -51,7 +52,7 @@ def encode(docs: DataFrame, file: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         pid, enc, end, at = TaskContext.get().partitionId(), encoder(file), np.array([end_id], "<u4").tobytes(), {}
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             data, offs = text_buffer(batch.column("text"))
             raw = data.tobytes()
             ids = [enc.ids(raw[a:b]) + end for a, b in zip(offs, offs[1:])]
@@ -142,7 +143,7 @@ def pack(docs: DataFrame, file: str, end_id: int = 2, window: int = WINDOW, mixt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, number, bases = shared.value
-        for batch in batches:
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
             queues, pids = batch.column("queue").to_pylist(), batch.column("pid").to_pylist()
             ids, n = batch.column("ids").to_pylist(), batch.column("doc_tokens").to_numpy()
             docs_ = batch.column("doc_id")
