@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "prepcast") -> SparkSession:
@@ -67,11 +68,11 @@ def written_table(df: DataFrame, name: str, keys: list[str] | None = None) -> Da
     and reading it back.
 
     The write runs once through adaptive execution (so a small result lands in
-    few files and a large one is spread by ``keys``); the returned frame is a
-    plain scan, sized by file splits, that survives executor loss.
+    few files and a large one is spread by ``keys``, a key too large for one task over
+    several); the returned frame is a plain scan, sized by file splits, that survives executor loss.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    out = df.repartition(*keys) if keys else df
+    out = df.hint("rebalance", *[F.col(k) for k in keys]) if keys else df
     out.write.mode("overwrite").parquet(path)
     return spark.read.schema(out.schema).parquet(path)
