@@ -10,13 +10,22 @@ much of the entity's information a term reveals:
     disclosure = log2(N * joint / (df(entity) * df(term))) / log2(N / df(entity))
 
 1 means the term occurs nowhere else. Terms from ``REMOVE`` on are removed and those
-from ``GENERALISE`` on generalised (to the entity's kind) if the four counts are no
-chance: their log-likelihood ratio against independence must reach ``SUPPORT``. Each
-occurrence outside base spans, in every document that holds the entity, becomes a
-span beside the base ones.
+from ``GENERALISE`` on generalised (to the entity's kind) if the co-occurrence is no
+chance. That is judged on different texts, so copies are no evidence of their own: a
+term and an entity that met at least once in n texts would by chance meet in joint
+or more of them with a probability of at most
+
+    exp(-k * KL(joint / k, q)) / (1 - (1 - q)**k)
+
+(k: the texts of the rarer one, q: the share of texts with the other, KL: relative
+entropy of two coins). Times the number of terms weighed for the entity this must
+stay within ``CHANCE``. One meeting has probability 1, so the many words that only
+one text holds tell nothing. Each occurrence outside base spans, in every document
+that holds the entity, becomes a span beside the base ones.
 
 Positions come from ``split`` and ``regexp_extract_all`` of one pattern: the gaps'
-and the matches' lengths in code points add up to the starts. The patterns hold
+and the matches' lengths in code points add up to the starts, in blocks of matches, so
+the work grows with the text and not with the square of its matches. The patterns hold
 possessive loops and start a run only at its first character (or where the last
 match ended), so long runs are read once and no loop recurses.
 
@@ -34,7 +43,7 @@ from pyspark.sql import functions as F
 from prepcast.llm.scratch import written
 
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
-SUPPORT = 10.83  # chi-square of one degree of freedom: 1 in 1000
+CHANCE = 0.01
 GENERALISE, REMOVE = 0.75, 0.9
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -45,18 +54,39 @@ PATTERNS = {
 }
 TERM = r"[\p{L}\p{N}]++"
 SPAN = "struct<s:int,k:int,e:int,v:string>"
+BLOCK = 512  # matches, or spans, to a block
+TEXT_BLOCK = 4096  # code points
 
 
 def _sql(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _places(text: str, matches: str, pattern: str, kind: int, base: str = "0") -> str:
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for ``value``, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _blocked(items: str, start: str, ahead: str, step: str, out: str) -> str:
+    """SQL: fold of ``items`` whose state is a place ``at`` and a list ``out`` (SQL type), in blocks.
+
+    ``ahead`` is the place after one block ``k`` begun at place ``s``; ``step`` the
+    state after one item ``x`` in state ``acc``. Each list is built within its
+    block, because appending copies the list.
+    """
+    cut = f"transform(sequence(0, (size(z) - 1) div {BLOCK}), b -> slice(z, b * {BLOCK} + 1, {BLOCK}))"
+    starts = f"aggregate(blocks, named_struct('at', cast({start} as int), 'out', cast(array() as array<int>)), (a, k) -> named_struct('at', {ahead.format(s='a.at')}, 'out', concat(a.out, array(a.at))), a -> a.out)"
+    inner = f"aggregate(k, named_struct('at', s, 'out', cast(array() as array<{out}>)), (acc, x) -> {step}, acc -> acc.out)"
+    return _let(items, "z", _let(cut, "blocks", f"flatten(zip_with(blocks, {starts}, (k, s) -> {inner}))"))
+
+
+def _places(text: str, matches: str, pattern: str, kind: int) -> str:
     """SQL: spans of all matches of ``pattern`` in ``text``, from the lengths of gaps and matches."""
     gaps = f"split({text}, {_sql(pattern)}, -1)"
-    step = "named_struct('at', acc.at + length(x.g) + length(x.m), 'out', concat(acc.out, array(named_struct('s', acc.at + length(x.g), 'k', {k}, 'e', acc.at + length(x.g) + length(x.m), 'v', x.m))))".format(k=kind)
-    zipped = f"zip_with(slice({gaps}, 1, size({matches})), {matches}, (g, m) -> named_struct('g', g, 'm', m))"
-    return f"if(size({matches}) = 0, cast(array() as array<{SPAN}>), aggregate({zipped}, named_struct('at', cast({base} as int), 'out', cast(array() as array<{SPAN}>)), (acc, x) -> {step}, acc -> acc.out))"
+    zipped = f"zip_with(slice({gaps}, 1, size({matches})), {matches}, (g, m) -> named_struct('g', length(g), 'm', m))"
+    step = f"named_struct('at', acc.at + x.g + length(x.m), 'out', concat(acc.out, array(named_struct('s', acc.at + x.g, 'k', {kind}, 'e', acc.at + x.g + length(x.m), 'v', x.m))))"
+    ahead = "aggregate(k, {s}, (t, y) -> t + y.g + length(y.m))"
+    return f"if(size({matches}) = 0, cast(array() as array<{SPAN}>), {_blocked(zipped, '0', ahead, step, SPAN)})"
 
 
 _DIGITS = "translate(x.v, ' ().+-', '')"
@@ -86,53 +116,68 @@ def _terms(text: str) -> str:
     return f"array_distinct(transform(regexp_extract_all({text}, {_sql(TERM)}, 0), x -> lower(x)))"
 
 
-def _pairs(light: DataFrame, terms: DataFrame, n: int) -> DataFrame:
-    """(row, kind, value, df_entity, term, df_term): entities and terms of one row that can reach GENERALISE.
+def _classes(light: DataFrame) -> DataFrame:
+    """(row, h, class, kind, df_entity, texts_entity): the entities of each row that lie in two texts or more.
 
-    joint is at most the smaller df, so no term beyond N**(1 - GENERALISE) *
-    df(entity)**GENERALISE documents can; common terms go before the pairs are made.
+    Entities of the same rows have the same counts beside every term, so they are
+    one class (of the first of their kinds), known by two hashes of its rows.
     """
-    with_entity = light.where("size(base) > 0")
-    entity = with_entity.select("row", F.explode(F.expr("array_distinct(transform(base, x -> named_struct('kind', x.k, 'value', lower(x.v))))")).alias("x")).select("row", "x.kind", "x.value")
-    counts = entity.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("df_entity"))
-    held = entity.join(counts, ["kind", "value"]).withColumn("most", F.expr(f"pow({n}D, {1 - GENERALISE}D) * pow(df_entity, {GENERALISE}D) * 1.000000001D"))
-    words = with_entity.select("row", F.explode(F.expr(_terms("t"))).alias("term")).where("term rlike '\\\\p{L}'")
-    rare = words.join(held.groupBy("row").agg(F.max("most").alias("row_most")), "row").join(terms, "term").where("df_term <= row_most")
-    return rare.drop("row_most").join(held, "row").where("df_term <= most").drop("most")
+    entity = light.where("size(base) > 0").select("row", "h", F.explode(F.expr("array_distinct(transform(base, x -> named_struct('kind', x.k, 'value', lower(x.v))))")).alias("x")).select("row", "h", "x.kind", "x.value")
+    rows = F.struct(F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b"))
+    counts = entity.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("df_entity"), F.countDistinct("h").alias("texts_entity"), rows.alias("class")).where("texts_entity > 1")
+    held = entity.join(counts, ["kind", "value"])
+    return held.groupBy("row", "h", "class", "df_entity", "texts_entity").agg(F.min("kind").alias("kind"))
 
 
-def disclosures(pairs: DataFrame, n: int) -> DataFrame:
-    """(kind, value, term, disclosure) of the terms that reach SUPPORT and GENERALISE."""
-    joint = pairs.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("joint"), F.max("df_entity").alias("df_entity"), F.max("df_term").alias("df_term")).withColumn("n", F.lit(n))
-    score = F.expr("if(n > df_entity, log2(n * joint / (df_entity * df_term)) / log2(n / df_entity), 0D)")
-    cells = (("joint", "df_entity", "df_term"), ("df_entity - joint", "df_entity", "(n - df_term)"), ("df_term - joint", "(n - df_entity)", "df_term"), ("n - df_entity - df_term + joint", "(n - df_entity)", "(n - df_term)"))
-    ratio = " + ".join(f"if({seen} > 0, ({seen}) * ln(({seen}) * double(n) / (double({a}) * {b})), 0D)" for seen, a, b in cells)
-    return joint.select("kind", "value", "term", score.alias("disclosure"), F.expr(f"2 * ({ratio})").alias("support")).where((F.col("disclosure") >= GENERALISE) & (F.col("support") >= SUPPORT)).drop("support")
+def _pairs(light: DataFrame, classes: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """(row, h, class, kind, df_entity, texts_entity, term, df_term): entities and terms of one row that can reach GENERALISE.
 
+    joint is at most the smaller df, so no term beyond N**(1 - GENERALISE) *
+    df(entity)**GENERALISE documents can; common terms go before the pairs are made,
+    and so do terms of one document.
+    """
+    held = classes.withColumn("most", F.expr(f"pow({n}D, {1 - GENERALISE}D) * pow(df_entity, {GENERALISE}D) * 1.000000001D"))
+    limits = held.groupBy("row").agg(F.max("most").alias("row_most"))
+    words = light.where("t is not null").join(limits, "row").select("row", "row_most", F.explode(F.expr(_terms("t"))).alias("term")).where("term rlike '\\\\p{L}'")
+    rare = words.join(terms.where("df_term > 1"), "term").where("df_term <= row_most")
+    return rare.drop("row_most").join(held, "row").where("df_term <= most").drop("most")
 
-def _occurrences() -> str:
-    """SQL: spans of the terms in ``telling`` (term -> disclosure, kind) in ``t``, outside ``base``."""
-    names = ", ".join(map(repr, KINDS[:4]))
-    matches = f"regexp_extract_all(t, {_sql(TERM)}, 0)"
-    kind = f"if(telling[lower(x.m)].disclosure >= {REMOVE}D, {KINDS.index('removed')}, {KINDS.index('general')})"
-    span = f"named_struct('s', acc.at + length(x.g), 'k', {kind}, 'e', acc.at + length(x.g) + length(x.m), 'v', element_at(array({names}), telling[lower(x.m)].about + 1))"
-    free = "not exists(base, y -> y.s < acc.at + length(x.g) + length(x.m) and acc.at + length(x.g) < y.e)"
-    step = f"named_struct('at', acc.at + length(x.g) + length(x.m), 'out', if(telling[lower(x.m)] is not null and {free}, concat(acc.out, array({span})), acc.out))"
-    zipped = f"zip_with(slice(split(t, {_sql(TERM)}, -1), 1, size({matches})), {matches}, (g, m) -> named_struct('g', g, 'm', m))"
-    return f"aggregate({zipped}, named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)), (acc, x) -> {step}, acc -> acc.out)"
+
+def disclosures(pairs: DataFrame, n: int, texts: int) -> DataFrame:
+    """(class, term, disclosure) of the terms that reach GENERALISE and are no chance; ``texts``: different texts."""
+    joint = pairs.groupBy("class", "term").agg(F.count(F.lit(1)).alias("joint"), F.countDistinct("h").alias("joint_texts"), *(F.max(c).alias(c) for c in ("df_entity", "texts_entity", "df_term")))
+    weighed = joint.groupBy("class").agg(F.count(F.lit(1)).alias("weighed"))
+    disclosure = F.expr(f"if({n} > df_entity, log2({n} * joint / (df_entity * df_term)) / log2({n} / df_entity), 0D)")
+    near = joint.withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISE).where("joint_texts > 1")
+    # copies among the joint rows are known; the term's other rows count as texts of their own
+    held = near.withColumn("texts_term", F.expr("df_term - joint + joint_texts")).withColumn("k", F.expr("least(texts_entity, texts_term)")).withColumn("q", F.expr(f"least(greatest(texts_entity, texts_term) / {texts}D, 1D)")).withColumn("p", F.expr("joint_texts / double(k)"))
+    entropy = "(p * ln(p / q) + if(p < 1, (1 - p) * ln((1 - p) / (1 - q)), 0D))"
+    chance = F.expr(f"if(p <= q, 1D, exp(-k * {entropy}) / -expm1(k * log1p(-q)))")
+    return held.withColumn("chance", chance).join(weighed, "class").where(F.col("chance") * F.col("weighed") <= CHANCE).select("class", "term", "disclosure")
 
 
 def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(base spans of every row, revealing term spans by doc_id and text hash)."""
     based = with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("h", F.xxhash64("t"))
     light = written(based.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "base", F.expr("if(size(base) > 0, t, null)").alias("t")), "pii-base")
-    n = light.count()
+    n, texts = light.agg(F.count(F.lit(1)), F.countDistinct("h")).first()
     terms = docs.select(F.explode(F.expr(_terms("cast(text as string)"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    pairs = written(_pairs(light, terms, n), "pii-pairs")
-    hits = pairs.join(disclosures(pairs, n), ["kind", "value", "term"]).groupBy("row", "term").agg(F.max(F.struct("disclosure", (-F.col("kind")).alias("about"))).alias("x"))
-    telling = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("x.disclosure", (-F.col("x.about")).alias("about"))))).alias("telling"))
-    extra = light.join(telling, "row").select("doc_id", "h", F.expr(_occurrences()).alias("extra"))
-    return light.drop("row"), written(extra.groupBy("doc_id", "h").agg(F.first("extra").alias("extra")), "pii-extra")
+    pairs = written(_pairs(light, written(_classes(light), "pii-classes"), terms, n), "pii-pairs")
+    hits = pairs.join(disclosures(pairs, n, texts), ["class", "term"]).groupBy("row", "term").agg(F.max(F.struct("disclosure", (-F.col("kind")).alias("about"))).alias("x"))
+    hits = written(hits.select("row", "term", "x.disclosure", (-F.col("x.about")).alias("about")), "pii-hits")
+    return light.drop("row"), written(_extra(light, hits), "pii-extra")
+
+
+def _extra(light: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, h, extra): the spans of each row's terms in ``hits``, outside its base spans."""
+    rows = light.join(hits.select("row").distinct(), "row")
+    spot = rows.select("row", F.expr(f"regexp_extract_all(t, {_sql(TERM)}, 0)").alias("m"), "t").select("row", F.explode(F.expr(_places("t", "m", TERM, 0))).alias("x"))
+    names = ", ".join(map(repr, KINDS[:4]))
+    kind = f"if(disclosure >= {REMOVE}D, {KINDS.index('removed')}, {KINDS.index('general')})"
+    span = F.expr(f"named_struct('s', x.s, 'k', {kind}, 'e', x.e, 'v', element_at(array({names}), about + 1))")
+    found = spot.withColumn("term", F.expr("lower(x.v)")).join(hits, ["row", "term"]).groupBy("row").agg(F.collect_list(span).alias("all"))
+    free = F.expr("filter(all, x -> not exists(base, y -> y.s < x.e and x.s < y.e))")
+    return rows.select("row", "doc_id", "h", "base").join(found, "row").select("doc_id", "h", F.array_sort(free).alias("extra")).groupBy("doc_id", "h").agg(F.first("extra").alias("extra"))
 
 
 def _with_extra(df: DataFrame, extra: DataFrame) -> DataFrame:
@@ -166,8 +211,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     based = _with_extra(with_base(own).withColumn("h", F.xxhash64("t")), extra)
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS[:4])
     mask = f"case when x.k < 4 then element_at(array({names}), x.k + 1) when x.k = 4 then concat('[ABOUT ', upper(x.v), ']') else '' end"
-    piece = f"named_struct('at', greatest(acc.at, x.e), 'out', if(x.s < acc.at, acc.out, concat(acc.out, array(substring(t, acc.at + 1, x.s - acc.at), {mask}))))"
-    whole = f"if(size(base) + size(extra) = 0, t, aggregate(array_sort(concat(base, extra)), named_struct('at', 0, 'out', cast(array() as array<string>)), (acc, x) -> {piece}, acc -> concat(array_join(acc.out, ''), substring(t, acc.at + 1))))"
+    cut = f"regexp_extract_all(t, '(?s).{{1,{TEXT_BLOCK}}}', 0)"
+    between = f"if(x.s > acc.at, substring(array_join(slice(chunks, acc.at div {TEXT_BLOCK} + 1, x.s div {TEXT_BLOCK} - acc.at div {TEXT_BLOCK} + 1), ''), acc.at % {TEXT_BLOCK} + 1, x.s - acc.at), '')"
+    step = f"named_struct('at', greatest(acc.at, x.e), 'out', if(x.s < acc.at, acc.out, concat(acc.out, array({between}, {mask}))))"
+    pieces = _blocked("spans", "0", "greatest({s}, array_max(transform(k, y -> y.e)))", step, "string")
+    tail = "substring(t, array_max(transform(spans, y -> y.e)) + 1)"
+    masked = _let("array_sort(concat(base, extra))", "spans", _let(cut, "chunks", f"concat(array_join({pieces}, ''), {tail})"))
+    whole = f"if(size(base) + size(extra) = 0, t, {masked})"
     out = based.withColumn("masked", F.when(F.col("text").isNull(), None).otherwise(F.expr(whole)))
     new = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
