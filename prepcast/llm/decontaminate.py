@@ -12,12 +12,14 @@ hold enough matching words.
 An item of n words is found in a document when a segment has
 min(``NEED``, max(5, 0.8 n)) matching words or more. Items shorter than a mask are
 matched by their whole word sequence; items under five words are too short to
-tell and never match.
+tell and never match. Items under ``SHORT`` words get three more masks, with which
+some mask fits every way to reach the needed matches (a test tries them all).
 
 Defined cases: null texts are empty and never match; repeated benchmark rows with
-one item_id count once, repeated documents each; an empty table on either side
-gives no matches; other columns are ignored by ``overlaps`` and kept by
-``clean``.
+one item_id count once, those without an item_id are items each and reported
+together under a null item_id; repeated documents count each; an empty table on
+either side gives no matches; other columns are ignored by ``overlaps`` and kept by
+``clean``, which judges every row by its own text.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from prepcast.llm.scratch import written
 from prepcast.llm.text import mix, slices, text_buffer, word_bounds, word_hashes
 
 MASKS = ("111111", "1110111", "11011011", "111101111", "1101011011")
+SHORT_MASKS = ("1111", "111011", "110111")
+SHORT = 14
 SHORTEST = 5
 NEED = 12
 REACH = 48
@@ -49,6 +53,11 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), first
 
 
+def masks_of(n: int) -> list[str]:
+    """The masks for an item of ``n`` words; one too long for it is its whole sequence."""
+    return sorted({m if len(m) <= n else "1" * n for m in (MASKS + SHORT_MASKS if n < SHORT else MASKS)})
+
+
 def seeds(words: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """(keys, start word) of a mask over each text; the key depends on the mask."""
     n, span = len(words), len(mask)
@@ -70,30 +79,33 @@ def _probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words) of the items long enough to match."""
+    """(item, item_id, words) of the items long enough to match; ``item`` is a number of its own for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text", 4 << 20):
             words, first = words_of(batch.column("text"))
             long = np.flatnonzero(np.diff(first) >= SHORTEST)
-            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(long)), pa.array([words[first[i]:first[i + 1]].view(np.int64) for i in long], pa.list_(pa.int64()))], names=["item_id", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(long))), batch.column("item_id").take(pa.array(long)), pa.array([words[first[i]:first[i + 1]].view(np.int64) for i in long], pa.list_(pa.int64()))], names=["item", "item_id", "words"])
+            at += len(long)
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates().mapInArrow(run, "item_id long, words array<long>")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates().mapInArrow(run, "item long, item_id long, words array<long>")
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """(key, item_id, at): every mask over every item, or the whole of an item shorter than a mask."""
+    """(key, item, at): every mask over every item, or the whole of an item shorter than a mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item, words in zip(batch.column("item_id").to_pylist(), batch.column("words").to_pylist()):
+            for item, words in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()):
                 arr = np.array(words, np.int64).view(_U)
-                masks = {m if len(m) <= len(arr) else "1" * len(arr) for m in MASKS}
-                for mask in sorted(masks):
+                for mask in masks_of(len(arr)):
                     keys, at = seeds(arr, np.array([0, len(arr)]), mask)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([item] * len(at), pa.int64()), pa.array(at, pa.int64())], names=["key", "item_id", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([item] * len(at), pa.int64()), pa.array(at, pa.int64())], names=["key", "item", "at"])
 
-    return items.mapInArrow(run, "key long, item_id long, at long").distinct()
+    return items.mapInArrow(run, "key long, item long, at long").distinct()
 
 
 def _bloom(item_seeds: DataFrame) -> np.ndarray:
@@ -127,7 +139,7 @@ def _hits(docs: DataFrame, bloom, masks: list[str]) -> DataFrame:
             order = np.lexsort((at, text))
             keys, at, text = keys[order], at[order], text[order]
             owner, begin = np.unique(text, return_index=True)
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(7)]
             for i, a, b in zip(owner.tolist(), begin.tolist(), [*begin[1:].tolist(), len(text)]):
                 lo, hi = first[i], first[i + 1]
                 spot = np.unique(at[a:b])
@@ -135,13 +147,13 @@ def _hits(docs: DataFrame, bloom, masks: list[str]) -> DataFrame:
                 np.add.at(step, np.maximum(spot - REACH, lo) - lo, 1)
                 np.add.at(step, np.minimum(spot + REACH, hi) - lo, -1)
                 near = np.flatnonzero(np.cumsum(step)[:-1])
-                for column, value in zip(rows, (uid, batch.column("doc_id")[i].as_py(), keys[a:b].view(np.int64), at[a:b] - lo, near, words[lo:hi][near].view(np.int64))):
+                for column, value in zip(rows, (uid, batch.column("doc_id")[i].as_py(), batch.column("th")[i].as_py(), keys[a:b].view(np.int64), at[a:b] - lo, near, words[lo:hi][near].view(np.int64))):
                     column.append(value)
                 uid += 1
-            kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["uid", "doc_id", "keys", "at", "near", "words"])
+            kinds = (*[pa.int64()] * 3, *[pa.list_(pa.int64())] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["uid", "doc_id", "th", "keys", "at", "near", "words"])
 
-    return docs.mapInArrow(run, "uid long, doc_id long, keys array<long>, at array<long>, near array<long>, words array<long>")
+    return docs.mapInArrow(run, "uid long, doc_id long, th long, keys array<long>, at array<long>, near array<long>, words array<long>")
 
 
 def best_segment(same: np.ndarray) -> tuple[int, int, int]:
@@ -157,44 +169,48 @@ def best_segment(same: np.ndarray) -> tuple[int, int, int]:
     return best + int(hits[0]), best + int(hits[-1]) + 1, len(hits)
 
 
+_FOUND = ("doc_id", "th", "uid", "item_id", "start_word", "end_word", "matched_words", "item_words")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, uid, item, diagonal, near, words, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "uid", "item_id", "diagonal", "near", "words", "item_words"))):
+        for doc, th, uid, item, diagonal, near, words, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "uid", "item_id", "diagonal", "near", "words", "item_words"))):
             place = np.array(near) - diagonal
             inside = (place >= 0) & (place < len(wanted))
             same = np.zeros(len(wanted), bool)
             same[place[inside]] = np.array(words, np.int64)[inside] == np.array(wanted, np.int64)[place[inside]]
             begin, end, matches = best_segment(same)
             if matches >= min(NEED, max(SHORTEST, -(-4 * len(wanted) // 5))):
-                rows.append((doc, uid, item, begin + diagonal, end + diagonal, matches, len(wanted)))
-        cols = list(zip(*rows)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "uid", "item_id", "start_word", "end_word", "matched_words", "item_words"])
+                rows.append((doc, th, uid, item, begin + diagonal, end + diagonal, matches, len(wanted)))
+        cols = list(zip(*rows)) or [()] * len(_FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(_FOUND))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document row and item found: doc_id, item_id, start_word, end_word, matched_words, item_words."""
+def _overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``overlaps`` with ``th``, the hash of the row's text."""
     spark = docs.sparkSession
     items = written(_items(benchmark), "decontaminate-items")
     item_seeds = written(_item_seeds(items), "decontaminate-seeds")
-    lengths = [r["n"] for r in items.select(F.size("words").alias("n")).where(f"n < {max(map(len, MASKS))}").distinct().collect()]  # at most five values
-    masks = sorted({*MASKS, *("1" * n for n in lengths)})
+    lengths = [r["n"] for r in items.select(F.size("words").alias("n")).where(f"n < {SHORT}").distinct().collect()]  # at most nine values
+    masks = sorted({*MASKS, *(m for n in lengths for m in masks_of(n))})
     bloom = spark.sparkContext.broadcast(_bloom(item_seeds))
-    hits = written(_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bloom, masks), "decontaminate-hits")
+    hits = written(_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), bloom, masks), "decontaminate-hits")
     each = hits.select("uid", F.explode(F.arrays_zip("keys", "at")).alias("h")).select("uid", F.col("h.keys").alias("key"), F.col("h.at").alias("doc_at"))
-    diagonals = each.join(item_seeds, "key").select("uid", "item_id", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct()
-    placed = diagonals.join(items.withColumnRenamed("words", "item_words"), "item_id").join(hits.select("uid", "doc_id", "near", "words"), "uid")
-    kinds = ", ".join(f"{c} long" for c in ("doc_id", "uid", "item_id", "start_word", "end_word", "matched_words", "item_words"))
-    found = placed.mapInArrow(_verify, kinds)
+    diagonals = each.join(item_seeds, "key").select("uid", "item", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct()
+    placed = diagonals.join(items.withColumnRenamed("words", "item_words"), "item").join(hits.select("uid", "doc_id", "th", "near", "words"), "uid")
+    found = placed.mapInArrow(_verify, ", ".join(f"{c} long" for c in _FOUND))
     best = F.max(F.struct("matched_words", F.expr("-start_word as before"), "end_word", "item_words")).alias("best")
-    per_row = found.groupBy("uid", "doc_id", "item_id").agg(best)
-    return per_row.select("doc_id", "item_id", F.expr("-best.before").alias("start_word"), "best.end_word", "best.matched_words", "best.item_words")
+    per_row = found.groupBy("uid", "doc_id", "th", "item_id").agg(best)
+    return per_row.select("doc_id", "th", "item_id", F.expr("-best.before").alias("start_word"), "best.end_word", "best.matched_words", "best.item_words")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no overlap with any item, all columns as they are.
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document row and item found: doc_id, item_id, start_word, end_word, matched_words, item_words."""
+    return _overlaps(docs, benchmark).drop("th")
+
 
-    A null doc_id can't be named, so such rows stay only if no null-id row overlaps.
-    """
-    bad = written(overlaps(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct(), "decontaminate-found")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose own text overlaps no item, all columns as they are."""
+    bad = written(_overlaps(docs, benchmark).select(F.col("doc_id").alias("__bad"), F.col("th").alias("__th")).distinct(), "decontaminate-found")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]) & (F.xxhash64(docs["text"]) == bad["__th"]), "left_anti")

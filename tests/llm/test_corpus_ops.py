@@ -1,6 +1,7 @@
 """Brute-force checks of the operators over pairs of documents, and of the pipeline."""
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -174,6 +175,43 @@ def test_best_segment_equals_brute_force():
         assert best == 0 or hits >= 0.8 * best - 1e-9
 
 
+def test_masks_reach_every_match_of_a_short_item():
+    for n in range(decontaminate.SHORTEST, decontaminate.SHORT):
+        need = min(decontaminate.NEED, max(decontaminate.SHORTEST, -(-4 * n // 5)))
+        for gone in itertools.chain.from_iterable(itertools.combinations(range(n), m) for m in range(n - need + 1)):
+            same = np.ones(n, bool)
+            same[list(gone)] = False
+            if decontaminate.best_segment(same)[2] >= need:
+                assert any(all(same[p + j] for j, c in enumerate(m) if c == "1") for m in decontaminate.masks_of(n) for p in range(n - len(m) + 1)), (n, gone)
+
+
+def test_overlaps_go_by_row_and_keep_items_without_id(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    item, other, clear = " ".join(words[:20]), " ".join(words[40:47]), " ".join(words[100:150])
+    swapped = " ".join(words[40:42] + ["x"] + words[43:47])
+    rows = [(None, "so " + item), (None, clear), (7, item + " so"), (7, clear), (8, "so " + swapped + " on"), (9, None)]
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, __bad string, __th int")
+    bench = spark.createDataFrame([(None, item), (3, other), (None, None), (None, "too short")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id or 0, r.matched_words) for r in decontaminate.overlaps(docs, bench).collect())
+    assert got == [(0, 0, 20), (7, 0, 20), (8, 3, 6)]
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, clear), (7, clear), (9, "")]
+
+
+def test_copies_go_by_row(spark):
+    rng = np.random.default_rng(12)
+    draw = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    one, two, three, four = (draw(60) for _ in range(4))
+    rows = [(None, one), (None, one), (None, one + " end"), (5, two), (5, two + " end"), (5, three), (None, three + " end"), (6, four), (6, four), (None, ""), (None, None), (None, " "), (9, "")]
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, __gone string, __th int").repartition(3)
+    kept = neardup.drop_copies(docs)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == 9
+    assert sum((t or "").startswith(one) for _, t in got) == 1 and sum((t or "").startswith(two) for _, t in got) == 1
+    assert sorted(t or "" for i, t in got if not (t or "").strip()) == ["", "", "", " "] and (5, three) in got and got.count((6, four)) == 2
+    assert neardup.drop_copies(docs.limit(0)).count() == 0
+
+
 def test_masks_hit_alignments_with_a_fifth_replaced():
     rng = np.random.default_rng(1)
     hit = 0
