@@ -6,8 +6,9 @@ the session's shared folder and reads them again for the next stage.
 
 1. toxicity: documents that the classifier (fit on the labelled rows) rejects go.
 2. near_duplicates: five-word shingles, similarity 0.8; the document with the
-   smallest doc_id of each group stays. Documents without words are all kept.
-3. decontamination: documents that overlap a benchmark item go.
+   smallest doc_id of each group stays (of a group without any doc_id, one row).
+   Documents without words are all kept.
+3. decontamination: rows whose text overlaps a benchmark item go.
 4. personal_data: spans are masked in ``text``; ``n_chars`` is counted anew.
 5. packing: token windows with each source's share; one row per piece.
 
@@ -21,7 +22,6 @@ stages are tested against brute force in tests/llm.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from prepcast.llm import decontaminate, neardup, packing, pii, toxicity
 from prepcast.llm.scratch import written
@@ -40,8 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.near_duplicates(docs, k=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    return neardup.drop_copies(docs, k=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
