@@ -20,8 +20,10 @@ Hashes are 64 bits of a polynomial over random byte values, and cores are compar
 by 64-bit hash and slot.
 
 Defined cases: a null text is an empty one; texts under 100 bytes lose nothing;
-rows that share a doc_id don't remove each other's bytes; a null doc_id comes after
-all others; an empty table gives no rows; other columns are ignored.
+a null doc_id comes after all others; rows with one doc_id (or none) but different
+texts are documents of their own, in the order of their text hashes; rows equal in both
+are one document listed twice, and lose the same bytes; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +53,12 @@ _U = np.uint64
 _RANGE = "doc long, th long, a long, b long"
 
 
+def _after(*columns: str) -> str:
+    """SQL: the row's ``columns`` come after those of the same names in ``top``."""
+    mine, top = (", ".join(f"'{c}', {p}{c}" for c in columns) for p in ("", "top."))
+    return f"named_struct({mine}) > named_struct({top})"
+
+
 def intervals(data: np.ndarray, offs: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, anchor place, first start, last start, anchor hash) of every interval of equal anchors."""
     n = max(len(data) - GRAM + 1, 0)
@@ -161,7 +169,7 @@ def _repeats(table: pa.Table) -> pa.Table:
     window: dict[int, tuple[int, int, int]] = {}
     for key, left, right, doc, th, start, extra in zip(*(table.column(c).to_pylist() for c in ("key", "left", "right", "doc", "th", "start", "extra"))):
         for i in range(extra + 1):
-            window[len(text) + i] = (doc, start + i, th)
+            window[len(text) + i] = (doc, th, start + i)
         text += [b + 2 for b in left]
         text.append(keys[key])
         text += [b + 2 for b in right]
@@ -178,7 +186,7 @@ def _repeats(table: pa.Table) -> pa.Table:
         last = here
         if i is not None:
             run.append(window[i])
-    doc, start, th = zip(*found) if found else ((), (), ())
+    doc, th, start = zip(*found) if found else ((), (), ())
     return pa.table({"doc": pa.array(doc, pa.int64()), "th": pa.array(th, pa.int64()), "a": pa.array(start, pa.int64()), "b": pa.array([s + WINDOW for s in start], pa.int64())})
 
 
@@ -188,26 +196,26 @@ def removed_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     marks = written(_marks(docs, _mixed_table(counted)), "dedup-intervals", free=True)
     again = marks.where("again").selectExpr("doc", "th", "lo a", f"lo + more + {WINDOW} b")
     once = marks.where("not again")
-    kinds = once.groupBy("anchor", "whole").agg(F.min("doc").alias("least"))
+    kinds = once.groupBy("anchor", "whole").agg(F.min(F.struct("doc", "th")).alias("top"))
     shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
-    ranked = written(once.join(kinds, ["anchor", "whole"]).select("doc", "th", "anchor", "lo", "more", "offset", "least"), "dedup-ranked", free=True)
-    later = ranked.where("doc > least").selectExpr("doc", "th", "lo a", f"lo + more + {WINDOW} b")
-    spans = ranked.where("doc = least").join(shared, "anchor").groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "more", "offset")).alias("spans"))
+    ranked = written(once.join(kinds, ["anchor", "whole"]).select("doc", "th", "anchor", "lo", "more", "offset", F.expr(_after("doc", "th")).alias("later")), "dedup-ranked", free=True)
+    later = ranked.where("later").selectExpr("doc", "th", "lo a", f"lo + more + {WINDOW} b")
+    spans = ranked.where("not later").join(shared, "anchor").groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "more", "offset")).alias("spans"))
     spans = written(spans, "dedup-spans", free=True)
     texts = sieve(docs.select("doc", "th", "text"), "th", spans.select("th"))
     pieces = written(texts.join(spans, ["doc", "th"]).mapInArrow(_pieces, "doc long, th long, key long, left binary, right binary, start long, extra int"), "dedup-pieces", free=True)
-    same = pieces.groupBy("key", "left", "right").agg(F.min(F.struct("doc", "start", "th")).alias("top"))
+    same = pieces.groupBy("key", "left", "right").agg(F.min(F.struct("doc", "th", "start")).alias("top"))
     first = written(same.select("key", "left", "right", "top.*", F.expr(f"length(left) + length(right) - {SLOT - 1}").cast("int").alias("extra")), "dedup-kinds", free=True)
-    met = pieces.join(first.selectExpr("key", "left", "right", "doc as top_doc", "start as top_start"), ["key", "left", "right"])
-    copies = met.where("doc > top_doc or (doc = top_doc and start > top_start)").selectExpr("doc", "th", "start a", f"start + extra + {WINDOW} b")
+    met = pieces.join(first.selectExpr("key", "left", "right", "struct(doc, th, start) as top"), ["key", "left", "right"])
+    copies = met.where(_after("doc", "th", "start")).selectExpr("doc", "th", "start a", f"start + extra + {WINDOW} b")
     many = first.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     mixed = written(first.join(many, "key"), "dedup-mixed", free=True)
     buckets = max(1, mixed.count() // BUCKET_PIECES)
     found = mixed.where(F.col("kinds") <= hot).groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(_repeats, _RANGE)
     wide = mixed.where(F.col("kinds") > hot).select("key", "doc", "th", "left", "right", F.explode(F.expr("sequence(0, extra)")).alias("i"), "start")
     windows = wide.select("key", "doc", "th", (F.col("start") + F.col("i")).alias("start"), F.expr("substring(left, i + 1)").alias("l"), F.expr(f"substring(right, 1, {SLOT - 1} - length(left) + i)").alias("r"))
-    head = windows.groupBy("key", "l", "r").agg(F.min(F.struct("doc", "start")).alias("top"))
-    spread = windows.join(head, ["key", "l", "r"]).where("doc > top.doc or (doc = top.doc and start > top.start)").selectExpr("doc", "th", "start a", f"start + {WINDOW} b")
+    head = windows.groupBy("key", "l", "r").agg(F.min(F.struct("doc", "th", "start")).alias("top"))
+    spread = windows.join(head, ["key", "l", "r"]).where(_after("doc", "th", "start")).selectExpr("doc", "th", "start a", f"start + {WINDOW} b")
     return again.union(later).union(copies).union(found).union(spread)
 
 

@@ -129,6 +129,20 @@ def test_substring_dedup_null_and_repeated_ids(spark):
     t = "the quick brown fox jumps over the lazy dog again and again until it has had quite enough of the dog for one day"
     got = sorted((r.doc_id or -1, r.n_removed) for r in substring_dedup.dedup(frame(spark, [(5, t), (5, t), (None, t), (6, t)])).collect())
     assert got == [(-1, len(t)), (5, 0), (5, 0), (6, len(t))]
+    rng = np.random.default_rng(7)
+    draw = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared, inner, tail = draw(400), draw(150), draw(160)
+    rows = [(i, draw(200) + shared + draw(90)) for i in (5, 5, 5, None, None, 9)]
+    rows += [(None, tail), (None, tail + "x"), (None, tail), (3, "A" + inner + "B" + inner), (3, "C" + inner), (None, None), (None, "")]
+    frames = frame(spark, rows).select("doc_id", "text").repartition(4)
+    ordered = frames.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) th").collect()
+    ordered.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.th))
+    place = {}
+    for r in ordered:
+        place.setdefault((r.doc_id, r.text or ""), len(place))  # equal rows are one document
+    want = {k[0]: k[1:] for k in removed([(i, t) for (_, t), i in place.items()])}
+    got = sorted((r.doc_id or -1, *tuple(r)[1:5]) for r in substring_dedup.dedup(frames).collect())
+    assert got == sorted((i or -1, *want[place[i, t or ""]]) for i, t in rows)
 
 
 def test_suffix_arrays():
