@@ -1,6 +1,6 @@
 """Toxicity: character n-gram linear classifier on naive Bayes log-count ratios.
 
-A text's features are the distinct 4-, 6- and 8-byte n-grams of its whole text (A-Z as
+A text's features are the distinct n-grams of 4, 6 and 8 code points of its whole text (A-Z as
 a-z, white space as one kind), hashed into a fixed number of slots. Each slot's
 scale is its log-count ratio r = log((p + a) / |p|) - log((n + a) / |n|) over toxic
 and other training texts, drawn towards 0 by two standard errors so that rare n-grams
@@ -28,14 +28,15 @@ from pyspark.sql import functions as F
 
 from prepcast.llm.labelled import held_out, labelled_sample
 from prepcast.llm.scratch import written
-from prepcast.llm.text import LOWER, SPACE, slices, text_buffer
+from prepcast.llm.text import LOWER, SPACE, mix, slices, text_buffer
 
 SIZES = (4, 6, 8)
 SLOT_BITS = 18
+PART = 1 << 19  # code points whose n-grams are held at a time
 MAX_ROWS = 6000
 THRESHOLD = 0.5
 _ODD = np.random.default_rng(13).integers(0, 2**63, 9, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLD = np.where(SPACE, 32, LOWER).astype(np.uint64)
+_FOLD = np.where(SPACE, 32, LOWER).astype(np.uint32)
 
 
 @dataclass
@@ -55,25 +56,37 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, first): sorted distinct slots of each text."""
-    n, texts = len(data), len(offs) - 1
-    text = np.repeat(np.arange(texts, dtype=np.uint64), np.diff(offs))
-    end = np.repeat(offs[1:], np.diff(offs))
-    letters = _FOLD[data]
-    keys = []
-    packed = letters.copy()
-    for k in range(2, max(SIZES) + 1):
-        packed = (packed[:-1] << np.uint64(8)) | letters[k - 1:]
-        if k in SIZES:
-            whole = np.arange(n - k + 1) + k <= end[:n - k + 1]
-            slot = (packed * _ODD[k]) >> np.uint64(64 - SLOT_BITS)
-            keys.append(((text[:n - k + 1] << np.uint64(SLOT_BITS)) | slot)[whole])
-        if not len(packed):
-            break
-    found = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-    if len(found):
-        found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+def _code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded code points of the texts, and the texts' borders among them."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+    plain = points < 128
+    points[plain] = _FOLD[points[plain]]
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+    return points, before[offs]
+
+
+def features(data: np.ndarray, offs: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, first): sorted distinct slots of each text; n-grams are made ``PART`` starts at a time."""
+    texts = len(offs) - 1
+    points, offs = _code_points(data, offs)
+    parts = []
+    for begin in range(0, len(points), PART):
+        stop = min(begin + PART, len(points))
+        letters = points[begin:stop + max(sizes) - 1].astype(np.uint64)
+        border = np.clip(offs, begin, stop)
+        text = np.repeat(np.arange(texts, dtype=np.uint64) << np.uint64(SLOT_BITS), np.diff(border))
+        room = np.repeat(offs[1:], np.diff(border)) - np.arange(begin, stop)
+        packed = letters
+        for k in range(2, max(sizes) + 1):
+            packed = packed[:-1] * _ODD[0] + letters[k - 1:]
+            if k in sizes:
+                n = min(len(packed), stop - begin)
+                slot = mix(packed[:n] * _ODD[k]) >> np.uint64(64 - SLOT_BITS)
+                parts.append(np.unique((text[:n] | slot)[room[:n] >= k]))
+            if not len(packed):
+                break
+    found = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
     first = np.searchsorted(found, np.arange(texts + 1, dtype=np.uint64) << np.uint64(SLOT_BITS))
     return (found & np.uint64((1 << SLOT_BITS) - 1)).astype(np.uint32), first
 
@@ -116,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << SLOT_BITS), np.int64)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             slots, first = features(*text_buffer(batch.column("text")))
             y = np.repeat(batch.column("y").to_numpy(), np.diff(first))
             sums += np.stack([np.bincount(slots[y == k], minlength=1 << SLOT_BITS) for k in (0, 1)])
@@ -135,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max
     telling = sample.sparkSession.sparkContext.broadcast(ratio != 0)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             slots, first = features(*text_buffer(batch.column("text")))
             texts = [t[telling.value[t]].tobytes() for t in np.split(slots, first[1:-1])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(texts, pa.binary())], names=["doc_id", "y", "slots"])
@@ -151,7 +164,7 @@ def score(docs: DataFrame, model: Model, folds: int = 5, held: int = 0, threshol
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             s = shared.value.score(*features(*text_buffer(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -164,7 +177,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             s = shared.value.score(*features(*text_buffer(batch.column("text"))))
             yield batch.filter(pa.array(s < threshold))
 

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from prepcast.llm import compression, context_mixing, pii
+from prepcast.llm import compression, context_mixing, pii, toxicity
 
 
 def test_mixing_counts_are_exact_and_cross_words(spark):
@@ -143,3 +143,26 @@ def test_pii_many_matches_in_one_text(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
     assert clean[1] == "; ".join(f"\U0001F600 note {i} to [EMAIL], call [PHONE]" for i in range(n))
     assert clean[2] == "x" * 9000 + " [EMAIL] " + "y" * 9000
+
+
+def test_toxicity_features_are_of_code_points(monkeypatch):
+    """Equal n-grams of code points share a slot wherever they stand, also across the parts of a long text."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("aBé \n漢\U0001F600z"), n)) for n in (0, 3, 4, 8, 50, 400, 1)]
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    slots, first = toxicity.features(data, offs)
+    fold = [re.sub(r"[\t-\r ]", " ", re.sub("[A-Z]", lambda m: m.group().lower(), t)) for t in texts]
+    slot_of = {}
+    for i, t in enumerate(fold):
+        own = slots[first[i]:first[i + 1]].tolist()
+        assert own == sorted(set(own))
+        grams = {t[a:a + k] for k in toxicity.SIZES for a in range(len(t) - k + 1)}
+        for g in grams:
+            one, border = toxicity.features(np.frombuffer(g.encode(), np.uint8), np.array([0, len(g.encode())]), (len(g),))
+            slot_of[g] = int(one[0])
+        assert set(own) == {slot_of[g] for g in grams}
+    assert len(set(slot_of.values())) > 0.98 * len(slot_of)
+    monkeypatch.setattr(toxicity, "PART", 37)
+    again, border = toxicity.features(data, offs)
+    assert again.tolist() == slots.tolist() and border.tolist() == first.tolist()
