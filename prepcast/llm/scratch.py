@@ -33,6 +33,18 @@ def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``written`` returned; call it when all that reads the table has been written itself."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if not files:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    if path.getParent().getName() != shared_dir(spark).rsplit("/", 1)[-1]:
+        raise ValueError(f"{path} is no table of the shared folder")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions for explicit range or hash dealing; follows the session's shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepcast.llm.grouped_suffixes import suffix_array
-from prepcast.llm.scratch import written
+from prepcast.llm.scratch import discard, written
 from prepcast.llm.sieve import sieve
 from prepcast.llm.text import BYTE, mix, prefix_hash, slices, span_hash, text_buffer
 
@@ -46,7 +46,7 @@ SPAN = WINDOW - GRAM + 1
 CORE = WINDOW - SLOT + 1
 BUCKET_PIECES = 2000
 HOT = 4096
-TABLE_BITS = 25
+MIN_BITS, TABLE_BITS = 16, 28
 LAST = 2**63 - 1
 SLICE_BYTES = 4 << 20
 _U = np.uint64
@@ -191,52 +191,69 @@ def _repeats(table: pa.Table) -> pa.Table:
 
 
 def removed_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc, th, a, b): byte ranges to remove from documents (doc, th, text); they may overlap."""
+    """(doc, th, a, b): byte ranges to remove from documents (doc, th, text); they may overlap.
+
+    Ranges are written as soon as they are known, and each working table is deleted once all that reads it is written.
+    """
     counted = written(_anchor_counts(docs), "dedup-anchors", free=True)
     marks = written(_marks(docs, _mixed_table(counted)), "dedup-intervals", free=True)
-    again = marks.where("again").selectExpr("doc", "th", "lo a", f"lo + more + {WINDOW} b")
+    discard(counted)
+    again = written(marks.where("again").selectExpr("doc", "th", "lo a", f"lo + more + {WINDOW} b"), "dedup-again")
     once = marks.where("not again")
     kinds = once.groupBy("anchor", "whole").agg(F.min(F.struct("doc", "th")).alias("top"))
-    shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
-    ranked = written(once.join(kinds, ["anchor", "whole"]).select("doc", "th", "anchor", "lo", "more", "offset", F.expr(_after("doc", "th")).alias("later")), "dedup-ranked", free=True)
-    later = ranked.where("later").selectExpr("doc", "th", "lo a", f"lo + more + {WINDOW} b")
-    spans = ranked.where("not later").join(shared, "anchor").groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "more", "offset")).alias("spans"))
+    ranked = once.join(kinds, ["anchor", "whole"]).select("doc", "th", "anchor", "whole", "lo", "more", "offset", F.expr(_after("doc", "th")).alias("later"))
+    ranked = written(ranked, "dedup-ranked", free=True)
+    discard(marks)
+    later = written(ranked.where("later").selectExpr("doc", "th", "lo a", f"lo + more + {WINDOW} b"), "dedup-later")
+    least = ranked.where("not later")
+    shared = least.groupBy("anchor").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low <> high").select("anchor")
+    spans = least.join(shared, "anchor").groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "more", "offset")).alias("spans"))
     spans = written(spans, "dedup-spans", free=True)
+    discard(ranked)
     texts = sieve(docs.select("doc", "th", "text"), "th", spans.select("th"))
     pieces = written(texts.join(spans, ["doc", "th"]).mapInArrow(_pieces, "doc long, th long, key long, left binary, right binary, start long, extra int"), "dedup-pieces", free=True)
+    discard(spans)
     same = pieces.groupBy("key", "left", "right").agg(F.min(F.struct("doc", "th", "start")).alias("top"))
     first = written(same.select("key", "left", "right", "top.*", F.expr(f"length(left) + length(right) - {SLOT - 1}").cast("int").alias("extra")), "dedup-kinds", free=True)
     met = pieces.join(first.selectExpr("key", "left", "right", "struct(doc, th, start) as top"), ["key", "left", "right"])
-    copies = met.where(_after("doc", "th", "start")).selectExpr("doc", "th", "start a", f"start + extra + {WINDOW} b")
+    copies = written(met.where(_after("doc", "th", "start")).selectExpr("doc", "th", "start a", f"start + extra + {WINDOW} b"), "dedup-copies", free=True)
+    discard(pieces)
     many = first.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     mixed = written(first.join(many, "key"), "dedup-mixed", free=True)
+    discard(first)
     buckets = max(1, mixed.count() // BUCKET_PIECES)
     found = mixed.where(F.col("kinds") <= hot).groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(_repeats, _RANGE)
     wide = mixed.where(F.col("kinds") > hot).select("key", "doc", "th", "left", "right", F.explode(F.expr("sequence(0, extra)")).alias("i"), "start")
     windows = wide.select("key", "doc", "th", (F.col("start") + F.col("i")).alias("start"), F.expr("substring(left, i + 1)").alias("l"), F.expr(f"substring(right, 1, {SLOT - 1} - length(left) + i)").alias("r"))
     head = windows.groupBy("key", "l", "r").agg(F.min(F.struct("doc", "th", "start")).alias("top"))
     spread = windows.join(head, ["key", "l", "r"]).where(_after("doc", "th", "start")).selectExpr("doc", "th", "start a", f"start + {WINDOW} b")
-    return again.union(later).union(copies).union(found).union(spread)
+    rest = written(found.union(spread), "dedup-found", free=True)
+    discard(mixed)
+    return again.union(later).union(copies).union(rest)
 
 
 def _mixed_table(counted: DataFrame) -> np.ndarray:
-    """Bit table of repeated anchors, over the same mixed hash that ``_marks`` looks up."""
+    """Bit table of repeated anchors, over the same mixed hash that ``_marks`` looks up.
+
+    It has eight bits an anchor, up to 2**``TABLE_BITS`` (32 MiB). It only spares intervals
+    the joins that follow; what passes it wrongly is alone with its anchor there.
+    """
+    size = min(TABLE_BITS, max(MIN_BITS, (8 * counted.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spot = mix(batch.column("anchor").to_numpy().view(_U)) >> _U(64 - TABLE_BITS)
+            spot = mix(batch.column("anchor").to_numpy().view(_U)) >> _U(64 - size)
             word, at = np.unique((spot >> _U(5)).astype(np.int64), return_inverse=True)
             bits = np.zeros(len(word), np.int64)
             np.bitwise_or.at(bits, at, np.int64(1) << (spot & _U(31)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits)], names=["word", "bits"])
 
     rows = counted.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros((1 << TABLE_BITS) // 32, np.uint32)
+    table = np.zeros((1 << size) // 32, np.uint32)
     table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
     return table
 
 
-
 def _kept(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(remaining bytes, removed bytes, maximal removed runs)."""
     out, at, removed, runs, end = [], 0, 0, 0, -1
