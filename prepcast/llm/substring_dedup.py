@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,29 +134,32 @@ def _marks(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, anchor long, whole long, lo long, more int, offset int, again boolean")
 
 
+def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes ``starts[i]:ends[i]`` as a binary column."""
+    size = ends - starts
+    offs = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=offs[1:])
+    at = np.repeat(starts - offs[:-1], size) + np.arange(offs[-1])
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(data[at])])
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut each listed interval of each text into slot pieces."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            raw = (batch.column("text")[row].as_py() or "").encode()
-            prefix = prefix_hash(BYTE[np.frombuffer(raw, np.uint8)])
-            spans = batch.column("spans")[row].values
-            lo, more, offset = (spans.field(c).to_numpy() for c in ("lo", "more", "offset"))
-            q, least = lo + offset, offset - more
-            out: list[list] = [[] for _ in range(5)]
-            for slot in range(0, SPAN, SLOT):
-                a, z = np.maximum(least, slot), np.minimum(offset, slot + SLOT - 1)
-                k = np.flatnonzero(a <= z)
-                begin = q[k] - slot
-                core = mix(span_hash(prefix, begin, begin + CORE) + _U(slot + 1)).view(np.int64)
-                for i, key, at in zip(k.tolist(), core.tolist(), begin.tolist()):
-                    out[0].append(key)
-                    out[1].append(raw[int(q[i]) - int(z[i]):at])
-                    out[2].append(raw[at + CORE:int(q[i]) - int(a[i]) + WINDOW])
-                    out[3].append(int(q[i]) - int(z[i]))
-                    out[4].append(int(z[i]) - int(a[i]))
-            n = len(out[0])
-            cols = [pa.array([batch.column("doc")[row].as_py()] * n, pa.int64()), pa.array([batch.column("th")[row].as_py()] * n, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32())]
+    for batch in slices(batches, "text", SLICE_BYTES):
+        data, offs = text_buffer(batch.column("text"))
+        prefix = prefix_hash(BYTE[data])
+        spans = batch.column("spans")
+        text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(spans).to_numpy())
+        lo, more, offset = (x.to_numpy() for x in spans.flatten().flatten())
+        q, least = offs[text] + lo + offset, offset - more
+        for slot in range(0, SPAN, SLOT):
+            a, z = np.maximum(least, slot), np.minimum(offset, slot + SLOT - 1)
+            k = np.flatnonzero(a <= z)
+            a, z, at, row = a[k].astype(np.int64), z[k].astype(np.int64), q[k], text[k]
+            begin = at - slot
+            core = mix(span_hash(prefix, begin, begin + CORE) + _U(slot + 1)).view(np.int64)
+            doc, th = (batch.column(c).take(pa.array(row)) for c in ("doc", "th"))
+            cols = [doc, th, pa.array(core), _cut(data, at - z, begin), _cut(data, begin + CORE, at - a + WINDOW), pa.array(at - z - offs[row]), pa.array((z - a).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "th", "key", "left", "right", "start", "extra"])
 
 
