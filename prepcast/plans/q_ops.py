@@ -245,6 +245,16 @@ def join_left_group(spark, sf):
     return kpi.carry_inputs(T.odl(spark, sf), T.dcl(spark, sf)).select("day_id", "amount_kg")
 
 
+@register("join_left_group_closed_day", sql((), f"""
+SELECT d.day_id, {R('t.sum_g / 1000', 2)} AS amount_kg
+FROM dcl d LEFT JOIN (SELECT l.day_id, CAST(SUM({DEC}) AS DOUBLE) AS sum_g
+                      FROM (SELECT * FROM odl WHERE isodow(order_date) <> 4) l GROUP BY l.day_id) t ON d.day_id = t.day_id"""))
+def join_left_group_closed_day(spark, sf):
+    """No lines are taken on the weekly closing day; its rows of the daily log stay, without an amount."""
+    open_days = T.odl(spark, sf).where(F.weekday("order_date") != 3)
+    return kpi.carry_inputs(open_days, T.dcl(spark, sf)).select("day_id", "amount_kg")
+
+
 @register("join_derived", sql((DAYT,), f"""
 SELECT d.day_id, d.is_holiday, {R('t.sum_g / 1000', 2)} AS sum_kg FROM dcl d JOIN dayt t ON d.day_id = t.day_id"""))
 def join_derived(spark, sf):
