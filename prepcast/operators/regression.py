@@ -52,7 +52,16 @@ def _sym(vec, m: int) -> np.ndarray:
 # 1. Gram aggregate
 # --------------------------------------------------------------------------
 
-def model_grams(df: DataFrame, models: dict[str, list[str]], target: str, groups: list[str]) -> DataFrame:
+def column_means(df: DataFrame, names: list[str], groups: list[str]) -> DataFrame:
+    """(groups, ``_c_<name>``): each group's mean of each column, 0 where it has no value."""
+    return df.groupBy(*groups).agg(*[F.coalesce(F.avg(F.col(cname).cast("double")), F.lit(0.0)).alias(f"_c_{cname}") for cname in names])
+
+
+def model_columns(models: dict[str, list[str]], target: str) -> list[str]:
+    return list(dict.fromkeys([cname for cols in models.values() for cname in cols] + [target]))
+
+
+def model_grams(df: DataFrame, models: dict[str, list[str]], target: str, groups: list[str], about: DataFrame | None = None) -> DataFrame:
     """One row per (group, model): ``n`` and the upper triangle of [1, x..., y]ᵀ[1, x..., y].
 
     Each model uses its own complete cases (rows where its columns and the
@@ -62,11 +71,11 @@ def model_grams(df: DataFrame, models: dict[str, list[str]], target: str, groups
 
     The sums are taken about ``shift``, the group's mean of each column and of
     the target, so large means cancel nothing: centred second moments keep
-    their digits whatever the level of the data.
+    their digits whatever the level of the data. ``about`` gives other shifts (in the form of
+    ``column_means``): sums about equal shifts can be added and subtracted.
     """
-    names = list(dict.fromkeys([cname for cols in models.values() for cname in cols] + [target]))
-    means = df.groupBy(*groups).agg(*[F.coalesce(F.avg(F.col(cname).cast("double")), F.lit(0.0)).alias(f"_c_{cname}") for cname in names])
-    df = join_groups(df, means, groups)
+    names = model_columns(models, target)
+    df = join_groups(df, column_means(df, names, groups) if about is None else about, groups)
     ok_cols, term_cols = [], []
     for k, (_, cols) in enumerate(models.items()):
         mask = F.col(target).isNotNull()
@@ -218,7 +227,12 @@ def _round(c: Column) -> Column:
 def ols_summary(df: DataFrame, cols: list[str], target: str, groups: list[str], model: str = "ols",
                 with_p: bool = True) -> DataFrame:
     """Long summary: one row per (group, term) with coef / se / t (/ p) and the model's fit statistics."""
-    j = ols_long(model_grams(df, {model: cols}, target, groups), groups)
+    return summarise(model_grams(df, {model: cols}, target, groups), groups, with_p)
+
+
+def summarise(grams: DataFrame, groups: list[str], with_p: bool = True) -> DataFrame:
+    """The rows of ``ols_summary`` for every (group, model) Gram row."""
+    j = ols_long(grams, groups)
     extra = []
     if with_p:
         extra = [_round(F.expr(t_p_sql("t", "df_resid"))).alias("p"),

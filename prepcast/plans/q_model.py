@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prepcast.operators import backtest, corr, influence, regression
+from prepcast.operators import backtest, corr, gram_store, influence, regression
 from prepcast.operators.features import FEATURE_COLUMNS
 from prepcast.plans import tables as T
 from prepcast.plans.catalog import register
 from prepcast.plans.forward_sql import forward_ctes
 from prepcast.plans.oracle_sql import F_P, FEATURE_CTES, T_P, R, sql
+from prepcast.session import scratch_path
 
 STORE = ["store_id"]
 T1, T2 = "cumul_16_19", "cumul_20_22"
@@ -245,6 +246,18 @@ def reg_ols(spark, sf):
     return regression.ols_summary(af(spark, sf), T2_MODEL, T2, STORE, model="t2", with_p=False)
 
 
+@register("reg_ols_refreshed", sql((*AF_CTES, _ols2("af", T2, *T2_MODEL)), _ols2_long("o2", "t2", *T2_MODEL)))
+def reg_ols_refreshed(spark, sf):
+    """A stored Gram table of the days before ``TRAIN_END``, with the outlier days entered wrongly, after a refresh
+    that takes these out, enters them anew and adds the days since: the fit of all rows."""
+    models, rows, path = {"t2": T2_MODEL}, af(spark, sf), scratch_path(spark, "grams")
+    wrong = F.col("date").isin(*[F.to_date(F.lit(d)) for d in OUTLIER_DATES])
+    before = rows.where(F.col("date") < TRAIN_END).withColumn(T2, F.when(wrong, F.col(T2) * 2).otherwise(F.col(T2)))
+    gram_store.create(path, before, models, T2, STORE)
+    gram_store.refresh(path, before.where(wrong), rows.where(wrong | (F.col("date") >= TRAIN_END)), models, T2, STORE)
+    return regression.summarise(gram_store.stored(spark, path), STORE, with_p=False)
+
+
 @register("reg_ols_pvalue", sql((*AF_CTES, _ols2("af", T2, *T2_MODEL)), _ols2_long("o2", "t2", *T2_MODEL, with_p=True)))
 def reg_ols_pvalue(spark, sf):
     return regression.ols_summary(af(spark, sf), T2_MODEL, T2, STORE, model="t2")
