@@ -135,6 +135,30 @@ def test_wilcoxon_counts_zeros(spark):
     assert not stats.wilcoxon(df, "x", "y", ["grp"], method="approx").filter("exact").count()
 
 
+def test_st_wilcoxon_says_where_the_exact_null_holds(spark, monkeypatch):
+    import duckdb
+
+    from prepcast.plans import q_analysis as Q
+    from prepcast.plans.catalog import ORACLE
+    from prepcast.plans.oracle_sql import sql
+
+    groups = {"plain": [1, -2, 3, 4], "ties": [1, 1, -2, 3], "zero": [0, 1, 2], "none": [0, 0], "long": range(1, 52)}
+    rows = [(g, float(d), 0.0) for g, ds in groups.items() for d in ds]
+    h3 = spark.createDataFrame(rows, "store_id string, cumul_16_19 double, cumul_20_22 double")
+    monkeypatch.setattr(Q.T, "h3", lambda *_: h3)
+    out = Q.st_wilcoxon(spark, "")
+    assert {r["store_id"]: r["exact"] for r in out.collect()} == {"plain": True, "ties": False, "zero": False, "none": False, "long": False}
+    body = Q._wilcoxon_body(False)
+    assert body in ORACLE["st_wilcoxon"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE h3 (store_id VARCHAR, cumul_16_19 DOUBLE, cumul_20_22 DOUBLE)")
+    con.executemany("INSERT INTO h3 VALUES (?, ?, ?)", rows)
+    cur = con.execute(sql((Q._WIL,), body))
+    cols = [c[0] for c in cur.description]
+    assert sorted(cols) == sorted(out.columns)
+    assert sorted(tuple(r[c] for c in cols) for r in out.collect()) == sorted(cur.fetchall())
+
+
 def test_single_series_form_equals_the_only_group(sample):
     pdf, df = sample
     one = df.filter("grp = 'a'")
