@@ -33,6 +33,8 @@ from prepcast.llm.text import LOWER, SPACE, mix, slices, text_buffer
 SIZES = (4, 6, 8)
 SLOT_BITS = 18
 PART = 1 << 19  # code points whose n-grams are held at a time
+BLOCK = 1 << 14  # code points hashed at a time
+SHORT = 2000  # texts of fewer code points are sorted
 MAX_ROWS = 6000
 THRESHOLD = 0.5
 _ODD = np.random.default_rng(13).integers(0, 2**63, 9, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,29 +68,53 @@ def _code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return points, before[offs]
 
 
-def features(data: np.ndarray, offs: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, first): sorted distinct slots of each text; n-grams are made ``PART`` starts at a time."""
-    texts = len(offs) - 1
-    points, offs = _code_points(data, offs)
-    parts = []
-    for begin in range(0, len(points), PART):
-        stop = min(begin + PART, len(points))
-        letters = points[begin:stop + max(sizes) - 1].astype(np.uint64)
-        border = np.clip(offs, begin, stop)
-        text = np.repeat(np.arange(texts, dtype=np.uint64) << np.uint64(SLOT_BITS), np.diff(border))
-        room = np.repeat(offs[1:], np.diff(border)) - np.arange(begin, stop)
+def _slots_at(points: np.ndarray, begin: int, stop: int, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """By size: the slots of the n-grams that start from ``begin`` to before ``stop``, as far as there are enough code points."""
+    out = {k: np.empty(max(min(stop, len(points) - k + 1) - begin, 0), np.int64) for k in sizes}
+    for a in range(begin, stop, BLOCK):  # blocks that stay in a core's cache
+        b = min(a + BLOCK, stop)
+        letters = points[a:b + max(sizes) - 1].astype(np.uint64)
         packed = letters
         for k in range(2, max(sizes) + 1):
-            packed = packed[:-1] * _ODD[0] + letters[k - 1:]
+            packed = packed[:-1] * _ODD[0]
+            packed += letters[k - 1:]
             if k in sizes:
-                n = min(len(packed), stop - begin)
-                slot = mix(packed[:n] * _ODD[k]) >> np.uint64(64 - SLOT_BITS)
-                parts.append(np.unique((text[:n] | slot)[room[:n] >= k]))
+                n = min(len(packed), b - a)
+                out[k][a - begin:a - begin + n] = (mix(packed[:n] * _ODD[k]) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
             if not len(packed):
                 break
-    found = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-    first = np.searchsorted(found, np.arange(texts + 1, dtype=np.uint64) << np.uint64(SLOT_BITS))
-    return (found & np.uint64((1 << SLOT_BITS) - 1)).astype(np.uint32), first
+    return out
+
+
+def features(data: np.ndarray, offs: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, first): sorted distinct slots of each text; n-grams are made ``PART`` starts at a time.
+
+    A long text's slots are marked in a table of all slots and read off in order; a short text's are sorted.
+    """
+    points, offs = _code_points(data, offs)
+    border, count = offs.tolist(), np.zeros(len(offs), np.int64)
+    marks, found, i = np.zeros(1 << SLOT_BITS, bool), [], 0
+    for begin in range(0, len(points), PART):
+        stop = min(begin + PART, len(points))
+        slots = _slots_at(points, begin, stop, sizes)
+        while i < len(border) - 1 and border[i] < stop:
+            start, end = border[i], border[i + 1]
+            a = max(start, begin) - begin
+            parts = [slots[k][a:max(min(end - k + 1, stop) - begin, a)] for k in sizes]
+            if start >= begin and end <= stop and end - start < SHORT:
+                at = np.sort(np.concatenate(parts).astype(np.uint32))
+                at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+            else:
+                for x in parts:
+                    marks[x] = True
+                if end > stop:  # goes on in the next part
+                    break
+                at = np.flatnonzero(marks)
+                marks[at] = False
+            found.append(at.astype(np.uint32))
+            count[i + 1] = len(at)
+            i += 1
+    return np.concatenate(found) if found else np.zeros(0, np.uint32), np.cumsum(count)
 
 
 def ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, alpha: float = 1.0, errors: float = 2.0) -> np.ndarray:
