@@ -8,11 +8,26 @@ worker and is emptied when full, so its memory is bounded.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 
 CACHE_WORDS = 700_000
 LONG_WORD = 256
+#: Words of Latin-1 letters: one piece, which normalising lowers at most.
+_PLAIN = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+PLAIN = re.compile(_PLAIN).fullmatch
+#: Such a word, and a run of marks behind it, which is the next piece.
+MARKED = re.compile(rb"(" + _PLAIN + rb")([!-&(-/:-@\[-`{-~]+)").fullmatch
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level tokenizers show each byte as a character: these bytes as they are, the others from 256 on.
+BYTE_LEVEL = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: The steps before the model for which the above holds.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 class Encoder:
@@ -20,9 +35,11 @@ class Encoder:
 
     Words are looked up with ASCII capitals lowered, as the tokenizer lowers them
     itself (not in a text with ``<|``: special tokens are matched as written). A
-    point or comma after a letter or digit is a piece of its own, so such a word
-    is its stem and the mark. Two generations of at most ``cache_words`` words are
+    point or comma after a letter or digit is a piece of its own, and so is a run of marks
+    after a word of Latin letters: such a word is its stem and the mark or run. Two generations of at most ``cache_words`` words are
     kept: words of the older one that come up again move to the newer one.
+    New words of Latin letters go straight to the tokenizer's model if the steps
+    before it are those known to pass them on as they are; the others go through it all.
     """
 
     def __init__(self, file: str, cache_words: int = CACHE_WORDS):
@@ -34,7 +51,9 @@ class Encoder:
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.cache_words = cache_words
-        self.marks = {m: self._encode([m])[0] for m in (b".", b",")}
+        steps = json.loads(self.tok.to_str())
+        self.model = self.tok.model if (steps["normalizer"], steps["pre_tokenizer"], steps["post_processor"]) == (NORMALIZER, PRE_TOKENIZER, None) and not steps["truncation"] and not steps["padding"] else None
+        self.marks = (b".", b",")
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         out = self.tok.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
@@ -46,17 +65,30 @@ class Encoder:
         for w in words:
             if (known := old.get(w)) is not None:
                 new[w] = known
+            elif w.isalpha():
+                rest.append(w)
+            elif self.model is not None and (cut := MARKED(w)):
+                stems[w] = cut.groups()
             elif w[-1:] in marks and w[-2:-1].isalnum():
-                stems[w] = w[:-1]
+                stems[w] = w[:-1], w[-1:]
             else:
                 rest.append(w)
-        more = {s for s in stems.values() if s not in new and s not in words}
-        rest += more
+        more = {part for both in stems.values() for part in both}
+        rest += [x for x in more if x not in new and x not in words]
+        if self.model is not None:
+            split, others = self.model.tokenize, []
+            for w in rest:
+                if PLAIN(w):
+                    piece = w.decode() if w.isascii() else w.decode().lower().encode().decode("latin-1").translate(BYTE_LEVEL)
+                    new[w] = array("I", [t.id for t in split(piece)]).tobytes()
+                else:
+                    others.append(w)
+            rest = others
         for at in range(0, len(rest), 4096):
             part = rest[at:at + 4096]
             new.update(zip(part, self._encode(part)))
-        for w, s in stems.items():
-            new[w] = (new[s] if s in new else old[s]) + marks[w[-1:]]
+        for w, (stem, mark) in stems.items():
+            new[w] = new[stem] + new[mark]
 
     def ids(self, text: bytes) -> bytes:
         words = (text if b"<|" in text else text.lower()).split()
@@ -64,9 +96,11 @@ class Encoder:
             self.old, self.new = self.new, {}
         found = list(map(self.new.get, words))
         if None in found:
-            missing = {w for w, x in zip(words, found) if x is None}
+            gaps = [i for i, x in enumerate(found) if x is None]
+            missing = {words[i] for i in gaps}
             self._learn(missing)
-            found = [self.new[w] for w in words]
+            for i in gaps:
+                found[i] = self.new[words[i]]
             for w in missing:
                 if len(w) > LONG_WORD:  # rare and large: not worth keeping
                     del self.new[w]

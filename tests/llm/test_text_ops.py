@@ -323,3 +323,23 @@ def test_toxicity_slots_are_found_without_sorting_all_ngrams():
     finally:
         toxicity.PART = part
     assert (cut[0] == slots).all() and (cut[1] == first).all()
+
+
+def test_encoder_sends_words_of_latin_letters_straight_to_the_model():
+    from array import array
+
+    enc = Encoder(tokenizer_file(), cache_words=500)
+    assert enc.model is not None
+    sent, through = [], enc._encode
+    enc._encode = lambda words: sent.extend(words) or through(words)
+    rng = np.random.default_rng(3)
+    stems = ["".join(rng.choice([*"abcdefghijklmnopqrstuvwxyzßäöüéèçñÉÜÀÞ"], n)) for n in rng.integers(1, 12, 3000)]
+    words = [w + m for w, m in zip(stems, rng.choice(["", "", ".", ",", "!!", "&&&", "?!"], len(stems)))]
+    odd = ["don't", "x'", "×", "a×b", "÷", "éte", "İx", "ΑΣ", "a<|", "<|endoftext|>", "x.y,", "3.14,", "a1!!", "ﬁx.", "é__", "é́,", "ñ̃", "…", "a…", "!!", "."]
+    for at in range(0, len(words), 100):
+        text = " ".join([*words[at:at + 100], *odd, *words[at:at + 5]])
+        assert enc.ids(text.encode()) == array("I", enc.tok.encode(text, add_special_tokens=False).ids).tobytes()
+    assert len([w for w in sent if w.decode() in set(words) | set(stems)]) < 100  # all 3000 before
+    plain, enc.model = enc.ids(text.encode()), None  # another tokenizer's steps: all words go through them
+    enc.new, enc.old = {}, {}
+    assert enc.ids(text.encode()) == plain
