@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepcast.llm.labelled import held_out
-from prepcast.llm.scratch import written
+from prepcast.llm.scratch import discard, written
 from prepcast.llm.text import LOWER, SPACE, mix, per_text, slices, text_buffer, word_bounds, word_hashes
 
 ORDERS = (1, 2, 3, 4, 5, 7)
@@ -441,6 +441,7 @@ def text_scores(texts: DataFrame, buckets: int, learnt: Learnt) -> DataFrame:
 
     asked = _sent(texts, buckets, training=False).drop("n")
     answers = written(asked.groupBy("bucket").cogroup(learnt.grams.groupBy("bucket")).applyInArrow(answer, "of long, bucket long, values binary"), "mixing-answers", free=True)
+    discard(learnt.grams)
 
     def add(part: pa.Table, answered: pa.Table) -> pa.Table:
         turn, first = _windows_of(part.column("sizes")[0], part.column("data")[0])
@@ -453,7 +454,10 @@ def text_scores(texts: DataFrame, buckets: int, learnt: Learnt) -> DataFrame:
         each[place] = value[np.cumsum(new) - 1]
         return pa.table({"doc_id": part.column("docs")[0].values, "h": part.column("hs")[0].values, "score": np.add.reduceat(each, first[:-1])})
 
-    return texts.drop("held", "bytes").groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(add, "doc_id long, h long, score double")
+    scores = written(texts.drop("held", "bytes").groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(add, "doc_id long, h long, score double"), "mixing-scores", free=True)
+    discard(answers)
+    discard(texts)
+    return scores
 
 
 def base_scores(docs: DataFrame) -> DataFrame:
@@ -492,17 +496,20 @@ def base_scores(docs: DataFrame) -> DataFrame:
         return pa.table({"doc_id": row["docs"].values, "h": row["hs"].values, "held_out": row["held"].values, "n_tokens": n, "n_known": per_text((c > 0)[at], first), "train_tokens": np.full(len(n), tokens), "base_score": per_text(value[at], first)})
 
     kinds = "doc_id long, h long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double"
-    return parts.drop("kinds", "counts").groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(look, kinds)
+    rows = written(parts.drop("kinds", "counts").groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(look, kinds), "mixing-base", free=True)
+    discard(parts)
+    discard(counts)
+    return rows
 
 
 def assess(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """Base and model scores of every document; learnt from those outside the held-out fold."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(folds, held).alias("held_out"), "text").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = written(base_scores(base), "mixing-base", free=True)
+    rows = base_scores(base)
     texts = written(_texts(base), "mixing-texts")
     buckets = max(LEAST_BUCKETS, (texts.agg(F.sum("bytes").alias("n")).first()["n"] or 0) // BUCKET_BYTES)
     learnt = train(texts, buckets)
-    each = written(text_scores(texts, buckets, learnt), "mixing-scores", free=True)
+    each = text_scores(texts, buckets, learnt)
     scores = each.groupBy("doc_id", "h").agg(F.max("score").alias("score")).selectExpr("doc_id as __doc", "h as __h", "score")
     joined = rows.join(scores, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

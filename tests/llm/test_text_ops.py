@@ -343,3 +343,15 @@ def test_encoder_sends_words_of_latin_letters_straight_to_the_model():
     plain, enc.model = enc.ids(text.encode()), None  # another tokenizer's steps: all words go through them
     enc.new, enc.old = {}, {}
     assert enc.ids(text.encode()) == plain
+
+
+def test_context_mixing_deletes_its_working_tables(spark, docs):
+    import os
+
+    from prepcast.llm.scratch import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert context_mixing.assess(docs).count() == len(TEXTS)
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before if not name.endswith(".crc")}
+    assert left == {"mixing-base", "mixing-scores"}  # slices, counts, grams, answers and texts stayed before
