@@ -27,11 +27,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepcast.llm.running import running
-from prepcast.llm.scratch import partitions, written
+from prepcast.llm.scratch import partitions, scan, stored, written
 
 TOTALS = ["n_leaves", "saved_tokens"]
 HEAVY = 1000  # a key with more than this share of the rows is one of fewer than this many
@@ -100,45 +100,48 @@ def children(active: DataFrame) -> DataFrame:
 
 def subtree_totals(nodes: DataFrame, weights: list[str]) -> DataFrame:
     """(id, *weights) summed over every node's subtree. ``nodes``: id, parent (null at roots), *weights (long)."""
-    active = nodes.select("id", "parent", *weights)
+    left = nodes.select("id", "parent", *weights).join(children(nodes).select("id", "kids"), "id", "left")
+    states = [stored(left, "trie-round")]  # by round: what is left when it begins; without children are those whose totals are known
     spliced: list[DataFrame] = []
-    final: list[list[DataFrame]] = [[]]  # by round: nodes whose totals are known when that round begins
-    rounds = 0
     while True:
-        # rake
-        now = written(active.join(children(active), "id", "left"), "trie-round")
-        leaves = now.where("kids is null").select("id", "parent", *weights)
-        final[rounds].append(leaves.select("id", *weights))
-        inner = now.where("kids is not null")
-        if not inner.take(1):
+        now = scan(left, states[-1])
+        if not now.where("kids is not null").take(1):
             break
-        given = leaves.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("gone"), *[F.sum(w).alias(f"add_{w}") for w in weights])
-        raked = inner.drop("kids", "child").join(given, "id", "left").select("id", "parent", *[(F.col(w) + F.coalesce(f"add_{w}", F.lit(0))).alias(w) for w in weights])
+        # rake: one sum by parent gives what its childless nodes add, and the children that stay
+        leaf = F.col("kids").isNull()
+        given = now.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(
+            F.count(F.when(~leaf, 1)).alias("stay"), F.min(F.when(~leaf, F.col("id"))).alias("child"), *[F.sum(F.when(leaf, F.col(w))).alias(f"add_{w}") for w in weights])
+        inner = now.where(~leaf).drop("kids").join(given, "id", "left")
+        raked = written(inner.select("id", "parent", *added(weights), F.when(F.col("stay") > 0, F.col("stay")).alias("kids"), "child"), "trie-raked")
         # compress
-        now = written(raked.join(children(raked), "id", "left"), "trie-round")
-        coin = F.xxhash64("id", F.lit(rounds)) % 2 == 0
-        heads = now.where((F.col("kids") == 1) & F.col("parent").isNotNull() & coin).select("id", "parent", "child", *weights)
+        coin = F.xxhash64("id", F.lit(len(spliced))) % 2 == 0
+        heads = raked.where((F.col("kids") == 1) & F.col("parent").isNotNull() & coin).drop("kids")
         out = written(heads.join(heads.select(F.col("child").alias("id")), "id", "left_anti"), "trie-spliced")
         spliced.append(out)
-        moved = out.select(F.col("child").alias("id"), F.col("parent").alias("up"))
-        added = out.groupBy(F.col("parent").alias("id")).agg(*[F.sum(w).alias(f"add_{w}") for w in weights])
-        rest = now.select("id", "parent", *weights).join(out.select("id"), "id", "left_anti")
-        rest = rest.join(moved, "id", "left").join(added, "id", "left")
-        active = rest.select("id", F.coalesce("up", "parent").alias("parent"), *[(F.col(w) + F.coalesce(f"add_{w}", F.lit(0))).alias(w) for w in weights])
-        rounds += 1
-        final.append([])
-    known = final[rounds]
-    for r in range(rounds - 1, -1, -1):  # every child was left after its round, so its total is among the known
-        total = known[0]
-        for x in known[1:]:
-            total = total.unionByName(x)
-        below = total.select(F.col("id").alias("child"), *[F.col(w).alias(f"add_{w}") for w in weights])
-        back = spliced[r].join(below, "child").select("id", *[(F.col(w) + F.col(f"add_{w}")).alias(w) for w in weights])
-        known = [*known, written(back, "trie-back"), *final[r]]
-    total = known[0]
-    for x in known[1:]:
-        total = total.unionByName(x)
-    return total
+        # one change a node at most for each of: it is out, its parent is, its children are
+        change = F.explode(F.array(
+            F.struct(F.col("id"), F.lit(True).alias("out"), F.lit(None).cast(out.schema["id"].dataType).alias("up"), *[F.lit(None).cast("long").alias(f"add_{w}") for w in weights]),
+            F.struct(F.col("child").alias("id"), F.lit(None).cast("boolean").alias("out"), F.col("parent").alias("up"), *[F.lit(None).cast("long").alias(f"add_{w}") for w in weights]),
+            F.struct(F.col("parent").alias("id"), F.lit(None).cast("boolean").alias("out"), F.lit(None).cast(out.schema["id"].dataType).alias("up"), *[F.col(w).alias(f"add_{w}") for w in weights])))
+        changes = out.select(change.alias("x")).select("x.*").groupBy("id").agg(F.max("out").alias("out"), F.max("up").alias("up"), *[F.sum(f"add_{w}").alias(f"add_{w}") for w in weights])
+        rest = raked.drop("child").join(changes, "id", "left").where("out is null")
+        states.append(stored(rest.select("id", F.coalesce("up", "parent").alias("parent"), *added(weights), "kids"), "trie-round"))
+    total = left.select("id", *weights)
+    back: list[str] = []
+
+    def known(since: int) -> DataFrame:
+        raked = scan(left, *states[since:]).where("kids is null").select("id", *weights)
+        return raked.unionByName(scan(total, *back)) if back else raked
+
+    for r in range(len(spliced) - 1, -1, -1):  # every child was left after its round, so its total is among the known
+        below = known(r + 1).select(F.col("id").alias("child"), *[F.col(w).alias(f"add_{w}") for w in weights])
+        back.append(stored(spliced[r].join(below, "child").select("id", *added(weights)), "trie-back"))
+    return known(0)
+
+
+def added(weights: list[str]) -> list[Column]:
+    """Each weight with what ``add_<weight>`` adds to it."""
+    return [(F.col(w) + F.coalesce(f"add_{w}", F.lit(0))).alias(w) for w in weights]
 
 
 def end_digests(ends: DataFrame) -> DataFrame:

@@ -90,3 +90,10 @@ def test_running_over_borders(spark, xor):
     for g, at, v in rows:
         sums[g] = sums[g] ^ v if xor else (sums[g] + v + 2**63) % 2**64 - 2**63
         assert got[at] == sums[g]
+
+
+def test_subtree_totals_are_read_by_two_scans(spark):
+    rows = [(i, i - 1 if i else None, 1) for i in range(60)]
+    got = subtree_totals(spark.createDataFrame(rows, "id long, parent long, w long"), ["w"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 2  # one or more a round before
+    assert {r["id"]: r["w"] for r in got.collect()} == {i: 60 - i for i in range(60)}
