@@ -270,3 +270,28 @@ def test_pipeline_stages_agree_with_their_operators(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(seen[3])
     again = P.run(spark, d)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_near_duplicates_send_small_batches_to_python(spark, monkeypatch):
+    from prepcast.llm import scratch
+
+    key, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, neardup.written
+    before = spark.conf.get(key)
+
+    def noted(df, name, *more):
+        seen[name] = max(seen.get(name, 0), int(spark.conf.get(key)))
+        return real(df, name, *more)
+
+    monkeypatch.setattr(neardup, "written", noted)
+    assert neardup.near_duplicates(frame(spark, [(1, "a b c d e f"), (2, "a b c d e g")])).count() == 2
+    # 10,000 texts, pairs of texts and pairs of blocks before
+    assert (seen["neardup-signed"], seen["neardup-links"], seen["neardup-block-links"]) == (neardup.TEXT_ROWS, neardup.PAIR_ROWS, neardup.BLOCK_ROWS)
+    assert spark.conf.get(key) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield type(batch).from_pydict({"id": [batch.num_rows]})
+
+    with scratch.small_batches(spark, 100):
+        most = spark.range(1000, numPartitions=1).mapInArrow(sizes, "id long").toPandas()["id"].max()
+    assert most == 100
