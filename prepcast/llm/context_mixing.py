@@ -13,7 +13,8 @@ dealt by their last NEAR context bytes to buckets, whose number follows the text
 size; so a bucket holds all that was seen after each of its contexts of NEAR and
 more bytes. The counts of shorter contexts (2**24 at most) are shared. To be scored,
 slices of documents send their distinct windows to the buckets and get each one's
-log probability back: a window is scored once, however many slices hold it.
+log probability back: a window is scored once, however many slices hold it. Slices
+are larger than what a task handles at once (a part), so that fewer windows travel.
 
 Everything is learnt from all training texts as Spark jobs. Weights are learnt
 online, batch after batch, in every partition from common starting weights and
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepcast.llm.labelled import held_out
-from prepcast.llm.scratch import discard, written
+from prepcast.llm.scratch import discard, small_batches, written
 from prepcast.llm.text import LOWER, SPACE, mix, per_text, slices, text_buffer, word_bounds, word_hashes
 
 ORDERS = (1, 2, 3, 4, 5, 7)
@@ -52,7 +53,7 @@ SLOT_BITS = 22
 GATES = 27
 PRIOR = np.float32(0.5)
 BUCKETS = 33
-SLICE_BYTES, BASE_BYTES = 6_000_000, 2_000_000
+SLICE_BYTES, LEARN_BYTES, ASK_BYTES, BASE_BYTES = 18_000_000, 4_000_000, 3_000_000, 2_000_000
 BUCKET_BYTES, LEAST_BUCKETS = 12_000_000, 24
 CHUNK_GRAMS = 200_000
 END_TOKEN = 0x1E0F7A11
@@ -271,32 +272,54 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "slice long, docs array<long>, hs array<long>, held array<boolean>, sizes array<long>, bytes long, data binary")
 
 
-def _windows_of(sizes: pa.Scalar, data: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    """(turned windows, first) of a slice."""
+Part = tuple[np.ndarray, np.ndarray, slice]
+
+
+def _parts(sizes: pa.Scalar, data: pa.Scalar, most: int) -> list[Part]:
+    """(bytes, borders, documents) of a slice's parts: texts of ``most`` bytes together, or one longer text."""
     offs = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())]).astype(np.int64)
-    key, first = windows(unpacked(data, np.uint8), offs, REACH)
+    text, at, out = unpacked(data, np.uint8), 0, []
+    while at < len(offs) - 1:
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
+        out.append((text[offs[at]:offs[to]], offs[at:to + 1] - offs[at], slice(at, to)))
+        at = to
+    return out
+
+
+def _windows_of(part: Part) -> tuple[np.ndarray, np.ndarray]:
+    """(turned windows, first) of a part."""
+    key, first = windows(*part[:2], REACH)
     return turned(key), first
 
 
+def _distinct(part: Part, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of a part (of the documents in ``keep``) in order, and how often each is there."""
+    turn, first = _windows_of(part)
+    if keep is not None:
+        turn = turn[np.repeat(keep[part[2]], np.diff(first))]
+    turn.sort()
+    at = np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]])) if len(turn) else np.zeros(0, np.int64)
+    return turn[at], np.diff(np.append(at, len(turn)))
+
+
 def _sent(texts: DataFrame, buckets: int, training: bool) -> DataFrame:
-    """(bucket, slice, grams, n): each slice's distinct windows, of training documents only or of all."""
+    """(bucket, slice, grams, n): distinct windows, of the training documents of each part or of all of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, sizes, held, data in zip(*(batch.column(c) for c in ("slice", "sizes", "held", "data"))):
-                turn, first = _windows_of(sizes, data)
                 if training:
-                    turn = turn[np.repeat(~held.values.to_numpy(zero_copy_only=False).astype(bool), np.diff(first))]
-                turn = np.sort(turn)
-                if not len(turn):
-                    continue
-                at = np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]]))
-                n = np.diff(np.append(at, len(turn)))
-                turn = turn[at]
-                order, kinds, first = dealt(turn, buckets)
-                parts = [order[a:b] for a, b in zip(first, first[1:])]
-                cols = [pa.array(kinds), pa.array(np.full(len(kinds), number.as_py())), pa.array([packed(turn[p]) for p in parts], pa.binary()), pa.array([packed(n[p]) if training else b"" for p in parts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "slice", "grams", "n"])
+                    keep = ~held.values.to_numpy(zero_copy_only=False).astype(bool)
+                    found = (_distinct(part, keep) for part in _parts(sizes, data, LEARN_BYTES))
+                else:
+                    found = [(np.unique(np.concatenate([_distinct(part)[0] for part in _parts(sizes, data, ASK_BYTES)])), None)]
+                for turn, n in found:
+                    if not len(turn):
+                        continue
+                    order, kinds, first = dealt(turn, buckets)
+                    places = [order[a:b] for a, b in zip(first, first[1:])]
+                    cols = [pa.array(kinds), pa.array(np.full(len(kinds), number.as_py())), pa.array([packed(turn[p]) for p in places], pa.binary()), pa.array([packed(n[p]) if training else b"" for p in places], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["bucket", "slice", "grams", "n"])
 
     return texts.mapInArrow(run, "bucket long, slice long, grams binary, n binary")
 
@@ -439,23 +462,28 @@ def text_scores(texts: DataFrame, buckets: int, learnt: Learnt) -> DataFrame:
                 value[i:j] = model.log10(turn[i:j])
         return pa.table({"of": asked.column("slice"), "bucket": asked.column("bucket"), "values": pa.array([packed(value[np.searchsorted(turn, x)]) for x in grams], pa.binary())})
 
-    asked = _sent(texts, buckets, training=False).drop("n")
-    answers = written(asked.groupBy("bucket").cogroup(learnt.grams.groupBy("bucket")).applyInArrow(answer, "of long, bucket long, values binary"), "mixing-answers", free=True)
-    discard(learnt.grams)
-
     def add(part: pa.Table, answered: pa.Table) -> pa.Table:
-        turn, first = _windows_of(part.column("sizes")[0], part.column("data")[0])
-        place = np.argsort(turn)
-        new = np.concatenate([[True], turn[place][1:] != turn[place][:-1]])
-        order, _, _ = dealt(turn[place[new]], buckets)
+        parts = []
+        for some in _parts(part.column("sizes")[0], part.column("data")[0], ASK_BYTES):
+            turn, first = _windows_of(some)
+            place = np.argsort(turn)
+            turn = turn[place]
+            new = np.concatenate([[True], turn[1:] != turn[:-1]])
+            rank = np.empty(len(turn), np.uint32)
+            rank[place] = np.cumsum(new) - 1
+            parts.append((turn[new], rank, first))
+        turn = np.unique(np.concatenate([kinds for kinds, _, _ in parts]))
+        order, _, _ = dealt(turn, buckets)
         value = np.empty(len(order))
         value[order] = np.concatenate([unpacked(answered.column("values")[int(i)], np.float32) for i in np.argsort(answered.column("bucket").to_numpy())])
-        each = np.empty(len(turn))
-        each[place] = value[np.cumsum(new) - 1]
-        return pa.table({"doc_id": part.column("docs")[0].values, "h": part.column("hs")[0].values, "score": np.add.reduceat(each, first[:-1])})
+        score = [np.add.reduceat(value[np.searchsorted(turn, kinds)][rank], first[:-1]) for kinds, rank, first in parts]
+        return pa.table({"doc_id": part.column("docs")[0].values, "h": part.column("hs")[0].values, "score": np.concatenate(score)})
 
-    scores = written(texts.drop("held", "bytes").groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(add, "doc_id long, h long, score double"), "mixing-scores", free=True)
-    discard(answers)
+    asked = _sent(texts, buckets, training=False).drop("n")
+    answers = asked.groupBy("bucket").cogroup(learnt.grams.groupBy("bucket")).applyInArrow(answer, "of long, bucket long, values binary")
+    with small_batches(texts.sparkSession, 4):
+        scores = written(texts.drop("held", "bytes").groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(add, "doc_id long, h long, score double"), "mixing-scores", free=True)
+    discard(learnt.grams)
     discard(texts)
     return scores
 
@@ -475,7 +503,7 @@ def base_scores(docs: DataFrame) -> DataFrame:
             kinds, at = np.unique(words.view(np.int64), return_inverse=True)
             train = np.repeat(~np.array(batch.column("held_out").to_numpy(zero_copy_only=False), bool), n)
             count = np.bincount(at, train, len(kinds)).astype(np.int64)
-            cols = [pa.array([number]), *(pa.array([batch.column(c)], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("h", pa.int64()), ("held_out", pa.bool_()))), pa.array([n], pa.list_(pa.int64())), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([kinds], pa.list_(pa.int64())), pa.array([count], pa.list_(pa.int64()))]
+            cols = [pa.array([number]), *(pa.array([batch.column(c)], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("h", pa.int64()), ("held_out", pa.bool_()))), pa.array([n], pa.list_(pa.int64())), pa.array([packed(at.astype(np.uint32))], pa.binary()), pa.array([kinds], pa.list_(pa.int64())), pa.array([count], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["slice", "docs", "hs", "held", "n", "at", "kinds", "counts"])
             number += 1
 
@@ -491,7 +519,7 @@ def base_scores(docs: DataFrame) -> DataFrame:
         row = {k: part.column(k)[0] for k in ("docs", "hs", "held", "n")}
         n = np.array(row["n"].as_py())
         first = np.concatenate([[0], np.cumsum(n)])
-        at = np.frombuffer(part.column("at")[0].as_buffer(), np.uint32)
+        at = unpacked(part.column("at")[0], np.uint32)
         value = np.log10((c + 0.1) / (tokens + 0.1 * (kinds_seen + 1)))
         return pa.table({"doc_id": row["docs"].values, "h": row["hs"].values, "held_out": row["held"].values, "n_tokens": n, "n_known": per_text((c > 0)[at], first), "train_tokens": np.full(len(n), tokens), "base_score": per_text(value[at], first)})
 

@@ -355,3 +355,28 @@ def test_context_mixing_deletes_its_working_tables(spark, docs):
     assert context_mixing.assess(docs).count() == len(TEXTS)
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before if not name.endswith(".crc")}
     assert left == {"mixing-base", "mixing-scores"}  # slices, counts, grams, answers and texts stayed before
+
+
+def test_written_free_leaves_no_shuffle_files(spark):
+    from prepcast.llm.scratch import written
+
+    files = lambda: {f for f in spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = files()
+    written(spark.range(1000).groupBy("id").count(), "freed", free=True)
+    assert not files() - before  # the last job's stayed until a later table was written
+
+
+def test_mixing_slices_in_parts_ask_for_each_window_once():
+    texts = [b"the cat", b"", b"sat on the mat " * 4, b"the cat sat", b""]
+    sizes, data = pa.scalar([len(t) for t in texts], pa.list_(pa.int64())), pa.scalar(context_mixing.packed(np.frombuffer(b"".join(texts), np.uint8)), pa.binary())
+    whole, = context_mixing._parts(sizes, data, 10**6)
+    parts = context_mixing._parts(sizes, data, 12)
+    assert [p[2] for p in parts] == [slice(0, 2), slice(2, 3), slice(3, 5)]
+    turn, first = context_mixing._windows_of(whole)
+    got = [context_mixing._windows_of(p) for p in parts]
+    assert np.array_equal(np.concatenate([t for t, _ in got]), turn) and np.array_equal(np.concatenate([np.diff(f) for _, f in got]), np.diff(first))
+    keep = np.array([True, False, True, False, True])
+    for part, kept in ((whole, None), (parts[0], keep), (parts[2], keep)):
+        t, f = context_mixing._windows_of(part)
+        kinds, n = np.unique(t if kept is None else t[np.repeat(kept[part[2]], np.diff(f))], return_counts=True)
+        assert all(np.array_equal(a, b) for a, b in zip((kinds, n), context_mixing._distinct(part, kept)))
