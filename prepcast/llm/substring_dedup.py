@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from prepcast.llm.grouped_suffixes import suffix_array
 from prepcast.llm.scratch import discard, written
 from prepcast.llm.sieve import sieve
-from prepcast.llm.text import BYTE, mix, prefix_hash, slices, span_hash, text_buffer
+from prepcast.llm.text import BYTE, mix, prefix_hash, slices, span_hash, text_buffer, window_hashes
 
 WINDOW, GRAM, SLOT = 100, 20, 9
 SPAN = WINDOW - GRAM + 1
@@ -49,7 +49,7 @@ BUCKET_PIECES = 2000
 HOT = 4096
 MIN_BITS, TABLE_BITS = 16, 28
 LAST = 2**63 - 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, BLOCK = 1 << 20, 1 << 15
 _U = np.uint64
 _RANGE = "doc long, th long, a long, b long"
 
@@ -62,27 +62,38 @@ def _after(*columns: str) -> str:
 
 def intervals(data: np.ndarray, offs: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, anchor place, first start, last start, anchor hash) of every interval of equal anchors."""
-    n = max(len(data) - GRAM + 1, 0)
-    if n < SPAN:
+    if len(data) < WINDOW:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, _U),)
-    at = np.arange(n)
-    hashes = span_hash(prefix, at, at + GRAM)
-    low = (hashes & ~_U((1 << 24) - 1)) | at.astype(_U)
-    size = 1
-    while 2 * size <= SPAN:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    low = np.minimum(low[:len(low) - (SPAN - size)], low[SPAN - size:])
-    room = np.diff(offs) - WINDOW + 1
-    some = np.flatnonzero(room > 0)
-    start = np.concatenate([np.arange(offs[i], offs[i] + room[i]) for i in some]) if len(some) else np.zeros(0, np.int64)
-    text = np.repeat(some, room[some])
-    q = (low[start] & _U((1 << 24) - 1)).astype(np.int64)
-    new = np.ones(len(start), bool)
-    new[1:] = (q[1:] != q[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    end = np.append(first[1:], len(start)) - 1
-    return text[first], q[first], start[first], start[end], hashes[q[first]]
+    hashes = window_hashes(prefix, GRAM)
+    q = _least_places(hashes)
+    room = np.maximum(np.diff(offs) - WINDOW + 1, 0)
+    new = np.ones(len(q), bool)
+    new[1:] = q[1:] != q[:-1]
+    new[offs[:-1][room > 0]] = True
+    stop = np.minimum(offs[1:], len(q))
+    short = np.maximum(stop - offs[:-1] - room, 0)  # places of a text from which no window starts
+    new[np.repeat(stop - np.cumsum(short), short) + np.arange(short.sum())] = False
+    lo = np.flatnonzero(new)
+    text = np.searchsorted(offs, lo, "right") - 1
+    hi = np.minimum(np.append(lo[1:], len(q)), (offs[:-1] + room)[text]) - 1
+    q = q[lo].astype(np.int64)
+    return text, q, lo, hi, hashes[q]
+
+
+def _least_places(hashes: np.ndarray) -> np.ndarray:
+    """Place of the least of every SPAN neighbouring hashes (upper 40 bits; leftmost of equal ones), block by block in the processor's cache."""
+    n = len(hashes) - SPAN + 1
+    out = np.empty(n, np.uint32)
+    for a in range(0, n, BLOCK):
+        b = min(a + BLOCK, n)
+        low = hashes[a:b + SPAN - 1] & ~_U((1 << 24) - 1)
+        low |= np.arange(a, b + SPAN - 1, dtype=_U)
+        size = 1
+        while 2 * size <= SPAN:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        out[a:b] = np.minimum(low[:b - a], low[SPAN - size:SPAN - size + b - a]) & _U((1 << 24) - 1)
+    return out
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]):

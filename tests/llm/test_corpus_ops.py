@@ -295,3 +295,24 @@ def test_near_duplicates_send_small_batches_to_python(spark, monkeypatch):
     with scratch.small_batches(spark, 100):
         most = spark.range(1000, numPartitions=1).mapInArrow(sizes, "id long").toPandas()["id"].max()
     assert most == 100
+
+
+def test_intervals_equal_brute_force():
+    from prepcast.llm.text import BYTE, prefix_hash, span_hash
+
+    rng, place = np.random.default_rng(4), (1 << 24) - 1
+    for sizes in ([0, 130, 99, 100, 0, 400, 1], [40, 59, 1], [99, 1], [70_000], []):  # the second and third stopped the job before
+        offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        data = rng.integers(97, 99, offs[-1]).astype(np.uint8)
+        prefix, want = prefix_hash(BYTE[data]), []
+        for i, (a, b) in enumerate(zip(offs, offs[1:])):
+            grams = span_hash(prefix, np.arange(a, max(a, b - substring_dedup.GRAM + 1)), np.arange(a + substring_dedup.GRAM, max(a + substring_dedup.GRAM, b + 1)))
+            key = [(int(h) & ~place) | int(a + k) for k, h in enumerate(grams)]
+            for lo in range(a, b - substring_dedup.WINDOW + 1):
+                q = min(key[lo - a:lo - a + substring_dedup.SPAN]) & place
+                if want and want[-1][:2] == [i, q]:
+                    want[-1][3] = lo
+                else:
+                    want.append([i, q, lo, lo, int(grams[q - a])])
+        got = substring_dedup.intervals(data, offs, prefix)
+        assert [list(map(int, x)) for x in zip(*got)] == want
