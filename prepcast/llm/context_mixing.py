@@ -53,7 +53,7 @@ SLOT_BITS = 22
 GATES = 27
 PRIOR = np.float32(0.5)
 BUCKETS = 33
-SLICE_BYTES, LEARN_BYTES, ASK_BYTES, BASE_BYTES = 18_000_000, 4_000_000, 3_000_000, 2_000_000
+SLICE_BYTES, LEARN_BYTES, ASK_BYTES, BASE_BYTES = 18_000_000, 4_000_000, 1_500_000, 2_000_000
 BUCKET_BYTES, LEAST_BUCKETS = 12_000_000, 24
 CHUNK_GRAMS = 200_000
 END_TOKEN = 0x1E0F7A11
@@ -302,24 +302,65 @@ def _distinct(part: Part, keep: np.ndarray | None = None) -> tuple[np.ndarray, n
     return turn[at], np.diff(np.append(at, len(turn)))
 
 
+def _ranked(part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct windows of a part in order, place of each symbol's window among them, first)."""
+    turn, first = _windows_of(part)
+    place = np.argsort(turn)
+    turn = turn[place]
+    new = np.concatenate([[True], turn[1:] != turn[:-1]])
+    rank = np.empty(len(turn), np.uint32)
+    rank[place] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return turn[new], rank, first
+
+
+@dataclass
+class Dealt:
+    """Distinct windows of a part by bucket: bucket b has ``turn[border[b]:border[b + 1]]``, in order."""
+
+    turn: np.ndarray
+    border: np.ndarray
+
+    @classmethod
+    def of(cls, turn: np.ndarray, buckets: int) -> tuple[Dealt, np.ndarray]:
+        """The windows by bucket, and where each was before."""
+        order, kinds, first = dealt(turn, buckets)
+        border = np.zeros(buckets + 1, np.int64)
+        border[kinds + 1] = np.diff(first)
+        return cls(turn[order], np.cumsum(border)), order
+
+    def place(self, bucket: int) -> slice:
+        return slice(self.border[bucket], self.border[bucket + 1])
+
+
+def _asked(parts: list[Dealt], bucket: int) -> np.ndarray:
+    """Distinct windows of a slice, given as its parts, in a bucket: what the slice asks of it, in order."""
+    return np.unique(np.concatenate([p.turn[p.place(bucket)] for p in parts]))
+
+
 def _sent(texts: DataFrame, buckets: int, training: bool) -> DataFrame:
     """(bucket, slice, grams, n): distinct windows, of the training documents of each part or of all of a slice."""
 
+    def rows(kinds: np.ndarray, number: pa.Scalar, grams: list[bytes], n: list[bytes]) -> pa.RecordBatch:
+        cols = [pa.array(kinds), pa.array(np.full(len(kinds), number.as_py())), pa.array(grams, pa.binary()), pa.array(n, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["bucket", "slice", "grams", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, sizes, held, data in zip(*(batch.column(c) for c in ("slice", "sizes", "held", "data"))):
                 if training:
                     keep = ~held.values.to_numpy(zero_copy_only=False).astype(bool)
-                    found = (_distinct(part, keep) for part in _parts(sizes, data, LEARN_BYTES))
-                else:
-                    found = [(np.unique(np.concatenate([_distinct(part)[0] for part in _parts(sizes, data, ASK_BYTES)])), None)]
-                for turn, n in found:
-                    if not len(turn):
-                        continue
-                    order, kinds, first = dealt(turn, buckets)
-                    places = [order[a:b] for a, b in zip(first, first[1:])]
-                    cols = [pa.array(kinds), pa.array(np.full(len(kinds), number.as_py())), pa.array([packed(turn[p]) for p in places], pa.binary()), pa.array([packed(n[p]) if training else b"" for p in places], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["bucket", "slice", "grams", "n"])
+                    for part in _parts(sizes, data, LEARN_BYTES):
+                        turn, n = _distinct(part, keep)
+                        if not len(turn):
+                            continue
+                        order, kinds, first = dealt(turn, buckets)
+                        places = [order[a:b] for a, b in zip(first, first[1:])]
+                        yield rows(kinds, number, [packed(turn[p]) for p in places], [packed(n[p]) for p in places])
+                else:  # bucket by bucket: all of a large slice's windows are held once, as its parts have them
+                    parts = [Dealt.of(_distinct(part)[0], buckets)[0] for part in _parts(sizes, data, ASK_BYTES)]
+                    kinds = np.flatnonzero(sum(np.diff(p.border) for p in parts))
+                    grams = [packed(_asked(parts, b)) for b in kinds]
+                    yield rows(kinds, number, grams, [b""] * len(kinds))
 
     return texts.mapInArrow(run, "bucket long, slice long, grams binary, n binary")
 
@@ -443,41 +484,61 @@ def train(texts: DataFrame, buckets: int, passes: int = 2) -> Learnt:
     return learnt
 
 
+def _bucket(asked: pa.ChunkedArray, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of a bucket, asked for or known, in order, and their counts; the slices' questions are unpacked one at a time."""
+    if not len(asked):
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    seen = [(unpacked(x, _U), unpacked(n, np.int64)) for x, n in zip(known.column("grams"), known.column("n"))]
+    turn, n = seen[0] if seen else (np.zeros(0, _U), np.zeros(0, np.int64))  # one row a bucket
+    new, more, waiting = np.zeros(0, _U), [], 0
+    for x in asked:
+        want = unpacked(x, _U)
+        if len(turn):
+            want = want[turn[np.minimum(np.searchsorted(turn, want), len(turn) - 1)] != want]
+        more.append(want)
+        waiting += len(want)
+        if waiting > max(len(new), CHUNK_GRAMS):
+            new, more, waiting = np.unique(np.concatenate([new, *more])), [], 0
+    new = np.unique(np.concatenate([new, *more]))
+    at = np.searchsorted(turn, new)
+    return np.insert(turn, at, new), np.insert(n, at, 0)
+
+
+def _added(sizes: pa.Scalar, data: pa.Scalar, buckets: int, answered: pa.Table) -> np.ndarray:
+    """The score of each text of a slice: its windows' answers, handed to the slice's parts bucket by bucket, summed."""
+    parts, texts = [], []
+    for part in _parts(sizes, data, ASK_BYTES):
+        kinds, rank, first = _ranked(part)
+        by_bucket, order = Dealt.of(kinds, buckets)
+        parts.append(by_bucket)
+        spot = np.empty(len(kinds), np.uint32)
+        spot[order] = np.arange(len(kinds), dtype=np.uint32)
+        texts.append((spot[rank], first))
+    values = [np.empty(len(p.turn), np.float32) for p in parts]
+    for bucket, value in zip(answered.column("bucket").to_pylist(), answered.column("values")):
+        asked, value = _asked(parts, bucket), unpacked(value, np.float32)
+        for p, own in zip(parts, values):
+            own[p.place(bucket)] = value[np.searchsorted(asked, p.turn[p.place(bucket)])]
+    return np.concatenate([np.add.reduceat(own[spot].astype(float), first[:-1]) for own, (spot, first) in zip(values, texts)])
+
+
 def text_scores(texts: DataFrame, buckets: int, learnt: Learnt) -> DataFrame:
     """doc_id, h (text hash), score: the model's log10 probability of each text."""
     make = learnt.maker()
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         model, shared = make()
-        grams = [unpacked(x, _U) for x in asked.column("grams")]
-        turn = np.unique(np.concatenate([*grams, *(unpacked(x, _U) for x in known.column("grams"))])) if grams else np.zeros(0, _U)
-        n = np.zeros(len(turn), np.int64)
-        for x, counts in zip(known.column("grams"), known.column("n")):
-            n[np.searchsorted(turn, unpacked(x, _U))] = unpacked(counts, np.int64)
+        turn, n = _bucket(asked.column("grams"), known)
         value = np.zeros(len(turn), np.float32)
         for piece in chunks(turn):
             model.learn(turn[piece], n[piece], shared)
             for i in range(piece.start, piece.stop, 65536):
                 j = min(i + 65536, piece.stop)
                 value[i:j] = model.log10(turn[i:j])
-        return pa.table({"of": asked.column("slice"), "bucket": asked.column("bucket"), "values": pa.array([packed(value[np.searchsorted(turn, x)]) for x in grams], pa.binary())})
+        return pa.table({"of": asked.column("slice"), "bucket": asked.column("bucket"), "values": pa.array([packed(value[np.searchsorted(turn, unpacked(x, _U))]) for x in asked.column("grams")], pa.binary())})
 
     def add(part: pa.Table, answered: pa.Table) -> pa.Table:
-        parts = []
-        for some in _parts(part.column("sizes")[0], part.column("data")[0], ASK_BYTES):
-            turn, first = _windows_of(some)
-            place = np.argsort(turn)
-            turn = turn[place]
-            new = np.concatenate([[True], turn[1:] != turn[:-1]])
-            rank = np.empty(len(turn), np.uint32)
-            rank[place] = np.cumsum(new) - 1
-            parts.append((turn[new], rank, first))
-        turn = np.unique(np.concatenate([kinds for kinds, _, _ in parts]))
-        order, _, _ = dealt(turn, buckets)
-        value = np.empty(len(order))
-        value[order] = np.concatenate([unpacked(answered.column("values")[int(i)], np.float32) for i in np.argsort(answered.column("bucket").to_numpy())])
-        score = [np.add.reduceat(value[np.searchsorted(turn, kinds)][rank], first[:-1]) for kinds, rank, first in parts]
-        return pa.table({"doc_id": part.column("docs")[0].values, "h": part.column("hs")[0].values, "score": np.concatenate(score)})
+        return pa.table({"doc_id": part.column("docs")[0].values, "h": part.column("hs")[0].values, "score": _added(part.column("sizes")[0], part.column("data")[0], buckets, answered)})
 
     asked = _sent(texts, buckets, training=False).drop("n")
     answers = asked.groupBy("bucket").cogroup(learnt.grams.groupBy("bucket")).applyInArrow(answer, "of long, bucket long, values binary")

@@ -380,3 +380,50 @@ def test_mixing_slices_in_parts_ask_for_each_window_once():
         t, f = context_mixing._windows_of(part)
         kinds, n = np.unique(t if kept is None else t[np.repeat(kept[part[2]], np.diff(f))], return_counts=True)
         assert all(np.array_equal(a, b) for a, b in zip((kinds, n), context_mixing._distinct(part, kept)))
+
+
+def test_mixing_handles_a_large_slice_part_by_part(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgh"), n)) for n in rng.integers(1, 9, 3000)]
+    texts = [" ".join(rng.choice(words, n)).encode() for n in (40_000, 0, 90_000, 7, 60_000, 120_000, 30_000)]
+    sizes, flat = [len(t) for t in texts], np.frombuffer(b"".join(texts), np.uint8)
+    part = pa.table({"slice": [3], "sizes": pa.array([sizes]), "held": pa.array([[False] * 7]), "data": pa.array([context_mixing.packed(flat)], pa.binary())})
+
+    class Table:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(context_mixing, "ASK_BYTES", 100_000)
+    run = context_mixing._sent(Table(), 5, training=False)
+    tracemalloc.start()
+    asked = pa.Table.from_batches(run(iter(part.to_batches())))
+    most = tracemalloc.get_traced_memory()[1]
+    turn, first = context_mixing._windows_of((flat, np.concatenate([[0], np.cumsum(sizes)]), slice(0, 7)))
+    kinds = np.unique(turn)
+    order, buckets, border = context_mixing.dealt(kinds, 5)
+    assert asked.column("bucket").to_pylist() == buckets.tolist()
+    assert all(np.array_equal(context_mixing.unpacked(x, np.uint64), kinds[order[a:b]]) for x, a, b in zip(asked.column("grams"), border, border[1:]))
+    value = rng.normal(size=len(kinds)).astype(np.float32)
+    answers = pa.table({"bucket": buckets, "values": pa.array([context_mixing.packed(value[order[a:b]]) for a, b in zip(border, border[1:])], pa.binary())}).take([4, 0, 3, 1, 2])
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    got = context_mixing._added(part.column("sizes")[0], part.column("data")[0], 5, answers)
+    more = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert np.array_equal(got, np.add.reduceat(value[np.searchsorted(kinds, turn)].astype(float), first[:-1]))
+    assert max(most, more) < 40 * len(flat), (most / len(flat), more / len(flat))
+
+
+def test_mixing_buckets_hold_what_is_asked_and_known(monkeypatch):
+    rng, pack = np.random.default_rng(7), lambda lists: pa.chunked_array([pa.array([context_mixing.packed(x) for x in lists], pa.binary())])
+    monkeypatch.setattr(context_mixing, "CHUNK_GRAMS", 50)
+    for known in (np.unique(rng.integers(0, 900, 300).astype(np.uint64)), None):
+        asked = [np.unique(rng.integers(0, 1200, n).astype(np.uint64)) for n in (200, 1, 60, 400)]
+        count = dict(zip(known.tolist(), range(1, 999))) if known is not None else {}
+        table = pa.table({"grams": pack([known]), "n": pack([np.arange(1, len(known) + 1)])}) if count else pa.table({"grams": pack([]), "n": pack([])})
+        turn, n = context_mixing._bucket(pack(asked), table)
+        want = sorted({*count, *np.concatenate(asked).tolist()})
+        assert turn.tolist() == want and n.tolist() == [count.get(x, 0) for x in want] and turn.dtype == np.uint64 and n.dtype == np.int64
+        assert not len(context_mixing._bucket(pack([]), table)[0])
