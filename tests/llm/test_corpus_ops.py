@@ -297,6 +297,20 @@ def test_near_duplicates_send_small_batches_to_python(spark, monkeypatch):
     assert most == 100
 
 
+def test_the_sieve_keeps_texts_out_of_python(spark):
+    from pyspark.sql import functions as F
+
+    from prepcast.llm.sieve import sieve
+
+    rows = spark.range(20_000).selectExpr("id * 1000003 - 7 as node", "repeat('x', 20) as text").repartition(3)
+    wanted = rows.where("node % 7 = 0").select("node")
+    got = sieve(rows.unionByName(spark.range(1).selectExpr("cast(null as long) as node", "'none' as text")), "node", wanted)
+    assert "MapInArrow" not in got._jdf.queryExecution().toString() and got.columns == ["node", "text"]
+    n = wanted.count()
+    assert got.join(wanted, "node").count() == n and n <= got.count() <= n + 100  # a few pass by chance
+    assert sieve(rows, "node", rows.where(F.lit(False)).select("node")).count() == 0
+
+
 def test_intervals_equal_brute_force():
     from prepcast.llm.text import BYTE, prefix_hash, span_hash
 
