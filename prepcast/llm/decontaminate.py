@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepcast.llm.scratch import written
+from prepcast.llm.scratch import TEXT_ROWS, small_batches, written
 from prepcast.llm.text import mix, slices, text_buffer, word_bounds, word_hashes
 
 MASKS = ("111111", "1110111", "11011011", "111101111", "1101011011")
@@ -195,7 +195,8 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = [r["n"] for r in items.select(F.size("words").alias("n")).where(f"n < {SHORT}").distinct().collect()]  # at most nine values
     masks = sorted({*MASKS, *(m for n in lengths for m in masks_of(n))})
     bloom = spark.sparkContext.broadcast(_bloom(item_seeds))
-    hits = written(_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), bloom, masks), "decontaminate-hits")
+    with small_batches(spark, TEXT_ROWS):
+        hits = written(_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), bloom, masks), "decontaminate-hits")
     each = hits.select("uid", F.explode(F.arrays_zip("keys", "at")).alias("h")).select("uid", F.col("h.keys").alias("key"), F.col("h.at").alias("doc_at"))
     diagonals = each.join(item_seeds, "key").select("uid", "item", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct()
     placed = diagonals.join(items.withColumnRenamed("words", "item_words"), "item").join(hits.select("uid", "doc_id", "th", "near", "words"), "uid")

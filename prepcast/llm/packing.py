@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepcast.llm.scratch import partitions, written
+from prepcast.llm.scratch import TEXT_ROWS, partitions, small_batches, written
 from prepcast.llm.text import slices, text_buffer
 from prepcast.llm.tokens import encoder
 
@@ -126,7 +126,8 @@ class Plan:
 
 def pack(docs: DataFrame, file: str, end_id: int = 2, window: int = WINDOW, mixture: dict[str, float] | None = None) -> DataFrame:
     """Pieces of all documents: where each lies in its document and in which sequence at which offset."""
-    table = written(encode(docs, file, end_id), "packing-ids")
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        table = written(encode(docs, file, end_id), "packing-ids")
     # a row per source and partition that holds it: partitions are ranges of sources, so partitions + sources rows at most
     sums = table.groupBy("queue", "pid").agg(F.sum("doc_tokens").alias("n")).collect()
     totals: dict[str, int] = {}

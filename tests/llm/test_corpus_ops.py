@@ -330,3 +330,21 @@ def test_intervals_equal_brute_force():
                     want.append([i, q, lo, lo, int(grams[q - a])])
         got = substring_dedup.intervals(data, offs, prefix)
         assert [list(map(int, x)) for x in zip(*got)] == want
+
+
+def test_texts_go_to_python_in_small_batches_in_every_written_step(spark, monkeypatch):
+    from prepcast.llm import packing, scratch
+    from prepcast.llm.tokens import tokenizer_file
+
+    seen, real = {}, scratch.written
+
+    def noted(df, name, *more):
+        seen[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return real(df, name, *more)
+
+    for module in (packing, decontaminate):
+        monkeypatch.setattr(module, "written", noted)
+    docs = spark.createDataFrame([(1, "a b c", "s"), (2, None, "s")], "doc_id long, text string, source string")
+    assert packing.pack(docs, tokenizer_file()).count() == 2
+    assert decontaminate.overlaps(docs, spark.createDataFrame([(1, "x y z u v w")], "item_id long, text string")).count() == 0
+    assert seen["packing-ids"] == seen["decontaminate-hits"] == scratch.TEXT_ROWS  # 10,000 before
