@@ -13,7 +13,7 @@ import os
 import re
 from array import array
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 350_000
 LONG_WORD = 256
 #: Words of Latin-1 letters: one piece, which normalising lowers at most.
 _PLAIN = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"

@@ -416,6 +416,18 @@ def test_mixing_handles_a_large_slice_part_by_part(monkeypatch):
     assert max(most, more) < 40 * len(flat), (most / len(flat), more / len(flat))
 
 
+def test_workers_give_back_what_they_freed():
+    from prepcast.llm.text import slices
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    arrays = [np.ones(12_000) for _ in range(2000)]  # 96 kB each, in the C library's heap
+    kept = arrays[::40]
+    del arrays
+    before = held()
+    assert [b.num_rows for b in slices(iter([pa.record_batch({"text": ["a", "b"]})]), "text", 1)] == [1, 1]
+    assert before - held() > 100e6 and len(kept) == 50  # nothing before
+
+
 def test_mixing_buckets_hold_what_is_asked_and_known(monkeypatch):
     rng, pack = np.random.default_rng(7), lambda lists: pa.chunked_array([pa.array([context_mixing.packed(x) for x in lists], pa.binary())])
     monkeypatch.setattr(context_mixing, "CHUNK_GRAMS", 50)
