@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from prepcast.llm.labelled import held_out
 from prepcast.llm.scratch import discard, small_batches, written
-from prepcast.llm.text import LOWER, SPACE, mix, per_text, slices, text_buffer, word_bounds, word_hashes
+from prepcast.llm.text import LOWER, SPACE, mix, per_text, slices, text_buffer, trimmed, word_bounds, word_hashes
 
 ORDERS = (1, 2, 3, 4, 5, 7)
 REACH = max(ORDERS)
@@ -54,6 +54,7 @@ GATES = 27
 PRIOR = np.float32(0.5)
 BUCKETS = 33
 SLICE_BYTES, LEARN_BYTES, ASK_BYTES, BASE_BYTES = 18_000_000, 4_000_000, 1_500_000, 2_000_000
+BLOCK_BYTES = 1 << 18  # of texts whose windows are made at once, in the cache
 BUCKET_BYTES, LEAST_BUCKETS = 12_000_000, 24
 CHUNK_GRAMS = 200_000
 END_TOKEN = 0x1E0F7A11
@@ -250,10 +251,14 @@ def chunks(turn: np.ndarray) -> Iterator[slice]:
 
 def dealt(turn: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, buckets there, first): windows sorted by bucket, as they were within one."""
-    bucket = (mix(turn >> _U(64 - 8 * NEAR)) % _U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    kinds, first = np.unique(bucket[order], return_index=True)
-    return order, kinds, np.append(first, len(turn))
+    near = turn >> _U(64 - 8 * NEAR)
+    at = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]])) if len(turn) else np.zeros(0, np.int64)
+    size, bucket = np.diff(np.append(at, len(turn))), mix(near[at]) % _U(buckets)  # of each run of one context
+    del near
+    n = np.bincount(bucket.astype(np.int64), size, buckets).astype(np.int64)
+    order = np.argsort(np.repeat(bucket.astype(np.min_scalar_type(buckets)), size), kind="stable")
+    kinds = np.flatnonzero(n)
+    return order, kinds, np.concatenate([[0], np.cumsum(n[kinds])])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -275,31 +280,43 @@ def _texts(docs: DataFrame) -> DataFrame:
 Part = tuple[np.ndarray, np.ndarray, slice]
 
 
-def _parts(sizes: pa.Scalar, data: pa.Scalar, most: int) -> list[Part]:
-    """(bytes, borders, documents) of a slice's parts: texts of ``most`` bytes together, or one longer text."""
-    offs = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())]).astype(np.int64)
-    text, at, out = unpacked(data, np.uint8), 0, []
+def _cut(offs: np.ndarray, most: int) -> Iterator[slice]:
+    """Texts of ``most`` bytes together, or one longer text."""
+    at = 0
     while at < len(offs) - 1:
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
-        out.append((text[offs[at]:offs[to]], offs[at:to + 1] - offs[at], slice(at, to)))
+        yield slice(at, to)
         at = to
-    return out
 
 
-def _windows_of(part: Part) -> tuple[np.ndarray, np.ndarray]:
-    """(turned windows, first) of a part."""
-    key, first = windows(*part[:2], REACH)
-    return turned(key), first
+def _parts(sizes: pa.Scalar, data: pa.Scalar, most: int) -> list[Part]:
+    """(bytes, borders, documents) of a slice's parts: texts of ``most`` bytes together, or one longer text."""
+    offs = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())]).astype(np.int64)
+    text = unpacked(data, np.uint8)
+    return [(text[offs[x.start]:offs[x.stop]], offs[x.start:x.stop + 1] - offs[x.start], x) for x in _cut(offs, most)]
+
+
+def _windows_of(part: Part, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(turned windows, first) of a part (windows of the documents in ``keep``), made block by block: only these stay."""
+    data, offs, docs = part
+    first = offs + np.arange(len(offs))
+    out, at = np.empty(first[-1], _U), 0
+    for x in _cut(offs, BLOCK_BYTES):
+        turn = turned(windows(data[offs[x.start]:offs[x.stop]], offs[x.start:x.stop + 1] - offs[x.start], REACH)[0])
+        if keep is not None:
+            turn = turn[np.repeat(keep[docs][x], np.diff(first[x.start:x.stop + 1]))]
+        out[at:at + len(turn)] = turn
+        at += len(turn)
+    return out[:at], first
 
 
 def _distinct(part: Part, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows of a part (of the documents in ``keep``) in order, and how often each is there."""
-    turn, first = _windows_of(part)
-    if keep is not None:
-        turn = turn[np.repeat(keep[part[2]], np.diff(first))]
+    turn, _ = _windows_of(part, keep)
     turn.sort()
     at = np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]])) if len(turn) else np.zeros(0, np.int64)
-    return turn[at], np.diff(np.append(at, len(turn)))
+    size, turn = len(turn), turn[at]
+    return turn, np.diff(at, append=size)
 
 
 def _ranked(part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -344,23 +361,28 @@ def _sent(texts: DataFrame, buckets: int, training: bool) -> DataFrame:
         cols = [pa.array(kinds), pa.array(np.full(len(kinds), number.as_py())), pa.array(grams, pa.binary()), pa.array(n, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=["bucket", "slice", "grams", "n"])
 
+    def counted(part: Part, keep: np.ndarray, number: pa.Scalar) -> pa.RecordBatch:
+        turn, n = _distinct(part, keep)  # none of this outlives the part
+        order, kinds, first = dealt(turn, buckets)
+        places = [order[a:b] for a, b in zip(first, first[1:])]
+        return rows(kinds, number, [packed(turn[p]) for p in places], [packed(n[p]) for p in places])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in batches:
             for number, sizes, held, data in zip(*(batch.column(c) for c in ("slice", "sizes", "held", "data"))):
                 if training:
                     keep = ~held.values.to_numpy(zero_copy_only=False).astype(bool)
                     for part in _parts(sizes, data, LEARN_BYTES):
-                        turn, n = _distinct(part, keep)
-                        if not len(turn):
-                            continue
-                        order, kinds, first = dealt(turn, buckets)
-                        places = [order[a:b] for a, b in zip(first, first[1:])]
-                        yield rows(kinds, number, [packed(turn[p]) for p in places], [packed(n[p]) for p in places])
+                        yield counted(part, keep, number)
+                        trimmed()
                 else:  # bucket by bucket: all of a large slice's windows are held once, as its parts have them
                     parts = [Dealt.of(_distinct(part)[0], buckets)[0] for part in _parts(sizes, data, ASK_BYTES)]
                     kinds = np.flatnonzero(sum(np.diff(p.border) for p in parts))
                     grams = [packed(_asked(parts, b)) for b in kinds]
+                    del parts
                     yield rows(kinds, number, grams, [b""] * len(kinds))
+                    trimmed()
 
     return texts.mapInArrow(run, "bucket long, slice long, grams binary, n binary")
 
@@ -535,10 +557,15 @@ def text_scores(texts: DataFrame, buckets: int, learnt: Learnt) -> DataFrame:
             for i in range(piece.start, piece.stop, 65536):
                 j = min(i + 65536, piece.stop)
                 value[i:j] = model.log10(turn[i:j])
-        return pa.table({"of": asked.column("slice"), "bucket": asked.column("bucket"), "values": pa.array([packed(value[np.searchsorted(turn, unpacked(x, _U))]) for x in asked.column("grams")], pa.binary())})
+        values = [packed(value[np.searchsorted(turn, unpacked(x, _U))]) for x in asked.column("grams")]
+        del model, shared, turn, n, value
+        trimmed()
+        return pa.table({"of": asked.column("slice"), "bucket": asked.column("bucket"), "values": pa.array(values, pa.binary())})
 
     def add(part: pa.Table, answered: pa.Table) -> pa.Table:
-        return pa.table({"doc_id": part.column("docs")[0].values, "h": part.column("hs")[0].values, "score": _added(part.column("sizes")[0], part.column("data")[0], buckets, answered)})
+        score = _added(part.column("sizes")[0], part.column("data")[0], buckets, answered)
+        trimmed()
+        return pa.table({"doc_id": part.column("docs")[0].values, "h": part.column("hs")[0].values, "score": score})
 
     asked = _sent(texts, buckets, training=False).drop("n")
     answers = asked.groupBy("bucket").cogroup(learnt.grams.groupBy("bucket")).applyInArrow(answer, "of long, bucket long, values binary")

@@ -416,6 +416,38 @@ def test_mixing_handles_a_large_slice_part_by_part(monkeypatch):
     assert max(most, more) < 40 * len(flat), (most / len(flat), more / len(flat))
 
 
+def test_mixing_makes_windows_block_by_block(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), n)) for n in rng.integers(1, 9, 3000)]
+    texts = [" ".join(rng.choice(words, n)).encode() for n in (9000, 0, 30_000, 7, 30_000, 1, 30_000, 50_000, 50_000)]
+    sizes, flat = [len(t) for t in texts], np.frombuffer(b"".join(texts), np.uint8)
+    offs, held = np.concatenate([[0], np.cumsum(sizes)]), np.array([False, True, False, True, True, False, False, False, False])
+    key, first = context_mixing.windows(flat, offs, context_mixing.REACH)
+    turn = context_mixing.turned(key)
+    for keep in (None, ~held, held & False):
+        want = turn if keep is None else turn[np.repeat(keep, np.diff(first))]
+        got = context_mixing._distinct((flat, offs, slice(0, 9)), keep)
+        assert all(np.array_equal(a, b) for a, b in zip(got, np.unique(want, return_counts=True)))
+    by_bucket = (context_mixing.mix(turn >> np.uint64(40)) % np.uint64(300)).astype(int)
+    order, kinds, border = context_mixing.dealt(turn, 300)
+    assert np.array_equal(order, np.argsort(by_bucket, kind="stable")) and np.array_equal(by_bucket[order], np.repeat(kinds, np.diff(border)))
+    part = pa.table({"slice": [3], "sizes": pa.array([sizes]), "held": pa.array([held.tolist()]), "data": pa.array([context_mixing.packed(flat)], pa.binary())})
+
+    class Table:
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = context_mixing._sent(Table(), 5, training=True)
+    tracemalloc.start()
+    sent = pa.Table.from_batches(run(iter(part.to_batches())))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(int(context_mixing.unpacked(n, np.int64).sum()) for n in sent.column("n")) == np.diff(first)[~held].sum()
+    assert most < 28 * len(flat), most / len(flat)  # 35 before
+
+
 def test_workers_give_back_what_they_freed():
     from prepcast.llm.text import slices
 
